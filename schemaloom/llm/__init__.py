@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("exact_dedup", "bpe", "simhash", "language", "decontaminate", "secrets", "warc", "toxicity", "sharding", "token_counts")
+MODULES = ("exact_dedup", "bpe", "simhash")
 
 
 def registered() -> tuple[dict, dict]:
