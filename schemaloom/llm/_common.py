@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 200_000
 #: At most so many keys count as hot, because each holds more than 1/HOT_KEYS of all rows.
 HOT_KEYS = 4096
+#: Files that a core writes of a narrow table.
+NARROW_FILES = 4
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
@@ -28,11 +30,16 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/schemaloom/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table written to the shared folder and read again: lineage ends here, lost executors cost no recomputation."""
-    path = shared_dir(df.sparkSession, name)
+def written(df: DataFrame, name: str, narrow: bool = False) -> DataFrame:
+    """df as a table written to the shared folder and read again: lineage ends here, lost executors cost no recomputation.
+
+    ``narrow``: the rows are few or short, such as counts by key, so a core writes at most NARROW_FILES files.
+    """
+    spark, path = df.sparkSession, shared_dir(df.sparkSession, name)
+    if narrow:
+        df = df.coalesce(NARROW_FILES * spark.sparkContext.defaultParallelism)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def whole_text(column: str = "text") -> Column:
@@ -40,21 +47,25 @@ def whole_text(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
-def attach(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "left", weight: str = "n", limit: int = BROADCAST_ROWS) -> DataFrame:
+def attach(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "left", weight: str | None = None, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Join to a written table ``right`` with one row for each key in ``on``; how: left, inner, left_semi or left_anti.
 
-    ``weight``: the rows of ``left`` that hold the key. A right side of at most ``limit`` rows, counted first, is
-    broadcast. Otherwise the keys that hold over 1/HOT_KEYS of all rows (by that, at most HOT_KEYS of them) are
-    broadcast, their rows are dealt out by a salt, and only the other keys meet by shuffle: no key gathers in one task.
+    ``weight``: the column of ``right`` with the number of ``left``'s rows that hold the key; where it is not given, these
+    are counted if they are needed. A right side of at most ``limit`` rows, counted first, is broadcast. Otherwise the keys
+    that hold over 1/HOT_KEYS of all rows (by that, at most HOT_KEYS of them) are broadcast, their rows are dealt out by a
+    salt, and only the other keys meet by shuffle: no key gathers in one task.
     """
     on = list(on)
-    total = right.agg(F.count(F.lit(1)), F.sum(weight)).first()
-    if total[0] <= limit:
-        return left.join(F.broadcast(right.drop(weight) if how.startswith("left_") else right), on, how)
-    least = max(64, (total[1] or 0) // HOT_KEYS)
-    others = [c for c in right.columns if c not in on]
-    hot = right.filter(F.col(weight) > least).select(*on, F.struct(*others).alias("_hot"))
-    cold = right.filter(F.col(weight) <= least).select(*on, F.lit(0).alias("_salt"), F.struct(*others).alias("_cold"))
+    if right.count() <= limit:
+        return left.join(F.broadcast(right), on, how)
+    extra = weight is None
+    if extra:
+        weight = "_weight"
+        right = written(right.join(left.groupBy(*on).agg(F.count(F.lit(1)).alias(weight)), on), "weighed")
+    least = max(64, (right.agg(F.sum(weight)).first()[0] or 0) // HOT_KEYS)
+    others = [c for c in right.columns if c not in on and not (extra and c == weight)]
+    hot = right.filter(F.col(weight) > least).select(*on, F.struct(F.lit(1).alias("_"), *others).alias("_hot"))
+    cold = right.filter(F.col(weight) <= least).select(*on, F.lit(0).alias("_salt"), F.struct(F.lit(1).alias("_"), *others).alias("_cold"))
     salt = F.when(F.col("_hot").isNull(), F.lit(0)).otherwise(1 + F.pmod(F.monotonically_increasing_id(), F.lit(1 << 20)).cast("int"))
     both = left.join(F.broadcast(hot), on, "left").withColumn("_salt", salt).join(cold, [*on, "_salt"], "left")
     both = both.withColumn("_got", F.coalesce("_hot", "_cold")).drop("_hot", "_cold", "_salt")
@@ -70,7 +81,7 @@ def attach(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "lef
 def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
     """docs without the rows whose doc_id and text are those of a row of ``dropped`` (doc_id, text_sha256)."""
     keyed = docs.withColumn("_id", F.coalesce(F.col("doc_id"), F.lit(-1))).withColumn("_sha", F.sha2(whole_text(), 256))
-    drop = written(dropped.select(F.coalesce(F.col("doc_id"), F.lit(-1)).alias("_id"), F.col("text_sha256").alias("_sha")).distinct().withColumn("n", F.lit(1)), "dropped")
+    drop = written(dropped.select(F.coalesce(F.col("doc_id"), F.lit(-1)).alias("_id"), F.col("text_sha256").alias("_sha")).distinct(), "dropped", narrow=True)
     return attach(keyed, drop, ["_id", "_sha"], "left_anti").select(*docs.columns)
 
 

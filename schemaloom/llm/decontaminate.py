@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from schemaloom.llm._common import attach, table, whole_text, written
+from schemaloom.llm._common import attach, table, whole_text, without, written
 
 #: Words of a shingle; the least containment as a fraction (0.8).
 WIDTH, SHARE = 5, (4, 5)
@@ -65,10 +65,9 @@ def items_of(benchmark: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _candidates(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """Distinct (sha, item) whose document holds a sketched hash of the item."""
+    """Distinct (sha) of documents that hold a sketched hash of an item that they are long enough for."""
     kept = (F.col("n") - _needed(F.col("n")) + 1).cast("int")
     sketch = items.select("item", "n", _needed(F.col("n")).alias("need"), _size_class(F.col("n")).alias("size_class"), F.explode(F.slice("hashes", F.lit(1), kept)).alias("h"))
-    sketch = written(sketch, "sketch")
     classes = sketch.groupBy("size_class").agg(F.max("h").alias("most"), F.min("need").alias("need")).orderBy("size_class").collect()  # a row for each power of two
     ceiling = F.lit(None).cast("long")
     for c in classes:
@@ -76,27 +75,21 @@ def _candidates(docs: DataFrame, items: DataFrame) -> DataFrame:
     shingled = docs.select("sha", _shingled(F.col("text"), _hash).alias("s")).select("sha", F.col("s.windows").alias("doc_n"), F.col("s.shingles").alias("hashes"))
     # explode_outer, as explode would have the optimizer compute the hashes once more to filter out empty arrays
     hashes = shingled.select("sha", "doc_n", ceiling.alias("ceiling"), F.explode_outer("hashes").alias("h")).filter("h <= ceiling").select("sha", "doc_n", "h")
-    by_hash = written(sketch.groupBy("h").agg(F.collect_set(F.struct("item", "need")).alias("found"), F.lit(1).alias("n")), "by_hash")
-    if by_hash.count() > 200_000:  # attach() will shuffle, so it has to know how often a hash occurs
-        by_hash = written(by_hash.drop("n").join(hashes.groupBy("h").agg(F.count(F.lit(1)).alias("n")), "h"), "by_hash")
+    by_hash = written(sketch.groupBy("h").agg(F.collect_set(F.struct("item", "need")).alias("found")), "by_hash", narrow=True)
     both = attach(hashes, by_hash, ["h"], "inner")
-    return both.select("sha", "doc_n", F.explode("found").alias("found")).filter("doc_n >= found.need").select("sha", F.col("found.item").alias("item")).distinct()
+    return both.select("sha", "doc_n", F.explode("found").alias("found")).filter("doc_n >= found.need").select("sha").distinct()
 
 
 def contained(docs: DataFrame, benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
     """(sha, item, item_ids, shared, n) of the distinct texts of docs (sha, text) that hold 0.8 or more of an item's shingles."""
-    items = written(items_of(benchmark, id_col, text_col), "items")
-    pairs = written(_candidates(docs, items), "candidates")
-    some = written(pairs.select("sha").distinct().withColumn("n", F.lit(1)), "some")
+    items = written(items_of(benchmark, id_col, text_col), "items", narrow=True)
+    some = written(_candidates(docs, items), "candidates", narrow=True)
     texts = attach(docs.select("sha", "text"), some, ["sha"], "left_semi").groupBy("sha").agg(F.first("text").alias("text"))
     shingles = texts.select("sha", F.explode_outer(F.array_distinct(_shingled(F.col("text"), _text)["shingles"])).alias("shingle"))
-    by_shingle = items.select("item", F.explode("shingles").alias("shingle")).groupBy("shingle").agg(F.collect_set("item").alias("found"), F.lit(1).alias("n"))
-    by_shingle = written(by_shingle, "by_shingle")
-    if by_shingle.count() > 200_000:
-        by_shingle = written(by_shingle.drop("n").join(shingles.groupBy("shingle").agg(F.count(F.lit(1)).alias("n")), "shingle"), "by_shingle")
+    by_shingle = items.select("item", F.explode("shingles").alias("shingle")).groupBy("shingle").agg(F.collect_set("item").alias("found"))
+    by_shingle = written(by_shingle, "by_shingle", narrow=True)
     shared = attach(shingles, by_shingle, ["shingle"], "inner").select("sha", F.explode("found").alias("item")).groupBy("sha", "item").agg(F.count(F.lit(1)).alias("shared"))
-    weighed = written(items.select("item", "item_ids", F.col("n").alias("shingles")).join(written(shared, "shared").groupBy("item").agg(F.count(F.lit(1)).alias("n")), "item"), "weighed")
-    return attach(shared, weighed, ["item"], "inner").filter(F.col("shared") * SHARE[1] >= F.col("shingles") * SHARE[0]).select("sha", "item", "item_ids", "shared", "shingles")
+    return attach(shared, items.select("item", "item_ids", F.col("n").alias("shingles")), ["item"], "inner").filter(F.col("shared") * SHARE[1] >= F.col("shingles") * SHARE[0]).select("sha", "item", "item_ids", "shared", "shingles")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -111,12 +104,16 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     rows = docs.select(F.col(id_col).alias("doc_id"), F.sha2(text, 256).alias("sha"), text.alias("text"))
     found = contained(rows.select("sha", "text"), benchmark)
     ids = F.array_sort(F.flatten(F.collect_list("item_ids")))
-    by_text = written(found.groupBy("sha").agg(ids.alias("ids"), F.max(F.col("shared") / F.col("shingles")).alias("containment")), "by_text")
-    by_text = written(by_text.join(rows.groupBy("sha").agg(F.count(F.lit(1)).alias("n")), "sha"), "weighed_texts")
+    by_text = written(found.groupBy("sha").agg(ids.alias("ids"), F.max(F.col("shared") / F.col("shingles")).alias("containment")), "by_text", narrow=True)
     out = attach(rows.select("doc_id", "sha"), by_text, ["sha"], "inner")
     return out.select(F.col("doc_id").alias(id_col), F.size("ids").cast("long").alias("n_items"), F.array_join(F.col("ids").cast("array<string>"), ",").alias("item_ids"), "containment", F.col("sha").alias("text_sha256"))
 
 
+def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """docs without the rows that hold an item of the benchmark."""
+    return without(docs, contamination(docs, benchmark))
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("text_sha256")
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from schemaloom.llm._common import attach, table, whole_text, written
+from schemaloom.llm._common import attach, table, whole_text, without, written
 
 #: Fingerprints that a block of the merged filter holds on average.
 BLOCK_FINGERPRINTS = 1 << 19
@@ -138,15 +138,15 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """
     text = whole_text(text_col)
     rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("_text"), F.xxhash64(text).alias("fp"))
-    repeated = written(repeated_fingerprints(rows.select("fp"), rows.count()), "fingerprints")
+    repeated = written(repeated_fingerprints(rows.select("fp"), rows.count()), "fingerprints", narrow=True)
     groups = (
-        attach(rows, repeated, ["fp"], "inner")
+        attach(rows, repeated, ["fp"], "inner", "n")
         .groupBy("fp", "_text")  # the bytes themselves are compared here
         .agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
         .filter("group_size > 1")
         .select("fp", F.sha2("_text", 256).alias("text_sha256"), "keep_id", "group_size")
     )
-    groups = written(groups, "groups")
+    groups = written(groups, "groups", narrow=True)
     narrow = rows.select("doc_id", "fp", F.sha2("_text", 256).alias("text_sha256"))
     joined = attach(narrow, groups, ["fp", "text_sha256"], "left", "group_size")
     alone = F.col("group_size").isNull()
@@ -154,6 +154,20 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return joined.select(F.col("doc_id").alias(id_col), keep.alias("keep_id"), F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"), F.col("doc_id").eqNullSafe(keep).alias("kept"), "text_sha256")
 
 
+def deduplicated(docs: DataFrame) -> DataFrame:
+    """docs with one row of each group of equal texts, that with the largest doc_id; of rows that repeat id and text one stays."""
+    found = exact_dedup(docs)
+    out = without(docs, found.filter(~F.col("kept")))
+    again = found.filter("kept and group_size > 1").groupBy("doc_id", "text_sha256").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    again = written(again.drop("n"), "repeated", narrow=True)
+    if again.isEmpty():
+        return out
+    keyed = out.withColumn("_id", F.coalesce("doc_id", F.lit(-1))).withColumn("_sha", F.sha2(whole_text(), 256))
+    keys = written(again.select(F.coalesce("doc_id", F.lit(-1)).alias("_id"), F.col("text_sha256").alias("_sha")), "keys", narrow=True)
+    repeated = attach(keyed, keys, ["_id", "_sha"], "left_semi")
+    return without(out, again).unionByName(repeated.dropDuplicates(["_id", "_sha"]).select(*docs.columns))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 

@@ -187,6 +187,11 @@ def fit_on(docs: DataFrame) -> LanguageModel:
     return fit(docs.filter(~held_out()).select("doc_id", "text", "lang"))
 
 
+def with_known_language(docs: DataFrame) -> DataFrame:
+    """docs without the rows that the model of their own labels rejects."""
+    return identify(docs, fit_on(docs)).filter(~F.col("rejected")).select(*docs.columns)
+
+
 def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return identify(docs.select("doc_id", "text"), fit_on(docs)).select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "rejected")

@@ -112,7 +112,7 @@ class ShardStore:
         while True:
             version = self.version()
             manifest = self.manifest(version)
-            plan = written(self.plan(manifest).join(manifest.select("shard", "rows", "level"), "shard"), "plan")
+            plan = written(self.plan(manifest).join(manifest.select("shard", "rows", "level"), "shard"), "plan", narrow=True)
             runs, level = plan.agg(F.count_distinct("run"), F.max("level")).first()
             if not runs:
                 return version

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from schemaloom.llm._common import attach, table, whole_text, written
+from schemaloom.llm._common import attach, table, whole_text, without, written
 from schemaloom.llm.components import components
 
 BITS, SEED = 64, 42
@@ -53,7 +53,7 @@ def simhash(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         prints = np.array([simhash(t.as_buffer().to_pybytes()) for t in batch.column(1).cast(pa.large_binary())], np.uint64)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints.view(np.int64))], ["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints.view(np.int64)), batch.column(2)], ["doc_id", "fp", "text_sha256"])
 
 
 def apart(x: np.ndarray, y: np.ndarray | np.uint64) -> np.ndarray:
@@ -171,24 +171,32 @@ def hamming_links(prints: DataFrame, rows: int, reach: int = RADIUS) -> DataFram
     return prints.select("fp").mapInArrow(spread, "shard int, home boolean, fp long").groupBy("shard").applyInArrow(join, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach: int = RADIUS) -> DataFrame:
-    """One row for each row of docs: id, fingerprint (16 hex digits), component_id.
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach: int = RADIUS, digest: bool = False) -> DataFrame:
+    """One row for each row of docs: id, fingerprint (16 hex digits), component_id, and text_sha256 with ``digest``.
 
     component_id is the smallest id that is reachable over links, the document itself included. Null texts count as
     empty; texts without words have fingerprint zero, linked like any other. A null id is never the smallest; a
     component of null ids only has a null component_id. Repeated rows get repeated rows. Empty input: empty result.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).alias("text")).mapInArrow(_fingerprints, "doc_id long, fp long")
+    text = whole_text(text_col)
+    sha = F.sha2(text, 256) if digest else F.lit(None).cast("string")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), sha.alias("text_sha256")).mapInArrow(_fingerprints, "doc_id long, fp long, text_sha256 string")
     rows = written(rows, "prints")
-    prints = written(rows.groupBy("fp").agg(F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("n")), "distinct")
-    edges = written(hamming_links(prints, prints.count(), reach), "links")
-    roots = written(components(edges).withColumnRenamed("node", "fp").withColumn("n", F.lit(1)), "roots")
+    prints = written(rows.groupBy("fp").agg(F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("n")), "distinct", narrow=True)
+    edges = written(hamming_links(prints, prints.count(), reach), "links", narrow=True)
+    roots = written(components(edges).withColumnRenamed("node", "fp"), "roots", narrow=True)
     grouped = attach(prints.withColumnRenamed("n", "size"), roots, ["fp"], "left").withColumn("root", F.coalesce("root", "fp"))
-    grouped = written(grouped.select("fp", "root", "low", "size"), "grouped")
-    lowest = written(grouped.groupBy("root").agg(F.min("low").alias("component_id"), F.count(F.lit(1)).alias("n")), "lowest")
-    labels = written(attach(grouped, lowest, ["root"], "left").select("fp", "component_id", F.col("size").alias("n")), "labels")
-    out = attach(rows, labels, ["fp"], "left")
-    return out.select(F.col("doc_id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    grouped = written(grouped.select("fp", "root", "low", "size"), "grouped", narrow=True)
+    lowest = written(grouped.groupBy("root").agg(F.min("low").alias("component_id"), F.count(F.lit(1)).alias("n")), "lowest", narrow=True)
+    labels = written(attach(grouped, lowest, ["root"], "left", "n").select("fp", "component_id", F.col("size").alias("n")), "labels", narrow=True)
+    out = attach(rows, labels, ["fp"], "left", "n")
+    return out.select(F.col("doc_id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", *["text_sha256"] * digest)
+
+
+def near_deduplicated(docs: DataFrame) -> DataFrame:
+    """docs with those rows whose doc_id is their component's smallest; a component without any id keeps all its rows."""
+    found = near_duplicates(docs, digest=True)
+    return without(docs, found.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))))
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -188,7 +188,7 @@ def write_archives(pages: DataFrame, folder: str, date: str = "2024-01-01T00:00:
             yield pa.RecordBatch.from_pylist([{"archive": name, "bytes": size, "records": records}])
 
     done = pages.select("record_id", "url", "payload", "refers_to").mapInArrow(run, "archive string, bytes long, records long")
-    return written(done, "archives").withColumn("folder", F.lit(folder))
+    return written(done, "archives", narrow=False).withColumn("folder", F.lit(folder))
 
 
 def read_archives(archives: DataFrame, payloads: bool = False) -> DataFrame:
@@ -232,7 +232,7 @@ def with_revisits(pages: DataFrame, least: int = 0, id_col: str = "page_id", pay
     payload = F.encode(F.coalesce(F.col(payload_col).cast("string"), F.lit("")), "UTF-8")
     rows = pages.select(F.col(id_col).alias("page_id"), F.coalesce(F.col(url_col).cast("string"), F.lit("")).alias("url"), payload.alias("payload"), F.sha2(payload, 256).alias("sha"))
     groups = rows.filter(F.octet_length("payload") >= least).groupBy("sha").agg(F.max("page_id").alias("last"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    both = attach(rows, written(groups, "payloads"), ["sha"], "left", "n")
+    both = attach(rows, written(groups, "payloads", narrow=True), ["sha"], "left", "n")
     name = lambda c: F.concat(F.lit("urn:page:"), F.coalesce(F.col(c).cast("string"), F.lit("null")))
     revisit = F.col("n").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("last"))
     return both.select(name("page_id").alias("record_id"), "url", "payload", F.when(revisit, name("last")).alias("refers_to"))
