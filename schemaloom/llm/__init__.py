@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("exact_dedup", "bpe", "simhash", "sharding", "secrets", "warc", "decontaminate", "token_counts", "language")
+MODULES = ("sharding", "language", "toxicity", "warc", "bpe", "secrets", "token_counts", "decontaminate", "simhash", "exact_dedup")
 
 
 def registered() -> tuple[dict, dict]:
