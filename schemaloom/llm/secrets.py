@@ -11,11 +11,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from schemaloom.llm._common import attach, shared_dir, table, whole_text, written
+from schemaloom.llm._common import NARROW_FILES, attach, shared_dir, table, whole_text, written
 
 
 @dataclass(frozen=True)
@@ -38,14 +38,23 @@ RULES = (
 LEDGER = "blob binary, rule string, version int, spans array<struct<start:long,end:long>>"
 
 
-def _matches(blobs: DataFrame, rule: Rule) -> DataFrame:
-    """(blob, start, end) of a rule's matches: the texts between matches and the matches follow each other, so lengths add up to places."""
-    hit = blobs.filter(F.col("text").rlike(rule.pattern))
+def _parts(rule: Rule) -> Column:
+    """A rule's matches in ``text`` in order: length of the text before each, of the match and of its value; null if there is none."""
     found = lambda group: F.transform(F.regexp_extract_all("text", F.lit(rule.pattern), F.lit(group)), F.length)
-    parts = hit.select("blob", F.posexplode(F.arrays_zip(F.transform(F.split("text", rule.pattern, -1), F.length).alias("gap"), found(0).alias("size"), found(rule.group).alias("value"))).alias("pos", "part"))
-    so_far = Window.partitionBy("blob").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    parts = F.arrays_zip(F.transform(F.split("text", rule.pattern, -1), F.length).alias("gap"), found(0).alias("size"), found(rule.group).alias("value"))
+    return F.when(F.col("text").rlike(rule.pattern), parts)
+
+
+def _scanned(blobs: DataFrame, rules: Sequence[Rule]) -> DataFrame:
+    """Rows of the ledger for (blob, text, done): gaps and matches follow each other, so their lengths add up to places."""
+    each = F.array(*[F.struct(F.lit(r.kind).alias("rule"), F.lit(r.version).alias("version"), F.lit(r.least).alias("least"), F.when(~F.array_contains("done", r.kind), F.struct(_parts(r).alias("parts"))).alias("scan")) for r in rules])
+    pairs = blobs.select("blob", F.explode_outer(each).alias("x")).filter("x.scan is not null")
+    parts = pairs.select("blob", "x.rule", "x.version", "x.least", F.posexplode_outer("x.scan.parts").alias("pos", "part")).filter("pos is null or part.size is not null")
+    so_far = Window.partitionBy("blob", "rule").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     end = F.sum(F.col("part.gap") + F.col("part.size")).over(so_far)
-    return parts.filter(F.col("part.size").isNotNull()).withColumn("end", end).filter(F.col("part.value") >= rule.least).select("blob", (F.col("end") - F.col("part.size")).alias("start"), "end")
+    placed = parts.withColumn("end", end)
+    span = F.when(F.col("part.value") >= F.col("least"), F.struct((F.col("end") - F.col("part.size")).alias("start"), "end"))
+    return placed.groupBy("blob", "rule", "version").agg(F.sort_array(F.collect_list(span)).alias("spans"))
 
 
 class SecretLedger:
@@ -66,21 +75,13 @@ class SecretLedger:
         text = whole_text(text_col)
         blobs = versions.select(F.unhex(F.sha2(text, 256)).alias("blob"), text.alias("text")).groupBy("blob").agg(F.first("text").alias("text"))
         known = self.read()
-        seen = not known.isEmpty()
-        if seen:
-            rules = F.map_from_entries(F.array(*[F.struct(F.lit(r.kind), F.lit(r.version)) for r in self.rules]))
-            done = written(known.filter(F.col("version") == rules[F.col("rule")]).groupBy("blob").agg(F.collect_set("rule").alias("done"), F.lit(1).alias("n")), "seen")
-            blobs = attach(blobs, done, ["blob"], "left").withColumn("done", F.coalesce("done", F.array().cast("array<string>"))).filter(F.size("done") < len(self.rules)).drop("n")
-        else:
+        if known.isEmpty():
             blobs = blobs.withColumn("done", F.array().cast("array<string>"))
-        blobs = written(blobs, "blobs")
-        span = F.struct("start", "end")
-        for rule in self.rules:
-            new = blobs.filter(~F.array_contains("done", rule.kind))
-            spans = _matches(new, rule).groupBy("blob").agg(F.sort_array(F.collect_list(span)).alias("spans"))
-            hits = spans.select("blob", F.lit(rule.kind).alias("rule"), F.lit(rule.version).alias("version"), "spans")
-            clean = new.filter(~F.col("text").rlike(rule.pattern)).select("blob", F.lit(rule.kind).alias("rule"), F.lit(rule.version).alias("version"), F.array().cast("array<struct<start:long,end:long>>").alias("spans"))
-            hits.unionByName(clean).write.mode("append").parquet(self.path)
+        else:
+            rules = F.map_from_entries(F.array(*[F.struct(F.lit(r.kind), F.lit(r.version)) for r in self.rules]))
+            done = written(known.filter(F.col("version") == rules[F.col("rule")]).groupBy("blob").agg(F.collect_set("rule").alias("done")), "seen", narrow=True)
+            blobs = attach(blobs, done, ["blob"], "left").withColumn("done", F.coalesce("done", F.array().cast("array<string>"))).filter(F.size("done") < len(self.rules))
+        _scanned(blobs, self.rules).coalesce(NARROW_FILES * self.spark.sparkContext.defaultParallelism).write.mode("append").parquet(self.path)
 
     def findings(self) -> DataFrame:
         """(blob, spans array<struct<start,end,kind>>) by start, then kind in the rules' order, of blobs that have any."""
@@ -101,14 +102,12 @@ def secret_scan(versions: DataFrame, ledger: SecretLedger, text_col: str = "text
     result. Input columns of those two names are replaced, others are kept.
     """
     ledger.scan(versions, text_col)
-    found = written(ledger.findings(), "findings")
+    found = written(ledger.findings(), "findings", narrow=True)
     keyed = versions.drop("blob", "secret_spans").withColumn("blob", F.unhex(F.sha2(whole_text(text_col), 256)))
     others = [c for c in keyed.columns if c not in ("blob", text_col)]
-    narrow = keyed.select(F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(others)]).alias("_row"), "blob") if text_col in keyed.columns and others else keyed.select(F.struct(F.lit(0).alias("c0")).alias("_row"), "blob")
-    weights = narrow.groupBy("blob").agg(F.count(F.lit(1)).alias("n"))
-    right = written(found.join(weights, "blob"), "weighed")
+    narrow = keyed.select(F.struct(F.lit(0).alias("_"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(others)]).alias("_row"), "blob")
     spans = F.coalesce(F.col("spans"), F.array().cast(found.schema["spans"].dataType)).alias("secret_spans")
-    return attach(narrow, right, ["blob"], "left").select(*[F.col("_row")[f"c{i}"].alias(c) for i, c in enumerate(others)], "blob", spans)
+    return attach(narrow, found, ["blob"], "left").select(*[F.col("_row")[f"c{i}"].alias(c) for i, c in enumerate(others)], "blob", spans)
 
 
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
