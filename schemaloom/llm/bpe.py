@@ -11,7 +11,6 @@ from __future__ import annotations
 import json
 from array import array
 from collections.abc import Iterator
-from itertools import chain
 
 import ahocorasick
 import numpy as np
@@ -24,8 +23,8 @@ from schemaloom.llm._common import table, whole_text
 
 #: The split pattern of byte-level tokenizers.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
-#: Words and pairs of tokens that a worker remembers; it starts anew beyond them.
-WORDS, PAIRS, LONGEST_WORD = 400_000, 600_000, 48
+#: Words that a worker remembers in each of two generations (when the newer is full it becomes the older, and words met again move on), and pairs of tokens, which start anew.
+WORDS, PAIRS, LONGEST_WORD = 250_000, 600_000, 48
 #: Rows of a batch that is sent back.
 BATCH = 256
 
@@ -71,7 +70,9 @@ class Bpe:
                 self.automaton.add_word(word, (i, len(word)))
                 self.whole[word] = (i,)
         self.automaton.make_automaton()
-        self.words: dict[str, tuple[int, ...]] = {}
+        self.table = [self.bytes_of.get(i, b"") for i in range(size)]
+        self.words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.pairs: dict[int, bool] = {}
 
     def _stands(self, a: int, b: int, limit: float = float("inf")) -> bool:
@@ -113,31 +114,33 @@ class Bpe:
             at -= len(self.bytes_of[last[at]])
         return tuple(reversed(ids))
 
-    def _plain(self, text: str) -> Iterator[tuple[int, ...]]:
-        words, pieces = self.words, self.split.findall(text)
-        found = list(map(words.get, pieces))
-        if None in found:
-            for k, ids in enumerate(found):
-                if ids is None:
-                    piece = pieces[k]
-                    ids = words.get(piece) or self._word(piece.encode().decode("latin-1"))
-                    if len(piece) <= LONGEST_WORD:
-                        if len(words) >= WORDS:
-                            words.clear()
-                        words[piece] = ids
-                    found[k] = ids
-        return chain.from_iterable(found)
-
-    def encode(self, text: str) -> array:
-        if self.split_added is None or not any(x in text for x in self.added):
-            return array("i", self._plain(text))
-        ids = array("i")
-        for part in self.split_added.split(text):
-            ids.extend([self.added[part]] if part in self.added else self._plain(part))
+    def _unmet(self, piece: str) -> bytes:
+        """Ids, as int32, of a piece that the newer generation lacks."""
+        ids = self.words.get(piece) or self.older.get(piece) or array("i", self._word(piece.encode().decode("latin-1"))).tobytes()
+        if len(piece) <= LONGEST_WORD:
+            if len(self.words) >= WORDS:
+                self.words, self.older = {}, self.words
+            self.words[piece] = ids
         return ids
 
-    def decode(self, ids) -> str:
-        return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
+    def _plain(self, text: str) -> bytes:
+        pieces = self.split.findall(text)
+        found = list(map(self.words.get, pieces))
+        at = -1
+        for _ in range(found.count(None)):
+            at = found.index(None, at + 1)
+            found[at] = self._unmet(pieces[at])
+        return b"".join(found)
+
+    def encode(self, text: str) -> np.ndarray:
+        """The ids as int32."""
+        if self.split_added is None or not any(x in text for x in self.added):
+            return np.frombuffer(self._plain(text), np.int32)
+        parts = [array("i", [self.added[x]]).tobytes() if x in self.added else self._plain(x) for x in self.split_added.split(text)]
+        return np.frombuffer(b"".join(parts), np.int32)
+
+    def decode(self, ids: list[int]) -> str:
+        return b"".join(map(self.table.__getitem__, ids)).decode("utf-8", "replace")
 
 
 _loaded: dict[str, Bpe] = {}
@@ -174,10 +177,10 @@ def bpe_roundtrip(docs: DataFrame, tokenizer: str | None = None, id_col: str = "
                 part = batch.slice(at, BATCH)
                 ids = [bpe.encode(t) for t in part.column(1).to_pylist()]
                 ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
-                flat = np.concatenate([np.frombuffer(x, np.int32) if len(x) else np.zeros(0, np.int32) for x in ids])
+                flat = np.concatenate(ids)
                 columns = [part.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))]
                 if decode:
-                    columns.append(pa.array([bpe.decode(x) for x in ids], pa.string()))
+                    columns.append(pa.array([bpe.decode(x.tolist()) for x in ids], pa.string()))
                 yield pa.RecordBatch.from_arrays(columns, ["id", "ids", "decoded"][: len(columns)])
 
     kind = docs.schema[id_col].dataType.simpleString()
@@ -185,10 +188,15 @@ def bpe_roundtrip(docs: DataFrame, tokenizer: str | None = None, id_col: str = "
     return out.withColumnRenamed("id", id_col)
 
 
-def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = bpe_roundtrip(table(spark, sf_dir, "documents"))
+def encoded(docs: DataFrame) -> DataFrame:
+    """doc_id, n_tokens and the SHA-256 of the ids, joined by commas, and of the decoded text."""
+    out = bpe_roundtrip(docs)
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encoded(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {"op5_bpe": op5_bpe}
 ORACLE: dict[str, str] = {}
