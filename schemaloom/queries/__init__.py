@@ -1,4 +1,8 @@
 """The library's queries, by family, and their DuckDB SQL."""
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from __future__ import annotations
+
+from schemaloom.queries import data
+
+QUERIES = data.QUERIES
+ORACLE = data.ORACLE
