@@ -17,11 +17,11 @@ LEXICAL, STRUCTURAL, INSTANCE, LEAST = 0.30, 0.50, 0.20, 0.35
 def fingerprints(concepts: DataFrame, attributes: DataFrame) -> DataFrame:
     """(concept, pos, category, source, properties, targets) of concepts (concept, pos, category, source) and attributes (concept, mapping_type, canonical, target)."""
     sets = attributes.groupBy("concept").agg(
-        F.collect_set(F.when(F.col("mapping_type") == "property", joined_key("canonical"))).alias("properties"),
-        F.collect_set(F.when(F.col("mapping_type") == "relation_role", joined_key("target"))).alias("targets"),
+        F.collect_set(F.when(~F.col("mapping_type").eqNullSafe("relation_role"), F.nullif(joined_key("canonical"), F.lit("")))).alias("properties"),
+        F.collect_set(F.when(F.col("mapping_type") == "relation_role", F.nullif(joined_key("target"), F.lit("")))).alias("targets"),
     )
     empty = F.array().cast("array<string>")
-    return concepts.join(sets, "concept", "left").select("concept", "pos", "category", "source", F.coalesce("properties", empty).alias("properties"), F.coalesce("targets", empty).alias("targets"))
+    return concepts.join(sets, "concept", "left").select("concept", "pos", joined_key("category").alias("category"), "source", F.coalesce("properties", empty).alias("properties"), F.coalesce("targets", empty).alias("targets"))
 
 
 def instance_values(entities: dict[str, DataFrame]) -> DataFrame:
@@ -42,24 +42,28 @@ def value_overlaps(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def pair_scores(a: DataFrame, b: DataFrame, overlaps: DataFrame | None = None) -> DataFrame:
-    """(i, j, a, b, score) of every pair of concepts of two ontologies; concepts are metadata, so all pairs are scored."""
+    """(i, j, a, b, a_source, b_source, score) of every pair of concepts of two ontologies; concepts are metadata, so all pairs are scored."""
     side = lambda df, n: df.select(*[F.col(c).alias(f"{n}_{c}") for c in df.columns])
     pairs = side(a, "a").crossJoin(F.broadcast(side(b, "b")))
-    pairs = pairs.join(F.broadcast(overlaps), ["a_source", "b_source"], "left") if overlaps is not None else pairs.withColumn("instance", F.lit(0.0))
+    if overlaps is None:
+        pairs = pairs.withColumn("instance", F.lit(0.0))
+    else:
+        low = overlaps.groupBy(F.lower("a_source").alias("_x"), F.lower("b_source").alias("_y")).agg(F.max("instance").alias("instance"))
+        pairs = pairs.join(F.broadcast(low), (F.lower("a_source") == F.col("_x")) & (F.lower("b_source") == F.col("_y")), "left")
     c = F.col
     score = LEXICAL * lexical(c("a_concept"), c("b_concept")) + STRUCTURAL * structural(c("a_category"), c("b_category"), c("a_targets"), c("b_targets"), c("a_properties"), c("b_properties")) + INSTANCE * F.coalesce("instance", F.lit(0.0))
-    return pairs.select(c("a_pos").alias("i"), c("b_pos").alias("j"), c("a_concept").alias("a"), c("b_concept").alias("b"), score.alias("score"))
+    return pairs.select(c("a_pos").alias("i"), c("b_pos").alias("j"), c("a_concept").alias("a"), c("b_concept").alias("b"), "a_source", "b_source", score.alias("score"))
 
 
 def align(scores: DataFrame, least: float = LEAST) -> DataFrame:
-    """(a, b, score): the best pairs one to one; ties go to later concepts."""
-    return greedy(scores.filter(F.col("score") >= least), "i", "j", ["score", "i", "j"]).select("i", "j", "a", "b", "score")
+    """The best pairs one to one; ties go to later concepts."""
+    return greedy(scores.filter(F.col("score") >= least), "i", "j", ["score", "i", "j"]).select("i", "j", "a", "b", "a_source", "b_source", "score")
 
 
 def integrate(a: DataFrame, b: DataFrame, overlaps: DataFrame | None = None) -> dict[str, DataFrame]:
-    """The integration plan of two fingerprint tables: alignments (canonical, a, b, score), unique_to_a, unique_to_b and integrated concepts (name)."""
+    """The integration plan of two fingerprint tables: alignments (canonical, a, b, score; a and b are the source entities), unique_to_a, unique_to_b and integrated concepts (name)."""
     found = align(pair_scores(a, b, overlaps))
     only = lambda df, n: df.join(found.select(F.col(n).alias("pos")), "pos", "left_anti").select(F.col("concept").alias("name"))
     unique_a, unique_b = only(a, "i"), only(b, "j")
-    alignments = found.select(F.col("a").alias("canonical"), "a", "b", "score")
+    alignments = found.select(F.col("a").alias("canonical"), F.col("a_source").alias("a"), F.col("b_source").alias("b"), "score")
     return {"alignments": alignments, "unique_to_a": unique_a, "unique_to_b": unique_b, "integrated": alignments.select(F.col("canonical").alias("name")).union(unique_a).union(unique_b)}

@@ -36,8 +36,8 @@ def rule_based(erd: Erd) -> dict[str, DataFrame]:
     several = F.size("members") > 1
     each = groups.filter("not whole").select("entity", "ref_entity", "first", several.alias("several"), F.explode("members").alias("m"))
     each = each.select("entity", "first", "m.apos", F.concat_ws(".", "entity", "m.attr").alias("source"), F.when(F.col("several"), camel("m.attr")).otherwise(has).alias("canonical"), F.col("ref_entity").alias("target"))
-    roles = one.unionByName(each).select("entity", F.struct(F.lit(1), "first", "apos").alias("order"), "source", F.lit("relation_role").alias("mapping_type"), "canonical", F.lit(None).cast("string").alias("role"), "target")
-    props = attrs.filter("not is_fk").select("entity", F.struct(F.lit(0), F.lit(0), "apos").alias("order"), F.concat_ws(".", "entity", "attr").alias("source"), F.lit("property").alias("mapping_type"), camel("attr").alias("canonical"), F.when(F.col("is_pk"), "identifier").otherwise("descriptive").alias("role"), F.lit(None).cast("string").alias("target"))
+    roles = one.unionByName(each).select("entity", F.struct(F.lit(1).alias("x"), F.col("first").alias("y"), F.col("apos").alias("z")).alias("order"), "source", F.lit("relation_role").alias("mapping_type"), "canonical", F.lit(None).cast("string").alias("role"), "target")
+    props = attrs.filter("not is_fk").select("entity", F.struct(F.lit(0).alias("x"), F.lit(0).alias("y"), F.col("apos").alias("z")).alias("order"), F.concat_ws(".", "entity", "attr").alias("source"), F.lit("property").alias("mapping_type"), camel("attr").alias("canonical"), F.when(F.col("is_pk"), "identifier").otherwise("descriptive").alias("role"), F.lit(None).cast("string").alias("target"))
     concepts = kinds.filter("not junction").select(pascal("entity").alias("concept"), F.col("epos").alias("pos"), "category", F.col("entity").alias("source"))
     attributes = concepts.select("concept", F.col("source").alias("entity")).join(props.unionByName(roles), "entity")
     place = F.row_number().over(Window.partitionBy("entity").orderBy("order"))
@@ -49,7 +49,7 @@ def rule_based(erd: Erd) -> dict[str, DataFrame]:
 
 def unpacking(erd: Erd) -> dict[str, DataFrame]:
     """entities (entity, kind, fk_count, own_count), attributes (entity, attr, role, preferred) and reifications (entity, label): hints for naming."""
-    counted = erd.attributes.groupBy("entity").agg(F.count_if("is_fk").alias("fk_count"), F.count_if("not is_fk and not is_pk").alias("own_count"))
+    counted = erd.attributes.groupBy("entity").agg(F.count_if("is_fk").alias("fk_count"), F.count_if(~F.col("is_fk") & ~F.col("is_pk")).alias("own_count"))
     kind = F.when((F.col("fk_count") >= 2) & (F.col("own_count") > 0), "relator").when(F.col("fk_count") >= 2, "association").otherwise("entity")
     entities = erd.entities.select("entity", "epos").join(counted, "entity", "left").select("entity", "epos", kind.alias("kind"), F.coalesce("fk_count", F.lit(0)).alias("fk_count"), F.coalesce("own_count", F.lit(0)).alias("own_count"))
     rows = erd.attributes.join(F.broadcast(entities.select("entity", "kind")), "entity").withColumns({"words": tokens("attr"), "entity_words": tokens("entity")})
@@ -67,15 +67,16 @@ def with_scaffold(proposal: DataFrame, scaffold: DataFrame) -> DataFrame:
 
 def vocabulary_of(concepts: DataFrame, attributes: DataFrame, qualified: bool = True) -> dict[str, DataFrame]:
     """An ontology's entities, mappings and terms as ``scores.mapping_scores`` takes them; a combined source gives one mapping for each column."""
-    entities = concepts.select(F.col("source").alias("source_entity"), F.col("concept").alias("canonical"), "category")
-    each = attributes.withColumn("attribute", F.explode(F.transform(F.split("source", ","), F.trim)))
-    name = F.col("attribute") if qualified else last_part("attribute")
+    entities = concepts.select(F.col("source").alias("source_entity"), F.col("concept").alias("canonical"), "category", F.col("pos").alias("seq"))
+    owner = concepts.select("concept", F.col("pos").alias("_c"), F.col("source").alias("_owner"))
+    each = attributes.join(F.broadcast(owner), "concept").select("*", F.posexplode(F.transform(F.split("source", ","), F.trim)).alias("_i", "_part")).filter("_part <> ''")
+    full = F.when(F.contains("_part", F.lit(".")), F.concat_ws(".", F.trim(F.substring_index("_part", ".", 1)), F.trim(last_part("_part")))).otherwise(F.concat_ws(".", "_owner", "_part"))
     accepted = F.col("accepted") if "accepted" in attributes.columns else F.array().cast("array<string>")
-    mappings = each.select(name.alias("attribute"), "canonical", "mapping_type", accepted.alias("accepted"))
-    sourced = mappings.select(F.col("canonical").alias("name"), F.col("attribute").alias("source")).union(entities.select("canonical", "source_entity"))
-    none = F.array().cast("array<string>")
-    terms = sourced.groupBy("name").agg(F.lit("").alias("description"), none.alias("synonyms"), F.sort_array(F.collect_set("source")).alias("sources"))
-    return {"entities": entities, "mappings": mappings, "terms": terms}
+    place = F.struct(F.col("_c").alias("c"), F.col("pos").alias("a"), F.col("_i").alias("i"))
+    mappings = each.select((full if qualified else F.trim(last_part("_part"))).alias("attribute"), "canonical", F.coalesce("mapping_type", F.lit("property")).alias("mapping_type"), accepted.alias("accepted"), place.alias("seq"), "concept")
+    sources = F.array_distinct(F.transform(F.sort_array(F.collect_list(F.struct("seq", "attribute"))), lambda x: x["attribute"]))
+    terms = mappings.groupBy(F.col("canonical").alias("name")).agg(F.concat(F.lit("Concept: "), F.min_by("concept", "seq")).alias("description"), F.array().cast("array<string>").alias("synonyms"), sources.alias("sources"))
+    return {"entities": entities, "mappings": mappings.drop("concept"), "terms": terms}
 
 
 def concepts_of(entities: DataFrame, mappings: DataFrame) -> dict[str, DataFrame]:

@@ -90,15 +90,15 @@ def collapses(mappings: DataFrame, key: str, other: str) -> DataFrame:
 def mapping_scores(proposed: dict[str, DataFrame], gold: dict[str, DataFrame], strict: bool = False) -> DataFrame:
     """One row with the fourteen measures of a mapping.
 
-    Each side has entities (source_entity, canonical, category), mappings (attribute, canonical, mapping_type, accepted
-    array) and terms (name, description, synonyms, sources arrays). Precision and recall look at source elements only.
+    Each side has entities (source_entity, canonical, category, seq), mappings (attribute, canonical, mapping_type, accepted
+    array, seq; of several for a name the last counts) and terms (name, description, synonyms, sources arrays). Precision and recall look at source elements only.
     ``strict`` compares bare attribute names in the under-merge rate; by default qualified gold names find no partner there.
     """
     low = lambda c: F.lower(F.trim(c))
 
     def sides(x: dict[str, DataFrame]) -> tuple[DataFrame, DataFrame, DataFrame]:
-        e = x["entities"].select(low("source_entity").alias("src"), joined_key("canonical").alias("label"), F.col("category"))
-        m = x["mappings"].select(low("attribute").alias("attr"), last_part(low("attribute")).alias("bare"), joined_key("canonical").alias("label"), low("canonical").alias("term"), "mapping_type", F.coalesce("accepted", F.array().cast("array<string>")).alias("accepted"))
+        e = x["entities"].select(low("source_entity").alias("src"), joined_key("canonical").alias("label"), F.col("category"), "seq")
+        m = x["mappings"].select(low("attribute").alias("attr"), last_part(low("attribute")).alias("bare"), joined_key("canonical").alias("label"), low("canonical").alias("term"), "mapping_type", F.coalesce("accepted", F.array().cast("array<string>")).alias("accepted"), "seq")
         t = x["terms"].select(joined_key("name").alias("name"), low(F.coalesce("description", F.lit(""))).alias("description"), F.array_distinct(F.transform(F.coalesce("synonyms", F.array().cast("array<string>")), joined_key)).alias("synonyms"), F.transform(F.coalesce("sources", F.array().cast("array<string>")), lambda s: last_part(low(s))).alias("sources"))
         return e, m, t
 
@@ -106,7 +106,7 @@ def mapping_scores(proposed: dict[str, DataFrame], gold: dict[str, DataFrame], s
     elements = lambda e, m: e.select(F.concat(F.lit("e:"), "src").alias("k"), F.col("src").alias("name")).union(m.select(F.concat(F.lit("a:"), "bare"), "bare"))
     row = set_scores(elements(pe, pm), elements(ge, gm), "k").drop("false_positives", "false_negatives", "true_positives")
     missing = lambda a, b, n: a.join(b, "k", "left_anti").agg(F.count_distinct("name").alias(n))
-    last = lambda m, key: m.groupBy(key).agg(F.max("label").alias("p_label"))
+    last = lambda m, key: m.groupBy(key).agg(F.max_by("label", "seq").alias("p_label"))
     one = lambda df, n, test: df.agg(F.coalesce(F.sum(F.when(test, 1).otherwise(0)), F.lit(0)).alias(n), F.count(F.lit(1)).alias(f"{n}_of"))
     entity_ops = one(ge.join(last(pe, "src"), "src", "left"), "entity_ops", ~F.col("p_label").eqNullSafe(F.col("label")))
     attr_ops = one(gm.join(last(pm, "bare"), "bare", "left"), "attr_ops", ~F.col("p_label").eqNullSafe(F.col("label")))
@@ -115,8 +115,8 @@ def mapping_scores(proposed: dict[str, DataFrame], gold: dict[str, DataFrame], s
     ops = F.when(F.col("gd").isNull() | F.col("pd").isNull(), 1).otherwise(F.when(F.col("gd") != F.col("pd"), 1).otherwise(0) + sym)
     term_ops = terms.agg(F.coalesce(F.sum(ops), F.lit(0)).alias("term_ops"))
     over = collapses(pm.select(F.col("term").alias("p_term"), "attr").join(gm.select("attr", "term"), "attr"), "p_term", "term").withColumnRenamed("collapsed", "over")
-    partner = gm.select(F.col("term").alias("g_term"), (F.col("bare") if strict else F.col("attr")).alias("bare")).join(pm.select("bare", "label"), "bare")
-    under = collapses(partner, "g_term", "label").withColumnRenamed("collapsed", "under")
+    partner = gm.select(F.col("term").alias("g_term"), (F.col("bare") if strict else F.col("attr")).alias("bare")).join(last(pm, "bare"), "bare")
+    under = collapses(partner, "g_term", "p_label").withColumnRenamed("collapsed", "under")
     grounded = gm.select(F.col("bare").alias("s")).union(ge.select("src")).distinct()
     alive = pt.select("name", F.explode("sources").alias("s")).join(grounded, "s", "left_semi").select("name").distinct()
     ghosts = one(pt.filter(F.size("sources") > 0).join(alive, "name", "left_anti"), "ghosts", F.lit(True)).drop("ghosts_of")
@@ -126,9 +126,9 @@ def mapping_scores(proposed: dict[str, DataFrame], gold: dict[str, DataFrame], s
     accepted = F.array_union(F.array("label"), F.transform("accepted", joined_key))
     agreed = F.exists(accepted, lambda g: F.exists("labels", lambda p: relation_agrees(g, p)))
     re_attrs = one(gm.filter(joined_key("bare") != F.col("label")).join(own, "attr", "left"), "ref_a", F.coalesce(agreed, F.lit(False)))
-    kinds = pm.groupBy("attr").agg(F.max(F.coalesce("mapping_type", F.lit("property"))).alias("p_type"))
+    kinds = pm.groupBy("attr").agg(F.max_by(F.coalesce("mapping_type", F.lit("property")), "seq").alias("p_type"))
     types = one(gm.filter(F.col("mapping_type").isNotNull()).join(kinds, "attr", "left"), "types", F.coalesce("p_type", F.lit("property")) == F.col("mapping_type"))
-    cats = pe.groupBy("src").agg(F.max(F.coalesce("category", F.lit("kind"))).alias("p_cat"))
+    cats = pe.groupBy("src").agg(F.max_by(F.coalesce("category", F.lit("kind")), "seq").alias("p_cat"))
     categories = one(ge.filter(F.col("category").isNotNull()).join(cats, "src", "left"), "cats", F.coalesce("p_cat", F.lit("kind")) == F.col("category"))
     count = lambda df, n: df.agg(F.count(F.lit(1)).alias(n))
     for other in (missing(elements(pe, pm), elements(ge, gm), "false_positives"), missing(elements(ge, gm), elements(pe, pm), "false_negatives"), entity_ops, attr_ops, term_ops, over, under, ghosts, prov(pt, "p_prov"), prov(gt, "g_prov"), re_entities, re_attrs, types, categories, count(pm, "n_mappings")):

@@ -63,7 +63,7 @@ def stale_sources(terms: DataFrame, attributes: DataFrame) -> DataFrame:
 
 def names_of(terms: DataFrame) -> DataFrame:
     """(key, name): every name and synonym; a name beats a synonym, then the first term wins."""
-    every = terms.select(F.lower("name").alias("key"), F.lit(0).alias("by"), "pos", "name").union(terms.select(F.lower(F.explode("synonyms")).alias("key"), F.lit(1), "pos", "name"))
+    every = terms.select(F.lower("name").alias("key"), F.lit(0).alias("by"), "pos", "name").union(terms.select(F.explode(F.transform("synonyms", F.lower)).alias("key"), F.lit(1), "pos", "name"))
     return _first(every, ["key"], ["by", "pos"]).select("key", "name")
 
 

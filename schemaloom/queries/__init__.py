@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from schemaloom.queries import data
+from schemaloom.queries import data, models, names
 
-QUERIES = data.QUERIES
-ORACLE = data.ORACLE
+QUERIES = data.QUERIES | names.QUERIES | models.QUERIES
+ORACLE = data.ORACLE | names.ORACLE | models.ORACLE
