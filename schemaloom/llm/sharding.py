@@ -9,11 +9,13 @@ files are never changed; a file that no manifest names is not part of the store.
 
 from __future__ import annotations
 
+import json
 import uuid
 
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
 from schemaloom.llm._common import attach, shared_dir, table, written
@@ -46,16 +48,22 @@ class ShardStore:
         version = self.version() if version is None else version
         if not version:
             raise ValueError("the store has no version yet")
-        name = self.spark.read.text(f"{self.path}/versions/{version:012d}").first()[0]
-        return self.spark.read.parquet(f"{self.path}/manifests/{name}")
+        return self.spark.read.parquet(f"{self.path}/manifests/{self._pointer(version)[0]}")
 
-    def _commit(self, version: int, manifest: DataFrame) -> int:
+    def schema(self, version: int | None = None) -> StructType:
+        """The columns of a version's rows."""
+        return StructType.fromJson(json.loads(self._pointer(self.version() if version is None else version)[1]))
+
+    def _pointer(self, version: int) -> list[str]:
+        return self.spark.read.text(f"{self.path}/versions/{version:012d}", wholetext=True).first()[0].split("\n", 1)
+
+    def _commit(self, version: int, manifest: DataFrame, schema: StructType) -> int:
         name = uuid.uuid4().hex
         manifest.write.parquet(f"{self.path}/manifests/{name}")
         path = self._hadoop.fs.Path
         draft, final = path(f"{self.path}/drafts/{name}"), path(f"{self.path}/versions/{version:012d}")
         out = self._fs.create(draft, False)
-        out.write(bytearray(name.encode()))
+        out.write(bytearray(f"{name}\n{schema.json()}".encode()))
         out.close()
         self._fs.mkdirs(final.getParent())
         context = self._hadoop.fs.FileContext.getFileContext(self._fs.getUri(), self.spark._jsc.hadoopConfiguration())
@@ -78,10 +86,15 @@ class ShardStore:
         return rows.select("shard", F.lit(folder).alias("folder"), "rows", "bytes", F.lit(level).alias("level"), F.lit(version).cast("long").alias("since"))
 
     def append(self, arrivals: DataFrame) -> int:
-        """Write arrivals as new shards, one or more for each of their partitions, and commit; the new version."""
+        """Write arrivals as new shards, one or more for each of their partitions, and commit; the new version.
+
+        Arrivals must have the columns that the store has.
+        """
         version = self.version() + 1
+        if version > 1 and [(f.name, f.dataType) for f in self.schema()] != [(f.name, f.dataType) for f in arrivals.schema]:
+            raise ValueError("arrivals have other columns than the store")
         new = self._written(arrivals, 0, version)
-        return self._commit(version, new if version == 1 else self.manifest(version - 1).unionByName(new))
+        return self._commit(version, new if version == 1 else self.manifest(version - 1).unionByName(new), arrivals.schema)
 
     def plan(self, manifest: DataFrame) -> DataFrame:
         """(shard, folder, run): which shards to rewrite together. Full shards rest; a run has ``least`` shards or more, or fills a target file."""
@@ -96,16 +109,16 @@ class ShardStore:
         worth = runs.groupBy("run").agg(F.count(F.lit(1)).alias("shards"), F.sum("bytes").alias("size")).filter((F.col("shards") >= self.least) | (F.col("shards") >= 2) & (F.col("size") >= self.target)).select("run")
         return runs.join(worth, "run", "left_semi").select("shard", "folder", "run")
 
-    def _rows(self, shards: DataFrame) -> DataFrame:
+    def _rows(self, shards: DataFrame, schema: StructType) -> DataFrame:
         """The rows of the shards (shard, folder, any columns); columns of the data in the struct ``row``."""
         folders = [r[0] for r in shards.select("folder").distinct().collect()]  # one for each append or compaction that still has shards
-        data = self.spark.read.option("recursiveFileLookup", "true").parquet(*folders)
+        data = self.spark.read.schema(schema).parquet(*(folders or [f"{self.path}/data/*"]))
         rows = data.select(F.struct(*[F.col(f"`{c}`") for c in data.columns]).alias("row"), F.col("_metadata.file_path").alias("shard"))
         return attach(rows, shards.drop("folder"), ["shard"], "inner", "rows")
 
     def read(self, version: int | None = None) -> DataFrame:
         """row (struct of the data's columns), shard, bytes, level, since, rows of every row of a version."""
-        return self._rows(self.manifest(version))
+        return self._rows(self.manifest(version), self.schema(version))
 
     def compact(self) -> int:
         """Rewrite runs, tier after tier, until no run is worth it; the newest version. Each round is committed."""
@@ -116,10 +129,11 @@ class ShardStore:
             runs, level = plan.agg(F.count_distinct("run"), F.max("level")).first()
             if not runs:
                 return version
-            rows = self._rows(plan).repartition(runs, "run").select("row.*")
+            schema = self.schema(version)
+            rows = self._rows(plan, schema).repartition(runs, "run").select("row.*")
             new = self._written(rows, level + 1, version + 1)
             kept = manifest.join(plan, "shard", "left_anti")
-            self._commit(version + 1, kept.unionByName(new))
+            self._commit(version + 1, kept.unionByName(new), schema)
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
