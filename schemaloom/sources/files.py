@@ -49,7 +49,7 @@ def csv(spark: SparkSession, path: str, nulls: bool = True, names: Sequence[str]
 
 def whole_text(spark: SparkSession, path: str) -> DataFrame:
     """(value): a file as one text, for prompts."""
-    return spark.read.option("wholetext", True).text(path)
+    return spark.read.text(path, wholetext=True)
 
 
 def tables(frames: Sequence[DataFrame], names: Sequence[str] | None = None) -> list[tuple[str, DataFrame]]:
