@@ -36,6 +36,7 @@ def strengths(df: DataFrame, lefts: Sequence[Sequence[str]], rights: Sequence[st
     Rows with a null in the left side are left out; strength: share of its groups with one value of rhs, null counting
     as a value; support: the share of rows that remain. All left sides of a batch are grouped in one pass.
     """
+    schema = "lhs array<string>, rhs string, strength double, support_ratio double, row_count long, n_groups long, full_rows long"
     out, df = None, scalar(df)
     for at in range(0, len(lefts), BATCH):
         part = [tuple(x) for x in lefts[at : at + BATCH]]
@@ -53,7 +54,7 @@ def strengths(df: DataFrame, lefts: Sequence[Sequence[str]], rights: Sequence[st
         strength = F.when(F.col("n_groups") == 0, F.lit(0.0)).otherwise(F.col("x.ok") / F.col("n_groups"))
         rows = rows.select("lhs", F.col("x.rhs").alias("rhs"), strength.alias("strength"), F.when(F.col("row_count") == 0, F.lit(0.0)).otherwise(F.col("full_rows") / F.col("row_count")).alias("support_ratio"), "row_count", "n_groups", "full_rows")
         out = rows if out is None else out.unionByName(rows)
-    return out
+    return df.sparkSession.createDataFrame([], schema) if out is None else out
 
 
 def holding(found: DataFrame) -> DataFrame:
