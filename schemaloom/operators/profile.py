@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
@@ -12,21 +12,29 @@ from schemaloom.operators.common import value_index
 
 #: Shares of values that must hold a digit, a separator, and parse as a time.
 DIGITS, SEPARATORS, TIMES = 0.5, 0.5, 0.95
+#: Texts of a boolean column.
+TRUE_FALSE = ("true", "false", "0", "1", "yes", "no")
+
+
+_KNOWN = F.col("value").isNotNull()
+_COUNTS = (F.sum("cnt").alias("n"), F.sum(F.when(_KNOWN, 0).otherwise(F.col("cnt"))).alias("nulls"), F.count("value").alias("distinct_cnt"))
+
+
+def _ratios(found: DataFrame, *more: str) -> DataFrame:
+    unique = (F.col("distinct_cnt") == F.col("n")) & (F.col("n") > 0)
+    return found.select("col", "pos", *more, "n", "nulls", (F.col("nulls") / F.col("n")).alias("null_ratio"), "distinct_cnt", unique.alias("is_unique"))
 
 
 def counts(index: DataFrame) -> DataFrame:
     """(col, pos, n, nulls, null_ratio, distinct_cnt, is_unique) of a value index; is_unique: all rows have different values and none is null."""
-    known = F.col("value").isNotNull()
-    out = index.groupBy("col", "pos").agg(F.sum("cnt").alias("n"), F.sum(F.when(known, 0).otherwise(F.col("cnt"))).alias("nulls"), F.count("value").alias("distinct_cnt"))
-    return out.select("col", "pos", "n", "nulls", (F.col("nulls") / F.col("n")).alias("null_ratio"), "distinct_cnt", ((F.col("distinct_cnt") == F.col("n")) & (F.col("n") > 0)).alias("is_unique"))
+    return _ratios(index.groupBy("col", "pos").agg(*_COUNTS))
 
 
 def profile(df: DataFrame) -> DataFrame:
-    """counts() with the inferred type of each column. A table without rows has a row for each column all the same."""
-    index = value_index(df)
+    """counts() with the inferred type of each column, in one aggregation. A table without rows has a row for each column all the same."""
     schema = df.sparkSession.createDataFrame([(f.name, i) for i, f in enumerate(df.schema)], "col string, pos int")
-    found = counts(index).join(types(df, index), ["col", "pos"])
-    out = schema.join(found, ["col", "pos"], "left")
+    judged = value_index(df).groupBy("col", "pos").agg(*_COUNTS, _inferred(df).alias("type"))
+    out = schema.join(_ratios(judged, "type"), ["col", "pos"], "left")
     zero = F.lit(0).cast("long")
     return out.select("col", "pos", F.coalesce("type", F.lit("string")).alias("type"), F.coalesce("n", zero).alias("n"), F.coalesce("nulls", zero).alias("nulls"), F.coalesce("null_ratio", F.lit(0.0)).alias("null_ratio"), F.coalesce("distinct_cnt", zero).alias("distinct_cnt"), F.coalesce("is_unique", F.lit(False)).alias("is_unique"))
 
@@ -44,6 +52,23 @@ def declared_type(kind: T.DataType) -> str | None:
     return None
 
 
+def _inferred(df: DataFrame) -> Column:
+    """The type of a group of the value index: the declared one, or for text what the values say; texts alone are parsed."""
+    known = {f.name: declared_type(f.dataType) for f in df.schema}
+    fixed = F.create_map(*[F.lit(x) for k, v in known.items() if v for x in (k, v)]) if any(known.values()) else F.create_map().cast("map<string,string>")
+    text = F.col("col").isin(*[k for k, v in known.items() if not v]) & F.col("value").isNotNull()
+    v, low = F.trim("value"), F.lower(F.trim("value"))
+    every = lambda test: F.bool_and(F.when(text, test))
+    part = lambda test: F.sum(F.when(text & test, F.col("cnt")).otherwise(0)) / F.sum(F.when(text, F.col("cnt")))
+    numbers, whole = every(is_number(v)), every(F.coalesce(F.when(is_number(v), F.expr("try_cast(trim(value) as double)") % 1 == 0), F.lit(False)))
+    shaped = v.rlike(r"\d") & v.rlike("[-/:.]")  # others can't parse
+    times = (part(v.rlike(r"\d")) >= DIGITS) & (part(v.rlike("[-/:.]")) >= SEPARATORS) & (part(F.when(shaped, parses(v, TIMESTAMPS)).otherwise(False)) >= TIMES)
+    different = sum((F.max(F.when(text & (low == t), 1).otherwise(0)) for t in TRUE_FALSE), F.lit(0))
+    truths = every(low.isin(*TRUE_FALSE)) & (different <= 2)
+    judged = F.when(numbers & whole, "integer").when(numbers, "float").when(times, "datetime").when(truths, "boolean").otherwise("string")
+    return F.coalesce(F.try_element_at(fixed, F.col("col")), judged)
+
+
 def types(df: DataFrame, index: DataFrame | None = None) -> DataFrame:
     """(col, pos, type): boolean, integer, float, datetime or string.
 
@@ -51,19 +76,7 @@ def types(df: DataFrame, index: DataFrame | None = None) -> DataFrame:
     values look and parse like one; or at most two different truth values; else string, as with no value at all.
     """
     index = value_index(df) if index is None else index
-    known = {f.name: declared_type(f.dataType) for f in df.schema}
-    fixed = F.create_map(*[F.lit(x) for k, v in known.items() if v for x in (k, v)]) if any(known.values()) else F.create_map().cast("map<string,string>")
-    v, low = F.trim("value"), F.lower(F.trim("value"))
-    part = lambda test: F.sum(F.when(test, F.col("cnt")).otherwise(0)) / F.sum("cnt")
-    judged = index.filter(F.col("value").isNotNull()).groupBy("col", "pos").agg(
-        F.bool_and(is_number(v)).alias("numbers"),
-        F.bool_and(F.coalesce(F.expr("try_cast(trim(value) as double)") % 1 == 0, F.lit(False))).alias("whole"),
-        ((part(v.rlike(r"\d")) >= DIGITS) & (part(v.rlike("[-/:.]")) >= SEPARATORS) & (part(parses(v, TIMESTAMPS)) >= TIMES)).alias("times"),
-        (F.bool_and(low.isin("true", "false", "0", "1", "yes", "no")) & (F.count_distinct(low) <= 2)).alias("truths"),
-    )
-    by_value = F.when(F.col("numbers") & F.col("whole"), "integer").when(F.col("numbers"), "float").when(F.col("times"), "datetime").when(F.col("truths"), "boolean").otherwise("string")
-    every = index.select("col", "pos").distinct().join(judged, ["col", "pos"], "left")
-    return every.select("col", "pos", F.coalesce(F.try_element_at(fixed, F.col("col")), by_value, F.lit("string")).alias("type"))
+    return index.groupBy("col", "pos").agg(_inferred(df).alias("type"))
 
 
 def top_values(df: DataFrame, k: int = 3) -> DataFrame:
