@@ -16,8 +16,8 @@ DIGITS, SEPARATORS, TIMES = 0.5, 0.5, 0.95
 TRUE_FALSE = ("true", "false", "0", "1", "yes", "no")
 
 
-_KNOWN = F.col("value").isNotNull()
-_COUNTS = (F.sum("cnt").alias("n"), F.sum(F.when(_KNOWN, 0).otherwise(F.col("cnt"))).alias("nulls"), F.count("value").alias("distinct_cnt"))
+def _counted() -> list[Column]:
+    return [F.sum("cnt").alias("n"), F.sum(F.when(F.col("value").isNotNull(), 0).otherwise(F.col("cnt"))).alias("nulls"), F.count("value").alias("distinct_cnt")]
 
 
 def _ratios(found: DataFrame, *more: str) -> DataFrame:
@@ -27,13 +27,13 @@ def _ratios(found: DataFrame, *more: str) -> DataFrame:
 
 def counts(index: DataFrame) -> DataFrame:
     """(col, pos, n, nulls, null_ratio, distinct_cnt, is_unique) of a value index; is_unique: all rows have different values and none is null."""
-    return _ratios(index.groupBy("col", "pos").agg(*_COUNTS))
+    return _ratios(index.groupBy("col", "pos").agg(*_counted()))
 
 
 def profile(df: DataFrame) -> DataFrame:
     """counts() with the inferred type of each column, in one aggregation. A table without rows has a row for each column all the same."""
     schema = df.sparkSession.createDataFrame([(f.name, i) for i, f in enumerate(df.schema)], "col string, pos int")
-    judged = value_index(df).groupBy("col", "pos").agg(*_COUNTS, _inferred(df).alias("type"))
+    judged = value_index(df).groupBy("col", "pos").agg(*_counted(), _inferred(df).alias("type"))
     out = schema.join(_ratios(judged, "type"), ["col", "pos"], "left")
     zero = F.lit(0).cast("long")
     return out.select("col", "pos", F.coalesce("type", F.lit("string")).alias("type"), F.coalesce("n", zero).alias("n"), F.coalesce("nulls", zero).alias("nulls"), F.coalesce("null_ratio", F.lit(0.0)).alias("null_ratio"), F.coalesce("distinct_cnt", zero).alias("distinct_cnt"), F.coalesce("is_unique", F.lit(False)).alias("is_unique"))

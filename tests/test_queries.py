@@ -1,6 +1,8 @@
 """Every query of the library against its SQL, and the entry module's contract."""
 
 import os
+import subprocess
+import sys
 
 import pytest
 
@@ -32,6 +34,12 @@ def test_contract():
     assert ("pipeline" in queries) == os.path.exists(os.path.join(here, "corpus_pipeline.py"))
 
 
+def test_imports_without_a_session():
+    here = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"
+    assert subprocess.run([sys.executable, "-c", code], cwd=here, capture_output=True, check=True)
+
+
 def test_nothing_else_needs_the_corpus_package():
     here = os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(__file__))), "schemaloom")
     for folder, _, files in os.walk(here):
