@@ -97,7 +97,7 @@ class ShardStore:
         return self._commit(version, new if version == 1 else self.manifest(version - 1).unionByName(new), arrivals.schema)
 
     def plan(self, manifest: DataFrame) -> DataFrame:
-        """(shard, folder, run): which shards to rewrite together. Full shards rest; a run has ``least`` shards or more, or fills a target file."""
+        """(shard, folder, run): which shards to rewrite together; runs are numbered from 0. Full shards rest; a run has ``least`` shards or more, or fills a target file."""
         small = manifest.filter(F.col("bytes") < self.target // 2)
         bins = max(1, small.count() // BIN)
         tier = F.floor(F.log(float(self.factor), F.greatest("bytes", F.lit(1)).cast("double"))).cast("int")
@@ -106,8 +106,9 @@ class ShardStore:
         runs = dealt.withColumn("part", F.floor(F.coalesce(F.sum("bytes").over(order), F.lit(0)) / self.target))
         run = F.concat_ws("/", "tier", "bin", "part").alias("run")
         runs = runs.select("shard", "folder", "bytes", run)
-        worth = runs.groupBy("run").agg(F.count(F.lit(1)).alias("shards"), F.sum("bytes").alias("size")).filter((F.col("shards") >= self.least) | (F.col("shards") >= 2) & (F.col("size") >= self.target)).select("run")
-        return runs.join(worth, "run", "left_semi").select("shard", "folder", "run")
+        worth = runs.groupBy("run").agg(F.count(F.lit(1)).alias("shards"), F.sum("bytes").alias("size")).filter((F.col("shards") >= self.least) | (F.col("shards") >= 2) & (F.col("size") >= self.target))
+        numbered = worth.select("run", (F.row_number().over(Window.orderBy("run")) - 1).alias("number"))  # a row for each file to be written
+        return runs.join(numbered, "run").select("shard", "folder", F.col("number").alias("run"))
 
     def _rows(self, shards: DataFrame, schema: StructType) -> DataFrame:
         """The rows of the shards (shard, folder, any columns); columns of the data in the struct ``row``."""
@@ -130,7 +131,7 @@ class ShardStore:
             if not runs:
                 return version
             schema = self.schema(version)
-            rows = self._rows(plan, schema).repartition(runs, "run").select("row.*")
+            rows = self._rows(plan, schema).repartitionById(runs, F.col("run")).select("row.*")
             new = self._written(rows, level + 1, version + 1)
             kept = manifest.join(plan, "shard", "left_anti")
             self._commit(version + 1, kept.unionByName(new), schema)
