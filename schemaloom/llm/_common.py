@@ -7,8 +7,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,6 +19,8 @@ BROADCAST_ROWS = 200_000
 HOT_KEYS = 4096
 #: Files that a core writes of a narrow table.
 NARROW_FILES = 4
+#: Rows of an Arrow batch that are worked on at a time.
+SLICE = 256
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
@@ -78,13 +81,25 @@ def attach(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "lef
     return both.select(*left.columns, *[F.col("_got")[c].alias(c) for c in others])
 
 
+def id_text(column: str = "doc_id") -> Column:
+    """An id as a text that is never null, to join by."""
+    return F.coalesce(F.col(column).cast("string"), F.lit("null"))
+
+
 def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
     """docs without the rows whose doc_id and text are those of a row of ``dropped`` (doc_id, text_sha256)."""
-    keyed = docs.withColumn("_id", F.coalesce(F.col("doc_id"), F.lit(-1))).withColumn("_sha", F.sha2(whole_text(), 256))
-    drop = written(dropped.select(F.coalesce(F.col("doc_id"), F.lit(-1)).alias("_id"), F.col("text_sha256").alias("_sha")).distinct(), "dropped", narrow=True)
+    keyed = docs.withColumn("_id", id_text()).withColumn("_sha", F.sha2(whole_text(), 256))
+    drop = written(dropped.select(id_text().alias("_id"), F.col("text_sha256").alias("_sha")).distinct(), "dropped", narrow=True)
     return attach(keyed, drop, ["_id", "_sha"], "left_anti").select(*docs.columns)
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of some rows, so that few whole texts are Python objects at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 

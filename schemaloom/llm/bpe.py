@@ -19,14 +19,12 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from schemaloom.llm._common import table, whole_text
+from schemaloom.llm._common import slices, table, whole_text
 
 #: The split pattern of byte-level tokenizers.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 #: Words that a worker remembers in each of two generations (when the newer is full it becomes the older, and words met again move on), and pairs of tokens, which start anew.
-WORDS, PAIRS, LONGEST_WORD = 250_000, 600_000, 48
-#: Rows of a batch that is sent back.
-BATCH = 256
+WORDS, PAIRS, LONGEST_WORD = 150_000, 300_000, 48
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -172,16 +170,13 @@ def bpe_roundtrip(docs: DataFrame, tokenizer: str | None = None, id_col: str = "
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path, spec.value)
-        for batch in batches:
-            for at in range(0, batch.num_rows, BATCH):
-                part = batch.slice(at, BATCH)
-                ids = [bpe.encode(t) for t in part.column(1).to_pylist()]
-                ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
-                flat = np.concatenate(ids)
-                columns = [part.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))]
-                if decode:
-                    columns.append(pa.array([bpe.decode(x.tolist()) for x in ids], pa.string()))
-                yield pa.RecordBatch.from_arrays(columns, ["id", "ids", "decoded"][: len(columns)])
+        for part in slices(batches):
+            ids = [bpe.encode(t) for t in part.column(1).to_pylist()]
+            ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
+            columns = [part.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids)))]
+            if decode:
+                columns.append(pa.array([bpe.decode(x.tolist()) for x in ids], pa.string()))
+            yield pa.RecordBatch.from_arrays(columns, ["id", "ids", "decoded"][: len(columns)])
 
     kind = docs.schema[id_col].dataType.simpleString()
     out = docs.select(F.col(id_col).alias("id"), whole_text(text_col).alias("text")).mapInArrow(run, f"id {kind}, ids array<int>" + ", decoded string" * decode)

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from schemaloom.llm._common import attach, table, whole_text, without, written
+from schemaloom.llm._common import attach, id_text, table, whole_text, without, written
 
 #: Fingerprints that a block of the merged filter holds on average.
 BLOCK_FINGERPRINTS = 1 << 19
@@ -162,8 +162,8 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     again = written(again.drop("n"), "repeated", narrow=True)
     if again.isEmpty():
         return out
-    keyed = out.withColumn("_id", F.coalesce("doc_id", F.lit(-1))).withColumn("_sha", F.sha2(whole_text(), 256))
-    keys = written(again.select(F.coalesce("doc_id", F.lit(-1)).alias("_id"), F.col("text_sha256").alias("_sha")), "keys", narrow=True)
+    keyed = out.withColumn("_id", id_text()).withColumn("_sha", F.sha2(whole_text(), 256))
+    keys = written(again.select(id_text().alias("_id"), F.col("text_sha256").alias("_sha")), "keys", narrow=True)
     repeated = attach(keyed, keys, ["_id", "_sha"], "left_semi")
     return without(out, again).unionByName(repeated.dropDuplicates(["_id", "_sha"]).select(*docs.columns))
 

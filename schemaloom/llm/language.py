@@ -2,7 +2,7 @@
 
 A text becomes a unit vector of hashed character n-grams, weighted by TF-IDF. Every language has several centroids, found
 by spherical k-means on a bounded sample of its labelled texts; a text gets the language of the centroid with the greatest
-cosine. It is rejected if it is farther from that centroid than any text of the sample was, with some slack.
+cosine. It is rejected if it is much farther from that centroid than any text of the language's sample was from its own.
 """
 
 from __future__ import annotations
@@ -15,16 +15,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
-from schemaloom.llm._common import table, whole_text, written
+from schemaloom.llm._common import slices, table, whole_text
 
 #: Buckets of hashed n-grams, and their lengths in characters.
 BUCKETS, GRAMS = 1 << 13, (1, 2, 3)
 #: Texts of each language that the centroids are fitted on (expected; drawn by hash), centroids of a language, rounds of k-means.
 SAMPLE, CENTROIDS, ROUNDS = 1500, 4, 8
-#: A text is rejected below this share of the least cosine that the sample showed for its nearest centroid.
+#: A text is rejected below this share of the least cosine that the sample of its nearest language showed.
 SLACK = 0.25
-#: Rows that are compared with the centroids at a time.
-BATCH = 256
+#: An n-gram counts as no rarer than in this share of the texts, or chance n-grams would outweigh all others in short texts.
+RAREST = 0.05
 UNKNOWN = "und"
 
 _lower: np.ndarray | None = None
@@ -125,7 +125,7 @@ def fit(labelled: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS) -
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found, docs = np.zeros(BUCKETS, np.int64), 0
-        for batch in batches:
+        for batch in slices(batches):
             for text in batch.column(0).to_pylist():
                 counts = ngram_counts(text) if text else None
                 if counts is not None:
@@ -136,7 +136,7 @@ def fit(labelled: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS) -
 
     counted = dict(map(tuple, rows.select("text").mapInArrow(frequencies, "bucket int, n long").groupBy("bucket").agg(F.sum("n")).collect()))
     docs = counted.get(-1, 0)
-    idf = np.array([np.log((1 + docs) / (1 + counted.get(i, 0))) + 0.1 for i in range(BUCKETS)], np.float32)
+    idf = np.array([np.log((1 + docs) / (1 + max(counted.get(i, 0), RAREST * docs))) + 0.1 for i in range(BUCKETS)], np.float32)
     sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
     share = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 40)) / float(1 << 40)
     drawn = rows.join(F.broadcast(sizes), "lang").filter(share < F.lit(float(sample)) / F.col("n")).select("lang", "text")
@@ -148,6 +148,7 @@ def fit(labelled: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS) -
             return pa.table({"lang": pa.array([], pa.string()), "least": pa.array([], pa.float32()), "centroid": pa.array([], pa.list_(pa.float32()))})
         order = np.lexsort((points[:, 1], points[:, 0]))
         found, least = kmeans(points[order], centroids, ROUNDS)
+        least[:] = least.min()  # of the language: a cluster of few texts says little about how far its language reaches
         return pa.table({"lang": pa.array([group.column("lang")[0].as_py()] * len(found)), "least": pa.array(least, pa.float32()), "centroid": pa.array(list(found), pa.list_(pa.float32()))})
 
     found = drawn.groupBy("lang").applyInArrow(clusters, "lang string, least float, centroid array<float>").collect()
@@ -168,11 +169,9 @@ def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> D
     schema = StructType([*docs.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType()), StructField("rejected", BooleanType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for begin in range(0, whole.num_rows, BATCH):
-                batch = whole.slice(begin, BATCH)
-                lang, score, rejected = held.value.predict(batch.column(at).to_pylist())
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())], [f.name for f in schema])
+        for batch in slices(batches):
+            lang, score, rejected = held.value.predict(batch.column(at).to_pylist())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())], [f.name for f in schema])
 
     return docs.mapInArrow(run, schema)
 
@@ -188,8 +187,8 @@ def fit_on(docs: DataFrame) -> LanguageModel:
 
 
 def with_known_language(docs: DataFrame) -> DataFrame:
-    """docs without the rows that the model of their own labels rejects."""
-    return identify(docs, fit_on(docs)).filter(~F.col("rejected")).select(*docs.columns)
+    """docs without the rows that the model of all their labels rejects."""
+    return identify(docs, fit(docs.select("doc_id", "text", "lang"))).filter(~F.col("rejected")).select(*docs.columns)
 
 
 def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from schemaloom.llm._common import attach, table, whole_text, without, written
+from schemaloom.llm._common import attach, slices, table, whole_text, without, written
 from schemaloom.llm.components import components
 
 BITS, SEED = 64, 42
@@ -51,7 +51,7 @@ def simhash(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         prints = np.array([simhash(t.as_buffer().to_pybytes()) for t in batch.column(1).cast(pa.large_binary())], np.uint64)
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints.view(np.int64)), batch.column(2)], ["doc_id", "fp", "text_sha256"])
 

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from schemaloom.llm._common import table, whole_text, written
+from schemaloom.llm._common import slices, table, whole_text, written
 from schemaloom.llm.bpe import load, tokenizer_path
 
 #: Lengths that share a block when sums are carried on; the blocks themselves are as many as the longest document / BLOCK.
@@ -28,7 +28,7 @@ def token_lengths(docs: DataFrame, tokenizer: str | None = None, id_col: str = "
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path, spec.value)
-        for batch in batches:
+        for batch in slices(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(bpe.encode(t)) for t in batch.column(1).to_pylist()], pa.int64())], ["id", "n_tokens"])
 
     kind = docs.schema[id_col].dataType.simpleString()

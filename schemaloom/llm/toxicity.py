@@ -7,7 +7,6 @@ In training these are out-of-fold predictions, so a later model meets them as th
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,7 +15,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from schemaloom.llm._common import table, whole_text
+from schemaloom.llm._common import slices, table, whole_text
 
 #: The chain's categories, each from the columns toxic and quality of the labels.
 CATEGORIES = {"toxic": "toxic = 1", "low_quality": "quality = 0", "toxic_low_quality": "toxic = 1 and quality = 0"}
@@ -121,7 +120,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Chain:
 
     def occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[str, np.ndarray] = {}
-        for batch in batches:
+        for batch in slices(batches):
             marks = np.array([batch.column(1 + j).to_pylist() for j in range(len(names))], np.int64).T
             for text, mark in zip(batch.column(0).to_pylist(), marks, strict=True):
                 one = np.concatenate(([1], mark))
@@ -150,7 +149,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Chain:
     held = docs.sparkSession.sparkContext.broadcast(chain)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             x = held.value.features(batch.column(0).to_pylist())
             yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in x.astype(np.float16)], pa.binary()), *batch.columns[1:]], ["x", *names, "fold"])
 
@@ -168,11 +167,9 @@ def classify(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: st
     names = [f"p_{c}" for c in chain.categories]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                p = held.value.predict(part.column(1).to_pylist())
-                yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array(p[:, j]) for j in range(p.shape[1])]], ["id", *names])
+        for part in slices(batches):
+            p = held.value.predict(part.column(1).to_pylist())
+            yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array(p[:, j]) for j in range(p.shape[1])]], ["id", *names])
 
     kind = docs.schema[id_col].dataType.simpleString()
     out = docs.select(F.col(id_col).alias("id"), whole_text(text_col).alias("text")).mapInArrow(run, f"id {kind}, " + ", ".join(f"{n} double" for n in names))

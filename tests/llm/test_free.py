@@ -351,6 +351,33 @@ def test_pipeline_stages(spark):
     assert {r["doc_id"] for r in out} == rows and os.path.exists(B.tokenizer_path())
 
 
+def test_pipeline_edges(spark, tmp_path):
+    import corpus_pipeline as P
+
+    text = "The and of the thing in the house was not for them, and that is all there is to say of it today"
+    rows = [(1, None), (2, ""), (3, text), (3, text), (4, text + " again"), (None, "der die das und ist nicht ein haus"), (-1, "der die das und ist nicht ein haus"), (5, "123 456"), (6, "prefix words here " + ITEM), (7, "la casa de los " * 20000), (None, "solo aqui en la casa de los libros"), (None, "solo aqui en la casa de los libros")]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, sha string, fp long, keep_id int, n int"
+    source = spark.createDataFrame([(i, t, "en" if t and t[0] in "Tp" else "de" if t and t[0] == "d" else None if t is None else "es", None, None, "s", 1, 2, 3) for i, t in rows], schema)
+    source.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, ITEM), (2, None)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs_, left = spark.read.parquet(str(tmp_path / "documents.parquet")), []
+    for name, stage in P.STAGES[:-1]:
+        docs_ = stage(spark, docs_, str(tmp_path))
+        assert docs_.columns == source.columns
+        left.append(sorted((str(r.doc_id), (r.text or "")[:8]) for r in docs_.collect()))
+    assert left[0] == sorted((str(i), (t or "")[:8]) for i, t in rows if i not in (1, 2, 5))
+    assert left[1] == sorted({(str(i), (t or "")[:8]) for i, t in rows if i not in (1, 2, 5) and not (i is None and t[0] == "d")})
+    assert ("6", "prefix w") not in left[3] and len(left[3]) == len(left[2]) - 1
+    assert P.run(spark, str(tmp_path)).count() == len(left[3])
+    empty = tmp_path / "empty"
+    source.limit(0).write.parquet(str(empty / "documents.parquet"))
+    spark.createDataFrame([], "item_id long, text string").write.parquet(str(empty / "benchmark.parquet"))
+    assert P.run(spark, str(empty)).count() == 0
+
+
+ITEM = "one two three four five six seven eight nine ten eleven twelve"
+
+
 def test_contract_queries_against_sql(spark):
     from schemaloom.llm import registered
     from tests.helpers import same
