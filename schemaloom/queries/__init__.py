@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from schemaloom.queries import data, models, names
+from schemaloom.queries import data, models, names, vocabularies
 
-QUERIES = data.QUERIES | names.QUERIES | models.QUERIES
-ORACLE = data.ORACLE | names.ORACLE | models.ORACLE
+QUERIES = data.QUERIES | names.QUERIES | models.QUERIES | vocabularies.QUERIES
+ORACLE = data.ORACLE | names.ORACLE | models.ORACLE | vocabularies.ORACLE
