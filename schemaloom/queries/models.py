@@ -295,7 +295,7 @@ ORACLE = {
     "short_terms": _rows("pos, name, short", (0, "Airport Gate Code", "Code"), (1, "Airport Gate Code", "Airport Gate Code"), (2, "Seat Row", "Seat Row"), (3, "Flight Crew Name", "Name"), (4, "Flight Crew", "Flight Crew")),
     "plain_vocabulary": f"WITH {_VOC} SELECT regexp_replace(lower(regexp_replace(attr, '([a-z0-9])([A-Z])', '\\1_\\2', 'g')), '[^a-z0-9]+', '_', 'g') AS name, entity || '.' || attr AS sources, 0.5::DOUBLE AS confidence FROM attrs",
     "relationship_checks": _rows("rpos, expected_fk_entity, expected_pk_entity, issues, valid", (0, "Order", "Customer", "", True), (1, "Order", "Customer", "", True), (2, "Order", "Shop", "to_entity_missing,fk_attribute_missing,pk_on_wrong_entity", False), (3, "Order", "Customer", "fk_on_wrong_entity", False), (4, None, None, "many_to_many_requires_bridge", False), (5, None, None, "invalid_from_cardinality,fk_attribute_missing,pk_attribute_missing", False), (6, None, None, "", True)),
-    "issue_counts": _rows("code, n", ("to_entity_missing", 1), ("fk_attribute_missing", 2), ("pk_on_wrong_entity", 1), ("fk_on_wrong_entity", 1), ("many_to_many_requires_bridge", 1), ("invalid_from_cardinality", 1), ("pk_attribute_missing", 1)),
+    "issue_counts": _rows("code, n", ("to_entity_missing", 1), ("fk_attribute_missing", 2), ("pk_on_wrong_entity", 1), ("fk_on_wrong_entity", 1), ("many_to_many_requires_bridge", 1), ("invalid_from_cardinality", 1), ("pk_attribute_missing", 1)).replace("SELECT *", "SELECT code, CAST(n AS BIGINT) AS n"),
     "rule_ontology": _rows(
         "kind, name, source, detail", ("concept", "Airport", "Airport", "kind"), ("concept", "Flight", "Flight", "kind"), ("concept", "Passenger", "Passenger", "kind"), ("concept", "Booking", "Booking", "relator"),
         ("property", "airportCode", "Airport.airport_code", "identifier"), ("property", "city", "Airport.city", "descriptive"), ("property", "flightNumber", "Flight.flight_number", "identifier"), ("property", "flightDate", "Flight.flight_date", "identifier"),
@@ -307,13 +307,13 @@ ORACLE = {
         ("Passenger", "entity", "passport", "identifier", "Identifier"), ("Passenger", "entity", "full_name", "descriptive_quality", "Full Name"), *[("Booking", "relator", a, "identifier", "Identifier") for a in ("flight_number", "flight_date", "passport")], ("Booking", "relator", "seat", "relationship_qualifier", "Seat"),
         *[("visits", "association", a, "identifier", "Identifier") for a in ("passport", "airport_code")],
     ),
-    "erd_scores": "SELECT 2 AS pred_entities, 5 AS truth_entities, 2 AS matched_entities, 1.0::DOUBLE AS entity_precision, 2.0::DOUBLE / 5 AS entity_recall, 2.0::DOUBLE * 1.0::DOUBLE * (2.0::DOUBLE / 5) / (1.0::DOUBLE + 2.0::DOUBLE / 5) AS entity_f1, 12.0::DOUBLE / 14 AS attribute_coverage, 6.0::DOUBLE / 14 AS attribute_placement, 0.5::DOUBLE AS pk_accuracy, 1.0::DOUBLE AS type_accuracy, 0.0::DOUBLE AS relationship_precision, 0.0::DOUBLE AS relationship_recall, 0.0::DOUBLE AS relationship_f1",
+    "erd_scores": "SELECT 2::BIGINT AS pred_entities, 5::BIGINT AS truth_entities, 2::BIGINT AS matched_entities, 1.0::DOUBLE AS entity_precision, 2.0::DOUBLE / 5 AS entity_recall, 2.0::DOUBLE * 1.0::DOUBLE * (2.0::DOUBLE / 5) / (1.0::DOUBLE + 2.0::DOUBLE / 5) AS entity_f1, 12.0::DOUBLE / 14 AS attribute_coverage, 6.0::DOUBLE / 14 AS attribute_placement, 0.5::DOUBLE AS pk_accuracy, 1.0::DOUBLE AS type_accuracy, 0.0::DOUBLE AS relationship_precision, 0.0::DOUBLE AS relationship_recall, 0.0::DOUBLE AS relationship_f1",
     "hybrid_merge": _rows(
         "kind, entity, name, detail, prov", ("attribute", "Booking", "seat", "string", "deterministic"), ("attribute", "Booking", "passport", "string", "deterministic"), ("attribute", "Booking", "mood", "TEXT", "llm"), ("attribute", "Airport", "airport_code", "string", "deterministic"), ("attribute", "Airport 2", "iata", "TEXT", "llm"),
         *[("attribute", "Booking", a, k, "deterministic") for a, k in (("flight_number", "string"), ("flight_date", "datetime"), ("origin_code", "string"))], ("attribute", "Airport", "city", "string", "deterministic"),
         ("relationship", "Booking", "mood", "Airport", "llm"), ("relationship", "Booking", "origin_code", "Airport", "deterministic"), ("key", "Booking", "seat", "", "deterministic"), ("key", "Airport", "airport_code", "", "deterministic"), ("key", "Airport 2", "iata", "", "llm"),
     ),
-    "mapping_scores": "SELECT 1.0::DOUBLE AS precision, 1.0::DOUBLE AS recall, 1.0::DOUBLE AS f1, 0 AS false_positives, 0 AS false_negatives, (2 + 8 + 15)::DOUBLE / 11 AS curation_effort, 0.0::DOUBLE AS over_merge_rate, 0.0::DOUBLE AS under_merge_rate, 0.0::DOUBLE AS hallucination_rate, 1.0::DOUBLE AS provenance_completeness, 1.0::DOUBLE AS proposed_provenance_completeness, 4.0::DOUBLE / 9 AS refinement_accuracy, 1.0::DOUBLE AS type_accuracy, 1.0::DOUBLE AS category_accuracy",
+    "mapping_scores": "SELECT 1.0::DOUBLE AS precision, 1.0::DOUBLE AS recall, 1.0::DOUBLE AS f1, 0::BIGINT AS false_positives, 0::BIGINT AS false_negatives, (2 + 8 + 15)::DOUBLE / 11 AS curation_effort, 0.0::DOUBLE AS over_merge_rate, 0.0::DOUBLE AS under_merge_rate, 0.0::DOUBLE AS hallucination_rate, 1.0::DOUBLE AS provenance_completeness, 1.0::DOUBLE AS proposed_provenance_completeness, 4.0::DOUBLE / 9 AS refinement_accuracy, 1.0::DOUBLE AS type_accuracy, 1.0::DOUBLE AS category_accuracy",
     "integration_scores": "SELECT 1.0::DOUBLE AS precision, 1.0::DOUBLE AS recall, 1.0::DOUBLE AS f1, 0.0::DOUBLE AS over_merge_rate, 0.0::DOUBLE AS under_merge_rate, 1.0::DOUBLE AS unique_a_coverage, 0.5::DOUBLE AS unique_b_coverage, 3.0::DOUBLE / 4 AS conflict_resolution_accuracy",
     "contract_issues": _rows(
         "level, issue, item", ("error", "category", "Airport"), ("error", "source", "city"), ("error", "maps_to", "Flight.origin_code"), *[("warning", "entity_missing", e) for e in ("Passenger", "Booking", "visits")],

@@ -189,7 +189,7 @@ ORACLE = {
     "enriched_columns": _rows(
         "attr, logical_type, normalization, semantic_role, domain, unit, currency, confidence", ("o_orderkey", "identifier", "id_normalized", "identifier", "", None, None, 95), ("o_orderstatus", "categorical", "enum_casefold", "descriptor", "F;O;P", None, None, 92), ("is_open", "boolean", "boolean_cast", "descriptor", "false;true", None, None, 99),
         ("load", "text", "text_trim", "descriptor", "", "kg", None, 77), ("price_usd", "currency", "currency_amount", "measure", "", None, "USD", 95), ("day_of_order", "date", "date_iso", "temporal", "", None, None, 95),
-    ),
+    ).replace("SELECT *", "SELECT * REPLACE (CAST(confidence AS BIGINT) AS confidence)"),
     "flat_model": _rows(
         "what, entity, name, detail", ("attribute", "FlatCustomers", "cust_key", "integer PK"), ("attribute", "FlatCustomers", "segment", "string"), ("attribute", "FlatCustomers", "nation_key", "integer FK"), ("attribute", "FlatCustomers", "region_key", "integer FK"), ("attribute", "Nation", "nation_key", "integer PK"), ("attribute", "Nation", "nation_name", "string"),
         ("attribute", "Region", "region_key", "integer PK"), ("attribute", "Region", "region_name", "string"), ("relationship", "FlatCustomers", "nation_key", "Nation 0..N 1"), ("relationship", "FlatCustomers", "region_key", "Region 0..N 1"),
@@ -197,5 +197,5 @@ ORACLE = {
     "normal_form": f"""WITH {FLAT_SQL}, rules AS (SELECT * FROM ({' UNION ALL '.join(_fd_pair(x, y) for k in (1, 2, 3) for x in combinations(FLAT_COLUMNS[1:], k) for y in FLAT_COLUMNS[1:] if y not in x)}))
         SELECT 'Flat' AS entity, 'flat' AS tbl, false AS valid, '3nf_violation:' || lhs || '->' || rhs AS issue FROM rules UNION ALL SELECT 'Flat', 'flat', false, 'transitive_dependency:' || lhs || '->' || rhs FROM rules
         UNION ALL SELECT 'Nation', 'flat', false, unnest(['pk_not_unique', '3nf_violation:nation_key->region_key']) UNION ALL SELECT 'Pair', 'flat', false, unnest(['pk_not_minimal:cust_key', 'partial_dependency:cust_key->segment'])""",
-    "validation": "SELECT 2 AS true_positives, 1 AS false_positives, 2 AS false_negatives, 2.0::DOUBLE / 3 AS precision, 2.0::DOUBLE / 4 AS recall, 0.5::DOUBLE AS relationships, 0.5::DOUBLE AS normal_form",
+    "validation": "SELECT 2::BIGINT AS true_positives, 1::BIGINT AS false_positives, 2::BIGINT AS false_negatives, 2.0::DOUBLE / 3 AS precision, 2.0::DOUBLE / 4 AS recall, 0.5::DOUBLE AS relationships, 0.5::DOUBLE AS normal_form",
 }
