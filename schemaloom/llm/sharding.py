@@ -31,7 +31,11 @@ class CommitConflict(RuntimeError):
 
 
 class ShardStore:
-    """The store below a folder that all executors share."""
+    """The store below a folder that all executors share.
+
+    Rows are kept as they are: nulls in any column, repeated rows and any columns, whatever their names (reading gives
+    them inside the struct ``row``). An append without rows makes a version without new shards.
+    """
 
     def __init__(self, spark: SparkSession, path: str, target: int = TARGET, factor: int = FACTOR, least: int = LEAST):
         self.spark, self.path, self.target, self.factor, self.least = spark, path.rstrip("/"), target, factor, least
