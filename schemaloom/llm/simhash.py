@@ -9,6 +9,7 @@ until its leaves are small, then distances are compared exactly. A shard returns
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,6 +28,11 @@ SHINGLE, RADIUS = 3, 2
 SAMPLE = 1 << 16
 #: Distinct fingerprints a shard is planned for, and those a leaf inside it compares directly.
 SHARD, LEAF = 2048, 48
+#: The pipeline's stage: words of a shingle, the least Jaccard similarity as a fraction, and the reaches of its rounds in
+#: 128 bits. At 0.8 long texts differ by 19 +- 4 bits, the shortest (4 of 5 shingles) by 24 +- 4, strangers by 64 +- 6.
+STAGE_SHINGLE, JACCARD, REACHES = 5, (4, 5), (16, 38)
+#: Points of the stage: fingerprint, unit, component so far, different shingles.
+WIDE = np.dtype([("lo", "<u8"), ("hi", "<u8"), ("uid", "<i8"), ("comp", "<i8"), ("n", "<i8")])
 
 _bit_of_byte = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 
@@ -57,6 +63,8 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def apart(x: np.ndarray, y: np.ndarray | np.uint64) -> np.ndarray:
+    if x.dtype.names:
+        return np.bitwise_count(x["lo"] ^ y["lo"]) + np.bitwise_count(x["hi"] ^ y["hi"])
     return np.bitwise_count(x ^ y)
 
 
@@ -102,9 +110,9 @@ def _sides(home: np.ndarray, visit: np.ndarray, point: np.uint64, radius: int, r
     return (home[inner], visit[v - reach <= radius]), (home[~inner], np.concatenate([visit[v + reach > radius], home[near]]))
 
 
-def route(nodes: list, points: np.ndarray, reach: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(shard, home, visitors) of the points."""
-    todo = [(0, points, np.zeros(0, np.uint64))]
+def route(nodes: list, points: np.ndarray, reach: int, guests: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(shard, home, visitors) of the points and of guests, which have no home here."""
+    todo = [(0, points, np.zeros(0, points.dtype) if guests is None else guests)]
     while todo:
         at, home, visit = todo.pop()
         if not len(home) and not len(visit):
@@ -199,6 +207,145 @@ def near_deduplicated(docs: DataFrame) -> DataFrame:
     return without(docs, found.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))))
 
 
+def shingle_set(text: bytes) -> set[bytes]:
+    """The different five-word shingles of a UTF-8 text, words as in ``simhash``; a text of fewer words is one shingle."""
+    words = text.lower().split()
+    return {b" ".join(words[i : i + STAGE_SHINGLE]) for i in range(max(1, len(words) - STAGE_SHINGLE + 1))} if words else set()
+
+
+def wide_print(shingles: set[bytes]) -> tuple[int, int]:
+    """128 bits as two longs: a bit where over half of the different shingles' XXH128 have it."""
+    if not shingles:
+        return 0, 0
+    digests = np.frombuffer(b"".join([xxhash.xxh128_digest(s, SEED) for s in shingles]), np.uint8).reshape(-1, 16)
+    counts = np.bincount((digests + np.arange(0, 4096, 256, dtype=np.int64)).ravel(), minlength=4096).reshape(16, 256) @ _bit_of_byte
+    lo, hi = np.packbits(counts.ravel() * 2 > len(shingles), bitorder="little").view("<i8").tolist()
+    return lo, hi
+
+
+def similar(a: set[bytes], b: set[bytes]) -> bool:
+    both = len(a & b)
+    return both * JACCARD[1] >= (len(a) + len(b) - both) * JACCARD[0]
+
+
+def _wide_prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in slices(batches):
+        rows = []
+        for t in batch.column(2).cast(pa.large_binary()):
+            text = t.as_buffer().to_pybytes()
+            shingles = shingle_set(text)
+            rows.append((hashlib.sha256(b" ".join(text.lower().split())).digest(), *wide_print(shingles), len(shingles)))
+        key, lo, hi, n = zip(*rows, strict=True)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(key, pa.binary()), *(pa.array(x, pa.int64()) for x in (lo, hi, n))], ["doc_id", "text_sha256", "key", "lo", "hi", "n"])
+
+
+def _size_class(n: np.ndarray) -> np.ndarray:
+    """Texts of Jaccard similarity 0.8 have sizes in a ratio of 1.25 at most, so they lie in the same or in neighbouring classes."""
+    return np.floor(np.log(np.maximum(n, 1)) / np.log(JACCARD[1] / JACCARD[0])).astype(np.int64)
+
+
+def close_pairs(home: np.ndarray, visit: np.ndarray, reach: int, forest: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Units (a, b) of different components within reach whose sizes allow JACCARD, within home and between home and visitors; ``forest``: only pairs that join what earlier ones left apart."""
+    every = np.concatenate([home, visit])
+    lo, hi, n, label = (np.ascontiguousarray(every[c]) for c in ("lo", "hi", "n", "comp"))
+    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for i in range(len(home)):
+        near = np.flatnonzero(np.bitwise_count(lo[i + 1 :] ^ lo[i]) + np.bitwise_count(hi[i + 1 :] ^ hi[i]) <= reach) + i + 1
+        if len(near):
+            near = near[(label[near] != label[i]) & (np.minimum(n[near], n[i]) * JACCARD[1] >= np.maximum(n[near], n[i]) * JACCARD[0])]
+        if len(near) and forest:
+            met, first = np.unique(label[near], return_index=True)
+            near = near[first]
+            label[np.isin(label, met)] = label[i]
+        if len(near):
+            a.append(np.full(len(near), every["uid"][i]))
+            b.append(every["uid"][near])
+    return np.concatenate(a), np.concatenate(b)
+
+
+def wide_pairs(units: DataFrame, reach: int, forest: bool) -> DataFrame:
+    """``close_pairs`` (a, b) of all units (uid, comp, lo, hi, n): one vantage-point tree for each size class, whose points also visit the next class."""
+    spark, names = units.sparkSession, ["lo", "hi", "uid", "comp", "n"]
+
+    def points(data: pa.Table | pa.RecordBatch) -> np.ndarray:
+        out = np.zeros(data.num_rows, WIDE)
+        for c in names:
+            out[c] = data.column(c).to_numpy(**({} if isinstance(data, pa.Table) else {"zero_copy_only": False})).view(WIDE[c])
+        return out
+
+    sample = np.array([tuple(r) for r in units.select(F.col("lo"), "hi", "n").orderBy(F.xxhash64("lo", "hi")).limit(SAMPLE).collect()], np.int64).reshape(-1, 3)
+    drawn = np.zeros(len(sample), WIDE)
+    for k, c in enumerate(("lo", "hi", "n")):
+        drawn[c] = np.ascontiguousarray(sample[:, k]).view(WIDE[c])
+    scale, of = units.count() / max(1, len(drawn)), _size_class(drawn["n"])
+    trees = {int(c): plan(drawn[of == c], min(12, max(0, -(-int((of == c).sum() * scale) // SHARD) - 1).bit_length())) for c in np.unique(of)}
+    held = spark.sparkContext.broadcast(trees)
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = points(batch)
+            of = _size_class(rows["n"])
+            for c in {int(x) + k for x in np.unique(of) for k in (0, 1)}:
+                for shard, home, visit in route(held.value.get(c, [(0,)]), rows[of == c], reach, rows[of == c - 1]):
+                    both, m = np.concatenate([home, visit]), len(home)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(both), c << 12 | shard, np.int32)), pa.array(np.arange(len(both)) < m), *(pa.array(np.ascontiguousarray(both[x]).view(np.int64)) for x in names)], ["shard", "home", *names])
+
+    def join(shard: pa.Table) -> pa.Table:
+        rows, home = points(shard), shard.column("home").to_numpy().astype(bool)
+        a, b = close_pairs(rows[home], rows[~home], reach, forest)
+        return pa.table({"a": pa.array(a), "b": pa.array(b)})
+
+    return units.select(*names).mapInArrow(spread, "shard int, home boolean, lo long, hi long, uid long, comp long, n long").groupBy("shard").applyInArrow(join, "a long, b long")
+
+
+def verified(pairs: DataFrame, units: DataFrame, docs: DataFrame) -> DataFrame:
+    """The written pairs (a, b) of units (uid, sha) whose texts have an exact Jaccard similarity of JACCARD; docs: (sha, text)."""
+    involved = written(pairs.select(F.col("a").alias("uid")).union(pairs.select("b")).distinct().join(units.select("uid", "sha"), "uid"), "involved", narrow=True)
+    texts = written(attach(docs, involved, ["sha"], "inner").groupBy("uid").agg(F.first("text").alias("text")), "texts")
+    for side in ("a", "b"):
+        pairs = attach(pairs, texts.select(F.col("uid").alias(side), F.col("text").alias(f"text_{side}")), [side], "inner", limit=0)
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            texts = [batch.column(k).cast(pa.large_binary()) for k in (2, 3)]
+            keep = [similar(*(shingle_set(t[i].as_buffer().to_pybytes()) for t in texts)) for i in range(batch.num_rows)]
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return pairs.select("a", "b", "text_a", "text_b").mapInArrow(check, "a long, b long")
+
+
+def near_copies(docs: DataFrame) -> DataFrame:
+    """(doc_id, text_sha256) of the rows of docs that go when each group keeps one survivor.
+
+    A group is what links of an exact five-word Jaccard similarity of 0.8 or more hold together; candidates are the texts
+    within the last of REACHES. The first round verifies only a spanning forest of the nearest, so that a large group is
+    joined before the last round lists all candidates between different components. The survivor has the least doc_id, a
+    null id comes last, equal ids are told apart by the text's digest; rows with the same id and text stay or go together.
+    """
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.sha2(whole_text(), 256).alias("sha"), whole_text().alias("text"))
+    rows = written(source.mapInArrow(_wide_prints, "doc_id long, text_sha256 string, key binary, lo long, hi long, n long"), "wide")
+    first = F.min_by(F.struct("doc_id", "text_sha256"), F.struct(F.col("doc_id").isNull(), "doc_id", "text_sha256"))
+    units = rows.groupBy("key").agg(F.first("lo").alias("lo"), F.first("hi").alias("hi"), F.first("n").alias("n"), F.min("text_sha256").alias("sha"), first.alias("low"), F.count(F.lit(1)).alias("size"))
+    units = written(units.withColumn("uid", F.monotonically_increasing_id()), "units", narrow=True)
+    edges, roots, now = None, None, units.withColumn("comp", F.col("uid"))
+    for reach in REACHES:
+        pairs = written(wide_pairs(now, reach, reach < REACHES[-1]), "pairs", narrow=True)
+        found = written(verified(pairs, units, source.select("sha", "text")), "verified", narrow=True)
+        edges = found if edges is None else edges.union(found)
+        roots = written(components(edges).withColumnRenamed("node", "uid").withColumnRenamed("root", "comp"), "roots", narrow=True)
+        now = written(attach(units, roots, ["uid"], "left").withColumn("comp", F.coalesce("comp", "uid")), "grouped", narrow=True)
+    least = F.min_by("low", F.struct(F.col("low.doc_id").isNull(), F.col("low.doc_id"), F.col("low.text_sha256")))
+    best = written(now.groupBy("comp").agg(least.alias("best"), F.count(F.lit(1)).alias("weight")), "best", narrow=True)
+    labels = written(attach(now.select("key", "comp", "size"), best, ["comp"], "left", "weight").select("key", "best", "size"), "labels", narrow=True)
+    out = attach(rows.select("doc_id", "text_sha256", "key"), labels, ["key"], "left", "size")
+    return out.filter(~F.struct("doc_id", "text_sha256").eqNullSafe(F.col("best"))).select("doc_id", "text_sha256")
+
+
+def without_near_copies(docs: DataFrame) -> DataFrame:
+    """docs with one survivor of each group of ``near_copies``."""
+    return without(docs, near_copies(docs))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 

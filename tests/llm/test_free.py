@@ -386,3 +386,36 @@ def test_contract_queries_against_sql(spark):
     assert {n[:3].rstrip("_") for n in queries} == {f"op{i}"[:3] for i in range(1, 11)} or len(queries) == 10
     for name, sql in oracle.items():
         assert same(queries[name](spark, SF), sql, SF), name
+
+
+# the pipeline's near-duplicate stage
+
+
+def test_stage_drops_what_five_word_jaccard_joins(spark):
+    import corpus_pipeline as P
+
+    rng = random.Random(11)
+    rows, at = [], 1
+    for length in (8, 9, 12, 20, 40, 80, 200, 900):
+        for _ in range(12):
+            base = [f"w{rng.randrange(5000)}" for _ in range(length)]
+            for edits in (0, 1, 1, 2, max(1, length // 50), max(1, length // 40), max(1, length // 25)):
+                words = base.copy()
+                for _ in range(edits):
+                    words[rng.choice((0, length - 1, rng.randrange(length)))] = f"x{rng.randrange(5000)}"
+                rows.append((at, " ".join(words)))
+                at += 1
+    rows += [(None, rows[0][1] + " "), (None, "null ids only are a group here too"), (None, "null ids only are a group here  too"), (at, "a b"), (at + 1, "A  b"), (at + 2, "c d")]
+    sets = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for w in (t.lower().split() for _, t in rows)]
+    group = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if both * 5 >= (len(sets[i]) + len(sets[j]) - both) * 4 and group[i] != group[j]:
+                group = [group[j] if g == group[i] else g for g in group]
+    want = set()
+    for g in set(group):
+        want.add(min((i is None, i or 0, hashlib.sha256(t.encode()).hexdigest(), t) for (i, t), x in zip(rows, group, strict=True) if x == g)[3])
+    kept = P.near_stage(spark, docs(spark, rows), SF).collect()
+    assert len(kept) == len(want) < len(rows) and {r["text"] for r in kept} == want
+    assert P.near_stage(spark, docs(spark, []), SF).count() == 0
