@@ -2,7 +2,8 @@
 
 A text becomes a unit vector of hashed character n-grams, weighted by TF-IDF. Every language has several centroids, found
 by spherical k-means on a bounded sample of its labelled texts; a text gets the language of the centroid with the greatest
-cosine. It is rejected if it is much farther from that centroid than any text of the language's sample was from its own.
+cosine. It is rejected if it is farther from that centroid than nearly all texts of the language's sample that have about
+as many n-grams were from their own: the cosine grows with the length, so every band of lengths has its own bound.
 """
 
 from __future__ import annotations
@@ -21,8 +22,11 @@ from schemaloom.llm._common import slices, table, whole_text
 BUCKETS, GRAMS = 1 << 13, (1, 2, 3)
 #: Texts of each language that the centroids are fitted on (expected; drawn by hash), centroids of a language, rounds of k-means.
 SAMPLE, CENTROIDS, ROUNDS = 1500, 4, 8
-#: A text is rejected below this share of the least cosine that the sample of its nearest language showed.
-SLACK = 0.25
+#: Where bands of n-gram counts begin anew, the quantile of the sample's cosines in a band that is the bound of rejection, and
+#: the texts that a language must have in a band for a bound of its own; with fewer the band's texts of all languages count.
+BANDS, LOW, OWN = (128, 512, 2048), 0.002, 200
+#: What a cosine may lose by the order of float32 sums.
+ROUNDING = 1e-4
 #: An n-gram counts as no rarer than in this share of the texts, or chance n-grams would outweigh all others in short texts.
 RAREST = 0.05
 UNKNOWN = "und"
@@ -63,8 +67,8 @@ def ngram_counts(text: str, buckets: int = BUCKETS) -> np.ndarray | None:
 
 
 def vectors(texts: list[str | None], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Unit TF-IDF vectors of the texts, and which of them have letters; others are zero."""
-    out, known = np.zeros((len(texts), len(idf)), np.float32), np.zeros(len(texts), bool)
+    """Unit TF-IDF vectors of the texts, and how many n-grams these have; both are zero without letters."""
+    out, grams = np.zeros((len(texts), len(idf)), np.float32), np.zeros(len(texts), np.int64)
     for i, t in enumerate(texts):
         counts = ngram_counts(t, len(idf)) if t else None
         if counts is not None:
@@ -72,12 +76,12 @@ def vectors(texts: list[str | None], idf: np.ndarray) -> tuple[np.ndarray, np.nd
             length = float(np.sqrt(row @ row))
             if length:
                 out[i] = row / length
-            known[i] = True
-    return out, known
+            grams[i] = counts.sum()
+    return out, grams
 
 
 def kmeans(points: np.ndarray, k: int, rounds: int) -> tuple[np.ndarray, np.ndarray]:
-    """Unit centroids and each one's least cosine to a point of its own; starts from points that are far apart."""
+    """Unit centroids and each point's cosine to the nearest; starts from points that are far apart."""
     chosen, near = [0], points @ points[0]
     while len(chosen) < min(k, len(points)):
         at = int(np.argmin(near))
@@ -92,27 +96,49 @@ def kmeans(points: np.ndarray, k: int, rounds: int) -> tuple[np.ndarray, np.ndar
             total = points[own == c].sum(axis=0)
             if (length := float(np.sqrt(total @ total))) > 0:
                 centroids[c] = total / length
-    cosines = points @ centroids.T
-    own = np.argmax(cosines, axis=1)
-    least = np.array([cosines[own == c, c].min() if (own == c).any() else 1.0 for c in range(len(centroids))], np.float32)
-    return centroids, least
+    return centroids, (points @ centroids.T).max(axis=1)
+
+
+def band(grams: np.ndarray) -> np.ndarray:
+    return np.searchsorted(BANDS, grams, side="right")
+
+
+def expected(grams: np.ndarray) -> np.ndarray:
+    """What a bound is multiplied by: within the first band a text's cosine grows as the root of its n-grams."""
+    return np.sqrt(np.minimum(grams, BANDS[0]) / BANDS[0])
+
+
+def bounds(cosines: list[np.ndarray], grams: list[np.ndarray]) -> np.ndarray:
+    """The least cosine that is not rejected, as a multiple of ``expected``, for each language (rows) and band, from the cosines and n-gram counts of its sample."""
+    out = np.zeros((len(cosines), len(BANDS) + 1), np.float32)
+    if not cosines:
+        return out
+    cosines = [x / expected(n) for x, n in zip(cosines, grams, strict=True)]
+    every, bands = np.concatenate(cosines), band(np.concatenate(grams))
+    for b in range(len(BANDS) + 1):
+        pool = every[bands == b] if (bands == b).any() else every
+        for i, (x, n) in enumerate(zip(cosines, grams, strict=True)):
+            own = x[band(n) == b]
+            out[i, b] = np.quantile(own if len(own) >= OWN else pool, LOW, method="lower") - ROUNDING
+    return out
 
 
 class LanguageModel:
-    """Centroids (rows), their languages and least cosines, and the weights of the buckets."""
+    """Centroids (rows), their languages and bounds of rejection by band, and the weights of the buckets."""
 
     def __init__(self, languages: list[str], centroids: np.ndarray, least: np.ndarray, idf: np.ndarray):
         self.languages, self.centroids, self.least, self.idf = languages, centroids, least, idf
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Language, score (cosine to the nearest centroid, 0 to 1) and whether the text is rejected."""
-        points, known = vectors(texts, self.idf)
+        points, grams = vectors(texts, self.idf)
+        known = grams > 0
         if not len(self.centroids):
             return [UNKNOWN] * len(texts), np.zeros(len(texts)), np.ones(len(texts), bool)
         cosines = points @ self.centroids.T
         best = np.argmax(cosines, axis=1)
         score = np.clip(cosines[np.arange(len(texts)), best], 0, 1).astype(float)
-        return [self.languages[b] if k else UNKNOWN for b, k in zip(best, known, strict=True)], np.where(known, score, 0.0), ~known | (score < SLACK * self.least[best])
+        return [self.languages[b] if k else UNKNOWN for b, k in zip(best, known, strict=True)], np.where(known, score, 0.0), ~known | (score < self.least[best, band(grams)] * expected(grams))
 
 
 def fit(labelled: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS) -> LanguageModel:
@@ -142,19 +168,21 @@ def fit(labelled: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS) -
     drawn = rows.join(F.broadcast(sizes), "lang").filter(share < F.lit(float(sample)) / F.col("n")).select("lang", "text")
 
     def clusters(group: pa.Table) -> pa.Table:
-        points, known = vectors(group.column("text").to_pylist(), idf)
-        points = points[known]
-        if not len(points):
-            return pa.table({"lang": pa.array([], pa.string()), "least": pa.array([], pa.float32()), "centroid": pa.array([], pa.list_(pa.float32()))})
+        points, grams = vectors(group.column("text").to_pylist(), idf)
+        points, grams = points[grams > 0], grams[grams > 0]
         order = np.lexsort((points[:, 1], points[:, 0]))
-        found, least = kmeans(points[order], centroids, ROUNDS)
-        least[:] = least.min()  # of the language: a cluster of few texts says little about how far its language reaches
-        return pa.table({"lang": pa.array([group.column("lang")[0].as_py()] * len(found)), "least": pa.array(least, pa.float32()), "centroid": pa.array(list(found), pa.list_(pa.float32()))})
+        found, cosines = kmeans(points[order], centroids, ROUNDS) if len(points) else ([], [])
+        shown = [cosines, *[[]] * (len(found) - 1)] if len(found) else []  # the language's sample stands with its first centroid
+        sizes = [grams[order], *[[]] * (len(found) - 1)] if len(found) else []
+        return pa.table({"lang": pa.array([group.column("lang")[0].as_py()] * len(found), pa.string()), "k": pa.array(range(len(found)), pa.int32()), "centroid": pa.array(list(found), pa.list_(pa.float32())), "cosines": pa.array(shown, pa.list_(pa.float32())), "grams": pa.array(sizes, pa.list_(pa.int64()))})
 
-    found = drawn.groupBy("lang").applyInArrow(clusters, "lang string, least float, centroid array<float>").collect()
+    found = drawn.groupBy("lang").applyInArrow(clusters, "lang string, k int, centroid array<float>, cosines array<float>, grams array<long>").collect()
     found.sort(key=lambda r: (r[0], r[1]))
     matrix = np.array([r[2] for r in found], np.float32).reshape(-1, BUCKETS)
-    return LanguageModel([r[0] for r in found], matrix, np.array([r[1] for r in found], np.float32), idf)
+    heads = [r for r in found if r[1] == 0]
+    least = bounds([np.array(r[3], np.float32) for r in heads], [np.array(r[4], np.int64) for r in heads])
+    row = {r[0]: i for i, r in enumerate(heads)}
+    return LanguageModel([r[0] for r in found], matrix, least[[row[r[0]] for r in found]], idf)
 
 
 def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:

@@ -419,3 +419,31 @@ def test_stage_drops_what_five_word_jaccard_joins(spark):
     kept = P.near_stage(spark, docs(spark, rows), SF).collect()
     assert len(kept) == len(want) < len(rows) and {r["text"] for r in kept} == want
     assert P.near_stage(spark, docs(spark, []), SF).count() == 0
+
+
+def test_language_rejects_gibberish_and_untaught_languages(spark):
+    source = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    model = L.fit_on(source)
+    rng = random.Random(12)
+    strange = [" ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 9))) for _ in range(k)) for k in (1, 5, 20, 50, 200, 1000)]
+    strange += [
+        "La mattina del giorno dopo il vecchio pescatore scese verso il porto con la sua barca e le reti piene di speranza perche il mare era calmo",
+        "Wczesnym rankiem stary rybak poszedł do portu ze swoją łodzią i sieciami pełnymi nadziei ponieważ morze było spokojne",
+        "Varhain aamulla vanha kalastaja meni satamaan veneensä ja verkkojensa kanssa koska meri oli tyyni ja tuuli puhalsi hiljaa",
+        "Рано утром старый рыбак пошел в порт со своей лодкой и сетями потому что море было спокойно", "Νωρίς το πρωί ο γέρος ψαράς πήγε στο λιμάνι με τη βάρκα του",
+    ]
+    assert model.predict(strange)[2].tolist() == [True] * len(strange)
+    assert model.predict(["The and of the thing", "der die das und"])[2].tolist() == [False] * 2
+    short = [" ".join(r[0].split()[:10]) for r in source.filter(L.held_out()).select("text").collect() if r[0]]
+    assert model.predict(short)[2].mean() < 0.03
+
+
+def test_language_bounds_follow_the_length():
+    rng = np.random.default_rng(13)
+    grams = np.repeat([50, 300, 1000, 5000], 1000)
+    cosines = (np.repeat([0.3, 0.5, 0.7, 0.9], 1000) + rng.uniform(0, 0.05, 4000)).astype(np.float32)
+    cosines[[0, 1000, 2000, 3000]] = 0.01  # one outlier in each band
+    few = (np.full(5, 0.2, np.float32), np.full(5, 5000))
+    got = L.bounds([cosines, few[0]], [grams, few[1]])
+    assert np.allclose(got[0], [0.3 * (128 / 50) ** 0.5, 0.5, 0.7, 0.9], atol=0.01) and np.allclose(got[1, :3], got[0, :3]) and got[1, 3] < 0.9
+    assert L.bounds([], []).shape == (0, 4)
