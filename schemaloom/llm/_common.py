@@ -12,9 +12,10 @@ from collections.abc import Callable, Iterator, Sequence
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, NumericType
 
-#: A table of at most so many narrow rows may be broadcast (it is counted first); beyond it the join shuffles.
-BROADCAST_ROWS = 200_000
+#: A table of at most so many rows and bytes may be broadcast (both are measured first); beyond either the join shuffles.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 32 << 20
 #: At most so many keys count as hot, because each holds more than 1/HOT_KEYS of all rows.
 HOT_KEYS = 4096
 #: Files that a core writes of a narrow table.
@@ -23,10 +24,26 @@ NARROW_FILES = 4
 SLICE = 256
 
 
+def fresh(name: str, *frames: DataFrame) -> str:
+    """name, with as many underscores behind it as it takes to be none of the frames' columns."""
+    taken = {c.lower() for df in frames for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def every(df: DataFrame) -> list[Column]:
+    """All columns of df, whatever signs their names have."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new path below ``spark.checkpoint.dir``; only where that is unset (tests) a temporary folder is made and set."""
+    """A new path below ``spark.checkpoint.dir``. Where that is unset a temporary folder is made and set in local mode only, as in tests; on a cluster it is an error, as executors do not share such a folder."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not root:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="schemaloom-")
         spark.sparkContext.setCheckpointDir(root)
         spark.conf.set("spark.checkpoint.dir", root)
@@ -50,35 +67,40 @@ def whole_text(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
+def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
+    """Whether a written table may be broadcast: its rows are counted and its texts, binaries and arrays measured."""
+    if df.count() > rows:
+        return False
+    wide = [f.name for f in df.schema if not isinstance(f.dataType, (NumericType, BooleanType))]
+    return not wide or (df.agg(F.sum(F.octet_length(F.to_json(F.struct(*wide))))).first()[0] or 0) <= BROADCAST_BYTES
+
+
 def attach(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "left", weight: str | None = None, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Join to a written table ``right`` with one row for each key in ``on``; how: left, inner, left_semi or left_anti.
 
     ``weight``: the column of ``right`` with the number of ``left``'s rows that hold the key; where it is not given, these
-    are counted if they are needed. A right side of at most ``limit`` rows, counted first, is broadcast. Otherwise the keys
-    that hold over 1/HOT_KEYS of all rows (by that, at most HOT_KEYS of them) are broadcast, their rows are dealt out by a
-    salt, and only the other keys meet by shuffle: no key gathers in one task.
+    are counted if they are needed. A right side that is ``small`` is broadcast. Otherwise a key that holds over 1/HOT_KEYS
+    of all rows is parted: its left rows are dealt out and its right row is copied to each part, 2 * HOT_KEYS copies at
+    most for all such keys. Only the hot keys and their numbers of parts are broadcast, and no key gathers in one task.
+    The sides share no column but ``on``; columns with the names used here inside are left as they are.
     """
     on = list(on)
-    if right.count() <= limit:
+    if small(right, limit):
         return left.join(F.broadcast(right), on, how)
     extra = weight is None
     if extra:
-        weight = "_weight"
+        weight = fresh("weight", left, right)
         right = written(right.join(left.groupBy(*on).agg(F.count(F.lit(1)).alias(weight)), on), "weighed")
     least = max(64, (right.agg(F.sum(weight)).first()[0] or 0) // HOT_KEYS)
-    others = [c for c in right.columns if c not in on and not (extra and c == weight)]
-    hot = right.filter(F.col(weight) > least).select(*on, F.struct(F.lit(1).alias("_"), *others).alias("_hot"))
-    cold = right.filter(F.col(weight) <= least).select(*on, F.lit(0).alias("_salt"), F.struct(F.lit(1).alias("_"), *others).alias("_cold"))
-    salt = F.when(F.col("_hot").isNull(), F.lit(0)).otherwise(1 + F.pmod(F.monotonically_increasing_id(), F.lit(1 << 20)).cast("int"))
-    both = left.join(F.broadcast(hot), on, "left").withColumn("_salt", salt).join(cold, [*on, "_salt"], "left")
-    both = both.withColumn("_got", F.coalesce("_hot", "_cold")).drop("_hot", "_cold", "_salt")
-    if how == "left_anti":
-        return both.filter(F.col("_got").isNull()).select(*left.columns)
-    if how == "left_semi":
-        return both.filter(F.col("_got").isNotNull()).select(*left.columns)
-    if how == "inner":
-        both = both.filter(F.col("_got").isNotNull())
-    return both.select(*left.columns, *[F.col("_got")[c].alias(c) for c in others])
+    parts, part = fresh("parts", left, right), fresh("part", left, right)
+    number = F.ceil(F.col(weight) / least).cast("int")
+    hot = right.filter(F.col(weight) > least).select(*on, number.alias(parts))
+    dealt = left.join(F.broadcast(hot), on, "left")
+    dealt = dealt.withColumn(part, F.coalesce(F.pmod(F.monotonically_increasing_id(), F.col(parts)), F.lit(0)).cast("int")).drop(parts)
+    copied = right.withColumn(part, F.explode(F.sequence(F.lit(0), F.greatest(number, F.lit(1)) - 1)))
+    out = dealt.join(copied.drop(weight) if extra else copied, [*on, part], how)
+    others = [] if how in ("left_semi", "left_anti") else [c for c in right.columns if c not in on and not (extra and c == weight)]
+    return out.select(*every(left), *others)
 
 
 def id_text(column: str = "doc_id") -> Column:
@@ -88,9 +110,10 @@ def id_text(column: str = "doc_id") -> Column:
 
 def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
     """docs without the rows whose doc_id and text are those of a row of ``dropped`` (doc_id, text_sha256)."""
-    keyed = docs.withColumn("_id", id_text()).withColumn("_sha", F.sha2(whole_text(), 256))
-    drop = written(dropped.select(id_text().alias("_id"), F.col("text_sha256").alias("_sha")).distinct(), "dropped", narrow=True)
-    return attach(keyed, drop, ["_id", "_sha"], "left_anti").select(*docs.columns)
+    key, sha = fresh("key", docs), fresh("sha", docs)
+    drop = written(dropped.select(id_text().alias(key), F.col("text_sha256").alias(sha)).distinct(), "dropped", narrow=True)
+    keyed = docs.withColumns({key: id_text(), sha: F.sha2(whole_text(), 256)})
+    return attach(keyed, drop, [key, sha], "left_anti").select(*every(docs))
 
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE) -> Iterator[pa.RecordBatch]:

@@ -2,9 +2,10 @@
 
 Items are parted by size. An item's sketch is its least shingle hashes (the bottom-k MinHash), so many that a document
 which holds the required share of the item must hold one of them: with n shingles, at most n // 5 may be missing at a
-containment of 0.8, so n // 5 + 1 are kept. A document's shingle hashes are compared with the sketches of those size
-classes that it is long enough for and only up to their greatest kept hash. Candidates are verified by their exact
-shingles. Everything is DataFrame expressions.
+containment of 0.8, so n // 5 + 1 are kept. A document's shingle hashes are compared with the sketches of each size
+class that it is long enough for, up to that class's greatest kept hash. What this leaves is verified by exact shingles:
+a document and an item become a pair over one of the item's n // 5 + 1 shingles that the fewest items have, so a line
+that all items share makes no pairs, and each pair's shared shingles are counted. Everything is DataFrame expressions.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from schemaloom.llm._common import attach, table, whole_text, without, written
+from schemaloom.llm._common import attach, small, table, whole_text, without, written
 
 #: Words of a shingle; the least containment as a fraction (0.8).
 WIDTH, SHARE = 5, (4, 5)
@@ -64,41 +65,53 @@ def items_of(benchmark: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.select(F.sha2("words", 256).alias("item"), "item_ids", "shingles", "hashes", F.size("shingles").cast("long").alias("n"))
 
 
+def _kept(n: Column) -> Column:
+    """So many of n shingles that a document with the required share must have one of them."""
+    return (n - _needed(n) + 1).cast("int")
+
+
 def _candidates(docs: DataFrame, items: DataFrame) -> DataFrame:
     """Distinct (sha) of documents that hold a sketched hash of an item that they are long enough for."""
-    kept = (F.col("n") - _needed(F.col("n")) + 1).cast("int")
-    sketch = items.select("item", "n", _needed(F.col("n")).alias("need"), _size_class(F.col("n")).alias("size_class"), F.explode(F.slice("hashes", F.lit(1), kept)).alias("h"))
-    classes = sketch.groupBy("size_class").agg(F.max("h").alias("most"), F.min("need").alias("need")).orderBy("size_class").collect()  # a row for each power of two
+    sketch = items.select(_needed(F.col("n")).alias("need"), _size_class(F.col("n")).alias("size_class"), F.explode(F.slice("hashes", F.lit(1), _kept(F.col("n")))).alias("h"))
+    by_hash = written(sketch.groupBy("size_class", "h").agg(F.min("need").alias("need")), "by_hash", narrow=True)
+    classes = by_hash.groupBy("size_class").agg(F.max("h").alias("most"), F.min("need").alias("need")).orderBy("size_class").collect()  # a row for each power of two
     ceiling = F.lit(None).cast("long")
     for c in classes:
         ceiling = F.greatest(ceiling, F.when(F.col("doc_n") >= c["need"], F.lit(c["most"])))
     shingled = docs.select("sha", _shingled(F.col("text"), _hash).alias("s")).select("sha", F.col("s.windows").alias("doc_n"), F.col("s.shingles").alias("hashes"))
     # explode_outer, as explode would have the optimizer compute the hashes once more to filter out empty arrays
     hashes = shingled.select("sha", "doc_n", ceiling.alias("ceiling"), F.explode_outer("hashes").alias("h")).filter("h <= ceiling").select("sha", "doc_n", "h")
-    by_hash = written(sketch.groupBy("h").agg(F.collect_set(F.struct("item", "need")).alias("found")), "by_hash", narrow=True)
-    both = attach(hashes, by_hash, ["h"], "inner")
-    return both.select("sha", "doc_n", F.explode("found").alias("found")).filter("doc_n >= found.need").select("sha").distinct()
+    own = [F.when((F.col("doc_n") >= c["need"]) & (F.col("h") <= c["most"]), F.lit(c["size_class"])) for c in classes]
+    hashes = hashes.withColumn("size_class", F.explode(F.array_compact(F.array(*own).cast("array<int>"))))
+    return attach(hashes, by_hash, ["size_class", "h"], "inner").filter("doc_n >= need").select("sha").distinct()
 
 
 def contained(docs: DataFrame, benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """(sha, item, item_ids, shared, n) of the distinct texts of docs (sha, text) that hold 0.8 or more of an item's shingles."""
+    """(sha, item, item_ids, shared, shingles) of the distinct texts of docs (sha, text) that hold 0.8 or more of an item's shingles."""
     items = written(items_of(benchmark, id_col, text_col), "items", narrow=True)
     some = written(_candidates(docs, items), "candidates", narrow=True)
     texts = attach(docs.select("sha", "text"), some, ["sha"], "left_semi").groupBy("sha").agg(F.first("text").alias("text"))
     shingles = texts.select("sha", F.explode_outer(F.array_distinct(_shingled(F.col("text"), _text)["shingles"])).alias("shingle"))
-    by_shingle = items.select("item", F.explode("shingles").alias("shingle")).groupBy("shingle").agg(F.collect_set("item").alias("found"))
-    by_shingle = written(by_shingle, "by_shingle", narrow=True)
-    shared = attach(shingles, by_shingle, ["shingle"], "inner").select("sha", F.explode("found").alias("item")).groupBy("sha", "item").agg(F.count(F.lit(1)).alias("shared"))
-    return attach(shared, items.select("item", "item_ids", F.col("n").alias("shingles")), ["item"], "inner").filter(F.col("shared") * SHARE[1] >= F.col("shingles") * SHARE[0]).select("sha", "item", "item_ids", "shared", "shingles")
+    owned = items.select("item", "n", F.explode("shingles").alias("shingle"))
+    held = written(owned.groupBy("shingle").agg(F.count(F.lit(1)).alias("owners")), "held", narrow=True)
+    hits = written(attach(shingles, held, ["shingle"], "inner").select("sha", "shingle"), "hits", narrow=True)  # a text's shingles are distinct
+    ranked = attach(owned, held, ["shingle"], "inner", "owners").groupBy("item", "n").agg(F.sort_array(F.collect_list(F.struct("owners", "shingle"))).alias("s"))
+    rare = written(ranked.select("item", F.explode(F.slice("s", F.lit(1), _kept(F.col("n")))["shingle"]).alias("shingle")), "rare", narrow=True)
+    pairs = written(hits.join(F.broadcast(rare) if small(rare) else rare, "shingle").select("sha", "item").distinct(), "pairs", narrow=True)
+    each = attach(pairs, items.select("item", "item_ids", "n", "shingles"), ["item"], "inner").select("sha", "item", "item_ids", "n", F.explode("shingles").alias("shingle"))
+    shared = attach(each, hits, ["sha", "shingle"], "inner").groupBy("sha", "item").agg(F.first("item_ids").alias("item_ids"), F.count(F.lit(1)).alias("shared"), F.first("n").alias("shingles"))
+    return shared.filter(F.col("shared") * SHARE[1] >= F.col("shingles") * SHARE[0])
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of docs whose text holds an item: id, n_items, item_ids (comma-joined, ascending), containment.
 
-    Words are runs of letters and digits, in lower case; a shingle is five of them, a text of fewer is one shingle.
+    Words are runs of letters and digits, in lower case; a shingle is five of them, a text of fewer is one shingle, so an
+    item of one to four words is found where it is the whole document.
     containment is the greatest share of an item's distinct shingles that the document has, 0.8 or more. Null and empty
     texts and items without words match nothing. Repeated rows are reported each, items with the same words together.
-    Empty input on either side gives an empty result.
+    Empty input on either side gives an empty result. Other columns, whatever their names, are not looked at. Of a very
+    long text one task holds the shingles.
     """
     text = whole_text(text_col)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.sha2(text, 256).alias("sha"), text.alias("text"))
@@ -110,8 +123,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs without the rows that hold an item of the benchmark."""
-    return without(docs, contamination(docs, benchmark))
+    """docs without the rows that hold an item of the benchmark (item_id, text); all columns are kept as they are."""
+    return without(docs, contamination(docs.select("doc_id", "text"), benchmark))
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from schemaloom.llm._common import attach, id_text, table, whole_text, without, written
+from schemaloom.llm._common import attach, every, fresh, id_text, table, whole_text, without, written
 
 #: Fingerprints that a block of the merged filter holds on average.
 BLOCK_FINGERPRINTS = 1 << 19
@@ -28,8 +28,9 @@ class CountingQuotientFilter:
 
     A fingerprint's next ``q_bits`` bits are its quotient, the rest its remainder. Remainders stand in runs by
     quotient, sorted within a run; a bit for each quotient says whether it has a run, a bit for each slot whether it
-    ends one. Counts of one take no room: a bit for each slot says whether it has a counter. As no bit of a
-    fingerprint is given up, merging loses nothing, whatever the sizes of the filters.
+    ends one. Counts of one take no room: a bit for each slot says whether it has a counter. Counters are as wide as
+    the greatest of the filter needs, up to 64 bits, so none wraps. As no bit of a fingerprint is given up, merging
+    loses nothing, whatever the sizes of the filters.
     """
 
     def __init__(self, block: int, block_bits: int, fingerprints: np.ndarray, counts: np.ndarray):
@@ -45,7 +46,7 @@ class CountingQuotientFilter:
         self.run_end = np.ones(n, bool)
         self.run_end[:-1] = quotient[1:] != quotient[:-1]
         self.counted = counts > 1
-        self.counters = counts[self.counted].astype(np.uint32)
+        self.counters = counts[self.counted].astype(np.int64)
 
     @classmethod
     def of(cls, block: int, block_bits: int, fingerprints: np.ndarray, counts: np.ndarray | None = None) -> CountingQuotientFilter:
@@ -66,14 +67,15 @@ class CountingQuotientFilter:
         return top | (quotient << shift) | self.remainders, counts
 
     def to_bytes(self) -> bytes:
-        head = np.array([self.block, self.block_bits, self.q_bits, len(self.remainders), len(self.counters)], np.int64)
-        return b"".join((head.tobytes(), np.packbits(self.occupied).tobytes(), np.packbits(self.run_end).tobytes(), np.packbits(self.counted).tobytes(), self.remainders.astype(np.uint64).tobytes(), self.counters.tobytes()))
+        width = next(w for w in (1, 2, 4, 8) if not len(self.counters) or int(self.counters.max()) >> (8 * w - 1) == 0)
+        head = np.array([self.block, self.block_bits, self.q_bits, len(self.remainders), len(self.counters), width], np.int64)
+        return b"".join((head.tobytes(), np.packbits(self.occupied).tobytes(), np.packbits(self.run_end).tobytes(), np.packbits(self.counted).tobytes(), self.remainders.astype(np.uint64).tobytes(), self.counters.astype(f"<i{width}").tobytes()))
 
     @classmethod
     def from_bytes(cls, data: bytes) -> CountingQuotientFilter:
         self = cls.__new__(cls)
-        block, block_bits, q_bits, n, m = np.frombuffer(data, np.int64, 5).tolist()
-        self.block, self.block_bits, self.q_bits, at = block, block_bits, q_bits, 40
+        block, block_bits, q_bits, n, m, width = np.frombuffer(data, np.int64, 6).tolist()
+        self.block, self.block_bits, self.q_bits, at = block, block_bits, q_bits, 48
 
         def bits(k: int) -> np.ndarray:
             nonlocal at
@@ -84,13 +86,33 @@ class CountingQuotientFilter:
 
         self.occupied, self.run_end, self.counted = bits(1 << q_bits), bits(n), bits(n)
         self.remainders = np.frombuffer(data, np.uint64, n, at)
-        self.counters = np.frombuffer(data, np.uint32, m, at + 8 * n)
+        self.counters = np.frombuffer(data, f"<i{width}", m, at + 8 * n).astype(np.int64)
         return self
 
     @classmethod
     def merged(cls, filters: list[CountingQuotientFilter]) -> CountingQuotientFilter:
-        both = [f.items() for f in filters]
-        return cls.of(filters[0].block, filters[0].block_bits, np.concatenate([x[0] for x in both]), np.concatenate([x[1] for x in both]))
+        """One filter of all: two by two their runs are merged in the order of quotient and remainder, equal ones add up."""
+        parts = [f.items() for f in filters]
+        while len(parts) > 1:
+            parts = [merge_sorted(*parts[i], *parts[i + 1]) if i + 1 < len(parts) else parts[i] for i in range(0, len(parts), 2)]
+        return cls(filters[0].block, filters[0].block_bits, *parts[0])
+
+
+def merge_sorted(a: np.ndarray, n: np.ndarray, b: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The union of two ascending lists of different values, whose counts n and m are added."""
+    if len(a) < len(b):
+        a, n, b, m = b, m, a, n
+    at = np.searchsorted(a, b)
+    both = at < len(a)
+    both[both] = a[at[both]] == b[both]
+    n = n.copy()
+    n[at[both]] += m[both]
+    place = at[~both] + np.arange(np.count_nonzero(~both))
+    old = np.ones(len(a) + len(place), bool)
+    old[place] = False
+    values, counts = np.empty(len(old), a.dtype), np.empty(len(old), n.dtype)
+    values[old], values[place], counts[old], counts[place] = a, b[~both], n, m[~both]
+    return values, counts
 
 
 def _filters(block_bits: int):
@@ -134,7 +156,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     Texts are equal when their bytes are; null counts as empty. Of equal texts the largest id stays. A null id never
     wins over another; if all ids of a group are null, keep_id is null and kept is true. Rows that repeat the id as
     well as the text are one document given twice: both count in group_size and have the same decision. Empty input
-    gives an empty result; other columns of docs are not looked at.
+    gives an empty result; other columns of docs are not looked at and not returned. Very long texts are never held
+    in Python: only their fingerprints are.
     """
     text = whole_text(text_col)
     rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("_text"), F.xxhash64(text).alias("fp"))
@@ -155,17 +178,21 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """docs with one row of each group of equal texts, that with the largest doc_id; of rows that repeat id and text one stays."""
-    found = exact_dedup(docs)
+    """docs with one row of each group of equal texts, that with the largest doc_id; of rows that repeat id and text one stays.
+
+    docs needs doc_id (of any type with an order) and text; all columns are kept as they are, whatever their names. Null
+    texts count as empty, so of null and empty texts one row stays. Empty input gives an empty result.
+    """
+    found = exact_dedup(docs.select("doc_id", "text"))
     out = without(docs, found.filter(~F.col("kept")))
+    key, sha, n = fresh("key", docs), fresh("sha", docs), fresh("n", docs)
     again = found.filter("kept and group_size > 1").groupBy("doc_id", "text_sha256").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    again = written(again.drop("n"), "repeated", narrow=True)
+    again = written(again.select(id_text().alias(key), F.col("text_sha256").alias(sha), F.col("n").alias(n)), "repeated", narrow=True)
     if again.isEmpty():
         return out
-    keyed = out.withColumn("_id", id_text()).withColumn("_sha", F.sha2(whole_text(), 256))
-    keys = written(again.select(id_text().alias("_id"), F.col("text_sha256").alias("_sha")), "keys", narrow=True)
-    repeated = attach(keyed, keys, ["_id", "_sha"], "left_semi")
-    return without(out, again).unionByName(repeated.dropDuplicates(["_id", "_sha"]).select(*docs.columns))
+    keyed = out.withColumns({key: id_text(), sha: F.sha2(whole_text(), 256)})
+    one = attach(keyed, again, [key, sha], "inner", n).groupBy(key, sha).agg(F.first(F.struct(*every(docs))).alias("row")).select("row.*")
+    return attach(keyed, again, [key, sha], "left_anti", n).select(*every(docs)).unionByName(one)
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
-from schemaloom.llm._common import slices, table, whole_text
+from schemaloom.llm._common import SLICE, attach, every, fresh, slices, table, whole_text, written
 
 #: Buckets of hashed n-grams, and their lengths in characters.
 BUCKETS, GRAMS = 1 << 13, (1, 2, 3)
@@ -145,7 +145,9 @@ def fit(labelled: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS) -
     """A model from ``labelled`` (doc_id, text, lang); rows whose lang is null are left out.
 
     The weights of n-grams come from all labelled rows. The centroids are fitted on about ``sample`` rows of each
-    language, so nothing that reaches one task or the driver grows with the input.
+    language, drawn by a hash of id and text (rows that repeat both are drawn together), so what reaches one task or the
+    driver grows with the number of languages only. Null texts and texts without letters teach nothing; without any
+    labelled row the model rejects everything.
     """
     rows = labelled.filter(F.col("lang").isNotNull()).select("doc_id", whole_text().alias("text"), "lang")
 
@@ -163,12 +165,13 @@ def fit(labelled: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS) -
     counted = dict(map(tuple, rows.select("text").mapInArrow(frequencies, "bucket int, n long").groupBy("bucket").agg(F.sum("n")).collect()))
     docs = counted.get(-1, 0)
     idf = np.array([np.log((1 + docs) / (1 + max(counted.get(i, 0), RAREST * docs))) + 0.1 for i in range(BUCKETS)], np.float32)
-    sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    sizes = written(rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")), "languages", narrow=True)
     share = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 40)) / float(1 << 40)
-    drawn = rows.join(F.broadcast(sizes), "lang").filter(share < F.lit(float(sample)) / F.col("n")).select("lang", "text")
+    drawn = attach(rows, sizes, ["lang"], "inner", "n").filter(share < F.lit(float(sample)) / F.col("n")).select("lang", "text")
 
     def clusters(group: pa.Table) -> pa.Table:
-        points, grams = vectors(group.column("text").to_pylist(), idf)
+        parts = [vectors(group.column("text").slice(at, SLICE).to_pylist(), idf) for at in range(0, group.num_rows, SLICE)]
+        points, grams = (np.concatenate(x) for x in zip(*parts, strict=True))
         points, grams = points[grams > 0], grams[grams > 0]
         order = np.lexsort((points[:, 1], points[:, 0]))
         found, cosines = kmeans(points[order], centroids, ROUNDS) if len(points) else ([], [])
@@ -186,14 +189,20 @@ def fit(labelled: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS) -
 
 
 def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:
-    """docs with lang_pred, score and rejected; columns of these names are replaced, all others kept.
+    """docs with lang_pred, score and rejected; columns of these names are replaced, all others kept, whatever their names.
 
     lang_pred is ``und`` if the text is null or has no letter; such rows are rejected too. A rejected text with letters
-    still has its nearest language. Rows are independent, so repeated rows get repeated results.
+    still has its nearest language. Rows are independent, so repeated rows get repeated results and an empty input an
+    empty one. A very long text is one Python object at a time.
     """
     held = docs.sparkSession.sparkContext.broadcast(model)
-    docs = docs.drop("lang_pred", "score", "rejected")
-    at = docs.columns.index(text_col)
+    added = ("lang_pred", "score", "rejected")
+    text = text_col
+    if text_col in added:
+        text = fresh("text", docs)
+        docs = docs.withColumn(text, F.col(text_col))
+    docs = docs.drop(*added)
+    at = docs.columns.index(text)
     schema = StructType([*docs.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType()), StructField("rejected", BooleanType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,7 +210,8 @@ def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> D
             lang, score, rejected = held.value.predict(batch.column(at).to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())], [f.name for f in schema])
 
-    return docs.mapInArrow(run, schema)
+    out = docs.mapInArrow(run, schema)
+    return out if text == text_col else out.drop(text)
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
@@ -215,8 +225,11 @@ def fit_on(docs: DataFrame) -> LanguageModel:
 
 
 def with_known_language(docs: DataFrame) -> DataFrame:
-    """docs without the rows that the model of all their labels rejects."""
-    return identify(docs, fit(docs.select("doc_id", "text", "lang"))).filter(~F.col("rejected")).select(*docs.columns)
+    """docs without the rows that the model of all their labels rejects; all columns are kept as they are."""
+    others = docs.drop("text")
+    rows = docs.select(F.struct(*every(others)).alias("row"), "text")
+    known = identify(rows, fit(docs.select("doc_id", "text", "lang"))).filter(~F.col("rejected"))
+    return known.select(*[F.col("text") if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,7 +1,8 @@
 """Secret scanning with an incremental ledger of blobs.
 
 Every version of every path is addressed by the SHA-256 of its content. The ledger is a table of (blob, rule, version,
-spans); only pairs of a blob and a rule version that it lacks are scanned, each distinct content once. A row of the
+scan, spans); only pairs of a blob and a rule version that it lacks are scanned, each distinct content once. What is
+unseen is found by the shuffle that brings equal contents together: the ledger's pairs take part in it. A row of the
 ledger is whole by itself, so a write that breaks off loses nothing: the next run scans the pairs that are missing.
 Findings are joined back to all paths by blob. Everything is DataFrame expressions.
 """
@@ -35,7 +36,9 @@ RULES = (
     Rule("access", r"AKIA[A-Z0-9]{12,}"),
     Rule("hex", r"[0-9a-f]{32,}"),
 )
-LEDGER = "blob binary, rule string, version int, spans array<struct<start:long,end:long>>"
+LEDGER = "blob binary, rule string, version int, scan int, spans array<struct<start:long,end:long>>"
+#: Arrivals that the query scans one after another.
+ARRIVALS = 2
 
 
 def _parts(rule: Rule) -> Column:
@@ -70,18 +73,21 @@ class SecretLedger:
             return self.spark.read.schema(LEDGER).parquet(self.path)
         return self.spark.createDataFrame([], LEDGER)
 
-    def scan(self, versions: DataFrame, text_col: str = "text") -> None:
-        """Scan what is new in ``versions`` (any columns beside the text) and append it to the ledger."""
+    def scan(self, versions: DataFrame, text_col: str = "text") -> int:
+        """Scan the pairs that are new in ``versions`` (any columns beside the text) and append them to the ledger; the number of the scan, from 1."""
         text = whole_text(text_col)
-        blobs = versions.select(F.unhex(F.sha2(text, 256)).alias("blob"), text.alias("text")).groupBy("blob").agg(F.first("text").alias("text"))
+        blobs = versions.select(F.unhex(F.sha2(text, 256)).alias("blob"), text.alias("text"), F.lit(None).cast("string").alias("rule"))
         known = self.read()
-        if known.isEmpty():
-            blobs = blobs.withColumn("done", F.array().cast("array<string>"))
-        else:
-            rules = F.map_from_entries(F.array(*[F.struct(F.lit(r.kind), F.lit(r.version)) for r in self.rules]))
-            done = written(known.filter(F.col("version") == rules[F.col("rule")]).groupBy("blob").agg(F.collect_set("rule").alias("done")), "seen", narrow=True)
-            blobs = attach(blobs, done, ["blob"], "left").withColumn("done", F.coalesce("done", F.array().cast("array<string>"))).filter(F.size("done") < len(self.rules))
-        _scanned(blobs, self.rules).coalesce(NARROW_FILES * self.spark.sparkContext.defaultParallelism).write.mode("append").parquet(self.path)
+        number = 1 + (known.agg(F.max("scan")).first()[0] or 0)
+        seen = F.lit(False)
+        for r in self.rules:
+            seen |= (F.col("rule") == r.kind) & (F.col("version") == r.version)
+        blobs = blobs.union(known.filter(seen).select("blob", F.lit(None).cast("string"), "rule"))
+        blobs = blobs.groupBy("blob").agg(F.first("text", ignorenulls=True).alias("text"), F.collect_set("rule").alias("done"))
+        unseen = blobs.filter(F.col("text").isNotNull() & (F.size("done") < len(self.rules)))
+        rows = _scanned(unseen, self.rules).select("blob", "rule", "version", F.lit(number).alias("scan"), "spans")
+        rows.coalesce(NARROW_FILES * self.spark.sparkContext.defaultParallelism).write.mode("append").parquet(self.path)
+        return number
 
     def findings(self) -> DataFrame:
         """(blob, spans array<struct<start,end,kind>>) by start, then kind in the rules' order, of blobs that have any."""
@@ -92,27 +98,40 @@ class SecretLedger:
         place = F.create_map(*[F.lit(x) for k, (i, _) in order.items() for x in (k, i)])
         rows = rows.filter(F.col("version") == versions[F.col("rule")]).dropDuplicates(["blob", "rule"])
         each = rows.select("blob", F.transform("spans", lambda s: F.struct(s["start"].alias("start"), place[F.col("rule")].alias("place"), s["end"].alias("end"), F.col("rule").alias("kind"))).alias("spans"))
-        return each.groupBy("blob").agg(F.sort_array(F.flatten(F.collect_list("spans"))).alias("spans"))
+        return each.groupBy("blob").agg(F.sort_array(F.flatten(F.collect_list("spans"))).alias("spans"))  # a row for each rule
 
+    def scans(self) -> DataFrame:
+        """(scan, rule, version, pairs): how many pairs of a blob and a rule version each scan had to do."""
+        return self.read().groupBy("scan", "rule", "version").agg(F.count(F.lit(1)).alias("pairs"))
 
-def secret_scan(versions: DataFrame, ledger: SecretLedger, text_col: str = "text") -> DataFrame:
-    """versions with the columns blob (binary) and secret_spans (array of start, place, end, kind; empty where none).
 
-    Null texts count as empty; repeated rows are scanned once and each gets the findings; empty input gives an empty
-    result. Input columns of those two names are replaced, others are kept.
+def with_findings(versions: DataFrame, ledger: SecretLedger, text_col: str = "text") -> DataFrame:
+    """versions without the text column, with blob (binary) and secret_spans (array of start, place, end, kind; empty where none) from the ledger.
+
+    Columns of those two names are replaced, others are kept as they are. Null texts count as empty; repeated rows each
+    get the findings; empty input gives an empty result. A very long text is matched where it lies, by Spark's own regular
+    expressions.
     """
-    ledger.scan(versions, text_col)
     found = written(ledger.findings(), "findings", narrow=True)
     keyed = versions.drop("blob", "secret_spans").withColumn("blob", F.unhex(F.sha2(whole_text(text_col), 256)))
     others = [c for c in keyed.columns if c not in ("blob", text_col)]
-    narrow = keyed.select(F.struct(F.lit(0).alias("_"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(others)]).alias("_row"), "blob")
+    plain = lambda c: F.col("`" + c.replace("`", "``") + "`")
+    narrow = keyed.select(F.struct(F.lit(0).alias("c"), *[plain(c).alias(f"c{i}") for i, c in enumerate(others)]).alias("row"), "blob")
     spans = F.coalesce(F.col("spans"), F.array().cast(found.schema["spans"].dataType)).alias("secret_spans")
-    return attach(narrow, found, ["blob"], "left").select(*[F.col("_row")[f"c{i}"].alias(c) for i, c in enumerate(others)], "blob", spans)
+    return attach(narrow, found, ["blob"], "left").select(*[F.col("row")[f"c{i}"].alias(c) for i, c in enumerate(others)], "blob", spans)
+
+
+def secret_scan(versions: DataFrame, ledger: SecretLedger, text_col: str = "text") -> DataFrame:
+    """``with_findings`` after a scan of what is new in versions."""
+    ledger.scan(versions, text_col)
+    return with_findings(versions, ledger, text_col)
 
 
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = secret_scan(docs, SecretLedger(spark, shared_dir(spark, "ledger")))
+    docs, ledger = table(spark, sf_dir, "documents").select("doc_id", "text"), SecretLedger(spark, shared_dir(spark, "ledger"))
+    for arrival in range(ARRIVALS):
+        ledger.scan(docs.filter(F.coalesce(F.pmod("doc_id", F.lit(ARRIVALS)), F.lit(0)) == arrival))
+    out = with_findings(docs, ledger)
     count = lambda kind: F.size(F.filter("secret_spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     joined = F.array_join(F.transform("secret_spans", lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
     return out.select("doc_id", *[count(r.kind) for r in RULES], F.sha2(joined, 256).alias("base_sha256"), joined.alias("spans"))

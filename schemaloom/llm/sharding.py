@@ -24,6 +24,8 @@ from schemaloom.llm._common import attach, shared_dir, table, written
 TARGET, FACTOR, LEAST = 64 << 20, 4, 4
 #: Shards of a tier that are packed together, on average; each such bin leaves one run at most that is not full.
 BIN = 1024
+#: The query: arrivals that are appended one after another, arriving shards that make a full one, and the least and greatest target.
+ARRIVALS, SMALL, TARGETS, FILES = 4, 16, (1 << 17, TARGET), 8
 
 
 class CommitConflict(RuntimeError):
@@ -81,23 +83,23 @@ class ShardStore:
             raise
         return version
 
-    def _written(self, df: DataFrame, level: int | Column, version: int) -> DataFrame:
-        """df as new files; their manifest rows."""
+    def _written(self, df: DataFrame, level: int | Column, version: int, shard_rows: int = 0) -> DataFrame:
+        """df as new files of at most ``shard_rows`` rows (0: any number); their manifest rows."""
         folder = f"{self.path}/data/{uuid.uuid4().hex}"
-        df.write.option("compression", "zstd").parquet(folder)
+        df.write.option("compression", "zstd").option("maxRecordsPerFile", shard_rows).parquet(folder)
         files = self.spark.read.schema(df.schema).parquet(folder).select(F.col("_metadata.file_path").alias("shard"), F.col("_metadata.file_size").alias("bytes"))
         rows = files.groupBy("shard").agg(F.count(F.lit(1)).alias("rows"), F.first("bytes").alias("bytes"))
         return rows.select("shard", F.lit(folder).alias("folder"), "rows", "bytes", F.lit(level).alias("level"), F.lit(version).cast("long").alias("since"))
 
-    def append(self, arrivals: DataFrame) -> int:
-        """Write arrivals as new shards, one or more for each of their partitions, and commit; the new version.
+    def append(self, arrivals: DataFrame, shard_rows: int = 0) -> int:
+        """Write arrivals as new shards, one or more for each of their partitions, of at most ``shard_rows`` rows if that is given, and commit; the new version.
 
         Arrivals must have the columns that the store has.
         """
         version = self.version() + 1
         if version > 1 and [(f.name, f.dataType) for f in self.schema()] != [(f.name, f.dataType) for f in arrivals.schema]:
             raise ValueError("arrivals have other columns than the store")
-        new = self._written(arrivals, 0, version)
+        new = self._written(arrivals, 0, version, shard_rows)
         return self._commit(version, new if version == 1 else self.manifest(version - 1).unionByName(new), arrivals.schema)
 
     def plan(self, manifest: DataFrame) -> DataFrame:
@@ -141,13 +143,25 @@ class ShardStore:
             self._commit(version + 1, kept.unionByName(new), schema)
 
 
+def stored_bytes(df: DataFrame) -> int:
+    """Bytes of the files that df is read from."""
+    files = df.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("size")).groupBy("path").agg(F.max("size").alias("size"))
+    return files.agg(F.sum("size")).first()[0] or 0
+
+
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    store = ShardStore(spark, shared_dir(spark, "shards"))
+    """Documents arrive in ARRIVALS parts as small shards, a SMALL-th of the target each; the target is a FILES-th of the table within TARGETS."""
     docs = table(spark, sf_dir, "documents")
-    store.append(docs)
+    size, rows = stored_bytes(docs), docs.count()
+    target = min(max(size // FILES, TARGETS[0]), TARGETS[1])
+    shard_rows = max(1, rows * target // (SMALL * max(1, size)))
+    store = ShardStore(spark, shared_dir(spark, "shards"), target)
+    arrival = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(ARRIVALS))
+    for i in range(ARRIVALS):
+        store.append(docs.filter(arrival == i), shard_rows)
     version = store.compact()
     name = F.element_at(F.split("shard", "/"), -1)
-    return store.read(version).select(F.col("row.doc_id").alias("doc_id"), F.sha2(F.coalesce("row.text", F.lit("")), 256).alias("text_sha256"), name.alias("shard"), F.col("rows").alias("shard_rows"), F.col("bytes").alias("shard_bytes"), F.col("level").alias("shard_level"), F.lit(version).cast("long").alias("version"))
+    return store.read(version).select(F.col("row.doc_id").alias("doc_id"), F.sha2(F.coalesce("row.text", F.lit("")), 256).alias("text_sha256"), name.alias("shard"), F.col("rows").alias("shard_rows"), F.col("bytes").alias("shard_bytes"), F.col("level").alias("shard_level"), F.col("since").alias("shard_since"), F.lit(version).cast("long").alias("version"))
 
 
 QUERIES = {"op1_sharding": op1_sharding}

@@ -3,13 +3,14 @@
 The top of a tree is built on the driver from a bounded sample of fingerprints. At each node a vantage point and a
 radius part the fingerprints into an inner and an outer side. Every fingerprint has one home shard; it also visits the
 shards that its ball reaches: an inner point near the border visits the outer side (never the reverse, so each pair
-meets once), and a visitor goes wherever the triangle inequality allows a partner. In a shard the tree goes on
-until its leaves are small, then distances are compared exactly. A shard returns a spanning forest, not its pairs.
+meets once), and a visitor goes wherever the triangle inequality allows a partner. Vantage points and radii are those
+whose border is thinnest for the halving they bring. A shard that is still too large gets a tree of its own. In a shard
+the tree goes on until its leaves are small, then distances are compared exactly. A shard returns a spanning forest, not
+its pairs.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,6 +18,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from schemaloom.llm._common import attach, slices, table, whole_text, without, written
 from schemaloom.llm.components import components
@@ -24,19 +26,23 @@ from schemaloom.llm.components import components
 BITS, SEED = 64, 42
 #: Words of a shingle, and differing bits that still link.
 SHINGLE, RADIUS = 3, 2
-#: Fingerprints that lay out the top of the tree (bounded; only the shards' balance hangs on it, never a result).
+#: Fingerprints that lay out the tops of trees (bounded; only the shards' balance hangs on it, never a result).
 SAMPLE = 1 << 16
-#: Distinct fingerprints a shard is planned for, and those a leaf inside it compares directly.
-SHARD, LEAF = 2048, 48
-#: The pipeline's stage: words of a shingle, the least Jaccard similarity as a fraction, and the reaches of its rounds in
-#: 128 bits. At 0.8 long texts differ by 19 +- 4 bits, the shortest (4 of 5 shingles) by 24 +- 4, strangers by 64 +- 6.
-STAGE_SHINGLE, JACCARD, REACHES = 5, (4, 5), (16, 38)
-#: Points of the stage: fingerprint, unit, component so far, different shingles.
-WIDE = np.dtype([("lo", "<u8"), ("hi", "<u8"), ("uid", "<i8"), ("comp", "<i8"), ("n", "<i8")])
+#: Fingerprints a shard is planned for, those that it may have with its visitors before it is parted again (16 MB), and those a leaf inside it compares directly.
+SHARD, CROWD, LEAF = 1 << 17, 1 << 21, 48
+#: Vantage points that are tried for a node, and sampled points below which a node isn't parted further.
+TRIED, LEAST = 12, 16
 
 _bit_of_byte = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 
 
+def print_of(hashes: np.ndarray) -> int:
+    """The fingerprint of 64-bit hashes: a bit is set where over half of them have it; zero of none."""
+    bytes_ = hashes.astype("<u8").view(np.uint8).reshape(-1, 8) + np.arange(0, 2048, 256, dtype=np.int64)
+    counts = np.bincount(bytes_.ravel(), minlength=2048).reshape(8, 256) @ _bit_of_byte
+    return int.from_bytes(np.packbits(counts.ravel() * 2 > len(hashes), bitorder="little").tobytes(), "little")
+
+
 def simhash(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
     """The fingerprint of a UTF-8 text: A-Z lower-cased, words parted by ASCII white space, a bit where over half the shingles' XXH64 have it."""
     words = text.lower().split()
@@ -50,44 +56,39 @@ def simhash(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
     begin = (end - size)[: len(words) - shingle + 1].tolist()
     end = end[shingle - 1 :].tolist()
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter([digest(joined[a:b], seed) for a, b in zip(begin, end, strict=True)], np.uint64, len(begin))
-    bytes_ = hashes.astype("<u8").view(np.uint8).reshape(-1, 8) + np.arange(0, 2048, 256, dtype=np.int64)
-    counts = np.bincount(bytes_.ravel(), minlength=2048).reshape(8, 256) @ _bit_of_byte
-    return int.from_bytes(np.packbits(counts.ravel() * 2 > len(begin), bitorder="little").tobytes(), "little")
-
-
-def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches):
-        prints = np.array([simhash(t.as_buffer().to_pybytes()) for t in batch.column(1).cast(pa.large_binary())], np.uint64)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints.view(np.int64)), batch.column(2)], ["doc_id", "fp", "text_sha256"])
+    return print_of(np.fromiter([digest(joined[a:b], seed) for a, b in zip(begin, end, strict=True)], np.uint64, len(begin)))
 
 
 def apart(x: np.ndarray, y: np.ndarray | np.uint64) -> np.ndarray:
-    if x.dtype.names:
-        return np.bitwise_count(x["lo"] ^ y["lo"]) + np.bitwise_count(x["hi"] ^ y["hi"])
     return np.bitwise_count(x ^ y)
 
 
-def _cut(points: np.ndarray) -> tuple[np.uint64, int] | None:
-    """A vantage point and radius that part the points best in half: inner is distance <= radius. None if no point parts them."""
-    best, most = None, 0
-    for k in dict.fromkeys((0, len(points) // 3, 2 * len(points) // 3, len(points) - 1)):
-        below = np.cumsum(np.bincount(apart(points, points[k]), minlength=BITS + 1))
-        even = np.minimum(below, len(points) - below)
-        radius = int(np.argmax(even))
-        if even[radius] > most:
-            best, most = (points[k], radius), even[radius]
+def _cut(points: np.ndarray, reach: int, tried: int) -> tuple[np.uint64, int] | None:
+    """A vantage point and radius (inner is distance <= radius) that part the points best: the most bits of order for the fewest copies. None if no point parts them."""
+    best, most, n = None, 0.0, len(points)
+    for k in dict.fromkeys(np.linspace(0, n - 1, tried).astype(int).tolist()):
+        shell = np.bincount(apart(points, points[k]), minlength=BITS + 1)
+        below = np.cumsum(shell)
+        share = below / n
+        border = (below - np.concatenate((np.zeros(reach), below[: BITS + 1 - reach]))) / n  # inner points that visit the outer side
+        with np.errstate(divide="ignore", invalid="ignore"):
+            order = -np.nan_to_num(share * np.log2(share)) - np.nan_to_num((1 - share) * np.log2(1 - share))
+        worth = order / np.log2(1.02 + 2 * border)
+        radius = int(np.argmax(worth))
+        if worth[radius] > most and 0 < below[radius] < n:
+            best, most = (points[k], radius), worth[radius]
     return best
 
 
-def plan(sample: np.ndarray, depth: int) -> list:
-    """The top of the tree in preorder: (vantage point, radius, index of outer child), or (shard number,) for a leaf."""
+def plan(sample: np.ndarray, parts: int, reach: int = RADIUS) -> list:
+    """The top of a tree with about ``parts`` leaves in preorder: (vantage point, radius, index of outer child), or (shard number,) for a leaf."""
     nodes: list = []
     shards = 0
+    least = max(LEAST, len(sample) // max(1, parts))
 
-    def grow(points: np.ndarray, left: int) -> None:
+    def grow(points: np.ndarray) -> None:
         nonlocal shards
-        cut = _cut(points) if left and len(points) >= 8 else None
+        cut = _cut(points, reach, TRIED) if parts > 1 and len(points) > least else None
         if cut is None:
             nodes.append((shards,))
             shards += 1
@@ -95,11 +96,11 @@ def plan(sample: np.ndarray, depth: int) -> list:
         at = len(nodes)
         nodes.append(None)
         inner = apart(points, cut[0]) <= cut[1]
-        grow(points[inner], left - 1)
+        grow(points[inner])
         nodes[at] = (cut[0], cut[1], len(nodes))
-        grow(points[~inner], left - 1)
+        grow(points[~inner])
 
-    grow(sample, depth)
+    grow(sample)
     return nodes
 
 
@@ -140,7 +141,7 @@ def linked(home: np.ndarray, visit: np.ndarray, reach: int) -> tuple[np.ndarray,
         h, v = todo.pop()
         if not len(h) or len(h) == 1 and not len(v):
             continue
-        cut = _cut(h) if len(h) > LEAF else None
+        cut = _cut(h, reach, 4) if len(h) > LEAF else None
         if cut is not None:
             todo += _sides(h, v, *cut, reach)
             continue
@@ -157,39 +158,69 @@ def linked(home: np.ndarray, visit: np.ndarray, reach: int) -> tuple[np.ndarray,
     return a, b
 
 
+def _sharded(prints: DataFrame, rows: int, reach: int) -> DataFrame:
+    """(shard, home, fp) of the distinct values of fp and their visits; shards of more than CROWD rows are parted again and again, unless no cut makes them smaller."""
+    now = prints.select(F.lit(0).cast("long").alias("shard"), F.lit(True).alias("home"), "fp")
+    sizes, allowed = {0: rows}, SHARD
+    while True:
+        big = {s: n for s, n in sizes.items() if n > allowed}
+        if not big:
+            return now
+        some = now.filter(F.col("shard").isin(list(big))) if len(sizes) > 1 else now
+        drawn = some.filter("home").orderBy(F.xxhash64("fp")).limit(SAMPLE).select("shard", "fp").collect()
+        trees, first = {}, max(sizes) + 1
+        for shard, n in sorted(big.items()):
+            tree = plan(np.array([r[1] for r in drawn if r[0] == shard], np.int64).view(np.uint64), -(-n // SHARD), reach)
+            if len(tree) > 1:
+                trees[shard] = first, tree
+                first += sum(len(x) == 1 for x in tree)
+
+        def spread(batches: Iterator[pa.RecordBatch], trees: dict = trees) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                shard, home, fp = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
+                for s in np.unique(shard).tolist():
+                    mine = shard == s
+                    points, at_home = fp[mine].view(np.uint64), home[mine]
+                    begin, tree = trees.get(s, (s, [(0,)]))
+                    for leaf, inside, visit in route(tree, points[at_home], reach, points[~at_home]):
+                        n = len(inside) + len(visit)
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(n, begin + leaf)), pa.array(np.arange(n) < len(inside)), pa.array(np.concatenate([inside, visit]).view(np.int64))], ["shard", "home", "fp"])
+
+        now = written(now.mapInArrow(spread, "shard long, home boolean, fp long"), "sharded", narrow=True)
+        allowed, before, sizes = CROWD, sizes, dict(map(tuple, now.groupBy("shard").count().collect()))  # a row for each shard
+        if max(sizes.values()) >= max(before.values()):
+            return now
+
+
 def hamming_links(prints: DataFrame, rows: int, reach: int = RADIUS) -> DataFrame:
-    """(a, b) longs: links between the distinct values of the long column fp that keep every component of the graph "differs in at most reach bits"."""
-    sample = np.array([r[0] for r in prints.select("fp").orderBy(F.xxhash64("fp")).limit(SAMPLE).collect()], np.int64).view(np.uint64)
-    depth = max(0, -(-rows // SHARD) - 1).bit_length()
-    nodes = plan(sample, min(depth, 12)) if len(sample) else [(0,)]
-
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            for shard, home, visit in route(nodes, batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64), reach):
-                n = len(home) + len(visit)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, shard, np.int32)), pa.array(np.arange(n) < len(home)), pa.array(np.concatenate([home, visit]).view(np.int64))], ["shard", "home", "fp"])
+    """(a, b) longs: links between the distinct values of the long column fp that keep every component of the graph "differs in at most reach bits"; rows: how many there are."""
 
     def join(shard: pa.Table) -> pa.Table:
         points, home = shard.column("fp").to_numpy().view(np.uint64), shard.column("home").to_numpy(zero_copy_only=False).astype(bool)
         a, b = linked(points[home], points[~home], reach)
         return pa.table({"a": pa.array(a.view(np.int64)), "b": pa.array(b.view(np.int64))})
 
-    return prints.select("fp").mapInArrow(spread, "shard int, home boolean, fp long").groupBy("shard").applyInArrow(join, "a long, b long")
+    return _sharded(prints, rows, reach).groupBy("shard").applyInArrow(join, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach: int = RADIUS, digest: bool = False) -> DataFrame:
-    """One row for each row of docs: id, fingerprint (16 hex digits), component_id, and text_sha256 with ``digest``.
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
+    """One row for each row of docs: id, fingerprint (16 hex digits), component_id, text_sha256.
 
-    component_id is the smallest id that is reachable over links, the document itself included. Null texts count as
-    empty; texts without words have fingerprint zero, linked like any other. A null id is never the smallest; a
-    component of null ids only has a null component_id. Repeated rows get repeated rows. Empty input: empty result.
+    component_id is the smallest id that is reachable over links, the document itself included; ids are of any type with
+    an order. Null texts count as empty; texts without words have fingerprint zero, linked like any other. A null id is
+    never the smallest; a component of null ids only has a null component_id. Repeated rows get repeated rows. Empty
+    input: empty result. Other columns, whatever their names, are not looked at. A very long text is one Python object
+    at a time, its shingles' hashes an array.
     """
-    text = whole_text(text_col)
-    sha = F.sha2(text, 256) if digest else F.lit(None).cast("string")
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), sha.alias("text_sha256")).mapInArrow(_fingerprints, "doc_id long, fp long, text_sha256 string")
-    rows = written(rows, "prints")
+    text, kind = whole_text(text_col), docs.schema[id_col].dataType
+    schema = StructType([StructField("doc_id", kind), StructField("fp", LongType()), StructField("text_sha256", StringType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            prints = np.array([simhash(t.as_buffer().to_pybytes(), shingle) for t in batch.column(1).cast(pa.large_binary())], np.uint64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints.view(np.int64)), batch.column(2)], ["doc_id", "fp", "text_sha256"])
+
+    rows = written(docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), F.sha2(text, 256).alias("text_sha256")).mapInArrow(run, schema), "prints")
     prints = written(rows.groupBy("fp").agg(F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("n")), "distinct", narrow=True)
     edges = written(hamming_links(prints, prints.count(), reach), "links", narrow=True)
     roots = written(components(edges).withColumnRenamed("node", "fp"), "roots", narrow=True)
@@ -198,156 +229,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     lowest = written(grouped.groupBy("root").agg(F.min("low").alias("component_id"), F.count(F.lit(1)).alias("n")), "lowest", narrow=True)
     labels = written(attach(grouped, lowest, ["root"], "left", "n").select("fp", "component_id", F.col("size").alias("n")), "labels", narrow=True)
     out = attach(rows, labels, ["fp"], "left", "n")
-    return out.select(F.col("doc_id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", *["text_sha256"] * digest)
+    return out.select(F.col("doc_id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "text_sha256")
 
 
 def near_deduplicated(docs: DataFrame) -> DataFrame:
-    """docs with those rows whose doc_id is their component's smallest; a component without any id keeps all its rows."""
-    found = near_duplicates(docs, digest=True)
+    """docs with those rows whose doc_id is their component's smallest; a component without any id keeps all its rows. All columns are kept as they are."""
+    found = near_duplicates(docs.select("doc_id", "text"))
     return without(docs, found.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))))
 
 
-def shingle_set(text: bytes) -> set[bytes]:
-    """The different five-word shingles of a UTF-8 text, words as in ``simhash``; a text of fewer words is one shingle."""
-    words = text.lower().split()
-    return {b" ".join(words[i : i + STAGE_SHINGLE]) for i in range(max(1, len(words) - STAGE_SHINGLE + 1))} if words else set()
-
-
-def wide_print(shingles: set[bytes]) -> tuple[int, int]:
-    """128 bits as two longs: a bit where over half of the different shingles' XXH128 have it."""
-    if not shingles:
-        return 0, 0
-    digests = np.frombuffer(b"".join([xxhash.xxh128_digest(s, SEED) for s in shingles]), np.uint8).reshape(-1, 16)
-    counts = np.bincount((digests + np.arange(0, 4096, 256, dtype=np.int64)).ravel(), minlength=4096).reshape(16, 256) @ _bit_of_byte
-    lo, hi = np.packbits(counts.ravel() * 2 > len(shingles), bitorder="little").view("<i8").tolist()
-    return lo, hi
-
-
-def similar(a: set[bytes], b: set[bytes]) -> bool:
-    both = len(a & b)
-    return both * JACCARD[1] >= (len(a) + len(b) - both) * JACCARD[0]
-
-
-def _wide_prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches):
-        rows = []
-        for t in batch.column(2).cast(pa.large_binary()):
-            text = t.as_buffer().to_pybytes()
-            shingles = shingle_set(text)
-            rows.append((hashlib.sha256(b" ".join(text.lower().split())).digest(), *wide_print(shingles), len(shingles)))
-        key, lo, hi, n = zip(*rows, strict=True)
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(key, pa.binary()), *(pa.array(x, pa.int64()) for x in (lo, hi, n))], ["doc_id", "text_sha256", "key", "lo", "hi", "n"])
-
-
-def _size_class(n: np.ndarray) -> np.ndarray:
-    """Texts of Jaccard similarity 0.8 have sizes in a ratio of 1.25 at most, so they lie in the same or in neighbouring classes."""
-    return np.floor(np.log(np.maximum(n, 1)) / np.log(JACCARD[1] / JACCARD[0])).astype(np.int64)
-
-
-def close_pairs(home: np.ndarray, visit: np.ndarray, reach: int, forest: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Units (a, b) of different components within reach whose sizes allow JACCARD, within home and between home and visitors; ``forest``: only pairs that join what earlier ones left apart."""
-    every = np.concatenate([home, visit])
-    lo, hi, n, label = (np.ascontiguousarray(every[c]) for c in ("lo", "hi", "n", "comp"))
-    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for i in range(len(home)):
-        near = np.flatnonzero(np.bitwise_count(lo[i + 1 :] ^ lo[i]) + np.bitwise_count(hi[i + 1 :] ^ hi[i]) <= reach) + i + 1
-        if len(near):
-            near = near[(label[near] != label[i]) & (np.minimum(n[near], n[i]) * JACCARD[1] >= np.maximum(n[near], n[i]) * JACCARD[0])]
-        if len(near) and forest:
-            met, first = np.unique(label[near], return_index=True)
-            near = near[first]
-            label[np.isin(label, met)] = label[i]
-        if len(near):
-            a.append(np.full(len(near), every["uid"][i]))
-            b.append(every["uid"][near])
-    return np.concatenate(a), np.concatenate(b)
-
-
-def wide_pairs(units: DataFrame, reach: int, forest: bool) -> DataFrame:
-    """``close_pairs`` (a, b) of all units (uid, comp, lo, hi, n): one vantage-point tree for each size class, whose points also visit the next class."""
-    spark, names = units.sparkSession, ["lo", "hi", "uid", "comp", "n"]
-
-    def points(data: pa.Table | pa.RecordBatch) -> np.ndarray:
-        out = np.zeros(data.num_rows, WIDE)
-        for c in names:
-            out[c] = data.column(c).to_numpy(**({} if isinstance(data, pa.Table) else {"zero_copy_only": False})).view(WIDE[c])
-        return out
-
-    sample = np.array([tuple(r) for r in units.select(F.col("lo"), "hi", "n").orderBy(F.xxhash64("lo", "hi")).limit(SAMPLE).collect()], np.int64).reshape(-1, 3)
-    drawn = np.zeros(len(sample), WIDE)
-    for k, c in enumerate(("lo", "hi", "n")):
-        drawn[c] = np.ascontiguousarray(sample[:, k]).view(WIDE[c])
-    scale, of = units.count() / max(1, len(drawn)), _size_class(drawn["n"])
-    trees = {int(c): plan(drawn[of == c], min(12, max(0, -(-int((of == c).sum() * scale) // SHARD) - 1).bit_length())) for c in np.unique(of)}
-    held = spark.sparkContext.broadcast(trees)
-
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = points(batch)
-            of = _size_class(rows["n"])
-            for c in {int(x) + k for x in np.unique(of) for k in (0, 1)}:
-                for shard, home, visit in route(held.value.get(c, [(0,)]), rows[of == c], reach, rows[of == c - 1]):
-                    both, m = np.concatenate([home, visit]), len(home)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(both), c << 12 | shard, np.int32)), pa.array(np.arange(len(both)) < m), *(pa.array(np.ascontiguousarray(both[x]).view(np.int64)) for x in names)], ["shard", "home", *names])
-
-    def join(shard: pa.Table) -> pa.Table:
-        rows, home = points(shard), shard.column("home").to_numpy().astype(bool)
-        a, b = close_pairs(rows[home], rows[~home], reach, forest)
-        return pa.table({"a": pa.array(a), "b": pa.array(b)})
-
-    return units.select(*names).mapInArrow(spread, "shard int, home boolean, lo long, hi long, uid long, comp long, n long").groupBy("shard").applyInArrow(join, "a long, b long")
-
-
-def verified(pairs: DataFrame, units: DataFrame, docs: DataFrame) -> DataFrame:
-    """The written pairs (a, b) of units (uid, sha) whose texts have an exact Jaccard similarity of JACCARD; docs: (sha, text)."""
-    involved = written(pairs.select(F.col("a").alias("uid")).union(pairs.select("b")).distinct().join(units.select("uid", "sha"), "uid"), "involved", narrow=True)
-    texts = written(attach(docs, involved, ["sha"], "inner").groupBy("uid").agg(F.first("text").alias("text")), "texts")
-    for side in ("a", "b"):
-        pairs = attach(pairs, texts.select(F.col("uid").alias(side), F.col("text").alias(f"text_{side}")), [side], "inner", limit=0)
-
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            texts = [batch.column(k).cast(pa.large_binary()) for k in (2, 3)]
-            keep = [similar(*(shingle_set(t[i].as_buffer().to_pybytes()) for t in texts)) for i in range(batch.num_rows)]
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    return pairs.select("a", "b", "text_a", "text_b").mapInArrow(check, "a long, b long")
-
-
-def near_copies(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_sha256) of the rows of docs that go when each group keeps one survivor.
-
-    A group is what links of an exact five-word Jaccard similarity of 0.8 or more hold together; candidates are the texts
-    within the last of REACHES. The first round verifies only a spanning forest of the nearest, so that a large group is
-    joined before the last round lists all candidates between different components. The survivor has the least doc_id, a
-    null id comes last, equal ids are told apart by the text's digest; rows with the same id and text stay or go together.
-    """
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.sha2(whole_text(), 256).alias("sha"), whole_text().alias("text"))
-    rows = written(source.mapInArrow(_wide_prints, "doc_id long, text_sha256 string, key binary, lo long, hi long, n long"), "wide")
-    first = F.min_by(F.struct("doc_id", "text_sha256"), F.struct(F.col("doc_id").isNull(), "doc_id", "text_sha256"))
-    units = rows.groupBy("key").agg(F.first("lo").alias("lo"), F.first("hi").alias("hi"), F.first("n").alias("n"), F.min("text_sha256").alias("sha"), first.alias("low"), F.count(F.lit(1)).alias("size"))
-    units = written(units.withColumn("uid", F.monotonically_increasing_id()), "units", narrow=True)
-    edges, roots, now = None, None, units.withColumn("comp", F.col("uid"))
-    for reach in REACHES:
-        pairs = written(wide_pairs(now, reach, reach < REACHES[-1]), "pairs", narrow=True)
-        found = written(verified(pairs, units, source.select("sha", "text")), "verified", narrow=True)
-        edges = found if edges is None else edges.union(found)
-        roots = written(components(edges).withColumnRenamed("node", "uid").withColumnRenamed("root", "comp"), "roots", narrow=True)
-        now = written(attach(units, roots, ["uid"], "left").withColumn("comp", F.coalesce("comp", "uid")), "grouped", narrow=True)
-    least = F.min_by("low", F.struct(F.col("low.doc_id").isNull(), F.col("low.doc_id"), F.col("low.text_sha256")))
-    best = written(now.groupBy("comp").agg(least.alias("best"), F.count(F.lit(1)).alias("weight")), "best", narrow=True)
-    labels = written(attach(now.select("key", "comp", "size"), best, ["comp"], "left", "weight").select("key", "best", "size"), "labels", narrow=True)
-    out = attach(rows.select("doc_id", "text_sha256", "key"), labels, ["key"], "left", "size")
-    return out.filter(~F.struct("doc_id", "text_sha256").eqNullSafe(F.col("best"))).select("doc_id", "text_sha256")
-
-
-def without_near_copies(docs: DataFrame) -> DataFrame:
-    """docs with one survivor of each group of ``near_copies``."""
-    return without(docs, near_copies(docs))
-
-
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(table(spark, sf_dir, "documents")).drop("text_sha256")
 
 
 QUERIES = {"op9_simhash": op9_simhash}

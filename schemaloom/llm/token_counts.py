@@ -1,7 +1,8 @@
 """Exact token counts for every context limit from a histogram of encoded lengths.
 
-Documents are aggregated by their encoded length; the histogram has a row for each length that occurs. Sums over its
-longer or shorter end answer how many tokens remain under any limit, how many documents are cut, and any quantile.
+Documents are aggregated by their encoded length; the histogram has a row for each length that occurs. Suffix sums over it
+answer how many documents and tokens lie beyond any limit, and from these how many tokens remain under it and every
+quantile. A suffix is put together from nodes of a tree over the lengths' digits, so no task gets the histogram.
 """
 
 from __future__ import annotations
@@ -13,15 +14,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from schemaloom.llm._common import slices, table, whole_text, written
+from schemaloom.llm._common import attach, slices, table, whole_text, written
 from schemaloom.llm.bpe import load, tokenizer_path
 
-#: Lengths that share a block when sums are carried on; the blocks themselves are as many as the longest document / BLOCK.
-BLOCK = 4096
+#: Bits of a digit, and digits of a length: every node of the tree has at most 2**DIGIT children, lengths may have DIGIT * DIGITS bits.
+DIGIT, DIGITS = 6, 6
 
 
 def token_lengths(docs: DataFrame, tokenizer: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_tokens) of every row's whole text; null counts as empty."""
+    """(id, n_tokens) of every row's whole text; null counts as empty, repeated rows count each, other columns are not looked at.
+
+    A very long text is one Python object at a time. Empty input gives an empty result.
+    """
     spark, path = docs.sparkSession, tokenizer or tokenizer_path()
     with open(path, encoding="utf-8") as f:
         spec = spark.sparkContext.broadcast(f.read())
@@ -36,27 +40,37 @@ def token_lengths(docs: DataFrame, tokenizer: str | None = None, id_col: str = "
 
 
 def histogram(lengths: DataFrame, length_col: str = "n_tokens") -> DataFrame:
-    """(n_tokens, n_docs): a row for each length; rows of the same length are counted before the shuffle."""
-    return lengths.groupBy(F.col(length_col).alias("n_tokens")).agg(F.count(F.lit(1)).alias("n_docs"))
+    """(n_tokens, n_docs): a row for each length; rows of the same length are counted before the shuffle. A null length is no document and is left out."""
+    return lengths.filter(F.col(length_col).isNotNull()).groupBy(F.col(length_col).cast("long").alias("n_tokens")).agg(F.count(F.lit(1)).alias("n_docs"))
+
+
+def suffix_sums(hist: DataFrame) -> DataFrame:
+    """(n_tokens, n_docs, docs_cut, tokens_cut) of a written histogram: documents longer than each length, and their tokens.
+
+    The digits of a length name its ancestors in a tree. What is longer than a length is the sum over its ancestors of
+    their later siblings, of which a node has fewer than 2**DIGIT.
+    """
+    level = F.explode(F.sequence(F.lit(0), F.lit(DIGITS - 1))).alias("level")
+    node = F.expr(f"shiftright(n_tokens, level * {DIGIT})").alias("node")
+    paths = hist.select("n_tokens", "n_docs", level).select("*", node)
+    nodes = paths.groupBy("level", "node").agg(F.sum("n_docs").alias("docs"), F.sum(F.col("n_docs") * F.col("n_tokens")).alias("tokens"), F.count(F.lit(1)).alias("lengths"))
+    later = Window.partitionBy("level", F.expr(f"shiftright(node, {DIGIT})")).orderBy(F.col("node").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    after = nodes.select("level", "node", F.sum("docs").over(later).alias("docs"), F.sum("tokens").over(later).alias("tokens"), "lengths")
+    found = attach(paths, written(after, "siblings", narrow=True), ["level", "node"], "inner", "lengths")
+    zero = F.lit(0).cast("long")
+    return found.groupBy("n_tokens", "n_docs").agg(F.coalesce(F.sum("docs"), zero).alias("docs_cut"), F.coalesce(F.sum("tokens"), zero).alias("tokens_cut"))
 
 
 def limits(hist: DataFrame) -> DataFrame:
     """For each length as a context limit: n_docs of that length, docs_within, tokens_within (documents up to it), docs_cut (longer ones), truncated_tokens (all documents cut at it), share_within (its quantile).
 
-    Sums go over blocks of lengths, then inside each block, so no task gets the whole histogram's rows.
     An empty histogram gives an empty result.
     """
-    hist = written(hist.withColumn("block", F.floor(F.col("n_tokens") / BLOCK)), "histogram")
-    tokens = F.col("n_tokens") * F.col("n_docs")
-    upto = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    everything = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    blocks = hist.groupBy("block").agg(F.sum("n_docs").alias("d"), F.sum(tokens).alias("t"))
-    sums = blocks.select("block", *[F.coalesce(F.sum(c).over(upto), F.lit(0)).alias(f"{c}_before") for c in "dt"], F.sum("d").over(everything).alias("docs"))
-    inside = Window.partitionBy("block").orderBy("n_tokens").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    out = hist.join(written(sums, "blocks"), "block")
-    out = out.withColumn("docs_within", F.col("d_before") + F.sum("n_docs").over(inside)).withColumn("tokens_within", F.col("t_before") + F.sum(tokens).over(inside))
-    out = out.withColumn("docs_cut", F.col("docs") - F.col("docs_within"))
-    return out.select("n_tokens", "n_docs", "docs_within", "tokens_within", "docs_cut", (F.col("tokens_within") + F.col("docs_cut") * F.col("n_tokens")).alias("truncated_tokens"), (F.col("docs_within") / F.col("docs")).alias("share_within"))
+    hist = written(hist, "histogram", narrow=True)
+    totals = hist.agg(F.sum("n_docs").alias("docs"), F.sum(F.col("n_docs") * F.col("n_tokens")).alias("tokens"))
+    out = suffix_sums(hist).crossJoin(F.broadcast(totals))  # one row
+    within, kept = F.col("docs") - F.col("docs_cut"), F.col("tokens") - F.col("tokens_cut")
+    return out.select("n_tokens", "n_docs", within.alias("docs_within"), kept.alias("tokens_within"), "docs_cut", (kept + F.col("docs_cut") * F.col("n_tokens")).alias("truncated_tokens"), (within / F.col("docs")).alias("share_within"))
 
 
 def truncated_total(sums: DataFrame, limit: int) -> DataFrame:

@@ -20,7 +20,7 @@ import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from schemaloom.llm._common import attach, shared_dir, table, written
+from schemaloom.llm._common import attach, shared_dir, slices, table, written
 
 #: Compressed bytes after which a task begins another archive, and those that the reader takes at a time.
 ARCHIVE_BYTES, CHUNK = 256 << 20, 1 << 16
@@ -163,15 +163,21 @@ def read_records(stream: BinaryIO, payloads: bool = False) -> Iterator[dict]:
 
 
 def write_archives(pages: DataFrame, folder: str, date: str = "2024-01-01T00:00:00Z", archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
-    """(archive, bytes, records) of archives of ``pages`` (record_id, url strings, payload binary, refers_to string), written to a folder that all executors share."""
-    if "://" not in folder and not folder.startswith("file:"):
-        folder = f"file://{folder}"
+    """(archive, bytes, records, folder) of archives of ``pages`` (record_id, url strings, payload binary, refers_to string), written to a folder that all executors share.
+
+    A folder without a scheme lies on the file system that Spark's own tables go to. Columns of other names are left out.
+    An empty input writes no archive. Of very long payloads a task holds a few at a time.
+    """
+    spark = pages.sparkSession
+    at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    uri = at.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(at).toUri()
+    folder = f"{uri.getScheme()}://{uri.getAuthority() or ''}{uri.getPath()}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = pyarrow.fs.FileSystem.from_uri(folder)
         fs.create_dir(root, recursive=True)
         out = None
-        for batch in batches:
+        for batch in slices(batches, 16):
             for row in batch.to_pylist():
                 if out is None:
                     name = f"{uuid.uuid4().hex}.warc.gz"
@@ -227,7 +233,8 @@ def with_revisits(pages: DataFrame, least: int = 0, id_col: str = "page_id", pay
     """(record_id, url, payload, refers_to): of equal payloads of ``least`` bytes or more the largest id is the response, the others revisit it.
 
     A null payload is empty. Rows that repeat the largest id too are responses. A null id never wins over another; its
-    record's id is ``urn:page:null``.
+    record's id is ``urn:page:null``. Ids are of any type with an order. Other columns, whatever their names, are not
+    looked at. Empty input gives an empty result; long payloads move only into the archives.
     """
     payload = F.encode(F.coalesce(F.col(payload_col).cast("string"), F.lit("")), "UTF-8")
     rows = pages.select(F.col(id_col).alias("page_id"), F.coalesce(F.col(url_col).cast("string"), F.lit("")).alias("url"), payload.alias("payload"), F.sha2(payload, 256).alias("sha"))
@@ -238,10 +245,19 @@ def with_revisits(pages: DataFrame, least: int = 0, id_col: str = "page_id", pay
     return both.select(name("page_id").alias("record_id"), "url", "payload", F.when(revisit, name("last")).alias("refers_to"))
 
 
+def wrong_revisits(records: DataFrame) -> DataFrame:
+    """Those revisits among written ``records`` of ``read_archives`` that no response of the id they refer to matches in payload digest and size."""
+    keys = ["refers_to", "payload_digest", "payload_bytes"]
+    revisits, responses = records.filter("record_type = 'revisit'"), records.filter("record_type = 'response'")
+    weights = written(responses.select(F.col("record_id").alias("refers_to"), *keys[1:]).distinct(), "responses", narrow=True)
+    return attach(revisits, weights, keys, "left_anti")
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = with_revisits(table(spark, sf_dir, "pages"))
-    records = read_archives(write_archives(pages, shared_dir(spark, "warc")))
-    page = lambda c: F.regexp_extract(c, r"^urn:page:(-?\d+)$", 1).try_cast("long")
+    source = table(spark, sf_dir, "pages")
+    kind = source.schema["page_id"].dataType
+    records = read_archives(write_archives(with_revisits(source), shared_dir(spark, "warc")))
+    page = lambda c: F.nullif(F.substring(c, len("urn:page:") + 1, 1 << 30), F.lit("null")).cast(kind)
     return records.select(page(F.col("record_id")).alias("page_id"), "payload_bytes", "payload_digest", "record_type", page(F.col("refers_to")).alias("refers_to"))
 
 

@@ -52,6 +52,18 @@ def test_only_one_of_two_writers_commits(spark, tmp_path):
         a.append(docs(spark, [(1, "a")]).drop("n"))
 
 
+@pytest.mark.parametrize("sf", ["0.001", "0.01"])
+def test_sharding_query_compacts_and_keeps_every_row(spark, sf):
+    from schemaloom.llm.sharding import ARRIVALS, op1_sharding
+
+    out = [r.asDict() for r in op1_sharding(spark, f"/root/testdata/sf{sf}").collect()]
+    rows = spark.read.parquet(f"/root/testdata/sf{sf}/documents.parquet").select("doc_id", "text").collect()
+    assert Counter((r["doc_id"], r["text_sha256"]) for r in out) == Counter((i, hashlib.sha256((t or "").encode()).hexdigest()) for i, t in rows)
+    assert max(r["shard_level"] for r in out) >= 1 and {r["version"] for r in out} != {1} and min(r["version"] for r in out) > ARRIVALS
+    sizes = Counter(r["shard"] for r in out)
+    assert all(sizes[r["shard"]] == r["shard_rows"] and 1 <= r["shard_since"] <= r["version"] for r in out) and len(sizes) > 1
+
+
 def test_empty_arrivals(spark, tmp_path):
     store = ShardStore(spark, str(tmp_path / "store"))
     store.append(docs(spark, []))
@@ -104,6 +116,19 @@ def test_ledger_scans_only_unseen_pairs(spark, tmp_path):
     assert sorted(s["kind"] for r in newer.findings().collect() for s in r["spans"]) == ["assign", "hex"]
 
 
+def test_secret_query_scans_arrivals_into_one_ledger(spark, monkeypatch):
+    made = []
+    real = S.SecretLedger
+    monkeypatch.setattr(S, "SecretLedger", lambda *a: made.append(real(*a)) or made[-1])
+    assert S.op6_secret_scan(spark, "/root/testdata/sf0.01").count() > 0
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()
+    first = {t or "" for i, t in rows if i % 2 == 0}
+    second = {t or "" for i, t in rows if i % 2} - first
+    assert second and len(second) < len({t or "" for i, t in rows if i % 2})  # some texts were seen before
+    scans = {(r["scan"], r["rule"]): r["pairs"] for r in made[0].scans().collect()}
+    assert scans == {(k, rule.kind): len(x) for k, x in ((1, first), (2, second)) for rule in S.RULES}
+
+
 def test_secrets_of_nothing(spark, tmp_path):
     assert S.secret_scan(docs(spark, []), S.SecretLedger(spark, str(tmp_path / "ledger"))).count() == 0
 
@@ -154,6 +179,15 @@ def test_contamination_matches_brute_force(spark):
     assert got == brute_items(rows, items)
 
 
+def test_a_line_that_all_items_share(spark):
+    line = "answer the following question as well as you can please"
+    items = [(i, f"{line} " + " ".join(f"i{i}w{k}" for k in range(12))) for i in range(40)]
+    rows = [(i, f"{line} something else {i}") for i in range(60)] + [(100 + i, "before " + items[i][1] + " after") for i in range(5)] + [(200, line)]
+    bench = spark.createDataFrame([*items, (99, line)], "item_id long, text string")
+    got = {r["doc_id"]: [r["item_ids"]] for r in D.contamination(docs(spark, rows), bench).collect()}
+    assert got == brute_items(rows, [*items, (99, line)])
+
+
 def test_nothing_to_decontaminate(spark):
     bench = spark.createDataFrame([(1, "a b c d e f")], "item_id long, text string")
     assert D.contamination(docs(spark, []), bench).count() == 0
