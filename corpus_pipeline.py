@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from schemaloom.llm import bpe, decontaminate, exact_dedup, language, simhash
+from schemaloom.llm import bpe, decontaminate, exact_dedup, language, near_copies
 from schemaloom.llm._common import table, written
 
 
@@ -20,7 +20,7 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of texts with a five-word Jaccard similarity of 0.8 or more the document with the smallest doc_id stays."""
-    return simhash.without_near_copies(docs)
+    return near_copies.without_near_copies(docs)
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
