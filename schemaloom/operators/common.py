@@ -28,11 +28,14 @@ def value_index(df: DataFrame) -> DataFrame:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df cut from its lineage through the folder in ``spark.checkpoint.dir``; only where that is unset, a temporary one is set."""
+    """df cut from its lineage through the folder in ``spark.checkpoint.dir``. Where that is unset a temporary folder is set in local mode only; on a cluster it is an error, as executors do not share such a folder."""
     spark = df.sparkSession
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="schemaloom-")
+        root = spark.conf.get("spark.checkpoint.dir", None)
+        if not root:
+            master = spark.sparkContext.master
+            if not master.startswith("local") or master.startswith("local-cluster"):
+                raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+            root = tempfile.mkdtemp(prefix="schemaloom-")
         spark.sparkContext.setCheckpointDir(root)
     return df.checkpoint()
-
-

@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from schemaloom.functions.names import KEY_ENDINGS, key_label, plain_tokens, table_label
 from schemaloom.operators import fds, inds, keys
+from schemaloom.operators.common import checkpointed
 from schemaloom.operators.model import Erd, of_rows
-from schemaloom.operators.profile import profile
+from schemaloom.operators.profile import profiles
 
 #: Most different key values, as a share of the non-null ones, for a determinant that really repeats.
 REPEATS = 0.5
@@ -34,7 +35,7 @@ def sub_entities(df: DataFrame, primary: Sequence[str]) -> list[list[str]]:
 
     A group needs a non-null key that repeats and determines at least one column that is still free. Name groups come
     first, longer stems before shorter ones, then dependencies with a key-like left side, those with more columns first.
-    Each data test is one aggregation; the loop is over column names only.
+    All data tests are one pass over the table; the choice is made among column names.
     """
     free = [c for c in df.columns if c not in primary]
     if not primary or not free:
@@ -43,30 +44,32 @@ def sub_entities(df: DataFrame, primary: Sequence[str]) -> list[list[str]]:
     frame = spark.createDataFrame([(c, i) for i, c in enumerate(df.columns) if c in free], "col string, pos int")
     groups = [(r["key"], r["members"]) for r in name_groups(frame).orderBy(F.col("stem_size").desc(), "key_pos").collect()]
     used, out = set(primary), []
+    named = [c for c in free if re.search(keys.KEY_NAME, c)]
+    lefts = list(dict.fromkeys([k for k, _ in groups] + named))
+    facts = {(r["lhs"][0], r["rhs"]): r for r in fds.strengths(df, [[k] for k in lefts], df.columns).collect()}  # a row for each pair of columns
 
     def take(key: str, members: Sequence[str]) -> None:
         if key in used:
             return
         others = [c for c in members if c != key and c not in used and c in free]
-        if not others:
-            return
-        found = fds.strengths(df.select(*[F.col(f"`{c}`") for c in [key, *others]]), [[key]], others).collect()
-        sizes = next(iter(found), None)
-        if sizes is None or not sizes["full_rows"] or sizes["n_groups"] > sizes["full_rows"] * REPEATS:
+        found = [facts[key, c] for c in others]
+        if not found or not found[0]["full_rows"] or found[0]["n_groups"] > found[0]["full_rows"] * REPEATS:
             return
         fixed = {r["rhs"] for r in found if r["strength"] >= 1}
-        if fixed and sizes["full_rows"] == sizes["row_count"]:
+        if fixed and found[0]["full_rows"] == found[0]["row_count"]:
             out.append([key, *[c for c in others if c in fixed]])
             used.update(out[-1])
 
     for key, members in groups:
         take(key, members)
-    named = [c for c in free[:] if c not in used and re.search(keys.KEY_NAME, c)]
+    named = [c for c in named if c not in used]
     if named:
         by_key: dict[str, set[str]] = {}
-        for r in fds.discover(df, left=1).collect():
-            if r["lhs"][0] in named and r["rhs"] in free and r["rhs"] not in used:
-                by_key.setdefault(r["lhs"][0], set()).add(r["rhs"])
+        first = df.columns[: fds.ATTRIBUTES]
+        for (key, other), r in facts.items():
+            enough = r["row_count"] >= fds.LEAST_ROWS and r["n_groups"] <= r["full_rows"] * fds.NEAR_UNIQUE and r["strength"] >= 1 and r["support_ratio"] >= fds.SUPPORT
+            if enough and key in named and key in first and other in first and other in free and other not in used:
+                by_key.setdefault(key, set()).add(other)
         for key, found in sorted(by_key.items(), key=lambda x: (len(x[1]), x[0]), reverse=True):
             take(key, [c for c in df.columns if c in found])
     return out
@@ -90,7 +93,7 @@ def split(tables: Sequence[tuple[str, DataFrame]]) -> tuple[dict[str, DataFrame]
         return found
 
     for i, (raw, df) in enumerate(tables):
-        spark = df.sparkSession
+        spark, df = df.sparkSession, checkpointed(df)  # read or joined once
         groups = sub_entities(df, keys.primary_key(keys.candidate_keys(df)))
         base = unused(_labels(spark, [raw or f"Table{i + 1}"], table_label)[0])
         moved = {c for g in groups for c in g[1:]}
@@ -107,23 +110,24 @@ def baseline(tables: Sequence[tuple[str, DataFrame]]) -> tuple[Erd, DataFrame, l
     """The model of flat tables, their profiles (tbl, col, pos, type, …) and notes. Rows stay distributed; only metadata is walked."""
     parts, chosen, notes = split(tables)
     spark = tables[0][1].sparkSession
-    profiles = key_rows = None
+    index = inds.table_index(parts)
+    found_profiles = checkpointed(profiles(parts, index))
+    key_rows = None
     primary: dict[str, list[str]] = {}
     for name, df in parts.items():
         found = keys.candidate_keys(df)
         primary[name] = chosen.get(name) or keys.primary_key(found)
-        rows, own = profile(df).withColumn("tbl", F.lit(name)), keys.as_frame(df, name, found)
-        profiles = rows if profiles is None else profiles.unionByName(rows)
+        own = keys.as_frame(df, name, found)
         key_rows = own if key_rows is None else key_rows.unionByName(own)
     chosen_keys = spark.createDataFrame(list(primary.items()), "tbl string, key_cols array<string>")
-    edges = inds.foreign_keys(inds.inclusions(parts), profiles, key_rows, {n: i for i, n in enumerate(parts)})
+    edges = inds.foreign_keys(inds.inclusions_of(index), found_profiles, key_rows, {n: i for i, n in enumerate(parts)})
     edges = inds.without_reciprocals(edges, chosen_keys)
     notes += [f"{r[0]} looks like a junction (M:N) table: PK = two FKs." for r in inds.junctions(edges, chosen_keys).collect()]
     relations = [r.asDict() for r in edges.orderBy("from_pos", "fk_pos").drop("from_pos", "fk_pos").collect()]
     links = {(r["from_entity"], r["fk_attribute"]) for r in relations}
-    kinds = {(r["tbl"], r["col"]): r["type"] for r in profiles.select("tbl", "col", "type").collect()}
+    kinds = {(r["tbl"], r["col"]): r["type"] for r in found_profiles.select("tbl", "col", "type").collect()}
     entities = [
         {"name": n, "primary_key": primary[n], "attributes": [{"name": c, "data_type": kinds[n, c], "is_primary_key": c in primary[n], "is_foreign_key": (n, c) in links} for c in df.columns]}
         for n, df in parts.items()
     ]
-    return of_rows(spark, {"entities": entities, "relationships": relations}), profiles, notes
+    return of_rows(spark, {"entities": entities, "relationships": relations}), found_profiles, notes

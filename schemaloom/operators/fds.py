@@ -8,7 +8,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from schemaloom.operators.common import scalar
+from schemaloom.operators.common import checkpointed, scalar
 from schemaloom.operators.keys import _gid
 
 #: Least rows, attributes looked at, largest left side, least support, and the share of different values from which a left side says nothing.
@@ -66,10 +66,22 @@ def discover(df: DataFrame, columns: Sequence[str] | None = None, left: int = LE
     """(lhs, rhs, strength, support_ratio, row_count) of the dependencies that hold, not only minimal ones.
 
     Left sides of up to ``left`` of the first ``attributes`` columns; one whose values nearly all differ is left out, as
-    is a table of fewer than ``least_rows`` rows.
+    is a table of fewer than ``least_rows`` rows. Sizes are gone through upwards, and what contains a side that was left
+    out is not grouped at all. The columns are written once.
     """
     columns = list(columns or df.columns)[:attributes]
-    lefts = [c for size in range(1, left + 1) for c in combinations(columns, size) if size < len(columns)]
-    found = strengths(df.select(*[F.col(f"`{c}`") for c in columns]), lefts, columns)
-    found = found.filter((F.col("row_count") >= least_rows) & (F.col("n_groups") <= F.col("full_rows") * NEAR_UNIQUE))
-    return holding(found).select("lhs", "rhs", "strength", "support_ratio", "row_count")
+    df = checkpointed(df.select(*[F.col(f"`{c}`") for c in columns]))
+    out, dropped, full = None, [], set()
+    for size in range(1, min(left, len(columns) - 1) + 1):
+        lefts = [c for c in combinations(columns, size) if not any(set(d) < set(c) and set(c) <= full for d in dropped)]
+        found = checkpointed(strengths(df, lefts, columns))
+        sides = found.select("lhs", "row_count", "n_groups", "full_rows").distinct().collect()  # a row for each left side
+        if size == 1:
+            full = {r["lhs"][0] for r in sides if r["full_rows"] == r["row_count"]}
+        # what nearly all differ in without nulls, nearly all differ in with further columns without nulls
+        dropped += [tuple(r["lhs"]) for r in sides if r["n_groups"] > r["full_rows"] * NEAR_UNIQUE]
+        out = found if out is None else out.unionByName(found)
+    if out is None:
+        out = strengths(df, [], columns)
+    out = out.filter((F.col("row_count") >= least_rows) & (F.col("n_groups") <= F.col("full_rows") * NEAR_UNIQUE))
+    return holding(out).select("lhs", "rhs", "strength", "support_ratio", "row_count")

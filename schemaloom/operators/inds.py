@@ -7,22 +7,33 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from schemaloom.functions.names import GENERIC_KEYS, bare_key, chopped, plain_tokens, unordered_pair
-from schemaloom.operators.common import cells
+from schemaloom.operators.common import cells, checkpointed
 
 #: Least different values on both sides, least coverage.
 DISTINCT, COVERAGE = 2, 1.0
 
 
+def table_index(tables: dict[str, DataFrame]) -> DataFrame:
+    """(tbl, col, pos, value, cnt): how often each value of each column of all tables occurs, as written once; what profiles, keys and inclusions are made from."""
+    index = None
+    for tbl, df in tables.items():
+        part = cells(df).groupBy(F.lit(tbl).alias("tbl"), "col", "pos", "value").agg(F.count(F.lit(1)).alias("cnt"))
+        index = part if index is None else index.unionByName(part)
+    return checkpointed(index)
+
+
 def inclusions(tables: dict[str, DataFrame]) -> DataFrame:
+    """``inclusions_of`` the tables' common index."""
+    return inclusions_of(table_index(tables))
+
+
+def inclusions_of(index: DataFrame) -> DataFrame:
     """(child_tbl, child_col, parent_tbl, parent_col, shared, child_distinct, parent_distinct, coverage) of all pairs of columns of different tables that share a value.
 
-    One inverted index over all tables, dealt out by value; a value carries at most one entry for each column. The
-    pairs of columns are counted where the values are, so only counts move on.
+    index: ``table_index``, dealt out by value; a value carries one entry for each column that has it. The pairs of
+    columns are counted where the values are, so only counts move on.
     """
-    index = None
-    for tbl, df in tables.items():
-        part = cells(df).filter(F.col("value").isNotNull()).select(F.struct(F.lit(tbl).alias("tbl"), "col", "pos").alias("ref"), "value").distinct()
-        index = part if index is None else index.unionByName(part)
+    index = index.filter(F.col("value").isNotNull()).select(F.struct("tbl", "col", "pos").alias("ref"), "value")
     held = index.groupBy("value").agg(F.collect_set("ref").alias("refs"))
     pairs = held.select(F.explode("refs").alias("child"), "refs").select("child", F.explode("refs").alias("parent"))
     counted = pairs.groupBy("child", "parent").agg(F.count(F.lit(1)).alias("shared"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 from itertools import combinations
+from math import prod
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -55,13 +56,28 @@ def _holding(df: DataFrame, combos: list[tuple[str, ...]], lenient: bool) -> lis
 
 
 def candidate_keys(df: DataFrame, columns: Sequence[str] | None = None, most: int = 2, lenient: bool = False) -> list[tuple[str, ...]]:
-    """Minimal keys of up to ``most`` columns, in the order of size, then of columns. One Spark job for each size and batch."""
+    """Minimal keys of up to ``most`` columns, in the order of size, then of columns. One Spark job for each size and batch.
+
+    A combination whose columns' distinct counts multiply to less than the rows can't be a strict key and is not tested.
+    """
     columns, found = list(columns or df.columns), []
-    for size in range(1, most + 1):
-        found += _holding(df, [c for c in combinations(columns, size) if not any(set(k) <= set(c) for k in found)], lenient)
+    singles = key_tests(df, [(c,) for c in columns]).collect() if columns else []
+    groups = {r["key_cols"][0]: r["n_groups"] for r in singles}
+    rows = max((r["n"] for r in singles), default=0)
+    held = {r["key_cols"][0] for r in singles if r["is_lenient" if lenient else "is_strict"]}
+    found += [(c,) for c in columns if c in held]
+    for size in range(2, most + 1):
+        combos = [c for c in combinations(columns, size) if not any(set(k) <= set(c) for k in found)]
+        found += _holding(df, [c for c in combos if lenient or prod(groups.get(x, 0) for x in c) >= rows > 0], lenient)
     return found
 
 
+def single_keys(profiles: DataFrame) -> DataFrame:
+    """(tbl, key_cols, size, pos) of the columns that are keys by themselves, from profiles (tbl, col, pos, is_unique)."""
+    place = F.row_number().over(Window.partitionBy("tbl").orderBy("pos")) - 1  # a row for each column
+    return profiles.filter("is_unique").select("tbl", F.array("col").alias("key_cols"), F.lit(1).alias("size"), place.alias("pos"))
+
+
 def as_frame(df: DataFrame, table: str, keys: list[tuple[str, ...]]) -> DataFrame:
     """keys as (tbl, key_cols, size, pos)."""
     return df.sparkSession.createDataFrame([(table, list(k), len(k), i) for i, k in enumerate(keys)], "tbl string, key_cols array<string>, size int, pos int")

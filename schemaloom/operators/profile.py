@@ -33,10 +33,28 @@ def counts(index: DataFrame) -> DataFrame:
 def profile(df: DataFrame) -> DataFrame:
     """counts() with the inferred type of each column, in one aggregation. A table without rows has a row for each column all the same."""
     schema = df.sparkSession.createDataFrame([(f.name, i) for i, f in enumerate(df.schema)], "col string, pos int")
-    judged = value_index(df).groupBy("col", "pos").agg(*_counted(), _inferred(df).alias("type"))
-    out = schema.join(_ratios(judged, "type"), ["col", "pos"], "left")
+    judged = value_index(df).groupBy("col", "pos").agg(*_counted(), _inferred(_declared(df), F.col("col")).alias("type"))
+    return _complete(schema.join(_ratios(judged, "type"), ["col", "pos"], "left"))
+
+
+def profiles(tables: dict[str, DataFrame], index: DataFrame) -> DataFrame:
+    """(tbl, and the columns of profile()) of all tables in one aggregation over their common value index (tbl, col, pos, value, cnt)."""
+    label, parted = F.concat_ws("\x1f", "tbl", "col"), "\x1f".join
+    known = {parted((t, f.name)): declared_type(f.dataType) for t, df in tables.items() for f in df.schema}
+    rows = [(t, f.name, i) for t, df in tables.items() for i, f in enumerate(df.schema)]
+    schema = index.sparkSession.createDataFrame(rows, "tbl string, col string, pos int")
+    judged = index.groupBy("tbl", "col", "pos").agg(*_counted(), _inferred(known, label).alias("type"))
+    return _complete(schema.join(_ratios(judged, "type", "tbl"), ["tbl", "col", "pos"], "left"), "tbl")
+
+
+def _complete(out: DataFrame, *more: str) -> DataFrame:
+    """Columns without any value have counts all the same."""
     zero = F.lit(0).cast("long")
-    return out.select("col", "pos", F.coalesce("type", F.lit("string")).alias("type"), F.coalesce("n", zero).alias("n"), F.coalesce("nulls", zero).alias("nulls"), F.coalesce("null_ratio", F.lit(0.0)).alias("null_ratio"), F.coalesce("distinct_cnt", zero).alias("distinct_cnt"), F.coalesce("is_unique", F.lit(False)).alias("is_unique"))
+    return out.select("col", "pos", F.coalesce("type", F.lit("string")).alias("type"), F.coalesce("n", zero).alias("n"), F.coalesce("nulls", zero).alias("nulls"), F.coalesce("null_ratio", F.lit(0.0)).alias("null_ratio"), F.coalesce("distinct_cnt", zero).alias("distinct_cnt"), F.coalesce("is_unique", F.lit(False)).alias("is_unique"), *more)
+
+
+def _declared(df: DataFrame) -> dict[str, str | None]:
+    return {f.name: declared_type(f.dataType) for f in df.schema}
 
 
 def declared_type(kind: T.DataType) -> str | None:
@@ -52,11 +70,10 @@ def declared_type(kind: T.DataType) -> str | None:
     return None
 
 
-def _inferred(df: DataFrame) -> Column:
-    """The type of a group of the value index: the declared one, or for text what the values say; texts alone are parsed."""
-    known = {f.name: declared_type(f.dataType) for f in df.schema}
+def _inferred(known: dict[str, str | None], name: Column) -> Column:
+    """The type of a group of the value index: the declared one (known: by name; None for text), or for text what the values say; texts alone are parsed."""
     fixed = F.create_map(*[F.lit(x) for k, v in known.items() if v for x in (k, v)]) if any(known.values()) else F.create_map().cast("map<string,string>")
-    text = F.col("col").isin(*[k for k, v in known.items() if not v]) & F.col("value").isNotNull()
+    text = name.isin(*[k for k, v in known.items() if not v]) & F.col("value").isNotNull()
     v, low = F.trim("value"), F.lower(F.trim("value"))
     every = lambda test: F.bool_and(F.when(text, test))
     part = lambda test: F.sum(F.when(text & test, F.col("cnt")).otherwise(0)) / F.sum(F.when(text, F.col("cnt")))
@@ -66,7 +83,7 @@ def _inferred(df: DataFrame) -> Column:
     different = sum((F.max(F.when(text & (low == t), 1).otherwise(0)) for t in TRUE_FALSE), F.lit(0))
     truths = every(low.isin(*TRUE_FALSE)) & (different <= 2)
     judged = F.when(numbers & whole, "integer").when(numbers, "float").when(times, "datetime").when(truths, "boolean").otherwise("string")
-    return F.coalesce(F.try_element_at(fixed, F.col("col")), judged)
+    return F.coalesce(F.try_element_at(fixed, name), judged)
 
 
 def types(df: DataFrame, index: DataFrame | None = None) -> DataFrame:
@@ -76,7 +93,7 @@ def types(df: DataFrame, index: DataFrame | None = None) -> DataFrame:
     values look and parse like one; or at most two different truth values; else string, as with no value at all.
     """
     index = value_index(df) if index is None else index
-    return index.groupBy("col", "pos").agg(_inferred(df).alias("type"))
+    return index.groupBy("col", "pos").agg(_inferred(_declared(df), F.col("col")).alias("type"))
 
 
 def top_values(df: DataFrame, k: int = 3) -> DataFrame:

@@ -16,15 +16,17 @@ def role_union(df: DataFrame, projections: Sequence[dict[str, str]], key: Sequen
     """The rows of an entity that a flat table holds in several roles: each projection maps attributes to columns.
 
     Of equal keys the first row wins, by the role's place, then by ``order`` (columns of df); without a key, of equal rows.
+    The first row is a partial aggregate, so a key that holds most of the rows costs no more than others.
     """
     out = None
     place = F.struct(*[F.col(c) if isinstance(c, str) else c for c in order])
+    names = list(projections[0])
     for i, columns in enumerate(projections):
-        part = df.select(*[F.col(f"`{c}`").alias(a) for a, c in columns.items()], F.lit(i).alias("_role"), place.alias("_row"))
+        row = F.struct(*[F.col(f"`{columns[a]}`").alias(a) for a in names])
+        part = df.select(row.alias("entity"), F.struct(F.lit(i).alias("role"), place.alias("row")).alias("place"))
         out = part if out is None else out.unionByName(part)
-    names = list(projections[0])
-    first = Window.partitionBy(*(key or names)).orderBy("_role", "_row")
-    return out.withColumn("_r", F.row_number().over(first)).filter("_r = 1").select(*names)
+    keys = [F.col("entity").getField(c).alias(f"key{i}") for i, c in enumerate(key or names)]
+    return out.groupBy(*keys).agg(F.min_by("entity", "place").alias("entity")).select("entity.*")
 
 
 def aligned(df: DataFrame, names: Sequence[str]) -> tuple[list[str], list[str]]:
@@ -36,10 +38,15 @@ def aligned(df: DataFrame, names: Sequence[str]) -> tuple[list[str], list[str]]:
     return [c for c in found if c], [n for n, c in zip(names, found, strict=True) if not c]
 
 
+def row_hash(df: DataFrame) -> Column:
+    """A hash of a row's cells as texts, the same wherever it is computed: MD5 over the cells, null told apart from empty."""
+    cell = lambda c: F.when(F.col(f"`{c}`").isNull(), "-").otherwise(F.concat(F.lit("+"), F.col(f"`{c}`").cast("string")))
+    return F.md5(F.concat_ws("|", *[cell(c) for c in df.columns]).cast("binary"))
+
+
 def sample(df: DataFrame, rows: int = 5000) -> DataFrame:
     """At most ``rows`` rows, the same ones each time: those with the least hashes."""
-    flat = scalar(df)
-    return df.withColumn("_h", F.xxhash64(*[F.col(f"`{c}`") for c in flat.columns])).orderBy("_h").limit(rows).drop("_h")
+    return df.orderBy(row_hash(df)).limit(rows)
 
 
 def head_middle_tail(df: DataFrame, order: Sequence[str], ends: int = 5, middle: int = 10) -> DataFrame:
@@ -48,7 +55,7 @@ def head_middle_tail(df: DataFrame, order: Sequence[str], ends: int = 5, middle:
     head = df.orderBy(*up).limit(ends)
     tail = df.orderBy(*[c.desc() for c in up]).limit(ends)
     rest = df.join(F.broadcast(head.unionByName(tail).select(*order).distinct()), list(order), "left_anti")
-    some = rest.orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])).limit(middle).select(*df.columns)
+    some = rest.select(*df.columns).orderBy(row_hash(df)).limit(middle)
     return head.unionByName(some).unionByName(tail).distinct()
 
 

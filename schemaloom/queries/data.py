@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from schemaloom.operators import decompose, fds, inds, keys, sampling
 from schemaloom.operators import profile as prof
+from schemaloom.operators.common import checkpointed
 from schemaloom.queries.common import FLAT_COLUMNS, FLAT_SQL, RENAMED_COLUMNS, RENAMED_SQL, flat, renamed, table
 
 COLUMNS = {"orders": ("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"), "customer": ("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment")}
@@ -149,8 +150,8 @@ _FD_INPUT = "f AS (SELECT * REPLACE (nullif(region_key, 2) AS region_key, CASE W
 
 
 def fd_discovery(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Dependencies with left sides of one and two columns."""
-    out = fds.discover(flat(spark, sf_dir), left=2)
+    """Dependencies with left sides of one to three columns."""
+    out = fds.discover(flat(spark, sf_dir))
     return out.select(F.array_join("lhs", "+").alias("lhs"), "rhs", "strength", "support_ratio", "row_count")
 
 
@@ -173,13 +174,15 @@ _PAIR = """SELECT '{a}' AS child_tbl, '{x}' AS child_col, '{b}' AS parent_tbl, '
 
 def fk_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Foreign keys of the renamed star schema with their cardinalities."""
-    parts = renamed(spark, sf_dir)
-    profiles = key_rows = None
-    for name, df in parts.items():
-        rows, own = prof.profile(df).withColumn("tbl", F.lit(name)), keys.as_frame(df, name, keys.candidate_keys(df, most=1))
-        profiles = rows if profiles is None else profiles.unionByName(rows)
-        key_rows = own if key_rows is None else key_rows.unionByName(own)
-    edges = inds.foreign_keys(inds.inclusions(parts), profiles, key_rows, {n: i for i, n in enumerate(parts)})
+    return _edges(spark, renamed(spark, sf_dir))
+
+
+def _edges(spark: SparkSession, parts: dict[str, DataFrame]) -> DataFrame:
+    """One value index of all tables answers for profiles, single keys and inclusions."""
+    index = inds.table_index(parts)
+    profiles = checkpointed(prof.profiles(parts, index))
+    key_rows = keys.single_keys(profiles)
+    edges = inds.foreign_keys(inds.inclusions_of(index), profiles, key_rows, {n: i for i, n in enumerate(parts)})
     return inds.without_reciprocals(edges, keys.primary_keys(key_rows)).drop("from_pos", "fk_pos")
 
 
@@ -203,7 +206,7 @@ def name_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decompose.name_groups(columns).select("key", "stem_size", F.array_join("members", ",").alias("members"))
 
 
-_NAMES = ("airline_code", "airline_name", "flight_number", "flight_date", "status_code", "status", "crew_license", "crew_role", "crew_id", "seat")
+_NAMES = ("branch_code", "branch_name", "loan_number", "loan_date", "state_code", "state", "clerk_license", "clerk_desk", "clerk_id", "shelf")
 _NAME_ROWS = "cols AS (SELECT * FROM (VALUES " + ", ".join(f"('{c}', {i})" for i, c in enumerate(_NAMES)) + ") t(col, pos))"
 
 
@@ -232,9 +235,12 @@ def role_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.filter("nation is not null")
 
 
+_ORDER = ("o_orderkey", "o_custkey", "o_orderstatus")
+
+
 def head_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first and last five orders."""
-    return sampling.head_middle_tail(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus"), ["o_orderkey"], middle=0)
+    """The first and last five orders, and ten of the others by hash."""
+    return sampling.head_middle_tail(table(spark, sf_dir, "orders").select(*_ORDER), ["o_orderkey"])
 
 
 def first_values(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -253,15 +259,35 @@ def all_null_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sampled_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A sample by hash holds only rows of the table, as many as asked for."""
-    orders = table(spark, sf_dir, "orders")
-    found = sampling.sample(orders, 500)
-    return found.join(orders.select("o_orderkey"), "o_orderkey", "left_semi").agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("o_orderkey").alias("keys"))
+    """Five hundred orders by hash."""
+    return sampling.sample(table(spark, sf_dir, "orders").select(*_ORDER), 500)
+
+
+_MD5 = "md5(concat_ws('|', " + ", ".join(f"CASE WHEN {c} IS NULL THEN '-' ELSE '+' || {c} END" for c in _ORDER) + "))"
+
+
+def entity_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The values of the columns that are named like an attribute, whatever the case and signs of the name."""
+    return sampling.values_of(table(spark, sf_dir, "nation").withColumnRenamed("n_name", "Nation Name"), "nation_name")
+
+
+def aligned_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table cut to the columns that a list of names means, in the list's order; names without a column are left out."""
+    df = table(spark, sf_dir, "region")
+    found, missing = sampling.aligned(df, [" R_NAME", "r_regionkey ", "r_other"])
+    return df.select(*found, F.lit(",".join(missing)).alias("missing"))
+
+
+def reciprocal_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers and their accounts, one each, whose keys include each other: one of the two edges stays."""
+    c = table(spark, sf_dir, "customer")
+    parts = {"Customer": c.select(F.col("c_custkey").alias("customer_key"), "c_name"), "Account": c.select(F.col("c_custkey").alias("customer_key"), "c_acctbal")}
+    return _edges(spark, parts)
 
 
 _WITH = f"WITH {RENAMED_SQL} "
 _FLAT = f"WITH {FLAT_SQL} "
-QUERIES = {f.__name__: f for f in (profile_columns, value_sets, top_values, prompt_statistics, infer_types, kind_shares, value_kinds, categorical_domain, key_tests, candidate_keys, pk_election, fd_strength, fd_discovery, determines, inclusions, fk_edges, junction_detect, name_groups, split_base, split_sub, role_union, head_tail, first_values, entity_values, all_null_rows, sampled_rows)}
+QUERIES = {f.__name__: f for f in (profile_columns, value_sets, top_values, prompt_statistics, infer_types, kind_shares, value_kinds, categorical_domain, key_tests, candidate_keys, pk_election, fd_strength, fd_discovery, determines, inclusions, fk_edges, junction_detect, name_groups, split_base, split_sub, role_union, head_tail, first_values, entity_values, all_null_rows, sampled_rows, entity_cells, aligned_columns, reciprocal_edges)}
 ORACLE = {
     "profile_columns": " UNION ALL ".join(_PROFILE.format(t=t, c=c, i=i) for t, cols in COLUMNS.items() for i, c in enumerate(cols)),
     "value_sets": "SELECT 'o_orderstatus' AS col, o_orderstatus AS value, count(*) AS cnt FROM orders GROUP BY 2 UNION ALL SELECT 'o_orderpriority', o_orderpriority, count(*) FROM orders GROUP BY 2 UNION ALL SELECT 'urgent', o_orderpriority, count(*) FROM orders WHERE o_orderpriority <> '5-LOW' GROUP BY 2",
@@ -274,7 +300,7 @@ ORACLE = {
     "key_tests": " UNION ALL ".join(_key_sql(t, c) for t, combos in _PAIRS.items() for c in combos),
     "pk_election": _WITH + f"SELECT tbl, col AS pk FROM (SELECT tbl, col, row_number() OVER (PARTITION BY tbl ORDER BY regexp_matches(col, '(?i)(^id$|_id$|_key$|^key$|_code$|^code$)') DESC, pos) AS r FROM ({_UNIQUES}) WHERE u) WHERE r = 1",
     "fd_strength": f"WITH {FLAT_SQL}, {_FD_INPUT} " + " UNION ALL ".join(_FD.format(x=x, y=y) for x in ("nation_key", "region_key", "segment") for y in ("nation_name", "region_name", "cust_key")),
-    "fd_discovery": _FLAT + " UNION ALL ".join(_fd_pair(x, y) for k in (1, 2) for x in combinations(FLAT_COLUMNS, k) for y in FLAT_COLUMNS if y not in x),
+    "fd_discovery": _FLAT + " UNION ALL ".join(_fd_pair(x, y) for k in (1, 2, 3) for x in combinations(FLAT_COLUMNS, k) for y in FLAT_COLUMNS if y not in x),
     "determines": _FLAT + " UNION ALL ".join(f"SELECT 'nation_name' AS key, '{c}' AS col, max(n) <= 1 AS holds FROM (SELECT count(DISTINCT {c}) AS n FROM flat GROUP BY nation_name)" for c in ("nation_key", "region_name", "segment", "cust_key")),
     "inclusions": _WITH + " UNION ALL ".join(_PAIR.format(a=a, b=b, x=x, y=y) for a, xs in RENAMED_COLUMNS.items() for x in xs for b, ys in RENAMED_COLUMNS.items() if a != b for y in ys),
     "fk_edges": _WITH + " UNION ALL ".join(_EDGE.format(a=a, x=x, b=b, y=y) for (a, x), (b, y) in _FKS.items()),
@@ -285,10 +311,13 @@ ORACLE = {
     "split_base": _FLAT + "SELECT cust_key, segment, nation_key, region_key FROM flat",
     "split_sub": _FLAT + "SELECT DISTINCT 'Nation' AS entity, 'nation_key' AS pk, nation_key || '|' || nation_name AS cells FROM flat UNION ALL SELECT DISTINCT 'Region', 'region_key', region_key || '|' || region_name FROM flat",
     "role_union": "SELECT nation, who FROM (SELECT nation, who, row_number() OVER (PARTITION BY nation ORDER BY role, k) AS r FROM (SELECT 0 AS role, c_nationkey AS nation, c_name AS who, c_custkey AS k FROM customer UNION ALL SELECT 1, s_nationkey, s_name, s_suppkey FROM supplier)) WHERE r = 1",
-    "head_tail": "SELECT o_orderkey, o_custkey, o_orderstatus FROM (SELECT *, row_number() OVER (ORDER BY o_orderkey) AS a, row_number() OVER (ORDER BY o_orderkey DESC) AS z FROM orders) WHERE a <= 5 OR z <= 5",
+    "head_tail": f"WITH p AS (SELECT {', '.join(_ORDER)}, row_number() OVER (ORDER BY o_orderkey) AS a, row_number() OVER (ORDER BY o_orderkey DESC) AS z FROM orders), m AS (SELECT *, row_number() OVER (ORDER BY a <= 5 OR z <= 5, {_MD5}) AS r FROM p) SELECT {', '.join(_ORDER)} FROM m WHERE a <= 5 OR z <= 5 OR r <= 10",
     "first_values": "WITH f AS (SELECT *, CAST(row_number() OVER (ORDER BY event_id) AS INTEGER) AS rank FROM events ORDER BY event_id LIMIT 40) SELECT 'event_id' AS col, rank, CAST(event_id AS VARCHAR) AS value FROM f UNION ALL SELECT 'user_id', rank, CAST(user_id AS VARCHAR) FROM f UNION ALL SELECT 'event_type', rank, event_type FROM f",
     "entity_values": "SELECT DISTINCT lower(trim(v)) AS value FROM (SELECT CAST(n_nationkey AS VARCHAR) AS v FROM nation UNION ALL SELECT n_name FROM nation UNION ALL SELECT CAST(n_regionkey AS VARCHAR) FROM nation) WHERE trim(v) <> ''",
     "all_null_rows": "SELECT count(*) AS some, count(*) FILTER (o_orderstatus <> 'F') AS with_status FROM orders WHERE o_orderstatus <> 'F' OR o_orderpriority <> '5-LOW'",
-    "sampled_rows": "SELECT least(500, count(*)) AS rows, least(500, count(*)) AS keys FROM orders",
+    "sampled_rows": f"SELECT {', '.join(_ORDER)} FROM orders ORDER BY {_MD5} LIMIT 500",
+    "entity_cells": "SELECT n_name AS value FROM nation",
+    "aligned_columns": "SELECT r_name, r_regionkey, 'r_other' AS missing FROM region",
+    "reciprocal_edges": "SELECT 'Account' AS from_entity, 'Customer' AS to_entity, '0..1' AS from_cardinality, '1' AS to_cardinality, 'customer_key' AS fk_attribute, 'customer_key' AS pk_attribute FROM customer HAVING count(*) >= 2",
     "candidate_keys": _CANDIDATES,
 }

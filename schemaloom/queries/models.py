@@ -124,7 +124,7 @@ def json_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
 def archived_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers as terms, orders as their mappings: how many are kept and archived."""
     terms = table(spark, sf_dir, "customer").select(F.concat(F.lit("Customer "), F.col("c_custkey").cast("string")).alias("name"))
-    used = table(spark, sf_dir, "orders").filter("o_orderkey % 9 = 0").select(F.concat(F.lit("customer_"), F.col("o_custkey").cast("string")).alias("canonical"))
+    used = table(spark, sf_dir, "orders").select(F.concat(F.lit("customer_"), F.col("o_custkey").cast("string")).alias("canonical"))
     kept, gone = voc.archive(terms, used)
     return kept.select(F.lit("kept").alias("state"), "name").union(gone.select(F.lit("archived"), "name"))
 
@@ -160,8 +160,15 @@ def valid_mappings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return voc.valid_mappings(_maps(spark), _attrs(spark)).select("attribute", "canonical")
 
 
+_MORE_ATTRS = [("Gate", "Code", 0), ("Counter", "code", 1), ("Counter", "opens", 2)]
+_MORE_MAPS = [("Gone.code", "A", 0.5, "", 10), ("Gone.Code", "B", 0.5, "", 11), ("Gone.CODE", "C", 0.5, "", 12), ("Flight.city", "D", 0.5, "", 13), ("flight.opens", "E", 0.5, "", 14), ("opens", "F", 0.5, "", 15), ("No.where", "G", 0.5, "", 16)]
+
+
 def repaired_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return voc.repaired_prefixes(_maps(spark), _attrs(spark)).select("attribute", "canonical")
+    """Entities that the model lacks, ones that it has, several candidates with and without the same spelling, and none."""
+    more = spark.createDataFrame([(e, a, 1 + i, i) for e, a, i in _MORE_ATTRS], "entity string, attr string, epos int, apos int")
+    maps = _maps(spark).union(spark.createDataFrame(_MORE_MAPS, _maps(spark).schema))
+    return voc.repaired_prefixes(maps, _attrs(spark).union(more)).select("attribute", "canonical")
 
 
 def filled_mappings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -169,18 +176,23 @@ def filled_mappings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def filled_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entities without a mapping: approved before, equal by name, by words, new, and equal to one that was new before it."""
     known = spark.createDataFrame([("Flight", "Air Trip"), ("Plane", "Airport"), ("Person", "Passenger Person")], "source_entity string, canonical string")
-    entities = spark.createDataFrame([("flight", 0), ("AIRPORT", 1), ("person passengers", 2), ("crewMember", 3)], "entity string, epos int")
-    return voc.covered_entities(known, entities).select("source_entity", "canonical", "confidence")
+    approved = spark.createDataFrame([("Lounge", "Waiting Room")], "source_entity string, canonical string")
+    entities = spark.createDataFrame([("flight", 0), ("AIRPORT", 1), ("person passengers", 2), ("crewMember", 3), ("crew_members", 4), ("LOUNGE", 5)], "entity string, epos int")
+    return voc.covered_entities(known, entities, approved).select("source_entity", "canonical", "confidence")
 
 
 def fresh_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return voc.stale_sources(_terms(spark), _attrs(spark)).select("name", _flat("sources").alias("sources"))
 
 
+_NEW_TERMS = [("Town", "a place where people live", ["village", "TOWN"], ["Hotel.town"], 0), ("Fare", "", [], ["Ticket.fare"], 1), ("code", "short", ["sign"], [], 2), ("city", "", ["Village", "burg"], ["Stop.city"], 3)]
+
+
 def merged_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    new = spark.createDataFrame([("Town", "a place where people live", ["village"], ["Hotel.town"], 0), ("Fare", "", [], ["Ticket.fare"], 1), ("code", "short", ["sign"], [], 2)], "name string, description string, synonyms array<string>, sources array<string>, pos int")
-    return voc.merge_terms(_terms(spark), new).select("name", "description", _flat("synonyms").alias("synonyms"), _flat("sources").alias("sources"))
+    """New terms join existing ones over names and synonyms; the newest sources count."""
+    return voc.merge_terms(_terms(spark), spark.createDataFrame(_NEW_TERMS, _terms(spark).schema)).select("name", "description", _flat("synonyms").alias("synonyms"), _flat("sources").alias("sources"))
 
 
 def remapped(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -198,13 +210,13 @@ def owned_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def short_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [("Airport Gate Code", ["Airport Gate.code"]), ("Airport Gate Code", ["Airport Gate.gate_code"]), ("Seat Row", ["Seat.row"]), ("Flight Crew Name", ["Flight Crew.name", "FlightCrew.full_name"]), ("Flight Crew", ["Flight Crew.x"])]
+    rows = [("Airport Gate Code", ["Airport Gate.code"]), ("Airport Gate Code", ["Airport Gate.gate_code", "Airport.code"]), ("Seat Row", ["Seat.row"]), ("Flight Crew Name", ["Flight Crew.name", "FlightCrew.full_name"]), ("Flight Crew", ["Flight Crew.x"]), ("Menu Item Id", ["MenuItems.menu_item_id"]), ("flight_no", []), ("Order Date", ["Orders.order_date"])]
     terms = spark.createDataFrame([(n, s, i) for i, (n, s) in enumerate(rows)], "name string, sources array<string>, pos int")
     return voc.abstracted(terms).select("pos", "name", "short")
 
 
 def plain_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return voc.plain_vocabulary(_attrs(spark)).select("name", _flat("sources").alias("sources"), "confidence")
+    return voc.plain_vocabulary(_attrs(spark)).select("name", _flat("synonyms").alias("synonyms"), _flat("sources").alias("sources"), "confidence")
 
 
 def relationship_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -282,18 +294,39 @@ ORACLE = {
     "over_merge": " UNION ALL ".join(f"SELECT '{w}' AS what, CAST(sum(n - 1) AS BIGINT) AS collapsed FROM (SELECT count(DISTINCT {v}) AS n FROM orders GROUP BY {k})" for w, k, v in (("status", "o_orderpriority", "o_orderstatus"), ("priority", "o_custkey", "o_orderpriority"))),
     "run_statistics": "SELECT 'events' AS target, event_type AS scenario, 'parity' AS metric, CAST(floor(avg(event_id % 2) * 1e9) AS BIGINT) AS mean_e9, CAST(floor(stddev_pop(event_id % 2) * 1e6) AS BIGINT) AS std_e6, count(*) AS runs FROM events GROUP BY event_type",
     "json_answers": "SELECT event_id, CASE WHEN event_id % 3 < 2 THEN CAST(json_extract(props, '$.k') AS INTEGER) END AS k FROM events",
-    "archived_terms": "SELECT CASE WHEN c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderkey % 9 = 0) THEN 'kept' ELSE 'archived' END AS state, 'Customer ' || c_custkey AS name FROM customer",
+    "archived_terms": "SELECT CASE WHEN c_custkey IN (SELECT o_custkey FROM orders) THEN 'kept' ELSE 'archived' END AS state, 'Customer ' || c_custkey AS name FROM customer",
     "valid_mappings": f"WITH {_VOC} SELECT entity || '.' || attr AS attribute, canonical FROM mp JOIN attrs ON {_QK('attribute')} = {_QK('(entity || chr(46) || attr)')}",
-    "repaired_prefixes": f"WITH {_VOC} SELECT CASE WHEN EXISTS (SELECT 1 FROM attrs WHERE {_QK('attribute')} = {_QK('(entity || chr(46) || attr)')}) THEN attribute ELSE coalesce((SELECT max(entity || '.' || attr) FROM attrs WHERE lower(attr) = lower(split_part(attribute, '.', 2)) HAVING count(*) = 1), attribute) END AS attribute, canonical FROM mp",
+    "repaired_prefixes": f"""WITH {_VOC}, model AS (SELECT entity, attr, 0 AS epos, apos FROM attrs UNION ALL SELECT * FROM (VALUES {', '.join(f"({_q(e)}, {_q(a)}, {1 + i}, {i})" for e, a, i in _MORE_ATTRS)})),
+        ms AS (SELECT attribute, canonical FROM mp UNION ALL SELECT * FROM (VALUES {', '.join(f"({_q(m[0])}, {_q(m[1])})" for m in _MORE_MAPS)})),
+        parts AS (SELECT *, CASE WHEN contains(attribute, '.') THEN split_part(attribute, '.', 1) END AS e, attribute[strpos(attribute, '.') + 1:] AS a FROM ms)
+        SELECT CASE WHEN e IS NULL OR e IN (SELECT entity FROM model) THEN attribute ELSE coalesce((SELECT arg_min(entity, CASE WHEN attr = a THEN 0 ELSE 1 END * 1000000 + epos * 1000 + apos) FROM model WHERE lower(attr) = lower(a)), e) || '.' || a END AS attribute, canonical FROM parts""",
     "filled_mappings": _rows("attribute, canonical, confidence, source", ("Airport.airport_code", "Code", 0.75, "votes"), ("Flight.departure_time", "Departure Time", 0.7, "name"), ("Passenger.full name", "Full Name", 0.55, "new"), ("Passenger.birth_date", "Birth Date", 0.55, "new")),
-    "filled_entities": _rows("source_entity, canonical, confidence", ("AIRPORT", "Airport", 0.74), ("person passengers", "Passenger Person", 0.68), ("crewMember", "Crew Member", 0.58)),
+    "filled_entities": _rows("source_entity, canonical, confidence", ("AIRPORT", "Airport", 0.74), ("person passengers", "Passenger Person", 0.68), ("crewMember", "Crew Member", 0.58), ("crew_members", "Crew Member", 0.74), ("LOUNGE", "Waiting Room", 0.86)),
     "fresh_sources": f"WITH {_VOC}, k AS (SELECT list({_QK('(entity || chr(46) || attr)')}) AS ks FROM attrs) SELECT name, array_to_string(list_filter(sources, lambda s: list_contains(ks, {_QK('s')})), ',') AS sources FROM tm CROSS JOIN k",
-    "merged_terms": _rows("name, description, synonyms, sources", ("Number", "", "no", "Flight.flightNumber"), ("Place", "a place where people live", "city,town,village,Town", "Airport.city,Gone.city,Hotel.town"), ("Departure Time", "", "", ""), ("Code", "short", "sign", "Hotel.airport_code"), ("Fare", "", "", "Ticket.fare")),
+    "merged_terms": f"""WITH {_VOC}, nw AS (SELECT * FROM (VALUES {', '.join(f"({_q(n)}, {_q(d)}, {_list(y)}, {_list(x)}, {p})" for n, d, y, x, p in _NEW_TERMS)}) t(name, description, synonyms, sources, pos)),
+        spelled AS (SELECT name, pos, unnest(list_append(synonyms, name)) AS k, unnest(range(1, len(synonyms) + 2)) AS place FROM tm),
+        idx AS (SELECT lower(k) AS k, arg_max(name, pos * 1000 + place) AS target FROM spelled GROUP BY 1),
+        al AS (SELECT lower(name) AS key, 0 AS side, * FROM tm UNION ALL SELECT coalesce(lower(target), lower(name)), 1, nw.* FROM nw LEFT JOIN idx ON lower(name) = k),
+        heads AS (SELECT key, arg_min(name, side * 1000 + pos) AS name, arg_max(sources, side * 1000 + pos) AS sources, arg_max(description, length(description) * 1000000 - side * 1000 - pos) AS description FROM al GROUP BY key),
+        said AS (SELECT key, side * 1000 + pos AS seat, unnest(list_prepend(name, synonyms)) AS s, unnest(range(0, len(synonyms) + 1)) AS place FROM al),
+        firsts AS (SELECT key, arg_min(s, seat * 1000 + place) AS s, min(seat * 1000 + place) AS o FROM said WHERE lower(s) <> key GROUP BY key, lower(s))
+        SELECT name, description, coalesce((SELECT string_agg(s, ',' ORDER BY o) FROM firsts f WHERE f.key = h.key), '') AS synonyms, array_to_string(sources, ',') AS sources FROM heads h""",
     "remapped": f"WITH {_VOC} SELECT attribute, coalesce((SELECT arg_min(name, pos) FROM tm WHERE lower(name) = lower(canonical)), (SELECT arg_min(name, pos) FROM tm WHERE list_contains(list_transform(synonyms, lambda s: lower(s)), lower(canonical))), canonical) AS canonical FROM mp",
-    "new_terms": _rows("name, sources, pos", ("Number", "Flight.flightNumber", 0), ("Place", "Airport.city,Gone.city", 1), ("Departure Time", "", 2), ("Code", "Hotel.airport_code", 3), ("Fare", "Ticket.fare", 4)),
-    "owned_sources": _rows("name, sources", ("Number", ""), ("Place", "Airport.City"), ("Departure Time", ""), ("Code", "Hotel.airport_code,Flight.flight_number")),
-    "short_terms": _rows("pos, name, short", (0, "Airport Gate Code", "Code"), (1, "Airport Gate Code", "Airport Gate Code"), (2, "Seat Row", "Seat Row"), (3, "Flight Crew Name", "Name"), (4, "Flight Crew", "Flight Crew")),
-    "plain_vocabulary": f"WITH {_VOC} SELECT regexp_replace(lower(regexp_replace(attr, '([a-z0-9])([A-Z])', '\\1_\\2', 'g')), '[^a-z0-9]+', '_', 'g') AS name, entity || '.' || attr AS sources, 0.5::DOUBLE AS confidence FROM attrs",
+    "new_terms": f"""WITH {_VOC}, ms AS (SELECT attribute, canonical, seq FROM mp UNION ALL SELECT 'Ticket.fare', 'Fare', 9),
+        syn AS (SELECT lower(k) AS k, arg_max(lower(name), pos) AS name FROM (SELECT name, pos, unnest(synonyms) AS k FROM tm) GROUP BY 1),
+        keyed AS (SELECT *, coalesce((SELECT any_value(lower(name)) FROM tm WHERE lower(name) = lower(canonical)), (SELECT name FROM syn WHERE k = lower(canonical)), lower(canonical)) AS key FROM ms),
+        every AS (SELECT lower(name) AS key, unnest(sources) AS x, unnest(range(0, len(sources))) AS o FROM tm UNION ALL SELECT key, attribute, 1000 + seq FROM keyed),
+        firsts AS (SELECT key, x, min(o) AS o FROM every GROUP BY key, x),
+        names AS (SELECT lower(name) AS key, name, pos FROM tm UNION ALL SELECT key, arg_min(canonical, seq), (SELECT max(pos) FROM tm) + row_number() OVER (ORDER BY min(seq)) FROM keyed WHERE key NOT IN (SELECT lower(name) FROM tm) GROUP BY key)
+        SELECT name, coalesce((SELECT string_agg(x, ',' ORDER BY o) FROM firsts f WHERE f.key = n.key), '') AS sources, CAST(pos AS INTEGER) AS pos FROM names n""",
+    "owned_sources": f"""WITH {_VOC}, ms AS (SELECT attribute, canonical, seq FROM mp UNION ALL SELECT 'Flight.flight_number', 'Code', 9),
+        own AS (SELECT {_QK('attribute')} AS k, arg_max(lower(canonical), seq) AS owner, arg_max(attribute, seq) AS shown, min(seq) AS o FROM ms GROUP BY 1),
+        held AS (SELECT pos, lower(name) AS low, unnest(sources) AS x, unnest(range(0, len(sources))) AS o FROM tm),
+        every AS (SELECT pos, {_QK('x')} AS k, x, held.o FROM held LEFT JOIN own w ON {_QK('x')} = w.k WHERE w.owner IS NULL OR w.owner = low UNION ALL SELECT pos, k, shown, 1000 + o FROM own JOIN tm ON lower(name) = owner),
+        firsts AS (SELECT pos, k, arg_min(x, o) AS x, min(o) AS o FROM every GROUP BY pos, k)
+        SELECT name, coalesce((SELECT string_agg(x, ',' ORDER BY o) FROM firsts f WHERE f.pos = tm.pos), '') AS sources FROM tm""",
+    "short_terms": _rows("pos, name, short", (0, "Airport Gate Code", "Code"), (1, "Airport Gate Code", "Airport Gate Code"), (2, "Seat Row", "Seat Row"), (3, "Flight Crew Name", "Name"), (4, "Flight Crew", "Flight Crew"), (5, "Menu Item Id", "ID"), (6, "flight_no", "Flight No"), (7, "Order Date", "Order Date")),
+    "plain_vocabulary": f"WITH {_VOC} SELECT replace(lower(trim(attr)), ' ', '_') AS name, string_agg(attr, ',' ORDER BY apos) AS synonyms, string_agg(entity || '.' || attr, ',' ORDER BY apos) AS sources, 0.5::DOUBLE AS confidence FROM attrs GROUP BY 1",
     "relationship_checks": _rows("rpos, expected_fk_entity, expected_pk_entity, issues, valid", (0, "Order", "Customer", "", True), (1, "Order", "Customer", "", True), (2, "Order", "Shop", "to_entity_missing,fk_attribute_missing,pk_on_wrong_entity", False), (3, "Order", "Customer", "fk_on_wrong_entity", False), (4, None, None, "many_to_many_requires_bridge", False), (5, None, None, "invalid_from_cardinality,fk_attribute_missing,pk_attribute_missing", False), (6, None, None, "", True)),
     "issue_counts": _rows("code, n", ("to_entity_missing", 1), ("fk_attribute_missing", 2), ("pk_on_wrong_entity", 1), ("fk_on_wrong_entity", 1), ("many_to_many_requires_bridge", 1), ("invalid_from_cardinality", 1), ("pk_attribute_missing", 1)).replace("SELECT *", "SELECT code, CAST(n AS BIGINT) AS n"),
     "rule_ontology": _rows(

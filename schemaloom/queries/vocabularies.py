@@ -12,7 +12,8 @@ from schemaloom.operators import decompose, ontology, sampling, validate
 from schemaloom.operators import vocabulary as voc
 from schemaloom.operators.model import of_rows
 from schemaloom.operators.profile import value_index
-from schemaloom.queries.common import FLAT_COLUMNS, FLAT_SQL, flat, renamed, sql_jaccard, sql_key, sql_tokens, table
+from schemaloom.plans.vocabularies import ENTITIES, MAPPINGS, TERMS, Vocabulary, build_vocabulary
+from schemaloom.queries.common import FLAT_COLUMNS, FLAT_SQL, RENAMED_COLUMNS, flat, renamed, sql_jaccard, sql_key, sql_tokens, table
 from schemaloom.queries.fixtures import ERD_A, ERD_TRUTH
 from schemaloom.queries.data import _fd_pair
 from schemaloom.queries.models import _rows
@@ -55,10 +56,12 @@ def carried_mappings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def reified_mappings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Canonical names that give way to an attribute's preferred term."""
+    """Canonical names that give way to an attribute's preferred term, and the terms' synonyms after that."""
     hints = spark.createDataFrame([("Flight", "code", "identifier", "Identifier"), ("Flight", "day", "temporal_quality", "Date"), ("Flight", "state", "status_quality", "Status"), ("Seat", "price", "relationship_measure_qualifier", "Price"), ("Seat", "row", "descriptive_quality", "Row")], "entity string, attr string, role string, preferred string")
     rows = [("Flight.code", "Number"), ("flight.Day", "Flight Date"), ("Flight.state", "state"), ("Seat.price", "Paid price now"), ("Seat.row", "ROW"), ("Gate.no", "Number")]
-    return voc.reified(spark.createDataFrame(rows, "attribute string, canonical string"), hints)
+    terms = spark.createDataFrame([("Position", "", ["row"], [], 0), ("Key", "", ["identifier"], [], 1)], "name string, description string, synonyms array<string>, sources array<string>, pos int")
+    moved, terms = voc.reify(spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "attribute string, canonical string, seq long"), hints, terms)
+    return moved.select("attribute", "canonical").union(terms.select("name", F.array_join("synonyms", ",")))
 
 
 def valid_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -127,6 +130,34 @@ def built_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return voc.build(attributes, none, evidence, kinds).select("attribute", "canonical", "is_new", "seq")
 
 
+_STAR = {"Region": ("region_key", {}), "Nation": ("nation_key", {"region_key": "Region"}), "Customer": ("customer_key", {"nation_key": "Nation"}), "Supplier": ("supplier_key", {"nation_key": "Nation"}), "Orders": ("order_key", {"customer_key": "Customer"})}
+
+
+def build_vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole run over the star schema from plain names: the term of each column, what its values mean, and each entity's name."""
+    parts = renamed(spark, sf_dir)
+    attributes = lambda e: [{"name": c, "data_type": "VARCHAR", "is_primary_key": c == _STAR[e][0], "references": f"{_STAR[e][1][c]}.{c}" if c in _STAR[e][1] else None} for c in RENAMED_COLUMNS[e]]
+    erd = of_rows(spark, {"entities": [{"name": e, "primary_key": [_STAR[e][0]], "attributes": attributes(e)} for e in _STAR]})
+    out = build_vocabulary(erd, "plain", data=parts)
+    shown = F.concat_ws(".", "entity", "attr")
+    meaning = out.semantics.select(shown.alias("attribute"), "logical_type")
+    columns = out.mappings.join(meaning, "attribute").join(out.terms.select(F.col("name").alias("canonical"), F.array_contains("roles", "identifier").alias("identifies")), "canonical")
+    return columns.select(F.lit("column").alias("what"), "attribute", "canonical", "logical_type", "identifies").union(out.entities.select(F.lit("entity"), "source_entity", "canonical", F.lit(None), F.lit(None)))
+
+
+def matched_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entities and columns of customers and suppliers matched with a vocabulary made of nations before, by names and values."""
+    parts = renamed(spark, sf_dir)
+    known = Vocabulary(
+        spark.createDataFrame([("Nation Key", None, ["nation"], ["Country.nation_key"], 0), ("Label", None, [], ["Country.nation_name"], 1)], TERMS),
+        spark.createDataFrame([("Country.nation_key", "Nation Key", 0.9, "", 0), ("Country.nation_name", "Label", 0.9, "", 1)], MAPPINGS),
+        spark.createDataFrame([("Country", "Customers", 0.9, "", 0)], ENTITIES),
+    )
+    erd = of_rows(spark, {"entities": [{"name": e, "attributes": [{"name": c} for c in RENAMED_COLUMNS[e]]} for e in ("Customer", "Supplier")], "relationships": [{"from_entity": "Customer", "to_entity": "Supplier"}]})
+    out = build_vocabulary(erd, "algorithmic", existing=known, data={e: parts[e] for e in ("Customer", "Supplier")})
+    return out.mappings.select(F.lit("column").alias("what"), "attribute", "canonical", "rationale").union(out.entities.select(F.lit("entity"), "source_entity", "canonical", "rationale"))
+
+
 def enriched_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Columns of orders and their customers: logical type, domain, unit, currency, confidence in hundredths."""
     o = table(spark, sf_dir, "orders")
@@ -163,7 +194,7 @@ def validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return validate.validate({"flat": df}, erd).select("true_positives", "false_positives", "false_negatives", "precision", "recall", "relationships", "normal_form")
 
 
-_names = (scaffold_names, flat_vocabulary, expert_vocabulary, model_texts, carried_mappings, reified_mappings, valid_entities, entity_match_scores, attribute_match_scores, built_vocabulary, enriched_columns, flat_model, normal_form, validation)
+_names = (scaffold_names, flat_vocabulary, expert_vocabulary, model_texts, carried_mappings, reified_mappings, valid_entities, entity_match_scores, attribute_match_scores, built_vocabulary, build_vocab, matched_vocabulary, enriched_columns, flat_model, normal_form, validation)
 QUERIES = {f.__name__: f for f in _names}
 _ENTITIES = "e AS (SELECT * FROM (VALUES ('Region', ['regionkey', 'regionname']), ('Nation', ['nationkey', 'nationname', 'regionkey']), ('Customer', ['customerkey', 'customername', 'nationkey', 'segment']), ('Supplier', ['supplierkey', 'suppliername', 'nationkey']), ('Orders', ['orderkey', 'customerkey', 'orderstatus', 'priority'])) t(a, mine))"
 _CANON_ROWS = "c AS (SELECT * FROM (VALUES " + ", ".join(f"('{n}', [{', '.join(map(repr, a))}]::VARCHAR[])" for n, a in _CANON.items()) + ") t(b, theirs))"
@@ -181,11 +212,21 @@ ORACLE = {
     ),
     "model_texts": _rows("what, text", ("erd", _ERD_TEXT), ("ontology", _ONTOLOGY_TEXT)),
     "carried_mappings": "SELECT CAST(o_orderkey AS VARCHAR) AS attribute, o_orderstatus AS canonical, CASE WHEN o_orderkey % 2 = 0 THEN o_orderkey ELSE o_orderkey + (SELECT max(o_orderkey) + 1 FROM orders WHERE o_orderkey % 2 = 0) END AS seq FROM orders",
-    "reified_mappings": _rows("attribute, canonical", ("Flight.code", "Identifier"), ("flight.Day", "Date"), ("Flight.state", "state"), ("Seat.price", "Price"), ("Seat.row", "Row"), ("Gate.no", "Number")),
+    "reified_mappings": _rows("attribute, canonical", ("Flight.code", "Key"), ("flight.Day", "Date"), ("Flight.state", "state"), ("Seat.price", "Price"), ("Seat.row", "ROW"), ("Gate.no", "Number"), ("Position", "row"), ("Key", "identifier,Number"), ("Date", "Flight Date"), ("Price", "Paid price now")),
     "valid_entities": _rows("source_entity, canonical", ("Nation", "Country Name"), ("Customer", "Client Ids"), ("Supplier", "URL List")),
     "entity_match_scores": f"WITH {_ENTITIES}, {_CANON_ROWS} SELECT a AS entity, b AS canonical, 0.5::DOUBLE * greatest({_SYN}, {sql_jaccard(sql_tokens('a'), sql_tokens('b'))}) + 0.3::DOUBLE * {sql_jaccard('mine', 'theirs')} + 0.2::DOUBLE * CASE WHEN a IN ('Nation', 'Customer', 'Orders') THEN 1.0::DOUBLE ELSE 0.5::DOUBLE END AS score FROM e CROSS JOIN c",
     "attribute_match_scores": _attribute_sql(),
     "built_vocabulary": _rows("attribute, canonical, is_new, seq", ("Flight.flight_number", "Flight Number", True, 0), ("Flight.departure", "Departure", True, 1), ("Trip.flightNumber", "Flight Number", False, 2), ("Trip.fare", "Fare", True, 3)),
+    "build_vocab": f"""WITH c AS (SELECT * FROM (VALUES {', '.join(f"('{e}', '{c}', {c == _STAR[e][0] or c in _STAR[e][1]})" for e in _STAR for c in RENAMED_COLUMNS[e])}) t(entity, attr, is_key)),
+        w AS (SELECT *, rtrim(lower(entity), 's') AS own, string_split(attr, '_') AS words FROM c)
+        SELECT 'column' AS what, entity || '.' || attr AS attribute,
+               CASE WHEN is_key THEN 'Identifier' WHEN len(words) = 1 THEN attr ELSE upper(words[-1][1]) || words[-1][2:] END AS canonical,
+               CASE WHEN is_key THEN 'identifier' WHEN words[-1] = 'name' THEN 'text' ELSE 'categorical' END AS logical_type, is_key AS identifies FROM w
+        UNION ALL SELECT DISTINCT 'entity', entity, upper(own[1]) || own[2:], NULL, NULL FROM w""",
+    "matched_vocabulary": f"""WITH c AS (SELECT * FROM (VALUES {', '.join(f"('{e}', '{c}')" for e in ("Customer", "Supplier") for c in RENAMED_COLUMNS[e])}) t(entity, attr)),
+        w AS (SELECT entity, attr, array_to_string(list_transform(string_split(attr, '_'), lambda x: upper(x[1]) || x[2:]), ' ') AS title FROM c)
+        SELECT 'column' AS what, entity || '.' || attr AS attribute, title AS canonical, CASE WHEN title IN ('Nation Key', 'Label') THEN 'matched' ELSE 'new' END AS rationale FROM w
+        UNION ALL SELECT DISTINCT 'entity', entity, CASE WHEN entity || 's' = 'Customers' THEN 'Customers' ELSE entity END, CASE WHEN entity || 's' = 'Customers' THEN 'matched' ELSE 'new' END FROM w""",
     "enriched_columns": _rows(
         "attr, logical_type, normalization, semantic_role, domain, unit, currency, confidence", ("o_orderkey", "identifier", "id_normalized", "identifier", "", None, None, 95), ("o_orderstatus", "categorical", "enum_casefold", "descriptor", "F;O;P", None, None, 92), ("is_open", "boolean", "boolean_cast", "descriptor", "false;true", None, None, 99),
         ("load", "text", "text_trim", "descriptor", "", "kg", None, 77), ("price_usd", "currency", "currency_amount", "measure", "", None, "USD", 95), ("day_of_order", "date", "date_iso", "temporal", "", None, None, 95),
