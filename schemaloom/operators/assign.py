@@ -6,7 +6,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from schemaloom.operators.common import checkpointed
 
@@ -15,15 +14,16 @@ def greedy(pairs: DataFrame, left: str, right: str, order: Sequence[str]) -> Dat
     """The pairs that are taken when they are gone through by ``order``, all descending, and each side is used once.
 
     ``order`` must tell all pairs apart. In each round every pair that is the best of both its sides is taken, which are
-    the pairs that the one-by-one rule takes; rows of used sides then go. Nothing gathers in one task but one side's pairs.
+    the pairs that the one-by-one rule takes; rows of used sides then go. The best of a side is a partial aggregate, so a
+    side with many pairs gathers in no task.
     """
-    best = [F.col(c).desc() for c in order]
+    row, rank = F.struct(*[F.col(f"`{c}`") for c in pairs.columns]), F.struct(*order)
     open_, taken = checkpointed(pairs), None
     while not open_.isEmpty():
-        ranked = open_.withColumns({"_l": F.row_number().over(Window.partitionBy(left).orderBy(*best)), "_r": F.row_number().over(Window.partitionBy(right).orderBy(*best))})
-        now = checkpointed(ranked.filter("_l = 1 and _r = 1").drop("_l", "_r"))
+        of_left, of_right = (open_.groupBy(F.col(c).alias("side")).agg(F.max_by(row, rank).alias("row")).select("row.*") for c in (left, right))
+        now = checkpointed(of_left.intersect(of_right))
         taken = now if taken is None else taken.unionByName(now)
-        open_ = checkpointed(open_.join(now.select(left), left, "left_anti").join(now.select(right), right, "left_anti"))
+        open_ = checkpointed(open_.join(now.select(left), left, "left_anti").join(now.select(right), right, "left_anti").select(*pairs.columns))
     return pairs.limit(0) if taken is None else taken
 
 

@@ -10,19 +10,26 @@ from schemaloom.operators import assign, hybrid, integrate, ontology, scores, va
 from schemaloom.operators import vocabulary as voc
 from schemaloom.operators.model import of_rows
 from schemaloom.plans.runs import contract
-from schemaloom.queries.common import sql_close, sql_jaccard, sql_joined, sql_key, sql_tokens, table
+from schemaloom.queries.common import RENAMED_COLUMNS, sql_close, sql_jaccard, sql_joined, sql_key, sql_tokens, table
 from schemaloom.queries.fixtures import ERD_A, ERD_BASE, ERD_PROPOSAL, ERD_TRUTH, GOLD_CONCEPTS, ONTOLOGY_A, ONTOLOGY_B, PROPOSAL
 from schemaloom.sources.files import CONCEPTS, RELATIONS, proposal
 
 _flat = lambda c: F.array_join(c, ",")
 
 
+_STORED = {"region": ("r_regionkey", "r_name"), "nation": ("n_nationkey", "n_name", "n_regionkey"), "customer": ("c_custkey", "c_name", "c_nationkey", "c_mktsegment"), "supplier": ("s_suppkey", "s_name", "s_nationkey"), "orders": ("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")}
+_columns_of = lambda tables: [(f"{t}.{c}", i) for i, (t, c) in enumerate((t, c) for t, cs in tables.items() for c in cs)]
+
+
 def greedy_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers of each segment against suppliers by the distance of their balances, one to one."""
-    c = table(spark, sf_dir, "customer").filter("c_custkey <= 40").select("c_custkey", "c_acctbal")
-    s = table(spark, sf_dir, "supplier").filter("s_suppkey <= 40").select("s_suppkey", "s_acctbal")
-    pairs = c.crossJoin(F.broadcast(s)).select("c_custkey", "s_suppkey", (-F.abs(F.round("c_acctbal") - F.round("s_acctbal"))).cast("long").alias("score"))
-    return assign.greedy(pairs, "c_custkey", "s_suppkey", ["score", "c_custkey", "s_suppkey"])
+    """The columns of the renamed star schema against those they were made from, one to one by the edit distance of their names."""
+    left, right = spark.createDataFrame(_columns_of(RENAMED_COLUMNS), "a string, i int"), spark.createDataFrame(_columns_of(_STORED), "b string, j int")
+    pairs = left.crossJoin(F.broadcast(right)).select("i", "j", "a", "b", (-F.levenshtein(F.lower("a"), F.lower("b"))).alias("score"))  # metadata
+    return assign.greedy(pairs, "i", "j", ["score", "i", "j"]).select("a", "b", "score")
+
+
+_named = lambda tables: ", ".join(f"('{n}', {i})" for n, i in _columns_of(tables))
+_GREEDY_PAIRS = f"SELECT i AS l, j AS r, a, b, CAST(-levenshtein(lower(a), lower(b)) AS INTEGER) AS score FROM (VALUES {_named(RENAMED_COLUMNS)}) x(a, i) CROSS JOIN (VALUES {_named(_STORED)}) y(b, j)"
 
 
 def greedy_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,7 +105,7 @@ def set_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 def audit_outer(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labels against documents, item by item, labels as text."""
     proposed = table(spark, sf_dir, "labels").select("doc_id", F.when(F.col("quality") == 1, "src-1").otherwise("Src 2").alias("label"))
-    return scores.audit(proposed, table(spark, sf_dir, "documents").filter("doc_id % 3 <> 0").select("doc_id", F.col("source").alias("label")), "doc_id", "label")
+    return scores.audit(proposed, table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("label")), "doc_id", "label")
 
 
 def over_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -282,7 +289,7 @@ def _rows(columns: str, *rows: tuple) -> str:
 
 
 ORACLE = {
-    "greedy_match": _GREEDY.format(pairs="SELECT c_custkey AS l, s_suppkey AS r, CAST(-abs(round(c_acctbal) - round(s_acctbal)) AS BIGINT) AS score FROM customer CROSS JOIN supplier WHERE c_custkey <= 40 AND s_suppkey <= 40", out="l AS c_custkey, r AS s_suppkey, score"),
+    "greedy_match": _GREEDY.format(pairs=_GREEDY_PAIRS, out="a, b, score"),
     "greedy_fold": _GREEDY.format(pairs="SELECT n_nationkey AS l, r_regionkey AS r, -levenshtein(n_name, r_name) AS score FROM nation CROSS JOIN region", out="l AS n_nationkey, r AS r_regionkey"),
     "value_jaccard": " UNION ALL ".join(f"SELECT '{a}' AS a_source, '{b}' AS b_source, CAST(s AS DOUBLE) / (x + y - s) AS instance FROM (SELECT (SELECT count(DISTINCT {u}) FROM {a}) AS x, (SELECT count(DISTINCT {v}) FROM {b}) AS y, (SELECT count(*) FROM (SELECT {u} FROM {a} INTERSECT SELECT {v} FROM {b})) AS s) WHERE s > 0" for a, u in (("customer", "c_nationkey"), ("events", "user_id")) for b, v in (("supplier", "s_nationkey"), ("orders", "o_custkey"))),
     "concept_scores": f"WITH {_SCORED} SELECT a, b, score FROM scored",
@@ -290,7 +297,7 @@ ORACLE = {
     "best_mappings": "SELECT attribute, confidence, rationale, seq FROM (SELECT *, row_number() OVER (PARTITION BY attribute ORDER BY coalesce(confidence, -1) DESC, (rationale IS NOT NULL) DESC, seq DESC) AS r FROM (SELECT 'Cust.' || o_custkey AS attribute, nullif(floor(o_totalprice / 50000), 2.0) AS confidence, CASE WHEN o_orderstatus = 'F' THEN 'shipped' END AS rationale, o_orderkey AS seq FROM orders)) WHERE r = 1",
     "vote_winner": "SELECT part, name, votes FROM (SELECT 's' || l_suppkey AS part, l_returnflag AS name, count(*) AS votes, row_number() OVER (PARTITION BY l_suppkey ORDER BY count(*) DESC, l_returnflag) AS r FROM lineitem GROUP BY l_suppkey, l_returnflag) WHERE r = 1",
     "set_scores": "WITH p AS (SELECT DISTINCT doc_id FROM labels WHERE quality = 1), g AS (SELECT DISTINCT doc_id FROM documents WHERE lang = 'en'), n AS (SELECT (SELECT count(*) FROM p) AS p, (SELECT count(*) FROM g) AS g, (SELECT count(*) FROM p SEMI JOIN g USING (doc_id)) AS b), r AS (SELECT *, CAST(b AS DOUBLE) / p AS precision, CAST(b AS DOUBLE) / g AS recall FROM n) SELECT CAST(b AS BIGINT) AS true_positives, CAST(p - b AS BIGINT) AS false_positives, CAST(g - b AS BIGINT) AS false_negatives, precision, recall, 2 * precision * recall / (precision + recall) AS f1 FROM r",
-    "audit_outer": f"WITH p AS (SELECT doc_id, CASE WHEN quality = 1 THEN 'src-1' ELSE 'Src 2' END AS proposed_label FROM labels), g AS (SELECT doc_id, source AS gold_label FROM documents WHERE doc_id % 3 <> 0) SELECT doc_id, proposed_label, gold_label, CASE WHEN proposed_label IS NULL THEN 'FN' WHEN gold_label IS NULL THEN 'FP' ELSE 'TP' END AS status, CASE WHEN proposed_label IS NOT NULL AND gold_label IS NOT NULL THEN CASE WHEN {sql_joined('proposed_label')} = {sql_joined('gold_label')} THEN 'match' ELSE 'mismatch' END END AS refinement FROM p FULL JOIN g USING (doc_id)",
+    "audit_outer": f"WITH p AS (SELECT doc_id, CASE WHEN quality = 1 THEN 'src-1' ELSE 'Src 2' END AS proposed_label FROM labels), g AS (SELECT doc_id, source AS gold_label FROM documents) SELECT doc_id, proposed_label, gold_label, CASE WHEN proposed_label IS NULL THEN 'FN' WHEN gold_label IS NULL THEN 'FP' ELSE 'TP' END AS status, CASE WHEN proposed_label IS NOT NULL AND gold_label IS NOT NULL THEN CASE WHEN {sql_joined('proposed_label')} = {sql_joined('gold_label')} THEN 'match' ELSE 'mismatch' END END AS refinement FROM p FULL JOIN g USING (doc_id)",
     "over_merge": " UNION ALL ".join(f"SELECT '{w}' AS what, CAST(sum(n - 1) AS BIGINT) AS collapsed FROM (SELECT count(DISTINCT {v}) AS n FROM orders GROUP BY {k})" for w, k, v in (("status", "o_orderpriority", "o_orderstatus"), ("priority", "o_custkey", "o_orderpriority"))),
     "run_statistics": "SELECT 'events' AS target, event_type AS scenario, 'parity' AS metric, CAST(floor(avg(event_id % 2) * 1e9) AS BIGINT) AS mean_e9, CAST(floor(stddev_pop(event_id % 2) * 1e6) AS BIGINT) AS std_e6, count(*) AS runs FROM events GROUP BY event_type",
     "json_answers": "SELECT event_id, CASE WHEN event_id % 3 < 2 THEN CAST(json_extract(props, '$.k') AS INTEGER) END AS k FROM events",

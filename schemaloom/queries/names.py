@@ -78,8 +78,9 @@ _in = lambda words: "len(list_intersect(w, [" + ", ".join(f"'{x}'" for x in word
 
 def distinct_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of each customer's order priorities the first spelling of each, with and without regard to case and sign."""
-    o = table(spark, sf_dir, "orders").select("o_custkey", F.struct("o_orderkey", F.when(F.col("o_orderkey") % 2 == 0, F.lower("o_orderpriority")).otherwise(F.col("o_orderpriority")).alias("p")).alias("x"))
-    lists = o.groupBy("o_custkey").agg(F.transform(F.sort_array(F.collect_list("x")), lambda x: x["p"]).alias("p"))
+    o = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", F.when(F.col("o_orderkey") % 2 == 0, F.lower("o_orderpriority")).otherwise(F.col("o_orderpriority")).alias("p"))
+    firsts = o.groupBy("o_custkey", "p").agg(F.min("o_orderkey").alias("first"))  # some spellings for each customer, however many orders
+    lists = firsts.select("o_custkey", F.struct("first", "p").alias("x")).groupBy("o_custkey").agg(F.transform(F.sort_array(F.collect_list("x")), lambda x: x["p"]).alias("p"))
     return lists.select("o_custkey", F.array_join(F.array_distinct("p"), ",").alias("exact"), F.array_join(N.distinct_ignoring_case(F.col("p")), ",").alias("caseless"), F.array_join(N.distinct_by(F.col("p"), lambda v: F.substring(v, 1, 1)), ",").alias("by_first"))
 
 

@@ -164,7 +164,7 @@ def enriched_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = o.select("o_orderkey", "o_orderstatus", F.when(F.col("o_orderkey") % 2 == 0, "yes").otherwise("no").alias("is_open"), F.concat(F.floor("o_totalprice").cast("string"), F.lit(" kg")).alias("load"), F.floor("o_totalprice").cast("string").alias("price_usd"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("day_of_order"))
     declared = {"o_orderkey": "BIGINT"}
     erd = of_rows(spark, {"entities": [{"name": "Order", "primary_key": ["o_orderkey"], "attributes": [{"name": c, "data_type": declared.get(c, "VARCHAR"), "is_primary_key": c == "o_orderkey"} for c in df.columns]}]})
-    first = sampling.first_values(df, ["o_orderkey"], 5)
+    first = sampling.first_values(df, ["o_orderkey"])
     samples = first.groupBy(bare_key("col").alias("part")).agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "value"))), lambda x: x["value"]).alias("samples"))
     out = voc.enriched(erd.attributes, samples, value_index(df), ontology.unpacking(erd)["attributes"])
     return out.select("attr", "logical_type", "normalization", "semantic_role", F.array_join("domain", ";").alias("domain"), "unit", "currency", F.round(F.col("confidence") * 100).cast("long").alias("confidence"))
