@@ -100,38 +100,38 @@ def test_names_agree(spark):
     assert all(r["want"] == r["got"] for r in df.withColumn("got", inds.names_agree(F.col("c"), F.col("t"), F.col("k"))).collect())
 
 
-def flights(spark):
-    """A flat table of the first kind: no key but the seat, entities by column names, dates that nothing determines."""
-    lines, ports, states, crew = ["AA", "BB", "CC", "DD", "EE"], ["P1", "P2", "P3", "P4", "P5"], ["S1", "S2", "S3", "S4", "S5", "S6"], ["C1", "C2", "C3", "C4", "C5", "C6"]
-    columns = ["passport", "name", "flight_number", "flight_date", "seat_number", "airline_code", "airline_name", "departure_code", "departure_name", "departure_city", "crew_license", "crew_role", "status_code", "status"]
+def loans(spark):
+    """A flat table of library loans: no key but the slip, entities by column names, dates that nothing determines."""
+    shops, sites, states, clerks = ["AA", "BB", "CC", "DD", "EE"], ["P1", "P2", "P3", "P4", "P5"], ["S1", "S2", "S3", "S4", "S5", "S6"], ["C1", "C2", "C3", "C4", "C5", "C6"]
+    columns = ["slip_number", "reader_card", "title", "copy_label", "due_date", "publisher_code", "publisher_town", "branch_key", "branch_street", "branch_town", "clerk_id", "clerk_desk", "binding_no", "binding"]
     rows = []
     for i in range(19):
         a, p, s, c = i % 5, (i * 2) % 5, i % 6, (i * 5 + 1) % 6
-        rows.append([f"X{i % 12}", f"N{i % 11}", f"F{i % 7}", f"2025-07-{i % 8 + 1:02d}", f"{i + 1}D", lines[a], f"Line {a}", ports[p], f"Port {p}", f"City {p % 4}", crew[c], f"role {c % 3}", states[s], f"State {s}"])
+        rows.append([f"{i + 1}L", f"X{i % 12}", f"T{i % 11}", f"B{i % 7}", f"2025-07-{i % 8 + 1:02d}", shops[a], f"Town {a}", sites[p], f"Street {p}", f"Town {p % 4}", clerks[c], f"desk {c % 3}", states[s], f"Cloth {s}"])
     return frame(spark, columns, rows)
 
 
 def test_first_flat_table(spark):
-    parts, chosen, _ = decompose.split([("a/flights.csv", flights(spark))])
+    parts, chosen, _ = decompose.split([("a/loans.csv", loans(spark))])
     assert {n: list(df.columns) for n, df in parts.items()} == {
-        "Flights": ["passport", "name", "flight_number", "flight_date", "seat_number", "airline_code", "departure_code", "crew_license", "status_code"],
-        "Airline": ["airline_code", "airline_name"], "Departure": ["departure_code", "departure_name", "departure_city"], "Crew": ["crew_license", "crew_role"], "Status": ["status_code", "status"],
+        "Loans": ["slip_number", "reader_card", "title", "copy_label", "due_date", "publisher_code", "branch_key", "clerk_id", "binding_no"],
+        "Publisher": ["publisher_code", "publisher_town"], "Branch": ["branch_key", "branch_street", "branch_town"], "Clerk": ["clerk_id", "clerk_desk"], "Binding": ["binding_no", "binding"],
     }
-    erd, profiles, notes = decompose.baseline([("flights.csv", flights(spark))])
-    assert {(r["from_entity"], r["to_entity"], r["from_cardinality"], r["to_cardinality"]) for r in erd.relationships.collect()} == {("Flights", x, "0..N", "1") for x in ("Airline", "Departure", "Crew", "Status")}
-    assert {r["entity"]: list(r["primary_key"]) for r in erd.entities.collect()}["Flights"] == ["seat_number"] and len(notes) == 4
-    assert {r["col"]: r["type"] for r in profiles.filter("tbl = 'Flights'").collect()}["flight_date"] == "datetime"
+    erd, profiles, notes = decompose.baseline([("loans.csv", loans(spark))])
+    assert {(r["from_entity"], r["to_entity"], r["from_cardinality"], r["to_cardinality"]) for r in erd.relationships.collect()} == {("Loans", x, "0..N", "1") for x in ("Publisher", "Branch", "Clerk", "Binding")}
+    assert {r["entity"]: list(r["primary_key"]) for r in erd.entities.collect()}["Loans"] == ["slip_number"] and len(notes) == 4
+    assert {r["col"]: r["type"] for r in profiles.filter("tbl = 'Loans'").collect()}["due_date"] == "datetime"
     assert len(nested(erd).first()["entities"]) == 5
     row = erd_scores(erd, erd).first()
     assert row["entity_f1"] == 1.0 and row["relationship_f1"] == 1.0
 
 
 def test_second_flat_table(spark):
-    """Keys without key-like names: the leftmost is elected; passengers are found by dependency."""
-    rows = [[f"B{i}", i % 6, f"Name {i % 6}", f"m{i % 6}@x", f"{i}A"] for i in range(14)]
-    parts, chosen, _ = decompose.split([("b.csv", frame(spark, ["booking_ref", "pax_id", "full_name", "email", "seat"], rows))])
-    assert {n: list(df.columns) for n, df in parts.items()} == {"B": ["booking_ref", "pax_id", "seat"], "Pax": ["pax_id", "full_name", "email"]}
-    assert chosen == {"Pax": ["pax_id"]}
+    """Keys without key-like names: the leftmost is elected; patients are found by dependency."""
+    rows = [[f"V{i}", i % 6, f"Name {i % 6}", f"m{i % 6}@x", f"{i}A"] for i in range(14)]
+    parts, chosen, _ = decompose.split([("b.csv", frame(spark, ["visit", "patient_id", "called", "mail", "room"], rows))])
+    assert {n: list(df.columns) for n, df in parts.items()} == {"B": ["visit", "patient_id", "room"], "Patient": ["patient_id", "called", "mail"]}
+    assert chosen == {"Patient": ["patient_id"]}
 
 
 def test_determinant_that_repeats_just_enough(spark):

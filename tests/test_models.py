@@ -11,7 +11,7 @@ from schemaloom.operators import vocabulary as voc
 from schemaloom.operators.model import of_rows
 from schemaloom.plans import naming, prompts, runs
 from schemaloom.plans.settings import Settings
-from schemaloom.queries.fixtures import ERD_BASE, ERD_PROPOSAL, ERD_TRUTH, GOLD_CONCEPTS
+from schemaloom.queries.fixtures import ERD_BASE, ERD_PROPOSAL, ERD_TRUTH, GOLD_CONCEPTS, ONTOLOGY_A, ONTOLOGY_B
 from schemaloom.queries.models import _ontology
 from schemaloom.sources import files
 
@@ -136,6 +136,22 @@ def test_providers_and_runs(spark):
     assert mapped["refinement_accuracy"] == pytest.approx(4 / 9)
 
 
+def test_scenarios_and_provider_integration(spark):
+    df = spark.createDataFrame([(str(i), f"c{i % 4}", f"n{i % 4}") for i in range(16)], "id string, unit_code string, unit_name string")
+    only = runs.discover([("things", df)], of_rows(spark, ERD_BASE), "t", scenarios=["baseline"])
+    assert {r["scenario"] for r in only.collect()} == {"baseline"}
+    assert runs.discover([("things", df)], of_rows(spark, ERD_BASE), "t", scenarios=["proposal"]).count() == 0
+    with pytest.raises(ValueError):
+        runs.discover([("things", df)], of_rows(spark, ERD_BASE), "t", scenarios=["other"])
+    a, b = _ontology(spark, ONTOLOGY_A), _ontology(spark, ONTOLOGY_B)
+    gold = {"pairs": spark.createDataFrame([("Flight", "Flight", "flights"), ("Passenger", "Passenger", "people")], "canonical string, a string, b string"), "unique": spark.createDataFrame([("b", "Fare")], "side string, name string"), "conflicts": spark.createDataFrame([], "type string, canonical string, detail string")}
+    said = json.dumps({"alignments": [{"canonical": "Flight", "erd_a": "Flight", "erd_b": "flights"}, {"canonical": "Traveller", "erd_a": "Passenger", "erd_b": "people"}], "unique_to_a": [], "unique_to_b": ["Fare"], "integrated_concepts": ["Flight", "Traveller", "Fare"]})
+    plan, out = runs.integrate_models(a, b, gold, provider=naming.Replay({0.2: [said, "broken", said]}), brief="general advice", settings=Settings("0.2,0.2"))
+    got = {(r["scenario"], r["run"], r["metric"]): r["value"] for r in out.collect()}
+    assert {s for s, _, _ in got} >= {"rule_based", "proposal", "proposal_brief"} and got["proposal", 0, "f1"] == 1.0 and got["proposal", 0, "unique_b_coverage"] == 1.0
+    assert plan["alignments"].count() > 0
+
+
 def test_prompts_hold_what_they_should(spark):
     df = spark.createDataFrame([(str(i), f"c{i % 4}") for i in range(30)], "id string, code string")
     base = of_rows(spark, ERD_BASE)

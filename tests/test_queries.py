@@ -31,7 +31,8 @@ def test_contract():
     queries, oracle = entry.queries(), entry.oracle_sql()
     assert set(QUERIES) <= set(queries) and set(oracle) <= set(queries)
     here = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    assert ("pipeline" in queries) == os.path.exists(os.path.join(here, "corpus_pipeline.py"))
+    present = all(os.path.exists(os.path.join(here, x)) for x in ("corpus_pipeline.py", "schemaloom/llm/__init__.py"))
+    assert ("pipeline" in queries) == present
 
 
 def test_imports_without_a_session():
