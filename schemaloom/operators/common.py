@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -27,15 +27,23 @@ def value_index(df: DataFrame) -> DataFrame:
     return cells(df).groupBy("col", "pos", "value").agg(F.count(F.lit(1)).alias("cnt"))
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df cut from its lineage through the folder in ``spark.checkpoint.dir``. Where that is unset a temporary folder is set in local mode only; on a cluster it is an error, as executors do not share such a folder."""
-    spark = df.sparkSession
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        root = spark.conf.get("spark.checkpoint.dir", None)
-        if not root:
-            master = spark.sparkContext.master
-            if not master.startswith("local") or master.startswith("local-cluster"):
-                raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-            root = tempfile.mkdtemp(prefix="schemaloom-")
+def shared_root(spark: SparkSession) -> str:
+    """The folder in ``spark.checkpoint.dir``. Where that is unset a temporary folder is set in local mode only; on a cluster it is an error, as executors do not share such a folder."""
+    held = spark.sparkContext._jsc.sc().getCheckpointDir()
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and held.isDefined():
+        root = held.get()
+    if not root:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        root = tempfile.mkdtemp(prefix="schemaloom-")
+    if not held.isDefined():
         spark.sparkContext.setCheckpointDir(root)
+    return root.rstrip("/")
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df cut from its lineage through the shared folder."""
+    shared_root(df.sparkSession)
     return df.checkpoint()
