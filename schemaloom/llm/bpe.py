@@ -24,7 +24,9 @@ from schemaloom.llm._common import slices, table, whole_text
 #: The split pattern of byte-level tokenizers.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 #: Words that a worker remembers in each of two generations (when the newer is full it becomes the older, and words met again move on), and pairs of tokens, which start anew.
-WORDS, PAIRS, LONGEST_WORD = 250_000, 600_000, 48
+WORDS, PAIRS, LONGEST_WORD = 250_000, 300_000, 48
+#: The same where the encoder shares its workers with other stages.
+FEW_WORDS = 60_000
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -72,6 +74,7 @@ class Bpe:
         self.words: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.pairs: dict[int, bool] = {}
+        self.kept: int | None = None
 
     def _stands(self, a: int, b: int, limit: float = float("inf")) -> bool:
         """Whether no pair across the border of tokens a and b merges before ``limit``."""
@@ -116,7 +119,7 @@ class Bpe:
         """Ids, as int32, of a piece that the newer generation lacks."""
         ids = self.words.get(piece) or self.older.get(piece) or array("i", self._word(piece.encode().decode("latin-1"))).tobytes()
         if len(piece) <= LONGEST_WORD:
-            if len(self.words) >= WORDS:
+            if len(self.words) >= (self.kept or WORDS):
                 self.words, self.older = {}, self.words
             self.words[piece] = ids
         return ids
@@ -158,11 +161,13 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def bpe_roundtrip(docs: DataFrame, tokenizer: str | None = None, id_col: str = "doc_id", text_col: str = "text", decode: bool = True) -> DataFrame:
+def bpe_roundtrip(docs: DataFrame, tokenizer: str | None = None, id_col: str = "doc_id", text_col: str = "text", decode: bool = True, words: int | None = None) -> DataFrame:
     """One row for each row of docs: id, ids array<int>, decoded string (left out without ``decode``).
 
     Whole texts are encoded; null counts as empty and has no ids. ``tokenizer``: path of a tokenizer file, read on the
-    driver and broadcast (a few MB, whatever the data). Rows are independent: no shuffle; repeated rows give repeated results.
+    driver and broadcast (a few MB, whatever the data); ``words``: how many words a worker remembers in each generation,
+    if not WORDS. Rows are independent: no shuffle; repeated rows give repeated results, empty input an empty one. Other
+    columns, whatever their names, are not looked at. A very long text is one Python object at a time.
     """
     spark, path = docs.sparkSession, tokenizer or tokenizer_path()
     with open(path, encoding="utf-8") as f:
@@ -170,6 +175,7 @@ def bpe_roundtrip(docs: DataFrame, tokenizer: str | None = None, id_col: str = "
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path, spec.value)
+        bpe.kept = words
         for part in slices(batches):
             ids = [bpe.encode(t) for t in part.column(1).to_pylist()]
             ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
@@ -183,9 +189,9 @@ def bpe_roundtrip(docs: DataFrame, tokenizer: str | None = None, id_col: str = "
     return out.withColumnRenamed("id", id_col)
 
 
-def encoded(docs: DataFrame) -> DataFrame:
+def encoded(docs: DataFrame, words: int | None = None) -> DataFrame:
     """doc_id, n_tokens and the SHA-256 of the ids, joined by commas, and of the decoded text."""
-    out = bpe_roundtrip(docs)
+    out = bpe_roundtrip(docs, words=words)
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

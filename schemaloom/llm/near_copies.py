@@ -2,7 +2,7 @@
 
 Texts that nearly agree are linked first, by SimHash fingerprints of five-word shingles and the vantage-point trees of
 ``simhash``. At 0.8 fingerprints differ by about 10 of 64 bits, strangers by 32 +- 4; there the triangle bound excludes
-nothing and a tree would compare all with all. So the wider reach is by MinHash bands: texts that share a band's five
+nothing and a tree would compare all with all. So the wider reach is by MinHash bands: texts that share a band's four
 least hashes form a group, whose leader is compared with each member. What leaders don't join is compared inside the
 group, if it is small, and only between different components; a large group is parted by its members' further bands. All
 links, the trees' too, are verified by the exact similarity of the whole texts.
@@ -26,12 +26,12 @@ from schemaloom.llm.simhash import RADIUS, SEED, hamming_links, print_of
 
 #: Words of a shingle, and the least Jaccard similarity as a fraction.
 SHINGLE, JACCARD = 5, (4, 5)
-#: MinHash bands and the hashes of each: texts of similarity 0.8 share none of the bands with a chance of 0.00005.
-BANDS, ROWS = 25, 5
+#: MinHash bands and the hashes of each: texts of similarity 0.8 share none of the bands with a chance of 0.00008.
+BANDS, ROWS = 18, 4
 #: Equal hashes of BANDS * ROWS, and differing bits of the fingerprint, from which a pair is verified: three and four standard deviations off what 0.8 makes likely.
-EQUAL, APART = 86, 22
-#: Members of a group that are compared with each other directly.
-LEAF = 256
+EQUAL, APART = 47, 22
+#: Members of a group that are compared with each other directly, and bytes of texts whose shingles a verifying task remembers.
+LEAF, REMEMBERED = 256, 1 << 20
 
 _draw = np.random.default_rng(SEED)
 _factor = _draw.integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -49,6 +49,17 @@ def similar(a: set[bytes], b: set[bytes]) -> bool:
     return both * JACCARD[1] >= (len(a) + len(b) - both) * JACCARD[0]
 
 
+def shingle_hashes(words: list[bytes]) -> np.ndarray:
+    """The different XXH64 of the shingles of a text's words."""
+    if not words:
+        return np.zeros(0, np.uint64)
+    joined, size = b" ".join(words), np.fromiter(map(len, words), np.int64, len(words))
+    end = np.cumsum(size + 1) - 1
+    begin, end = (end - size)[: max(1, len(words) - SHINGLE + 1)].tolist(), end[min(SHINGLE, len(words)) - 1 :].tolist()
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.fromiter([digest(joined[a:b], SEED) for a, b in zip(begin, end, strict=True)], np.uint64, len(begin)))
+
+
 def least_hashes(hashes: np.ndarray) -> np.ndarray:
     """The least value of each of BANDS * ROWS hash functions, from 64-bit hashes of the shingles."""
     out = np.full(BANDS * ROWS, (1 << 32) - 1, np.uint64)
@@ -62,8 +73,8 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches):
         rows = []
         for t in batch.column(2).cast(pa.large_binary()):
-            shingles = shingle_set(text := t.as_buffer().to_pybytes())
-            hashes = np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in shingles), np.uint64, len(shingles))
+            words = t.as_buffer().to_pybytes().lower().split()
+            hashes = shingle_hashes(words)
             bands, low = [], b""
             if len(hashes):
                 least = least_hashes(hashes)
@@ -73,38 +84,61 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     mixed = (mixed ^ column) * np.uint64(0x9E3779B97F4A7C15)
                     mixed ^= mixed >> np.uint64(29)
                 bands = mixed.view(np.int64)
-            rows.append((hashlib.sha256(b" ".join(text.lower().split())).digest(), np.uint64(print_of(hashes)).view(np.int64), len(hashes), low, bands))
+            rows.append((hashlib.sha256(b" ".join(words)).digest(), np.uint64(print_of(hashes)).view(np.int64), len(hashes), low, bands))
         key, fp, n, low, bands = zip(*rows, strict=True)
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(key, pa.binary()), pa.array(fp, pa.int64()), pa.array(n, pa.int64()), pa.array(low, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "text_sha256", "key", "fp", "n", "low", "bands"])
 
 
-def _likely(pairs: DataFrame, units: DataFrame) -> DataFrame:
-    """Those of the pairs (a, b) of uids that have EQUAL or more equal hashes."""
+def _degrees(pairs: DataFrame, units: DataFrame, *columns: str) -> DataFrame:
+    """(uid, columns, n_a, n_b): the units of the written pairs (a, b), and in how many they stand on either side."""
+    sides = pairs.select(F.col("a").alias("uid"), F.lit(1).alias("n_a"), F.lit(0).alias("n_b")).union(pairs.select("b", F.lit(0), F.lit(1)))
+    counted = written(sides.groupBy("uid").agg(F.sum("n_a").alias("n_a"), F.sum("n_b").alias("n_b")), "degrees", narrow=True)
+    return written(attach(units.select("uid", *columns), counted, ["uid"], "inner"), "involved", narrow=True)
+
+
+def _both(pairs: DataFrame, facts: DataFrame, column: str) -> DataFrame:
+    """pairs (a, b) with a column of facts (uid, column, n_a, n_b) for either side."""
     for side in ("a", "b"):
-        pairs = attach(pairs, units.select(F.col("uid").alias(side), F.col("low").alias(f"low_{side}")), [side], "inner")
+        pairs = attach(pairs, facts.select(F.col("uid").alias(side), F.col(column).alias(f"{column}_{side}"), f"n_{side}"), [side], "inner", f"n_{side}").drop(f"n_{side}")
+    return pairs.select("a", "b", f"{column}_a", f"{column}_b")
+
+
+def _likely(pairs: DataFrame, units: DataFrame) -> DataFrame:
+    """Those of the written pairs (a, b) of uids that have EQUAL or more equal hashes."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, BANDS * ROWS) for k in (2, 3))
             yield batch.select(["a", "b"]).filter(pa.array((a == b).sum(axis=1) >= EQUAL))
 
-    return pairs.select("a", "b", "low_a", "low_b").mapInArrow(check, "a long, b long")
+    return _both(pairs, _degrees(pairs, units, "low"), "low").mapInArrow(check, "a long, b long")
 
 
 def _verified(pairs: DataFrame, units: DataFrame, docs: DataFrame) -> DataFrame:
     """Those of the written pairs (a, b) whose texts have an exact Jaccard similarity of JACCARD; docs: (sha, text)."""
-    involved = written(pairs.select(F.col("a").alias("uid")).union(pairs.select("b")).distinct().join(units.select("uid", "sha"), "uid"), "involved", narrow=True)
-    texts = written(attach(docs, involved, ["sha"], "inner").groupBy("uid").agg(F.first("text").alias("text")), "texts")
-    for side in ("a", "b"):
-        pairs = attach(pairs, texts.select(F.col("uid").alias(side), F.col("text").alias(f"text_{side}")), [side], "inner")
+    involved = _degrees(pairs, units, "sha")
+    texts = attach(docs, involved, ["sha"], "inner").groupBy("uid").agg(F.first("text").alias("text"), F.first("n_a").alias("n_a"), F.first("n_b").alias("n_b"))
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[bytes, set[bytes]] = {}
+        held = 0
+
+        def shingles(text: bytes) -> set[bytes]:
+            nonlocal held
+            if text not in known:
+                if held > REMEMBERED:
+                    known.clear()
+                    held = 0
+                known[text] = shingle_set(text)
+                held += len(text)
+            return known[text]
+
         for batch in slices(batches):
             texts = [batch.column(k).cast(pa.large_binary()) for k in (2, 3)]
-            keep = [similar(*(shingle_set(t[i].as_buffer().to_pybytes()) for t in texts)) for i in range(batch.num_rows)]
+            keep = [similar(*(shingles(t[i].as_buffer().to_pybytes()) for t in texts)) for i in range(batch.num_rows)]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return pairs.select("a", "b", "text_a", "text_b").mapInArrow(check, "a long, b long")
+    return _both(pairs, written(texts, "texts"), "text").mapInArrow(check, "a long, b long")
 
 
 class _Groups:
@@ -114,9 +148,13 @@ class _Groups:
         self.units, self.docs = units, docs
         self.edges = units.sparkSession.createDataFrame([], "a long, b long")
         self.comps = units.sparkSession.createDataFrame([], "uid long, comp long")
+        self.tested = self.edges
 
     def add(self, pairs: DataFrame, name: str) -> None:
-        pairs = written(_likely(written(pairs.distinct(), f"{name}-pairs", narrow=True), self.units), f"{name}-likely", narrow=True)
+        """Verify the pairs (a < b) that were not tested before."""
+        fresh = written(pairs.distinct().join(self.tested, ["a", "b"], "left_anti"), f"{name}-pairs", narrow=True)
+        self.tested = self.tested.union(fresh)
+        pairs = written(_likely(fresh, self.units), f"{name}-likely", narrow=True)
         if pairs.isEmpty():
             return
         found = written(_verified(pairs, self.units, self.docs), f"{name}-verified", narrow=True)
@@ -134,8 +172,8 @@ def _fits(x: str, y: str) -> str:
     return f"bit_count({x}.fp ^ {y}.fp) <= {APART} and least({x}.n, {y}.n) * {JACCARD[1]} >= greatest({x}.n, {y}.n) * {JACCARD[0]}"
 
 
-def link_by_bands(groups: _Groups) -> None:
-    """Add the links of all units that share a band to ``groups``."""
+def link_by_bands(groups: _Groups, close: DataFrame) -> None:
+    """Add the links of all units that share a band to ``groups``, and those of the pairs ``close`` (a, b)."""
     units = groups.units
     facts = units.select("uid", "fp", "n", "bands")
     rows = facts.select("uid", F.posexplode("bands").alias("band", "key"))
@@ -145,10 +183,11 @@ def link_by_bands(groups: _Groups) -> None:
         heads = written(rows.groupBy("key").agg(F.count(F.lit(1)).alias("size"), leader).filter("size > 1"), "heads", narrow=True)
         rows = written(attach(rows, heads, ["key"], "inner", "size"), "members", narrow=True)
         if rows.isEmpty():
-            return
+            return groups.add(close, "close") if level == 0 else None
         led = written(attach(rows.select(F.col("leader").alias("uid"), F.col("uid").alias("b")).filter("uid <> b").distinct(), facts.drop("bands"), ["uid"], "inner").select(F.struct("uid", "fp", "n").alias("x"), F.col("b").alias("uid")), "led", narrow=True)
         stars = attach(led, facts.drop("bands"), ["uid"], "inner").select("x", F.struct("uid", "fp", "n").alias("y")).filter(_fits("x", "y"))
-        groups.add(stars.select(F.least("x.uid", "y.uid").alias("a"), F.greatest("x.uid", "y.uid").alias("b")), f"stars-{level}")
+        stars = stars.select(F.least("x.uid", "y.uid").alias("a"), F.greatest("x.uid", "y.uid").alias("b"))
+        groups.add(stars.union(close) if level == 0 else stars, f"stars-{level}")
         marked = written(groups.mark(rows.select("uid", "band", "key", "size")), "marked", narrow=True)
         mixed = written(marked.groupBy("key").agg(F.count(F.lit(1)).alias("weight"), F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high").select("key", "weight"), "mixed", narrow=True)
         rest = written(attach(attach(marked, mixed, ["key"], "inner", "weight").drop("weight"), facts, ["uid"], "inner"), "rest", narrow=True)
@@ -180,9 +219,9 @@ def near_copies(docs: DataFrame) -> DataFrame:
     links = written(hamming_links(prints, prints.count(), RADIUS), "links", narrow=True)
     for side in ("a", "b"):
         links = attach(links.withColumnRenamed(side, "fp"), prints.select("fp", F.col("uid").alias(f"uid_{side}")), ["fp"], "inner").drop("fp")
-    same = attach(units.filter("n > 0").select("uid", "fp"), prints.filter("held > 1").select("fp", F.col("uid").alias("a"), "held"), ["fp"], "inner", "held").filter("a <> uid").select("a", F.col("uid").alias("b"))
-    groups.add(links.select(F.col("uid_a").alias("a"), F.col("uid_b").alias("b")).union(same), "trees")
-    link_by_bands(groups)
+    same = attach(units.filter("n > 0").select("uid", "fp"), prints.filter("held > 1").select("fp", F.col("uid").alias("a"), "held"), ["fp"], "inner", "held").filter("a <> uid").select(F.least("a", "uid").alias("a"), F.greatest("a", "uid").alias("b"))
+    near = links.select(F.least("uid_a", "uid_b").alias("a"), F.greatest("uid_a", "uid_b").alias("b"))
+    link_by_bands(groups, near.union(same))
     now = written(groups.mark(units.select("uid", "key", "best", "size")), "grouped", narrow=True)
     least = F.min_by("best", F.struct(F.col("best.doc_id").isNull(), F.col("best.doc_id"), F.col("best.text_sha256")))
     best = written(now.groupBy("comp").agg(least.alias("stays"), F.count(F.lit(1)).alias("weight")), "best", narrow=True)

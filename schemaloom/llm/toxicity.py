@@ -159,9 +159,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Chain:
 
 
 def classify(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each row of docs: id, p_<category> for each category, toxic (p_toxic is THRESHOLD or more).
+    """One row for each row of docs: id, p_<category> for each category, toxic (p_toxic is THRESHOLD or more, so a tie is toxic).
 
-    Null texts count as empty. Rows are independent, so repeated rows get repeated results.
+    Null texts count as empty. Rows are independent, so repeated rows get repeated results and empty input an empty one.
+    Other columns, whatever their names, are not looked at. A very long text is one Python object at a time.
     """
     held = docs.sparkSession.sparkContext.broadcast(chain)
     names = [f"p_{c}" for c in chain.categories]

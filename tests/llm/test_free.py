@@ -509,8 +509,7 @@ def test_language_bounds_follow_the_length():
 NAMES = ("_id", "_sha", "_hot", "_salt", "_got", "_h", "_k", "key", "sha", "parts", "part", "weight", "row", "n", "fp", "uid", "comp", "a.b", "lang_pred", "score")
 
 
-@pytest.mark.parametrize("limit", [200_000, 0])
-@pytest.mark.parametrize("id_type", ["long", "string"])
+@pytest.mark.parametrize(("limit", "id_type"), [(200_000, "long"), (0, "string")])
 def test_stages_keep_columns_of_any_name(spark, monkeypatch, limit, id_type):
     from schemaloom.llm import _common as common
     from schemaloom.llm import decontaminate as D
