@@ -1,4 +1,10 @@
-"""The corpus pipeline: documents go through five of the corpus operators; each stage works on all that the one before kept."""
+"""The corpus pipeline: documents go through five of the corpus operators; each stage works on all that the one before kept.
+
+Every stage but the last returns the columns of its docs as they are, whatever their names and types; doc_id may be of any
+type with an order. Null texts count as empty and go with the first stage, as they have no language. Rows that repeat an
+id and a text are one document after the second stage. Very long texts are worked on whole, a few at a time in a task. An
+empty table gives an empty result at every stage.
+"""
 
 from __future__ import annotations
 
@@ -14,23 +20,26 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the one with the largest doc_id stays."""
+    """Of equal texts the one with the largest doc_id stays; a null id only where all are null."""
     return exact_dedup.deduplicated(docs)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of texts with a five-word Jaccard similarity of 0.8 or more the document with the smallest doc_id stays."""
+    """Of each group of texts with a five-word Jaccard similarity of 0.8 or more the document with the smallest doc_id stays.
+
+    A null id comes last, equal ids are told apart by the texts' digests.
+    """
     return near_copies.without_near_copies(docs)
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold an item of the benchmark go."""
+    """Documents that hold an item of the benchmark go: 0.8 or more of its five-word shingles. Without items all stay."""
     return decontaminate.decontaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The tokens of what remains."""
-    return bpe.encoded(docs)
+    """The tokens of what remains: a row for each document."""
+    return bpe.encoded(docs, bpe.FEW_WORDS)
 
 
 STAGES = [("language", language_stage), ("exact_dedup", exact_stage), ("near_dedup", near_stage), ("decontaminate", benchmark_stage), ("encode", encoding_stage)]
