@@ -15,16 +15,28 @@ def scalar(df: DataFrame) -> DataFrame:
     return df.select(*[F.to_json(F.col(f"`{f.name}`")).alias(f.name) if isinstance(f.dataType, complex_) else F.col(f"`{f.name}`") for f in df.schema])
 
 
-def cells(df: DataFrame) -> DataFrame:
-    """(col, pos, value): a row for each cell, the value as text; null stays null."""
+#: Characters beyond which a value that is no number stands for itself by its digest where only equality counts.
+LONG = 256
+
+
+def cells(df: DataFrame, digests: bool = False) -> DataFrame:
+    """(col, pos, value): a row for each cell, the value as text; null stays null.
+
+    ``digests``: long texts are their SHA-256, for what only counts and compares values, so that whole documents don't
+    travel as keys of a shuffle.
+    """
     df = scalar(df)
     each = F.array(*[F.struct(F.lit(f.name).alias("col"), F.lit(i).alias("pos"), F.col(f"`{f.name}`").cast("string").alias("value")) for i, f in enumerate(df.schema)])
-    return df.select(F.explode(each).alias("c")).select("c.*")
+    out = df.select(F.explode(each).alias("c")).select("c.*")
+    if not digests:
+        return out
+    text = F.col("value")
+    return out.withColumn("value", F.when((F.length(text) > LONG) & ~text.rlike(r"^\s*[-+0-9.eE]+\s*$"), F.concat(F.lit("sha256 "), F.sha2(text, 256))).otherwise(text))
 
 
-def value_index(df: DataFrame) -> DataFrame:
-    """(col, pos, value, cnt): how often each value of each column occurs; counted before the shuffle."""
-    return cells(df).groupBy("col", "pos", "value").agg(F.count(F.lit(1)).alias("cnt"))
+def value_index(df: DataFrame, digests: bool = False) -> DataFrame:
+    """(col, pos, value, cnt): how often each value of each column occurs; counted before the shuffle. ``digests``: as in ``cells``."""
+    return cells(df, digests).groupBy("col", "pos", "value").agg(F.count(F.lit(1)).alias("cnt"))
 
 
 def shared_root(spark: SparkSession) -> str:

@@ -14,10 +14,10 @@ DISTINCT, COVERAGE = 2, 1.0
 
 
 def table_index(tables: dict[str, DataFrame]) -> DataFrame:
-    """(tbl, col, pos, value, cnt): how often each value of each column of all tables occurs, as written once; what profiles, keys and inclusions are made from."""
+    """(tbl, col, pos, value, cnt): how often each value of each column of all tables occurs, long texts by digest, written once; what profiles, keys and inclusions are made from."""
     index = None
     for tbl, df in tables.items():
-        part = cells(df).groupBy(F.lit(tbl).alias("tbl"), "col", "pos", "value").agg(F.count(F.lit(1)).alias("cnt"))
+        part = cells(df, digests=True).groupBy(F.lit(tbl).alias("tbl"), "col", "pos", "value").agg(F.count(F.lit(1)).alias("cnt"))
         index = part if index is None else index.unionByName(part)
     return checkpointed(index)
 

@@ -33,7 +33,7 @@ def counts(index: DataFrame) -> DataFrame:
 def profile(df: DataFrame) -> DataFrame:
     """counts() with the inferred type of each column, in one aggregation. A table without rows has a row for each column all the same."""
     schema = df.sparkSession.createDataFrame([(f.name, i) for i, f in enumerate(df.schema)], "col string, pos int")
-    judged = value_index(df).groupBy("col", "pos").agg(*_counted(), _inferred(_declared(df), F.col("col")).alias("type"))
+    judged = value_index(df, digests=True).groupBy("col", "pos").agg(*_counted(), _inferred(_declared(df), F.col("col")).alias("type"))
     return _complete(schema.join(_ratios(judged, "type"), ["col", "pos"], "left"))
 
 

@@ -5,6 +5,7 @@ from itertools import combinations
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from schemaloom.operators import decompose, fds, inds, keys, sampling
 from schemaloom.operators import profile as P
@@ -93,8 +94,6 @@ def test_better_parent_and_reciprocal_edges(spark):
 
 
 def test_names_agree(spark):
-    from pyspark.sql import functions as F
-
     cases = [("airport_code", "Airport", "code", True), ("paid", "Bill", "id", False), ("home_airport", "Airports", "code", True), ("x_iata", "Airport", "iata", True), ("x_id", "Airport", "id", False), ("Customer_ID", "Person", "customerid", True)]
     df = spark.createDataFrame(cases, "c string, t string, k string, want boolean")
     assert all(r["want"] == r["got"] for r in df.withColumn("got", inds.names_agree(F.col("c"), F.col("t"), F.col("k"))).collect())
@@ -159,6 +158,17 @@ def test_validation_scores(spark):
     assert (nothing["precision"], nothing["recall"], nothing["total"]) == (0.0, 0.0, 0.0)
 
 
+def test_long_values_count_by_digest(spark):
+    from schemaloom.operators import profile
+
+    texts = ["x" * 5000, "x" * 5000, "x" * 4999 + "y", None]
+    df = frame(spark, ["t", "n"], [[t, "9" * 300 if i else "1"] for i, t in enumerate(texts)])
+    got = {r["col"]: (r["type"], r["distinct_cnt"], r["nulls"]) for r in profile.profile(df).collect()}
+    assert got == {"t": ("string", 2, 1), "n": ("integer", 2, 0)}
+    both = inds.inclusions({"a": df.select("t"), "b": df.select(F.col("t").alias("u"))})
+    assert {(r["child_col"], r["shared"], r["coverage"]) for r in both.collect()} == {("t", 2, 1.0), ("u", 2, 1.0)}
+
+
 def test_samples(spark):
     df = frame(spark, ["k", "v"], [[f"{i:03d}", i] for i in range(60)])
     got = [r["k"] for r in sampling.head_middle_tail(df, ["k"]).collect()]
