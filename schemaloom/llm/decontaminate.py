@@ -91,7 +91,7 @@ def contained(docs: DataFrame, benchmark: DataFrame, id_col: str = "item_id", te
     items = written(items_of(benchmark, id_col, text_col), "items", narrow=True)
     some = written(_candidates(docs, items), "candidates", narrow=True)
     texts = attach(docs.select("sha", "text"), some, ["sha"], "left_semi").groupBy("sha").agg(F.first("text").alias("text"))
-    shingles = texts.select("sha", F.explode_outer(F.array_distinct(_shingled(F.col("text"), _text)["shingles"])).alias("shingle"))
+    shingles = written(texts.select("sha", F.explode_outer(F.array_distinct(_shingled(F.col("text"), _text)["shingles"])).alias("shingle")), "shingles")  # of candidates only
     owned = items.select("item", "n", F.explode("shingles").alias("shingle"))
     held = written(owned.groupBy("shingle").agg(F.count(F.lit(1)).alias("owners")), "held", narrow=True)
     hits = written(attach(shingles, held, ["shingle"], "inner").select("sha", "shingle"), "hits", narrow=True)  # a text's shingles are distinct
