@@ -26,16 +26,16 @@ from schemaloom.llm.simhash import RADIUS, SEED, hamming_links, print_of
 
 #: Words of a shingle, and the least Jaccard similarity as a fraction.
 SHINGLE, JACCARD = 5, (4, 5)
-#: MinHash bands and the hashes of each: texts of similarity 0.8 share none of the bands with a chance of 0.00008.
-BANDS, ROWS = 18, 4
-#: Equal hashes of BANDS * ROWS, and differing bits of the fingerprint, from which a pair is verified: three and four standard deviations off what 0.8 makes likely.
-EQUAL, APART = 47, 22
+#: MinHash bands and the hashes of each: texts of similarity 0.8 share none of the bands with a chance of 0.00008. HASHES in all estimate similarities.
+BANDS, ROWS, HASHES = 18, 4, 216
+#: Equal hashes from which a pair is verified, in two rounds: 0.8 of HASHES, then three standard deviations less; and differing bits of the fingerprint, four off what 0.8 makes likely.
+EQUAL, APART = (173, 155), 22
 #: Members of a group that are compared with each other directly, and bytes of texts whose shingles a verifying task remembers.
-LEAF, REMEMBERED = 256, 1 << 20
+LEAF, REMEMBERED = 2048, 1 << 20
 
 _draw = np.random.default_rng(SEED)
-_factor = _draw.integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_offset = _draw.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
+_factor = _draw.integers(1, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_offset = _draw.integers(0, 1 << 63, HASHES, dtype=np.uint64)
 
 
 def shingle_set(text: bytes) -> set[bytes]:
@@ -61,8 +61,8 @@ def shingle_hashes(words: list[bytes]) -> np.ndarray:
 
 
 def least_hashes(hashes: np.ndarray) -> np.ndarray:
-    """The least value of each of BANDS * ROWS hash functions, from 64-bit hashes of the shingles."""
-    out = np.full(BANDS * ROWS, (1 << 32) - 1, np.uint64)
+    """The least value of each of HASHES hash functions, from 64-bit hashes of the shingles."""
+    out = np.full(HASHES, (1 << 32) - 1, np.uint64)
     for at in range(0, len(hashes), 1024):
         out = np.minimum(out, ((hashes[at : at + 1024, None] * _factor + _offset) >> np.uint64(32)).min(axis=0))
     return out
@@ -80,7 +80,7 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 least = least_hashes(hashes)
                 low = least.astype(np.uint8).tobytes()
                 mixed = place
-                for column in least.reshape(BANDS, ROWS).T:
+                for column in least[: BANDS * ROWS].reshape(BANDS, ROWS).T:
                     mixed = (mixed ^ column) * np.uint64(0x9E3779B97F4A7C15)
                     mixed ^= mixed >> np.uint64(29)
                 bands = mixed.view(np.int64)
@@ -104,12 +104,12 @@ def _both(pairs: DataFrame, facts: DataFrame, column: str) -> DataFrame:
 
 
 def _likely(pairs: DataFrame, units: DataFrame) -> DataFrame:
-    """Those of the written pairs (a, b) of uids that have EQUAL or more equal hashes."""
+    """Those of the written pairs (a, b) of uids that have enough equal hashes."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, BANDS * ROWS) for k in (2, 3))
-            yield batch.select(["a", "b"]).filter(pa.array((a == b).sum(axis=1) >= EQUAL))
+            a, b = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, HASHES) for k in (2, 3))
+            yield batch.select(["a", "b"]).filter(pa.array((a == b).sum(axis=1) >= EQUAL[-1]))
 
     return _both(pairs, _degrees(pairs, units, "low"), "low").mapInArrow(check, "a long, b long")
 
@@ -150,11 +150,12 @@ class _Groups:
         self.comps = units.sparkSession.createDataFrame([], "uid long, comp long")
         self.tested = self.edges
 
-    def add(self, pairs: DataFrame, name: str) -> None:
-        """Verify the pairs (a < b) that were not tested before."""
-        fresh = written(pairs.distinct().join(self.tested, ["a", "b"], "left_anti"), f"{name}-pairs", narrow=True)
-        self.tested = self.tested.union(fresh)
-        pairs = written(_likely(fresh, self.units), f"{name}-likely", narrow=True)
+    def add(self, pairs: DataFrame, name: str, likely: bool = False) -> None:
+        """Verify the pairs (a < b) that were not tested before; ``likely``: their hashes have been compared."""
+        pairs = written(pairs.distinct().join(self.tested, ["a", "b"], "left_anti"), f"{name}-pairs", narrow=True)
+        self.tested = self.tested.union(pairs)
+        if not likely:
+            pairs = written(_likely(pairs, self.units), f"{name}-likely", narrow=True)
         if pairs.isEmpty():
             return
         found = written(_verified(pairs, self.units, self.docs), f"{name}-verified", narrow=True)
@@ -168,6 +169,45 @@ class _Groups:
         return attach(rows, self.comps, ["uid"], "left").withColumn("comp", F.coalesce("comp", "uid"))
 
 
+def _inside(least: int):
+    """A function of batches of rows that stand together by key: the pairs inside groups with ``least`` or more equal hashes.
+
+    Both are of different components and not in a group of an earlier band that is compared too (``large`` has a bit for
+    each band whose group is not).
+    """
+    names = ["a", "b"]
+
+    def pairs(rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        uid, fp, n, comp, band, large = (rows.column(c).to_numpy(zero_copy_only=False) for c in ("uid", "fp", "n", "comp", "band", "large"))
+        low, fp = np.frombuffer(b"".join(rows.column("low").to_pylist()), np.uint8).reshape(len(uid), HASHES), fp.view(np.uint64)
+        bands = rows.column("bands").flatten().to_numpy(zero_copy_only=False).reshape(len(uid), BANDS)
+        for i in range(len(uid) - 1):
+            j = np.flatnonzero((np.bitwise_count(fp[i + 1 :] ^ fp[i]) <= APART) & (comp[i + 1 :] != comp[i])) + i + 1
+            j = j[np.minimum(n[j], n[i]) * JACCARD[1] >= np.maximum(n[j], n[i]) * JACCARD[0]]
+            j = j[(low[j] == low[i]).sum(axis=1) >= least]
+            before = [k for k in range(band[i]) if not large[i] >> k & 1]
+            if len(j) and before:
+                j = j[~(bands[j][:, before] == bands[i][before]).any(axis=1)]
+            if len(j):
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(uid[j], uid[i])), pa.array(np.maximum(uid[j], uid[i]))], names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None
+        for batch in batches:
+            rows = batch if rest is None else pa.Table.from_batches([rest, batch]).combine_chunks().to_batches()[0]
+            if not rows.num_rows:
+                continue
+            key = rows.column("key").to_numpy(zero_copy_only=False)
+            cuts = (np.flatnonzero(key[1:] != key[:-1]) + 1).tolist()
+            for begin, end in zip([0, *cuts], cuts, strict=False):
+                yield from pairs(rows.slice(begin, end - begin))
+            rest = rows.slice(cuts[-1] if cuts else 0)
+        if rest is not None:
+            yield from pairs(rest)
+
+    return run
+
+
 def _fits(x: str, y: str) -> str:
     return f"bit_count({x}.fp ^ {y}.fp) <= {APART} and least({x}.n, {y}.n) * {JACCARD[1]} >= greatest({x}.n, {y}.n) * {JACCARD[0]}"
 
@@ -175,8 +215,8 @@ def _fits(x: str, y: str) -> str:
 def link_by_bands(groups: _Groups, close: DataFrame) -> None:
     """Add the links of all units that share a band to ``groups``, and those of the pairs ``close`` (a, b)."""
     units = groups.units
-    facts = units.select("uid", "fp", "n", "bands")
-    rows = facts.select("uid", F.posexplode("bands").alias("band", "key"))
+    facts = units.select("uid", "fp", "n")
+    rows = units.select("uid", F.posexplode("bands").alias("band", "key"))
     level = 0
     while True:
         leader = F.min_by("uid", F.xxhash64("uid", F.lit(level))).alias("leader")
@@ -184,16 +224,20 @@ def link_by_bands(groups: _Groups, close: DataFrame) -> None:
         rows = written(attach(rows, heads, ["key"], "inner", "size"), "members", narrow=True)
         if rows.isEmpty():
             return groups.add(close, "close") if level == 0 else None
-        led = written(attach(rows.select(F.col("leader").alias("uid"), F.col("uid").alias("b")).filter("uid <> b").distinct(), facts.drop("bands"), ["uid"], "inner").select(F.struct("uid", "fp", "n").alias("x"), F.col("b").alias("uid")), "led", narrow=True)
-        stars = attach(led, facts.drop("bands"), ["uid"], "inner").select("x", F.struct("uid", "fp", "n").alias("y")).filter(_fits("x", "y"))
+        led = written(attach(rows.select(F.col("leader").alias("uid"), F.col("uid").alias("b")).filter("uid <> b").distinct(), facts, ["uid"], "inner").select(F.struct("uid", "fp", "n").alias("x"), F.col("b").alias("uid")), "led", narrow=True)
+        stars = attach(led, facts, ["uid"], "inner").select("x", F.struct("uid", "fp", "n").alias("y")).filter(_fits("x", "y"))
         stars = stars.select(F.least("x.uid", "y.uid").alias("a"), F.greatest("x.uid", "y.uid").alias("b"))
         groups.add(stars.union(close) if level == 0 else stars, f"stars-{level}")
-        marked = written(groups.mark(rows.select("uid", "band", "key", "size")), "marked", narrow=True)
-        mixed = written(marked.groupBy("key").agg(F.count(F.lit(1)).alias("weight"), F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high").select("key", "weight"), "mixed", narrow=True)
-        rest = written(attach(attach(marked, mixed, ["key"], "inner", "weight").drop("weight"), facts, ["uid"], "inner"), "rest", narrow=True)
-        near = rest.filter(F.col("size") <= LEAF).groupBy("key").agg(F.collect_list(F.struct("uid", "fp", "n", "comp")).alias("m"))  # LEAF at most
-        pairs = near.select(F.explode(F.expr(f"flatten(transform(m, x -> transform(filter(m, y -> y.uid > x.uid and y.comp <> x.comp and {_fits('x', 'y')}), y -> struct(x.uid as a, y.uid as b))))")).alias("p"))
-        groups.add(pairs.select("p.*"), f"pairs-{level}")
+        facts_of = rows.select("uid", "band", "key", "size")
+        masks = written(facts_of.filter(F.col("size") > LEAF).groupBy("uid").agg(F.expr("bit_or(shiftleft(1L, band))").alias("large")), "masks", narrow=True)
+        for least in EQUAL:  # what is surely near first, so that the rest need not be compared where that has joined it
+            marked = written(groups.mark(facts_of), "marked", narrow=True)
+            mixed = written(marked.groupBy("key").agg(F.count(F.lit(1)).alias("weight"), F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high").select("key", "weight"), "mixed", narrow=True)
+            open_ = attach(attach(marked, mixed, ["key"], "inner", "weight").drop("weight"), masks, ["uid"], "left")
+            open_ = open_.withColumn("large", F.coalesce("large", F.lit(0).cast("long")) if level == 0 else F.lit(-1).cast("long"))
+            rest = written(attach(open_, units.select("uid", "fp", "n", "low", "bands"), ["uid"], "inner"), "rest", narrow=True)
+            near = rest.filter(F.col("size") <= LEAF).select("key", "band", "uid", "fp", "n", "comp", "low", "bands", "large")
+            groups.add(near.repartition("key").sortWithinPartitions("key").mapInArrow(_inside(least), "a long, b long"), f"pairs-{level}", likely=True)
         large = rest.filter(F.col("size") > LEAF)
         rows = large.select("uid", "key", "band", F.posexplode("bands").alias("next", "value")).filter("next > band").select("uid", F.col("next").alias("band"), F.xxhash64("key", "value").alias("key"))
         level += 1
