@@ -26,7 +26,7 @@ SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N
 #: Words that a worker remembers in each of two generations (when the newer is full it becomes the older, and words met again move on), and pairs of tokens, which start anew.
 WORDS, PAIRS, LONGEST_WORD = 250_000, 300_000, 48
 #: The same where the encoder shares its workers with other stages.
-FEW_WORDS = 60_000
+FEW_WORDS = 30_000
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -183,6 +183,8 @@ def bpe_roundtrip(docs: DataFrame, tokenizer: str | None = None, id_col: str = "
             if decode:
                 columns.append(pa.array([bpe.decode(x.tolist()) for x in ids], pa.string()))
             yield pa.RecordBatch.from_arrays(columns, ["id", "ids", "decoded"][: len(columns)])
+        if words is not None:  # the worker lives on with other stages
+            _loaded.clear()
 
     kind = docs.schema[id_col].dataType.simpleString()
     out = docs.select(F.col(id_col).alias("id"), whole_text(text_col).alias("text")).mapInArrow(run, f"id {kind}, ids array<int>" + ", decoded string" * decode)
