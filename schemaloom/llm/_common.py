@@ -104,8 +104,8 @@ def attach(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "lef
 
 
 def id_text(column: str = "doc_id") -> Column:
-    """An id as a text that is never null, to join by."""
-    return F.coalesce(F.col(column).cast("string"), F.lit("null"))
+    """An id as a text that is never null, to join by; the text of no other id is that of null."""
+    return F.coalesce(F.concat(F.lit("="), F.col(column).cast("string")), F.lit(""))
 
 
 def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:

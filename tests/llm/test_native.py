@@ -213,3 +213,16 @@ def test_attach_beyond_the_broadcast_limit(spark, how, weight):
 def test_digest_is_of_the_whole_text(spark, tmp_path):
     out = S.secret_scan(docs(spark, [(1, "é")]), S.SecretLedger(spark, str(tmp_path / "l"))).first()
     assert bytes(out["blob"]) == hashlib.sha256("é".encode()).digest()
+
+
+# ids
+
+
+def test_a_null_id_is_not_the_text_null(spark):
+    from schemaloom.llm import exact_dedup as E
+    from schemaloom.llm.simhash import near_deduplicated
+
+    rows = spark.createDataFrame([(None, "same text"), ("null", "same text"), ("z", "other"), ("", "same text")], "doc_id string, text string")
+    got = Counter((r.doc_id, r.text) for r in E.deduplicated(rows).collect())
+    assert got == Counter([("null", "same text"), ("z", "other")])
+    assert Counter(r.doc_id for r in near_deduplicated(rows).collect()) == Counter(["", "z"])
