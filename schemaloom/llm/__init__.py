@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("sharding", "language", "toxicity", "warc", "bpe", "secrets", "token_counts", "decontaminate", "simhash", "exact_dedup", "line_dedup", "importance")
+MODULES = ("sharding", "language", "toxicity", "warc", "bpe", "secrets", "token_counts", "decontaminate", "simhash", "exact_dedup", "line_dedup", "importance", "conversations")
 
 
 def registered() -> tuple[dict, dict]:
