@@ -17,6 +17,8 @@ from schemaloom.llm._common import attach, small, table, whole_text, without, wr
 
 #: Words of a shingle; the least containment as a fraction (0.8).
 WIDTH, SHARE = 5, (4, 5)
+#: Items that a list of a shingle's items has at most.
+LIST = 256
 #: Fixed value: what parts words, as a regular expression that Java and RE2 read alike.
 GAP = r"[^\p{L}\p{N}]+"
 
@@ -86,6 +88,19 @@ def _candidates(docs: DataFrame, items: DataFrame) -> DataFrame:
     return attach(hashes, by_hash, ["size_class", "h"], "inner").filter("doc_n >= need").select("sha").distinct()
 
 
+def _met(hits: DataFrame, rare: DataFrame) -> DataFrame:
+    """Distinct (sha, item) of the written hits (sha, shingle) and rare (item, shingle).
+
+    A shingle's items are kept in lists of about LIST, and a hit meets each of them, so neither a shingle that many documents
+    hold nor one that many items hold gathers in one task (see ``attach``).
+    """
+    lists = written(rare.groupBy("shingle").agg(F.ceil(F.count(F.lit(1)) / LIST).cast("int").alias("lists")), "lists", narrow=True)
+    dealt = attach(rare, lists, ["shingle"], "inner").withColumn("list", F.pmod(F.xxhash64("item"), F.col("lists")).cast("int"))
+    items = written(dealt.groupBy("shingle", "list").agg(F.collect_list("item").alias("items")), "shared", narrow=True)
+    each = attach(hits, lists, ["shingle"], "inner").withColumn("list", F.explode(F.sequence(F.lit(0), F.col("lists") - 1)))
+    return attach(each, items, ["shingle", "list"], "inner").select("sha", F.explode("items").alias("item")).distinct()
+
+
 def contained(docs: DataFrame, benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
     """(sha, item, item_ids, shared, shingles) of the distinct texts of docs (sha, text) that hold 0.8 or more of an item's shingles."""
     items = written(items_of(benchmark, id_col, text_col), "items", narrow=True)
@@ -97,7 +112,8 @@ def contained(docs: DataFrame, benchmark: DataFrame, id_col: str = "item_id", te
     hits = written(attach(shingles, held, ["shingle"], "inner").select("sha", "shingle"), "hits", narrow=True)  # a text's shingles are distinct
     ranked = attach(owned, held, ["shingle"], "inner", "owners").groupBy("item", "n").agg(F.sort_array(F.collect_list(F.struct("owners", "shingle"))).alias("s"))
     rare = written(ranked.select("item", F.explode(F.slice("s", F.lit(1), _kept(F.col("n")))["shingle"]).alias("shingle")), "rare", narrow=True)
-    pairs = written(hits.join(F.broadcast(rare) if small(rare) else rare, "shingle").select("sha", "item").distinct(), "pairs", narrow=True)
+    met = hits.join(F.broadcast(rare), "shingle").select("sha", "item").distinct() if small(rare) else _met(hits, rare)
+    pairs = written(met, "pairs", narrow=True)
     each = attach(pairs, items.select("item", "item_ids", "n", "shingles"), ["item"], "inner").select("sha", "item", "item_ids", "n", F.explode("shingles").alias("shingle"))
     shared = attach(each, hits, ["sha", "shingle"], "inner").groupBy("sha", "item").agg(F.first("item_ids").alias("item_ids"), F.count(F.lit(1)).alias("shared"), F.first("n").alias("shingles"))
     return shared.filter(F.col("shared") * SHARE[1] >= F.col("shingles") * SHARE[0])

@@ -220,12 +220,17 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 
 def fit_on(docs: DataFrame) -> LanguageModel:
-    """The model of the documents that are not held out."""
+    """The model of the documents that are not held out; a null id is not held out."""
     return fit(docs.filter(~held_out()).select("doc_id", "text", "lang"))
 
 
 def with_known_language(docs: DataFrame) -> DataFrame:
-    """docs without the rows that the model of all their labels rejects; all columns are kept as they are."""
+    """docs without the rows that the model of all their labels rejects; all columns are kept as they are.
+
+    Null texts and texts without letters go. So does about the share LOW of each language's own texts, the least alike of each
+    length: that is the price of a bound taken from the languages themselves. Rows are judged each for itself, so repeated rows
+    stay or go together; a text as near to two languages as to one stays. Without labels all rows go; an empty table stays empty.
+    """
     others = docs.drop("text")
     rows = docs.select(F.struct(*every(others)).alias("row"), "text")
     known = identify(rows, fit(docs.select("doc_id", "text", "lang"))).filter(~F.col("rejected"))

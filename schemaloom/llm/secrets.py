@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from schemaloom.llm._common import NARROW_FILES, attach, shared_dir, table, whole_text, written
+from schemaloom.llm._common import NARROW_FILES, attach, id_text, shared_dir, table, whole_text, written
 
 
 @dataclass(frozen=True)
@@ -128,9 +128,11 @@ def secret_scan(versions: DataFrame, ledger: SecretLedger, text_col: str = "text
 
 
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each document, whose ids may be of any type, null or repeated; documents are dealt into the arrivals by their ids."""
     docs, ledger = table(spark, sf_dir, "documents").select("doc_id", "text"), SecretLedger(spark, shared_dir(spark, "ledger"))
+    number = F.coalesce(F.col("doc_id").cast("string").try_cast("long"), F.crc32(id_text().cast("binary")))
     for arrival in range(ARRIVALS):
-        ledger.scan(docs.filter(F.coalesce(F.pmod("doc_id", F.lit(ARRIVALS)), F.lit(0)) == arrival))
+        ledger.scan(docs.filter(F.pmod(number, F.lit(ARRIVALS)) == arrival))
     out = with_findings(docs, ledger)
     count = lambda kind: F.size(F.filter("secret_spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     joined = F.array_join(F.transform("secret_spans", lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")

@@ -1,6 +1,6 @@
 """Near-duplicates by SimHash: every pair of fingerprints within a Hamming distance, found with vantage-point trees.
 
-The top of a tree is built on the driver from a bounded sample of fingerprints. At each node a vantage point and a
+The top of a tree is planned from a bounded sample of fingerprints. At each node a vantage point and a
 radius part the fingerprints into an inner and an outer side. Every fingerprint has one home shard; it also visits the
 shards that its ball reaches: an inner point near the border visits the outer side (never the reverse, so each pair
 meets once), and a visitor goes wherever the triangle inequality allows a partner. Vantage points and radii are those
@@ -26,8 +26,8 @@ from schemaloom.llm.components import components
 BITS, SEED = 64, 42
 #: Words of a shingle, and differing bits that still link.
 SHINGLE, RADIUS = 3, 2
-#: Fingerprints that lay out the tops of trees (bounded; only the shards' balance hangs on it, never a result).
-SAMPLE = 1 << 16
+#: Fingerprints of a shard that lay out the top of its tree, at most and at least (only the shards' balance hangs on it, never a result).
+SAMPLE, DRAWN = 1 << 16, 1 << 13
 #: Fingerprints a shard is planned for, those that it may have with its visitors before it is parted again (16 MB), and those a leaf inside it compares directly.
 SHARD, CROWD, LEAF = 1 << 17, 1 << 21, 48
 #: Vantage points that are tried for a node, and sampled points below which a node isn't parted further.
@@ -158,38 +158,60 @@ def linked(home: np.ndarray, visit: np.ndarray, reach: int) -> tuple[np.ndarray,
     return a, b
 
 
+def _trees(now: DataFrame, sizes: dict[int, int], reach: int) -> dict[int, list]:
+    """A tree for each shard of ``sizes`` (rows by shard) that a cut parts, planned in a task from a sample of the shard's own: a node for each SHARD fingerprints, about, comes back."""
+    spark = now.sparkSession
+    wanted = spark.createDataFrame([(s, -(-n // SHARD), min(1.0, min(SAMPLE, max(DRAWN, 4 * LEAST * -(-n // SHARD))) / n)) for s, n in sizes.items()], "shard long, parts long, share double")
+    drawn = now.filter("home").join(F.broadcast(wanted), "shard").filter(F.pmod(F.xxhash64("fp"), F.lit(1 << 40)) / float(1 << 40) < F.col("share"))
+
+    def planned(some: pa.Table) -> pa.Table:
+        points = np.sort(some.column("fp").to_numpy()).view(np.uint64)
+        nodes = plan(points, some.column("parts")[0].as_py(), reach)
+        rows = [(int(np.uint64(x[0]).view(np.int64)), x[1], x[2]) if len(x) == 3 else (x[0], -1, -1) for x in nodes]
+        point, radius, outer = (pa.array([list(c)], pa.list_(pa.int64())) for c in zip(*rows, strict=True))
+        return pa.table({"shard": some.column("shard")[:1], "point": point, "radius": radius, "outer": outer})
+
+    found = drawn.select("shard", "parts", "fp").groupBy("shard").applyInArrow(planned, "shard long, point array<long>, radius array<long>, outer array<long>").collect()
+    trees = {r.shard: [(np.int64(p).view(np.uint64), d, o) if d >= 0 else (p,) for p, d, o in zip(r.point, r.radius, r.outer, strict=True)] for r in found}
+    return {s: t for s, t in trees.items() if len(t) > 1}
+
+
 def _sharded(prints: DataFrame, rows: int, reach: int) -> DataFrame:
-    """(shard, home, fp) of the distinct values of fp and their visits; shards of more than CROWD rows are parted again and again, unless no cut makes them smaller."""
+    """(shard, home, fp) of the distinct values of fp and their visits; shards of more than CROWD rows are parted again and again, each for itself, but for those that no cut makes smaller."""
     now = prints.select(F.lit(0).cast("long").alias("shard"), F.lit(True).alias("home"), "fp")
-    sizes, allowed = {0: rows}, SHARD
+    sizes, allowed, whole = {0: rows}, SHARD, set()
     while True:
-        big = {s: n for s, n in sizes.items() if n > allowed}
-        if not big:
+        big = {s: n for s, n in sizes.items() if n > allowed and s not in whole}
+        trees = _trees(now, big, reach) if big else {}
+        whole |= set(big) - set(trees)
+        if not trees:
             return now
-        some = now.filter(F.col("shard").isin(list(big))) if len(sizes) > 1 else now
-        drawn = some.filter("home").orderBy(F.xxhash64("fp")).limit(SAMPLE).select("shard", "fp").collect()
-        trees, first = {}, max(sizes) + 1
-        for shard, n in sorted(big.items()):
-            tree = plan(np.array([r[1] for r in drawn if r[0] == shard], np.int64).view(np.uint64), -(-n // SHARD), reach)
-            if len(tree) > 1:
-                trees[shard] = first, tree
-                first += sum(len(x) == 1 for x in tree)
-
-        def spread(batches: Iterator[pa.RecordBatch], trees: dict = trees) -> Iterator[pa.RecordBatch]:
+        begins, first = {}, max(sizes) + 1
+        for shard in sorted(trees):
+            begins[shard] = first
+            first += sum(len(x) == 1 for x in trees[shard])
+        held = now.sparkSession.sparkContext.broadcast((begins, trees))
+
+        def spread(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            begins, trees = held.value
             for batch in batches:
                 shard, home, fp = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
+                out: list[tuple[int, np.ndarray, np.ndarray]] = []
                 for s in np.unique(shard).tolist():
                     mine = shard == s
                     points, at_home = fp[mine].view(np.uint64), home[mine]
-                    begin, tree = trees.get(s, (s, [(0,)]))
-                    for leaf, inside, visit in route(tree, points[at_home], reach, points[~at_home]):
-                        n = len(inside) + len(visit)
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(n, begin + leaf)), pa.array(np.arange(n) < len(inside)), pa.array(np.concatenate([inside, visit]).view(np.int64))], ["shard", "home", "fp"])
+                    out += [(begins.get(s, s) + leaf, inside, visit) for leaf, inside, visit in route(trees.get(s, [(0,)]), points[at_home], reach, points[~at_home])]
+                if out:
+                    n = [len(inside) + len(visit) for _, inside, visit in out]
+                    to = np.repeat([s for s, _, _ in out], n)
+                    stays = np.concatenate([np.arange(k) < len(inside) for k, (_, inside, _) in zip(n, out, strict=True)])
+                    yield pa.RecordBatch.from_arrays([pa.array(to), pa.array(stays), pa.array(np.concatenate([x for _, inside, visit in out for x in (inside, visit)]).view(np.int64))], ["shard", "home", "fp"])
 
         now = written(now.mapInArrow(spread, "shard long, home boolean, fp long"), "sharded", narrow=True)
         allowed, before, sizes = CROWD, sizes, dict(map(tuple, now.groupBy("shard").count().collect()))  # a row for each shard
-        if max(sizes.values()) >= max(before.values()):
-            return now
+        for shard, tree in trees.items():
+            leaves = range(begins[shard], begins[shard] + sum(len(x) == 1 for x in tree))
+            whole.update(s for s in leaves if sizes.get(s, 0) >= before[shard])
 
 
 def hamming_links(prints: DataFrame, rows: int, reach: int = RADIUS) -> DataFrame:
@@ -233,7 +255,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def near_deduplicated(docs: DataFrame) -> DataFrame:
-    """docs with those rows whose doc_id is their component's smallest; a component without any id keeps all its rows. All columns are kept as they are."""
+    """docs with those rows whose doc_id is their component's smallest; a component without any id keeps all its rows.
+
+    All columns are kept as they are. Null texts count as empty; all texts without words are one component. Rows that repeat
+    the smallest id with the same text stay together. Empty input gives an empty result.
+    """
     found = near_duplicates(docs.select("doc_id", "text"))
     return without(docs, found.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))))
 

@@ -15,7 +15,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from schemaloom.llm._common import slices, table, whole_text
+from schemaloom.llm._common import slices, table, whole_text, written
 
 #: The chain's categories, each from the columns toxic and quality of the labels.
 CATEGORIES = {"toxic": "toxic = 1", "low_quality": "quality = 0", "toxic_low_quality": "toxic = 1 and quality = 0"}
@@ -109,14 +109,16 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Chain:
     """A chain from about ``sample`` labelled documents (doc_id, text; doc_id, toxic, quality), all of them if there are fewer.
 
     Several labels of a document count as toxic if one says so and as of quality if all say so; null labels are left out.
-    Everything that reaches the driver is bounded by the sample. Without labelled documents all probabilities are 0.
+    Of rows that repeat a drawn id one is learned from, that with the least hash of its text, so what reaches the driver is a
+    row for each drawn id: about ``sample``, as ids are drawn by hash. Without labelled documents all probabilities are 0.
     """
     names = list(CATEGORIES)
     labels = labels.filter("doc_id is not null and toxic is not null and quality is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("quality").alias("quality"))
     share = min(1.0, sample / max(1, labels.count()))
     drawn = labels.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) / float(1 << 40) < share)
     drawn = drawn.select("doc_id", *[F.expr(f"cast({CATEGORIES[c]} as int)").alias(c) for c in names])
-    train = docs.select("doc_id", whole_text().alias("text")).join(F.broadcast(drawn), "doc_id").select("text", *names, F.pmod(F.xxhash64("text"), F.lit(FOLDS)).cast("int").alias("fold"))
+    each = docs.select("doc_id", whole_text().alias("text")).join(F.broadcast(drawn), "doc_id").groupBy("doc_id").agg(F.min_by(F.struct("text", *names), F.xxhash64("text")).alias("x"))
+    train = written(each.select("x.*", F.pmod(F.xxhash64("x.text"), F.lit(FOLDS)).cast("int").alias("fold")), "train")
 
     def occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[str, np.ndarray] = {}

@@ -233,14 +233,15 @@ def with_revisits(pages: DataFrame, least: int = 0, id_col: str = "page_id", pay
     """(record_id, url, payload, refers_to): of equal payloads of ``least`` bytes or more the largest id is the response, the others revisit it.
 
     A null payload is empty. Rows that repeat the largest id too are responses. A null id never wins over another; its
-    record's id is ``urn:page:null``. Ids are of any type with an order. Other columns, whatever their names, are not
-    looked at. Empty input gives an empty result; long payloads move only into the archives.
+    record's id is ``urn:page``, those of others begin with ``urn:page:``. Ids are of any type with an order. Other columns,
+    whatever their names, are not looked at. Empty input gives an empty result. Long payloads move into the archives only, as
+    long as the repeated digests are few enough to be broadcast; beyond that they are shuffled once, by digest.
     """
     payload = F.encode(F.coalesce(F.col(payload_col).cast("string"), F.lit("")), "UTF-8")
     rows = pages.select(F.col(id_col).alias("page_id"), F.coalesce(F.col(url_col).cast("string"), F.lit("")).alias("url"), payload.alias("payload"), F.sha2(payload, 256).alias("sha"))
     groups = rows.filter(F.octet_length("payload") >= least).groupBy("sha").agg(F.max("page_id").alias("last"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     both = attach(rows, written(groups, "payloads", narrow=True), ["sha"], "left", "n")
-    name = lambda c: F.concat(F.lit("urn:page:"), F.coalesce(F.col(c).cast("string"), F.lit("null")))
+    name = lambda c: F.coalesce(F.concat(F.lit("urn:page:"), F.col(c).cast("string")), F.lit("urn:page"))
     revisit = F.col("n").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("last"))
     return both.select(name("page_id").alias("record_id"), "url", "payload", F.when(revisit, name("last")).alias("refers_to"))
 
@@ -257,7 +258,7 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     source = table(spark, sf_dir, "pages")
     kind = source.schema["page_id"].dataType
     records = read_archives(write_archives(with_revisits(source), shared_dir(spark, "warc")))
-    page = lambda c: F.nullif(F.substring(c, len("urn:page:") + 1, 1 << 30), F.lit("null")).cast(kind)
+    page = lambda c: F.when(c.startswith("urn:page:"), F.substring(c, len("urn:page:") + 1, 1 << 30)).cast(kind)
     return records.select(page(F.col("record_id")).alias("page_id"), "payload_bytes", "payload_digest", "record_type", page(F.col("refers_to")).alias("refers_to"))
 
 
