@@ -15,13 +15,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, NumericType
 
 #: A table of at most so many rows and bytes may be broadcast (both are measured first); beyond either the join shuffles.
-BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 32 << 20
+#: They are low because an operator holds several such tables at a time, each several times as large in memory.
+BROADCAST_ROWS, BROADCAST_BYTES = 20_000, 4 << 20
 #: At most so many keys count as hot, because each holds more than 1/HOT_KEYS of all rows.
 HOT_KEYS = 4096
 #: Files that a core writes of a narrow table.
 NARROW_FILES = 4
-#: Rows of an Arrow batch that are worked on at a time.
-SLICE = 256
+#: Rows of an Arrow batch that are worked on at a time, and rows that Spark puts into a batch (its own default is 10,000, which of whole texts may be very much).
+SLICE, BATCH = 256, 2000
 
 
 def fresh(name: str, *frames: DataFrame) -> str:
@@ -47,6 +48,7 @@ def shared_dir(spark: SparkSession, name: str) -> str:
         root = tempfile.mkdtemp(prefix="schemaloom-")
         spark.sparkContext.setCheckpointDir(root)
         spark.conf.set("spark.checkpoint.dir", root)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", min(BATCH, int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))))
     return f"{root.rstrip('/')}/schemaloom/{name}-{uuid.uuid4().hex}"
 
 
