@@ -8,7 +8,8 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from schemaloom.operators.common import checkpointed, scalar
+from schemaloom.operators.common import scalar
+from schemaloom.operators.cover import bits, cover, determining, group_counts
 from schemaloom.operators.keys import _gid
 
 #: Least rows, attributes looked at, largest left side, least support, and the share of different values from which a left side says nothing.
@@ -37,19 +38,23 @@ def strengths(df: DataFrame, lefts: Sequence[Sequence[str]], rights: Sequence[st
     as a value; support: the share of rows that remain. All left sides of a batch are grouped in one pass.
     """
     schema = "lhs array<string>, rhs string, strength double, support_ratio double, row_count long, n_groups long, full_rows long"
-    out, df = None, scalar(df)
+    every = list(dict.fromkeys([*(c for x in lefts for c in x), *rights]))
+    number = {c: i for i, c in enumerate(every)}  # columns are numbered, so that no name clashes
+    base = scalar(df.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(every)]))
+    copies = base.select("*", *[F.col(f"c{number[c]}").alias(f"v{k}") for k, c in enumerate(rights)])
+    out = None
     for at in range(0, len(lefts), BATCH):
         part = [tuple(x) for x in lefts[at : at + BATCH]]
-        columns = sorted({c for x in part for c in x})
+        columns = sorted({f"c{number[c]}" for x in part for c in x})
         missing = F.lit(False)
         for c in columns:
-            missing = missing | (F.grouping(F.col(f"`{c}`")) == 0) & F.col(f"`{c}`").isNull()
-        copies = df.select(*[F.col(f"`{c}`") for c in df.columns], *[F.col(f"`{c}`").alias(f"_v_{c}") for c in rights])
-        groups = copies.groupingSets([[F.col(f"`{c}`") for c in x] for x in part], *[F.col(f"`{c}`") for c in columns]).agg(F.grouping_id().alias("gid"), missing.alias("missing"), F.count(F.lit(1)).alias("cnt"), *[_one_value(f"_v_{c}").alias(f"_ok_{c}") for c in rights])
+            missing = missing | (F.grouping(c) == 0) & F.col(c).isNull()
+        sets = [[f"c{number[c]}" for c in x] for x in part]
+        groups = copies.groupingSets([[F.col(c) for c in x] for x in sets], *[F.col(c) for c in columns]).agg(F.grouping_id().alias("gid"), missing.alias("missing"), F.count(F.lit(1)).alias("cnt"), *[_one_value(f"v{k}").alias(f"ok{k}") for k in range(len(rights))])
         full = ~F.col("missing")
-        sums = groups.groupBy("gid").agg(F.sum("cnt").alias("row_count"), F.count_if(full).alias("n_groups"), F.sum(F.when(full, F.col("cnt")).otherwise(0)).alias("full_rows"), *[F.count_if(full & F.col(f"`_ok_{c}`")).alias(f"_n_{c}") for c in rights])
-        label = F.create_map(*[x for c in part for x in (F.lit(_gid(c, columns)).cast("long"), F.array(*map(F.lit, c)))])
-        each = F.explode(F.array(*[F.struct(F.lit(c).alias("rhs"), F.col(f"`_n_{c}`").alias("ok")) for c in rights]))
+        sums = groups.groupBy("gid").agg(F.sum("cnt").alias("row_count"), F.count_if(full).alias("n_groups"), F.sum(F.when(full, F.col("cnt")).otherwise(0)).alias("full_rows"), *[F.count_if(full & F.col(f"ok{k}")).alias(f"n{k}") for k in range(len(rights))])
+        label = F.create_map(*[x for c, s in zip(part, sets, strict=True) for x in (F.lit(_gid(s, columns)).cast("long"), F.array(*map(F.lit, c)))])
+        each = F.explode(F.array(*[F.struct(F.lit(c).alias("rhs"), F.col(f"n{k}").alias("ok")) for k, c in enumerate(rights)]))
         rows = sums.select(label[F.col("gid")].alias("lhs"), each.alias("x"), "row_count", "n_groups", "full_rows").filter(~F.array_contains("lhs", F.col("x.rhs")))
         strength = F.when(F.col("n_groups") == 0, F.lit(0.0)).otherwise(F.col("x.ok") / F.col("n_groups"))
         rows = rows.select("lhs", F.col("x.rhs").alias("rhs"), strength.alias("strength"), F.when(F.col("row_count") == 0, F.lit(0.0)).otherwise(F.col("full_rows") / F.col("row_count")).alias("support_ratio"), "row_count", "n_groups", "full_rows")
@@ -66,22 +71,32 @@ def discover(df: DataFrame, columns: Sequence[str] | None = None, left: int = LE
     """(lhs, rhs, strength, support_ratio, row_count) of the dependencies that hold, not only minimal ones.
 
     Left sides of up to ``left`` of the first ``attributes`` columns; one whose values nearly all differ is left out, as
-    is a table of fewer than ``least_rows`` rows. Sizes are gone through upwards, and what contains a side that was left
-    out is not grouped at all. The columns are written once.
+    is a table of fewer than ``least_rows`` rows. The least left sides come from ``cover``; what holds for them holds for all
+    that contain them, and these are counted only, unless they contain one that was left out and has no nulls.
     """
     columns = list(columns or df.columns)[:attributes]
-    df = checkpointed(df.select(*[F.col(f"`{c}`") for c in columns]))
-    out, dropped, full = None, [], set()
+    schema = "lhs array<string>, rhs string, strength double, support_ratio double, row_count long"
+    empty = df.sparkSession.createDataFrame([], schema)
+    if len(columns) < 2:
+        return empty
+    held, places = cover(df, columns), range(len(columns))
+    if held.rows < least_rows or not held.rows:
+        return empty
+    rules = {t: [bits(c) for c in lefts] for t, lefts in determining(held, places, places, left).items()}
+    rows, dropped = [], []
     for size in range(1, min(left, len(columns) - 1) + 1):
-        lefts = [c for c in combinations(columns, size) if not any(set(d) < set(c) and set(c) <= full for d in dropped)]
-        found = checkpointed(strengths(df, lefts, columns))
-        sides = found.select("lhs", "row_count", "n_groups", "full_rows").distinct().collect()  # a row for each left side
-        if size == 1:
-            full = {r["lhs"][0] for r in sides if r["full_rows"] == r["row_count"]}
-        # what nearly all differ in without nulls, nearly all differ in with further columns without nulls
-        dropped += [tuple(r["lhs"]) for r in sides if r["n_groups"] > r["full_rows"] * NEAR_UNIQUE]
-        out = found if out is None else out.unionByName(found)
-    if out is None:
-        out = strengths(df, [], columns)
-    out = out.filter((F.col("row_count") >= least_rows) & (F.col("n_groups") <= F.col("full_rows") * NEAR_UNIQUE))
-    return holding(out).select("lhs", "rhs", "strength", "support_ratio", "row_count")
+        holds: dict[tuple[int, ...], list[int]] = {}
+        for c in combinations(places, size):
+            m = bits(c)
+            if any(d & m == d for d in dropped) and not any(held.nulls[i] for i in c):
+                continue
+            if rights := [t for t in places if t not in c and any(k & m == k for k in rules[t])]:
+                holds[c] = rights
+        for c, (groups, full) in group_counts(held, list(holds)).items():
+            if groups > full * NEAR_UNIQUE:
+                if not any(held.nulls[i] for i in c):
+                    dropped.append(bits(c))
+                continue
+            if groups and full >= held.rows * SUPPORT:
+                rows += [([columns[i] for i in c], columns[t], 1.0, full / held.rows, held.rows) for t in holds[c]]
+    return df.sparkSession.createDataFrame(rows, schema) if rows else empty

@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
-from itertools import combinations
-from math import prod
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from schemaloom.operators.common import scalar
+from schemaloom.operators.cover import cover, unique_sets
 
 #: Column combinations that are tested in one pass over the table.
 BATCH = 32
@@ -30,15 +29,17 @@ def key_tests(df: DataFrame, combos: Iterable[Sequence[str]]) -> DataFrame:
     rows; an empty table has no key. Combinations are counted by grouping sets, BATCH of them for each pass.
     """
     combos, out = [tuple(c) for c in combos], None
+    every = list(dict.fromkeys(c for combo in combos for c in combo))
+    base = scalar(df.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(every)]))  # numbered, so that no name clashes
+    number = {c: f"c{i}" for i, c in enumerate(every)}
     for at in range(0, len(combos), BATCH):
         part = combos[at : at + BATCH]
-        columns = sorted({c for combo in part for c in combo})
-        names = {_gid(c, columns): list(c) for c in part}
-        quoted = [F.col(f"`{c}`") for c in columns]
+        columns = sorted({number[c] for combo in part for c in combo})
+        names = {_gid([number[c] for c in combo], columns): list(combo) for combo in part}
         missing = F.lit(False)
         for c in columns:
-            missing = missing | (F.grouping(F.col(f"`{c}`")) == 0) & F.col(f"`{c}`").isNull()
-        groups = scalar(df).groupingSets([[F.col(f"`{c}`") for c in combo] for combo in part], *quoted).agg(F.count(F.lit(1)).alias("cnt"), F.grouping_id().alias("gid"), missing.alias("missing"))
+            missing = missing | (F.grouping(c) == 0) & F.col(c).isNull()
+        groups = base.groupingSets([[F.col(number[c]) for c in combo] for combo in part], *[F.col(c) for c in columns]).agg(F.count(F.lit(1)).alias("cnt"), F.grouping_id().alias("gid"), missing.alias("missing"))
         full = ~F.col("missing")
         sums = groups.groupBy("gid").agg(F.sum("cnt").alias("n"), F.count(F.lit(1)).alias("n_groups"), F.sum(F.when(full, F.col("cnt")).otherwise(0)).alias("full_rows"), F.count_if(full).alias("full_groups"))
         label = F.create_map(*[x for g, c in names.items() for x in (F.lit(g).cast("long"), F.array(*map(F.lit, c)))])
@@ -48,28 +49,10 @@ def key_tests(df: DataFrame, combos: Iterable[Sequence[str]]) -> DataFrame:
     return out.withColumns({"is_strict": strict, "is_lenient": (F.col("full_rows") > 0) & (F.col("full_groups") == F.col("full_rows"))})
 
 
-def _holding(df: DataFrame, combos: list[tuple[str, ...]], lenient: bool) -> list[tuple[str, ...]]:
-    if not combos:
-        return []
-    kept = {tuple(r[0]) for r in key_tests(df, combos).filter("is_lenient" if lenient else "is_strict").select("key_cols").collect()}
-    return [c for c in combos if c in kept]
-
-
 def candidate_keys(df: DataFrame, columns: Sequence[str] | None = None, most: int = 2, lenient: bool = False) -> list[tuple[str, ...]]:
-    """Minimal keys of up to ``most`` columns, in the order of size, then of columns. One Spark job for each size and batch.
-
-    A combination whose columns' distinct counts multiply to less than the rows can't be a strict key and is not tested.
-    """
-    columns, found = list(columns or df.columns), []
-    singles = key_tests(df, [(c,) for c in columns]).collect() if columns else []
-    groups = {r["key_cols"][0]: r["n_groups"] for r in singles}
-    rows = max((r["n"] for r in singles), default=0)
-    held = {r["key_cols"][0] for r in singles if r["is_lenient" if lenient else "is_strict"]}
-    found += [(c,) for c in columns if c in held]
-    for size in range(2, most + 1):
-        combos = [c for c in combinations(columns, size) if not any(set(k) <= set(c) for k in found)]
-        found += _holding(df, [c for c in combos if lenient or prod(groups.get(x, 0) for x in c) >= rows > 0], lenient)
-    return found
+    """Minimal keys of up to ``most`` columns, in the order of size, then of columns: what pairs of rows don't refute, tested exactly (see ``cover``)."""
+    columns = list(columns or df.columns)
+    return [tuple(columns[i] for i in c) for c in unique_sets(cover(df, columns), most, lenient)] if columns else []
 
 
 def single_keys(profiles: DataFrame) -> DataFrame:
