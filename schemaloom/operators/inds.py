@@ -30,13 +30,13 @@ def inclusions(tables: dict[str, DataFrame]) -> DataFrame:
 def inclusions_of(index: DataFrame) -> DataFrame:
     """(child_tbl, child_col, parent_tbl, parent_col, shared, child_distinct, parent_distinct, coverage) of all pairs of columns of different tables that share a value.
 
-    index: ``table_index``, dealt out by value; a value carries one entry for each column that has it. The pairs of
-    columns are counted where the values are, so only counts move on.
+    index: ``table_index``, dealt out by value. Values are first counted by the set of columns that hold them; pairs of
+    columns are made once for each different set, of which there are few, however many values there are.
     """
     index = index.filter(F.col("value").isNotNull()).select(F.struct("tbl", "col", "pos").alias("ref"), "value")
-    held = index.groupBy("value").agg(F.collect_set("ref").alias("refs"))
-    pairs = held.select(F.explode("refs").alias("child"), "refs").select("child", F.explode("refs").alias("parent"))
-    counted = pairs.groupBy("child", "parent").agg(F.count(F.lit(1)).alias("shared"))
+    sets = index.groupBy("value").agg(F.sort_array(F.collect_set("ref")).alias("refs")).groupBy("refs").agg(F.count(F.lit(1)).alias("values"))
+    pairs = sets.select(F.explode("refs").alias("child"), "refs", "values").select("child", F.explode("refs").alias("parent"), "values")
+    counted = pairs.groupBy("child", "parent").agg(F.sum("values").alias("shared"))
     own = counted.filter("child = parent").select(F.col("child").alias("ref"), F.col("shared").alias("size"))
     sides = lambda name: F.broadcast(own.select(F.col("ref").alias(name), F.col("size").alias(f"{name}_distinct")))  # noqa: E731  a row for each column
     out = counted.filter("child.tbl <> parent.tbl").join(sides("child"), "child").join(sides("parent"), "parent")

@@ -7,9 +7,8 @@ from itertools import combinations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from schemaloom.operators import decompose, fds, inds, keys, sampling
+from schemaloom.operators import decompose, fds, inds, keys, links, sampling
 from schemaloom.operators import profile as prof
-from schemaloom.operators.common import checkpointed
 from schemaloom.queries.common import FLAT_COLUMNS, FLAT_SQL, RENAMED_COLUMNS, RENAMED_SQL, flat, renamed, table
 
 COLUMNS = {"orders": ("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"), "customer": ("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment")}
@@ -178,12 +177,8 @@ def fk_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _edges(spark: SparkSession, parts: dict[str, DataFrame]) -> DataFrame:
-    """One value index of all tables answers for profiles, single keys and inclusions."""
-    index = inds.table_index(parts)
-    profiles = checkpointed(prof.profiles(parts, index))
-    key_rows = keys.single_keys(profiles)
-    edges = inds.foreign_keys(inds.inclusions_of(index), profiles, key_rows, {n: i for i, n in enumerate(parts)})
-    return inds.without_reciprocals(edges, keys.primary_keys(key_rows)).drop("from_pos", "fk_pos")
+    """By sketches first; only columns of pairs that these don't refute are compared by value."""
+    return links.links(parts).drop("from_pos", "fk_pos")
 
 
 _FKS = {("Nation", "region_key"): ("Region", "region_key"), ("Customer", "nation_key"): ("Nation", "nation_key"), ("Supplier", "nation_key"): ("Nation", "nation_key"), ("Orders", "customer_key"): ("Customer", "customer_key")}
