@@ -196,13 +196,13 @@ def junction_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def name_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Key-like columns of a flat table with the columns that share their stem."""
-    columns = spark.createDataFrame([(c, i) for i, c in enumerate(_NAMES)], "col string, pos int")
+    """Key-like columns of a wide table, named as the parts are, with the columns that share their stem."""
+    columns = table(spark, sf_dir, "part").groupBy(F.expr(_NAME).alias("col")).agg(F.min("p_partkey").cast("int").alias("pos"))
     return decompose.name_groups(columns).select("key", "stem_size", F.array_join("members", ",").alias("members"))
 
 
-_NAMES = ("branch_code", "branch_name", "loan_number", "loan_date", "state_code", "state", "clerk_license", "clerk_desk", "clerk_id", "shelf")
-_NAME_ROWS = "cols AS (SELECT * FROM (VALUES " + ", ".join(f"('{c}', {i})" for i, c in enumerate(_NAMES)) + ") t(col, pos))"
+_NAME = "concat(replace(p_name, ' ', '_'), CASE p_partkey % 7 WHEN 0 THEN '_code' WHEN 1 THEN '_name' WHEN 2 THEN '_license' WHEN 3 THEN '_desk' WHEN 4 THEN '' WHEN 5 THEN '_shelf_no' ELSE '_shelf_date' END)"
+_NAME_ROWS = f"cols AS (SELECT {_NAME} AS col, min(p_partkey) AS pos FROM part GROUP BY 1)"
 
 
 def split_base(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,25 +11,22 @@ from schemaloom.operators import vocabulary as voc
 from schemaloom.operators.model import of_rows
 from schemaloom.plans.runs import contract
 from schemaloom.queries.common import RENAMED_COLUMNS, sql_close, sql_jaccard, sql_joined, sql_key, sql_tokens, table
+from schemaloom.queries.names import _TERM
 from schemaloom.queries.fixtures import ERD_A, ERD_BASE, ERD_PROPOSAL, ERD_TRUTH, GOLD_CONCEPTS, ONTOLOGY_A, ONTOLOGY_B, PROPOSAL
 from schemaloom.sources.files import CONCEPTS, RELATIONS, proposal
 
 _flat = lambda c: F.array_join(c, ",")
 
 
-_STORED = {"region": ("r_regionkey", "r_name"), "nation": ("n_nationkey", "n_name", "n_regionkey"), "customer": ("c_custkey", "c_name", "c_nationkey", "c_mktsegment"), "supplier": ("s_suppkey", "s_name", "s_nationkey"), "orders": ("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")}
-_columns_of = lambda tables: [(f"{t}.{c}", i) for i, (t, c) in enumerate((t, c) for t, cs in tables.items() for c in cs)]
-
-
 def greedy_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The columns of the renamed star schema against those they were made from, one to one by the edit distance of their names."""
-    left, right = spark.createDataFrame(_columns_of(RENAMED_COLUMNS), "a string, i int"), spark.createDataFrame(_columns_of(_STORED), "b string, j int")
-    pairs = left.crossJoin(F.broadcast(right)).select("i", "j", "a", "b", (-F.levenshtein(F.lower("a"), F.lower("b"))).alias("score"))  # metadata
-    return assign.greedy(pairs, "i", "j", ["score", "i", "j"]).select("a", "b", "score")
+    """Brands and suppliers one to one, those first that most was sold of."""
+    sold = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), F.expr(_BRAND).alias("i")), "l_partkey")
+    pairs = sold.groupBy("i", F.col("l_suppkey").alias("j")).agg(F.sum("l_quantity").alias("score"))
+    return assign.greedy(pairs, "i", "j", ["score", "i", "j"])
 
 
-_named = lambda tables: ", ".join(f"('{n}', {i})" for n, i in _columns_of(tables))
-_GREEDY_PAIRS = f"SELECT i AS l, j AS r, a, b, CAST(-levenshtein(lower(a), lower(b)) AS INTEGER) AS score FROM (VALUES {_named(RENAMED_COLUMNS)}) x(a, i) CROSS JOIN (VALUES {_named(_STORED)}) y(b, j)"
+_BRAND = "cast(substr(p_brand, 7) as int)"
+_GREEDY_PAIRS = f"SELECT {_BRAND} AS l, l_suppkey AS r, sum(l_quantity) AS score FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2"
 
 
 def greedy_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,12 +49,34 @@ def value_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def concept_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every pair of the two fixture ontologies' concepts."""
-    return integrate.pair_scores(*_prints(spark)).select("a", "b", "score")
+    """Every pair of brands of the even and of the odd parts, by their names, the types they link to and the names of their parts."""
+    return integrate.pair_scores(*_brands(spark, sf_dir)).select("a", "b", "score")
 
 
 def concept_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return integrate.align(integrate.pair_scores(*_prints(spark))).select("a", "b", "score")
+    return integrate.align(integrate.pair_scores(*_brands(spark, sf_dir))).select("a", "b", "score")
+
+
+#: A brand as a concept of either side: its name, category and source.
+_CONCEPT = (("concat('Brand ', {n})", "CASE {n} % 3 WHEN 0 THEN 'relator' WHEN 1 THEN 'kind' ELSE 'category' END"), ("concat('brand-', {n} + {n} % 4)", "CASE {n} % 2 WHEN 0 THEN 'Relator' ELSE 'kind' END"))
+
+
+def _brands(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
+    out = []
+    for side, (name, category) in enumerate(_CONCEPT):
+        rows = table(spark, sf_dir, "part").filter(f"p_partkey % 2 = {side}").withColumn("n", F.expr(_BRAND))
+        keyed = rows.select("n", F.expr("CASE WHEN p_size > 25 THEN 'relation_role' ELSE 'property' END").alias("mapping_type"), F.col("p_name").alias("canonical"), F.col("p_type").alias("target"))
+        concepts = rows.groupBy("n").agg(F.min("p_brand").alias("source")).select(F.expr(name.format(n="n")).alias("concept"), F.col("n").alias("pos"), F.expr(category.format(n="n")).alias("category"), "source")
+        attributes = keyed.select(F.expr(name.format(n="n")).alias("concept"), "mapping_type", "canonical", "target")
+        out.append(integrate.fingerprints(concepts, attributes))
+    return out
+
+
+def _brand_sql(n: str, side: int) -> str:
+    name, category = _CONCEPT[side]
+    mine = f"(SELECT *, {_BRAND} AS n FROM part WHERE p_partkey % 2 = {side})"
+    return f"""c{n} AS (SELECT c.concept, c.pos, {sql_joined('c.category')} AS category, c.source, coalesce(p, []) AS p, coalesce(t, []) AS t FROM (SELECT {name.format(n='n')} AS concept, n AS pos, {category.format(n='n')} AS category, min(p_brand) AS source FROM {mine} GROUP BY n) c
+        LEFT JOIN (SELECT {name.format(n='n')} AS concept, list(DISTINCT {sql_joined('p_name')}) FILTER (p_size <= 25) AS p, list(DISTINCT {sql_joined('p_type')}) FILTER (p_size > 25) AS t FROM {mine} GROUP BY 1) s USING (concept))"""
 
 
 def _ontology(spark: SparkSession, rows: tuple) -> dict[str, DataFrame]:
@@ -72,15 +91,7 @@ def _prints(spark: SparkSession) -> list[DataFrame]:
     return [integrate.fingerprints(**_ontology(spark, x)) for x in (ONTOLOGY_A, ONTOLOGY_B)]
 
 
-def _concept_sql(n: str, rows: tuple) -> str:
-    concepts, attributes = rows
-    c = ", ".join(f"('{x}', {i}, '{k}', '{s}')" for i, (x, k, s) in enumerate(concepts))
-    a = ", ".join(f"('{x}', '{m}', '{y}', {repr(t) if t else 'NULL'})" for x, _, m, y, t, _ in attributes)
-    return f"""c{n} AS (SELECT c.*, coalesce(p, []) AS p, coalesce(t, []) AS t FROM (VALUES {c}) c(concept, pos, category, source) LEFT JOIN (SELECT concept, list(DISTINCT {sql_joined('canonical')}) FILTER (kind = 'property') AS p, list(DISTINCT {sql_joined('target')}) FILTER (kind = 'relation_role') AS t
-        FROM (VALUES {a}) a(concept, kind, canonical, target) GROUP BY concept) s USING (concept))"""
-
-
-_SCORED = f"""{_concept_sql('a', ONTOLOGY_A)}, {_concept_sql('b', ONTOLOGY_B)}, scored AS (SELECT a.pos AS l, b.pos AS r, a.concept AS a, b.concept AS b,
+_SCORED = f"""{_brand_sql('a', 0)}, {_brand_sql('b', 1)}, scored AS (SELECT a.pos AS l, b.pos AS r, a.concept AS a, b.concept AS b,
     0.3::DOUBLE * (0.5::DOUBLE * {sql_close(sql_joined('a.concept'), sql_joined('b.concept'))} + 0.5::DOUBLE * {sql_jaccard(sql_tokens('a.concept'), sql_tokens('b.concept'))})
     + 0.5::DOUBLE * (0.34::DOUBLE * CASE WHEN a.category = b.category THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END + 0.33::DOUBLE * {sql_jaccard('a.t', 'b.t')} + 0.33::DOUBLE * {sql_jaccard('a.p', 'b.p')}) + 0.2::DOUBLE * 0.0::DOUBLE AS score FROM ca a CROSS JOIN cb b)"""
 
@@ -136,50 +147,67 @@ def archived_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select(F.lit("kept").alias("state"), "name").union(gone.select(F.lit("archived"), "name"))
 
 
-_ATTRS = [("Flight", "flightNumber", 0), ("Flight", "departure_time", 1), ("Airport", "airport_code", 2), ("Airport", "city", 3), ("Passenger", "full name", 4), ("Passenger", "birth_date", 5)]
-_MAPS = [("flight.FlightNumber", "Number", 0.9, "", 0), ("Airport.City", "Place", 0.5, "seen", 1), ("Old.city", "Town", 0.7, "", 2), ("Hotel.airport_code", "Code", 0.6, "", 3)]
-_TERMS = [("Number", "", ["no"], ["Flight.flightNumber"], 0), ("Place", "where", ["city", "town"], ["Airport.city", "Gone.city"], 1), ("Departure Time", "", [], [], 2), ("Code", "", [], ["Hotel.airport_code"], 3)]
+#: Columns, mappings and terms as the parts give them; the expressions mean the same in Spark and DuckDB. Of six mappings one is exact, one has other case, three name entities that lack the column or don't exist, one a column that doesn't exist.
+_ATTR = "concat(replace(p_name, ' ', '_'), '_', p_partkey)"
+_COLUMNS = {"entity": "p_type", "attr": _ATTR, "epos": "ascii(p_type)", "apos": "cast(p_partkey as int)"}
+_MAPPINGS = {
+    "attribute": f"CASE p_partkey % 6 WHEN 0 THEN concat(p_type, '.', {_ATTR}) WHEN 1 THEN concat(lower(p_type), '.', upper({_ATTR})) WHEN 2 THEN concat('PROMO.', {_ATTR}) WHEN 3 THEN concat('Gone.', {_ATTR}) WHEN 4 THEN concat(p_type, '.none_', p_partkey) ELSE concat('Gone.', upper({_ATTR})) END",
+    "canonical": "CASE p_size % 4 WHEN 0 THEN concat(p_name, ' ', p_size) WHEN 1 THEN upper(concat(p_name, ' ', p_size)) WHEN 2 THEN concat('Kind ', p_brand) ELSE concat('new ', p_size) END",
+    "confidence": "cast(p_size % 10 as double) / 10", "rationale": "''", "seq": "p_partkey",
+}
+_SOURCE = f"CASE p_partkey % 4 WHEN 0 THEN concat('Gone.', {_ATTR}) ELSE concat(p_type, '.', {_ATTR}) END"
+#: New terms: some have a synonym of many terms as their name, some a term's name in capitals, some are new.
+_NEW = {
+    "name": "CASE p_partkey % 4 WHEN 0 THEN concat('kind ', p_brand) WHEN 1 THEN upper(concat(p_name, ' ', p_size)) ELSE concat('fresh ', p_partkey) END", "description": "CASE p_size % 2 WHEN 0 THEN 'a longer description' ELSE '' END",
+}
+_select = lambda rules: ", ".join(f"{x} AS {n}" for n, x in rules.items())
+
+
+def _part(spark: SparkSession, sf_dir: str, rules: dict[str, str]) -> DataFrame:
+    return table(spark, sf_dir, "part").selectExpr(*[f"{x} AS {n}" for n, x in rules.items()])
+
+
+def _attrs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _part(spark, sf_dir, _COLUMNS)
 
 
-def _attrs(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(e, a, 0, i) for e, a, i in _ATTRS], "entity string, attr string, epos int, apos int")
+def _maps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _part(spark, sf_dir, _MAPPINGS)
 
 
-def _maps(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(_MAPS, "attribute string, canonical string, confidence double, rationale string, seq int")
+def _terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "part").groupBy("p_name", "p_size").agg(F.min("p_partkey").alias("pos"), F.max("p_brand").alias("brand"), F.array_sort(F.collect_set(F.expr("concat('kind ', p_brand)"))).alias("synonyms"), F.sort_array(F.collect_list(F.struct("p_partkey", F.expr(_SOURCE).alias("s")))).alias("x"))
+    return rows.select(F.expr("concat(p_name, ' ', p_size)").alias("name"), F.expr("CASE WHEN pos % 3 = 0 THEN '' ELSE brand END").alias("description"), "synonyms", F.transform("x", lambda x: x["s"]).alias("sources"), "pos")
 
 
-def _terms(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(_TERMS, "name string, description string, synonyms array<string>, sources array<string>, pos int")
+def _new_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "part").filter("p_partkey % 9 = 0")
+    return rows.selectExpr(*[f"{x} AS {n}" for n, x in _NEW.items()], "array(concat('KIND ', p_brand), concat('other ', p_size)) AS synonyms", f"array(concat(p_type, '.', {_ATTR})) AS sources", "p_partkey AS pos")
 
 
+_VOC = f"""attrs AS (SELECT {_select(_COLUMNS)} FROM part), mp AS (SELECT {_select(_MAPPINGS)} FROM part),
+    tm AS (SELECT concat(p_name, ' ', p_size) AS name, CASE WHEN min(p_partkey) % 3 = 0 THEN '' ELSE max(p_brand) END AS description, list_sort(list(DISTINCT concat('kind ', p_brand))) AS synonyms,
+        list({_SOURCE} ORDER BY p_partkey) AS sources, min(p_partkey) AS pos FROM part GROUP BY p_name, p_size)"""
+_NEW_SQL = f"""nw AS (SELECT arg_max(name, pos) AS name, arg_max(description, pos) AS description, arg_max(synonyms, pos) AS synonyms, arg_max(sources, pos) AS sources, min(pos) AS pos
+    FROM (SELECT {_select(_NEW)}, [concat('KIND ', p_brand), concat('other ', p_size)] AS synonyms, [concat(p_type, '.', {_ATTR})] AS sources, p_partkey AS pos FROM part WHERE p_partkey % 9 = 0) GROUP BY lower(name))"""
 _q = lambda x: "'" + str(x).replace("'", "''") + "'"
-_list = lambda xs: "[" + ", ".join(map(_q, xs)) + "]::VARCHAR[]"
-_VOC = (
-    "attrs AS (SELECT * FROM (VALUES " + ", ".join(f"({_q(e)}, {_q(a)}, {i})" for e, a, i in _ATTRS) + ") t(entity, attr, apos)), "
-    + "mp AS (SELECT * FROM (VALUES " + ", ".join(f"({_q(a)}, {_q(c)}, {f}, {_q(r)}, {s})" for a, c, f, r, s in _MAPS) + ") t(attribute, canonical, confidence, rationale, seq)), "
-    + "tm AS (SELECT * FROM (VALUES " + ", ".join(f"({_q(n)}, {_q(d)}, {_list(y)}, {_list(s)}, {p})" for n, d, y, s, p in _TERMS) + ") t(name, description, synonyms, sources, pos))"
-)
 _QK = lambda x: f"({sql_key(f'split_part({x}, chr(46), 1)')} || '.' || {sql_key(f'{x}[strpos({x}, chr(46)) + 1:]')})"
 
 
 def valid_mappings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return voc.valid_mappings(_maps(spark), _attrs(spark)).select("attribute", "canonical")
-
-
-_MORE_ATTRS = [("Gate", "Code", 0), ("Counter", "code", 1), ("Counter", "opens", 2)]
-_MORE_MAPS = [("Gone.code", "A", 0.5, "", 10), ("Gone.Code", "B", 0.5, "", 11), ("Gone.CODE", "C", 0.5, "", 12), ("Flight.city", "D", 0.5, "", 13), ("flight.opens", "E", 0.5, "", 14), ("opens", "F", 0.5, "", 15), ("No.where", "G", 0.5, "", 16)]
+    return voc.valid_mappings(_maps(spark, sf_dir), _attrs(spark, sf_dir)).select("attribute", "canonical")
 
 
 def repaired_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Entities that the model lacks, ones that it has, several candidates with and without the same spelling, and none."""
-    more = spark.createDataFrame([(e, a, 1 + i, i) for e, a, i in _MORE_ATTRS], "entity string, attr string, epos int, apos int")
-    maps = _maps(spark).union(spark.createDataFrame(_MORE_MAPS, _maps(spark).schema))
-    return voc.repaired_prefixes(maps, _attrs(spark).union(more)).select("attribute", "canonical")
+    """Entities that the model lacks, ones that it has, columns with and without the same spelling, and none."""
+    return voc.repaired_prefixes(_maps(spark, sf_dir), _attrs(spark, sf_dir)).select("attribute", "canonical")
 
 
 def filled_mappings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return voc.covered(_maps(spark), _attrs(spark), _terms(spark)).select("attribute", "canonical", "confidence", "source")
+    """Columns without a mapping take what most columns of their name have, a term of their name, or a new one; a third of the terms has sources."""
+    terms = _terms(spark, sf_dir).withColumn("sources", F.when(F.col("pos") % 3 == 0, F.col("sources")).otherwise(F.array().cast("array<string>")))
+    some = _maps(spark, sf_dir).filter("seq % 6 in (0, 1, 2)")
+    return voc.covered(some, _attrs(spark, sf_dir), terms).select("attribute", "canonical", "confidence", "source")
 
 
 def filled_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -191,29 +219,24 @@ def filled_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fresh_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return voc.stale_sources(_terms(spark), _attrs(spark)).select("name", _flat("sources").alias("sources"))
-
-
-_NEW_TERMS = [("Town", "a place where people live", ["village", "TOWN"], ["Hotel.town"], 0), ("Fare", "", [], ["Ticket.fare"], 1), ("code", "short", ["sign"], [], 2), ("city", "", ["Village", "burg"], ["Stop.city"], 3)]
+    return voc.stale_sources(_terms(spark, sf_dir), _attrs(spark, sf_dir)).select("name", _flat("sources").alias("sources"))
 
 
 def merged_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """New terms join existing ones over names and synonyms; the newest sources count."""
-    return voc.merge_terms(_terms(spark), spark.createDataFrame(_NEW_TERMS, _terms(spark).schema)).select("name", "description", _flat("synonyms").alias("synonyms"), _flat("sources").alias("sources"))
+    return voc.merge_terms(_terms(spark, sf_dir), _new_terms(spark, sf_dir)).select("name", "description", _flat("synonyms").alias("synonyms"), _flat("sources").alias("sources"))
 
 
 def remapped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return voc.remapped(_maps(spark), _terms(spark)).select("attribute", "canonical")
+    return voc.remapped(_maps(spark, sf_dir), _terms(spark, sf_dir)).select("attribute", "canonical")
 
 
 def new_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    more = _maps(spark).union(spark.createDataFrame([("Ticket.fare", "Fare", 0.4, "", 9)], "attribute string, canonical string, confidence double, rationale string, seq int"))
-    return voc.aligned_terms(_terms(spark), more).select("name", _flat("sources").alias("sources"), "pos")
+    return voc.aligned_terms(_terms(spark, sf_dir), _maps(spark, sf_dir)).select("name", _flat("sources").alias("sources"), F.col("pos").cast("long").alias("pos"))
 
 
 def owned_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    more = _maps(spark).union(spark.createDataFrame([("Flight.flight_number", "Code", 0.4, "", 9)], "attribute string, canonical string, confidence double, rationale string, seq int"))
-    return voc.owned_sources(_terms(spark), more).select("name", _flat("sources").alias("sources"))
+    return voc.owned_sources(_terms(spark, sf_dir), _maps(spark, sf_dir)).select("name", _flat("sources").alias("sources"))
 
 
 def short_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -223,7 +246,7 @@ def short_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def plain_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return voc.plain_vocabulary(_attrs(spark)).select("name", _flat("synonyms").alias("synonyms"), _flat("sources").alias("sources"), "confidence")
+    return voc.plain_vocabulary(_attrs(spark, sf_dir)).select("name", _flat("synonyms").alias("synonyms"), _flat("sources").alias("sources"), "confidence")
 
 
 def relationship_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -289,7 +312,7 @@ def _rows(columns: str, *rows: tuple) -> str:
 
 
 ORACLE = {
-    "greedy_match": _GREEDY.format(pairs=_GREEDY_PAIRS, out="a, b, score"),
+    "greedy_match": _GREEDY.format(pairs=_GREEDY_PAIRS, out="l AS i, r AS j, score"),
     "greedy_fold": _GREEDY.format(pairs="SELECT n_nationkey AS l, r_regionkey AS r, -levenshtein(n_name, r_name) AS score FROM nation CROSS JOIN region", out="l AS n_nationkey, r AS r_regionkey"),
     "value_jaccard": " UNION ALL ".join(f"SELECT '{a}' AS a_source, '{b}' AS b_source, CAST(s AS DOUBLE) / (x + y - s) AS instance FROM (SELECT (SELECT count(DISTINCT {u}) FROM {a}) AS x, (SELECT count(DISTINCT {v}) FROM {b}) AS y, (SELECT count(*) FROM (SELECT {u} FROM {a} INTERSECT SELECT {v} FROM {b})) AS s) WHERE s > 0" for a, u in (("customer", "c_nationkey"), ("events", "user_id")) for b, v in (("supplier", "s_nationkey"), ("orders", "o_custkey"))),
     "concept_scores": f"WITH {_SCORED} SELECT a, b, score FROM scored",
@@ -303,33 +326,38 @@ ORACLE = {
     "json_answers": "SELECT event_id, CASE WHEN event_id % 3 < 2 THEN CAST(json_extract(props, '$.k') AS INTEGER) END AS k FROM events",
     "archived_terms": "SELECT CASE WHEN c_custkey IN (SELECT o_custkey FROM orders) THEN 'kept' ELSE 'archived' END AS state, 'Customer ' || c_custkey AS name FROM customer",
     "valid_mappings": f"WITH {_VOC} SELECT entity || '.' || attr AS attribute, canonical FROM mp JOIN attrs ON {_QK('attribute')} = {_QK('(entity || chr(46) || attr)')}",
-    "repaired_prefixes": f"""WITH {_VOC}, model AS (SELECT entity, attr, 0 AS epos, apos FROM attrs UNION ALL SELECT * FROM (VALUES {', '.join(f"({_q(e)}, {_q(a)}, {1 + i}, {i})" for e, a, i in _MORE_ATTRS)})),
-        ms AS (SELECT attribute, canonical FROM mp UNION ALL SELECT * FROM (VALUES {', '.join(f"({_q(m[0])}, {_q(m[1])})" for m in _MORE_MAPS)})),
-        parts AS (SELECT *, CASE WHEN contains(attribute, '.') THEN split_part(attribute, '.', 1) END AS e, attribute[strpos(attribute, '.') + 1:] AS a FROM ms)
-        SELECT CASE WHEN e IS NULL OR e IN (SELECT entity FROM model) THEN attribute ELSE coalesce((SELECT arg_min(entity, CASE WHEN attr = a THEN 0 ELSE 1 END * 1000000 + epos * 1000 + apos) FROM model WHERE lower(attr) = lower(a)), e) || '.' || a END AS attribute, canonical FROM parts""",
-    "filled_mappings": _rows("attribute, canonical, confidence, source", ("Airport.airport_code", "Code", 0.75, "votes"), ("Flight.departure_time", "Departure Time", 0.7, "name"), ("Passenger.full name", "Full Name", 0.55, "new"), ("Passenger.birth_date", "Birth Date", 0.55, "new")),
+    "repaired_prefixes": f"""WITH {_VOC}, parts AS (SELECT *, CASE WHEN contains(attribute, '.') THEN split_part(attribute, '.', 1) END AS e, attribute[strpos(attribute, '.') + 1:] AS a FROM mp)
+        SELECT CASE WHEN e IS NULL OR e IN (SELECT entity FROM attrs) THEN attribute ELSE coalesce((SELECT arg_min(entity, CASE WHEN attr = a THEN 0 ELSE 1 END * 1000000000000 + epos::BIGINT * 1000000000 + apos) FROM attrs WHERE lower(attr) = lower(a)), e) || '.' || a END AS attribute, canonical FROM parts""",
+    "filled_mappings": f"""WITH {_VOC}, ms AS (SELECT * FROM mp WHERE seq % 6 IN (0, 1, 2)), ts AS (SELECT name, pos, CASE WHEN pos % 3 = 0 THEN sources ELSE [] END AS sources FROM tm),
+        m AS (SELECT entity || '.' || attr AS attribute, {sql_key('attr')} AS part, replace(attr, '_', ' ') AS name FROM attrs WHERE {_QK('(entity || chr(46) || attr)')} NOT IN (SELECT {_QK('attribute')} FROM ms)),
+        said AS (SELECT {sql_key("attribute[strpos(attribute, '.') + 1:]")} AS part, canonical AS name FROM ms UNION ALL SELECT {sql_key("source[strpos(source, '.') + 1:]")}, name FROM (SELECT unnest(sources) AS source, name FROM ts)),
+        v AS (SELECT part, name, row_number() OVER (PARTITION BY part ORDER BY count(*) DESC, lower(name), name) AS r FROM said GROUP BY part, name),
+        n AS (SELECT {sql_key('name')} AS part, arg_min(name, pos) AS name FROM ts GROUP BY 1)
+        SELECT attribute, coalesce(v.name, n.name, {_TERM.replace("('name'", "('m.name'").replace("(name,", "(m.name,").replace("regexp_replace(name", "regexp_replace(m.name")}) AS canonical,
+               CASE WHEN v.name IS NOT NULL THEN 0.75::DOUBLE WHEN n.name IS NOT NULL THEN 0.7::DOUBLE ELSE 0.55::DOUBLE END AS confidence, CASE WHEN v.name IS NOT NULL THEN 'votes' WHEN n.name IS NOT NULL THEN 'name' ELSE 'new' END AS source
+        FROM m LEFT JOIN (SELECT * FROM v WHERE r = 1) v USING (part) LEFT JOIN n USING (part)""",
     "filled_entities": _rows("source_entity, canonical, confidence", ("AIRPORT", "Airport", 0.74), ("person passengers", "Passenger Person", 0.68), ("crewMember", "Crew Member", 0.58), ("crew_members", "Crew Member", 0.74), ("LOUNGE", "Waiting Room", 0.86)),
     "fresh_sources": f"WITH {_VOC}, k AS (SELECT list({_QK('(entity || chr(46) || attr)')}) AS ks FROM attrs) SELECT name, array_to_string(list_filter(sources, lambda s: list_contains(ks, {_QK('s')})), ',') AS sources FROM tm CROSS JOIN k",
-    "merged_terms": f"""WITH {_VOC}, nw AS (SELECT * FROM (VALUES {', '.join(f"({_q(n)}, {_q(d)}, {_list(y)}, {_list(x)}, {p})" for n, d, y, x, p in _NEW_TERMS)}) t(name, description, synonyms, sources, pos)),
+    "merged_terms": f"""WITH {_VOC}, {_NEW_SQL},
         spelled AS (SELECT name, pos, unnest(list_append(synonyms, name)) AS k, unnest(range(1, len(synonyms) + 2)) AS place FROM tm),
         idx AS (SELECT lower(k) AS k, arg_max(name, pos * 1000 + place) AS target FROM spelled GROUP BY 1),
         al AS (SELECT lower(name) AS key, 0 AS side, * FROM tm UNION ALL SELECT coalesce(lower(target), lower(name)), 1, nw.* FROM nw LEFT JOIN idx ON lower(name) = k),
-        heads AS (SELECT key, arg_min(name, side * 1000 + pos) AS name, arg_max(sources, side * 1000 + pos) AS sources, arg_max(description, length(description) * 1000000 - side * 1000 - pos) AS description FROM al GROUP BY key),
-        said AS (SELECT key, side * 1000 + pos AS seat, unnest(list_prepend(name, synonyms)) AS s, unnest(range(0, len(synonyms) + 1)) AS place FROM al),
+        heads AS (SELECT key, arg_min(name, side * 1000000000 + pos) AS name, arg_max(sources, side * 1000000000 + pos) AS sources, arg_max(description, length(description) * 1000000000000 - side * 1000000000 - pos) AS description FROM al GROUP BY key),
+        said AS (SELECT key, side * 1000000000 + pos AS seat, unnest(list_prepend(name, synonyms)) AS s, unnest(range(0, len(synonyms) + 1)) AS place FROM al),
         firsts AS (SELECT key, arg_min(s, seat * 1000 + place) AS s, min(seat * 1000 + place) AS o FROM said WHERE lower(s) <> key GROUP BY key, lower(s))
         SELECT name, description, coalesce((SELECT string_agg(s, ',' ORDER BY o) FROM firsts f WHERE f.key = h.key), '') AS synonyms, array_to_string(sources, ',') AS sources FROM heads h""",
     "remapped": f"WITH {_VOC} SELECT attribute, coalesce((SELECT arg_min(name, pos) FROM tm WHERE lower(name) = lower(canonical)), (SELECT arg_min(name, pos) FROM tm WHERE list_contains(list_transform(synonyms, lambda s: lower(s)), lower(canonical))), canonical) AS canonical FROM mp",
-    "new_terms": f"""WITH {_VOC}, ms AS (SELECT attribute, canonical, seq FROM mp UNION ALL SELECT 'Ticket.fare', 'Fare', 9),
+    "new_terms": f"""WITH {_VOC}, ms AS (SELECT attribute, canonical, seq FROM mp),
         syn AS (SELECT lower(k) AS k, arg_max(lower(name), pos) AS name FROM (SELECT name, pos, unnest(synonyms) AS k FROM tm) GROUP BY 1),
         keyed AS (SELECT *, coalesce((SELECT any_value(lower(name)) FROM tm WHERE lower(name) = lower(canonical)), (SELECT name FROM syn WHERE k = lower(canonical)), lower(canonical)) AS key FROM ms),
-        every AS (SELECT lower(name) AS key, unnest(sources) AS x, unnest(range(0, len(sources))) AS o FROM tm UNION ALL SELECT key, attribute, 1000 + seq FROM keyed),
+        every AS (SELECT lower(name) AS key, unnest(sources) AS x, unnest(range(0, len(sources))) AS o FROM tm UNION ALL SELECT key, attribute, 1000000000 + seq FROM keyed),
         firsts AS (SELECT key, x, min(o) AS o FROM every GROUP BY key, x),
         names AS (SELECT lower(name) AS key, name, pos FROM tm UNION ALL SELECT key, arg_min(canonical, seq), (SELECT max(pos) FROM tm) + row_number() OVER (ORDER BY min(seq)) FROM keyed WHERE key NOT IN (SELECT lower(name) FROM tm) GROUP BY key)
-        SELECT name, coalesce((SELECT string_agg(x, ',' ORDER BY o) FROM firsts f WHERE f.key = n.key), '') AS sources, CAST(pos AS INTEGER) AS pos FROM names n""",
-    "owned_sources": f"""WITH {_VOC}, ms AS (SELECT attribute, canonical, seq FROM mp UNION ALL SELECT 'Flight.flight_number', 'Code', 9),
+        SELECT name, coalesce((SELECT string_agg(x, ',' ORDER BY o) FROM firsts f WHERE f.key = n.key), '') AS sources, CAST(pos AS BIGINT) AS pos FROM names n""",
+    "owned_sources": f"""WITH {_VOC}, ms AS (SELECT attribute, canonical, seq FROM mp),
         own AS (SELECT {_QK('attribute')} AS k, arg_max(lower(canonical), seq) AS owner, arg_max(attribute, seq) AS shown, min(seq) AS o FROM ms GROUP BY 1),
         held AS (SELECT pos, lower(name) AS low, unnest(sources) AS x, unnest(range(0, len(sources))) AS o FROM tm),
-        every AS (SELECT pos, {_QK('x')} AS k, x, held.o FROM held LEFT JOIN own w ON {_QK('x')} = w.k WHERE w.owner IS NULL OR w.owner = low UNION ALL SELECT pos, k, shown, 1000 + o FROM own JOIN tm ON lower(name) = owner),
+        every AS (SELECT pos, {_QK('x')} AS k, x, held.o FROM held LEFT JOIN own w ON {_QK('x')} = w.k WHERE w.owner IS NULL OR w.owner = low UNION ALL SELECT pos, k, shown, 1000000000 + o FROM own JOIN tm ON lower(name) = owner),
         firsts AS (SELECT pos, k, arg_min(x, o) AS x, min(o) AS o FROM every GROUP BY pos, k)
         SELECT name, coalesce((SELECT string_agg(x, ',' ORDER BY o) FROM firsts f WHERE f.pos = tm.pos), '') AS sources FROM tm""",
     "short_terms": _rows("pos, name, short", (0, "Airport Gate Code", "Code"), (1, "Airport Gate Code", "Airport Gate Code"), (2, "Seat Row", "Seat Row"), (3, "Flight Crew Name", "Name"), (4, "Flight Crew", "Flight Crew"), (5, "Menu Item Id", "ID"), (6, "flight_no", "Flight No"), (7, "Order Date", "Order Date")),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,18 +63,22 @@ _SYN = f"CASE WHEN {sql_key('a')} = '' OR {sql_key('b')} = '' THEN 0.0 ELSE {sql
 
 def attribute_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Role and preferred term of attributes in plain and linking entities."""
-    rows = spark.createDataFrame(_ROLES, "entity string, attr string, is_pk boolean, is_fk boolean, kind string")
+    rows = table(spark, sf_dir, "part").select(*[F.expr(f"{x} AS {n}") for n, x in _ROLES.items()])
     words, entity = N.tokens("attr"), N.tokens("entity")
     role = N.attribute_role(words, F.col("is_pk"), F.col("is_fk"), F.col("kind"))
     return rows.withColumn("role", role).select("entity", "attr", "role", N.preferred_term(words, entity, F.col("role")).alias("preferred"))
 
 
-_ROLES = [
-    ("Flight", "flightNumber", True, False, "entity"), ("Flight", "airline", False, True, "entity"), ("Flight", "airline_code", False, True, "entity"), ("Flight", "departure_time", False, False, "entity"), ("Flight", "flight_status", False, False, "entity"),
-    ("Seat", "seat_type", False, False, "entity"), ("Seat", "fareClass", False, False, "entity"), ("Seat", "seat_price", False, False, "entity"), ("Seat", "seat row", False, False, "entity"),
-    ("Booking", "booked_date", False, False, "relator"), ("Booking", "total", False, False, "relator"), ("Booking", "remarks", False, False, "association"), ("Booking", "booking", False, False, "entity"),
-]
-_ROLE_ROWS = "r AS (SELECT * FROM (VALUES " + ", ".join(f"('{e}', '{a}', {p}, {f}, '{k}')" for e, a, p, f, k in _ROLES) + ") t(entity, attr, is_pk, is_fk, kind))"
+_pick = lambda n, *words: f"element_at(array({', '.join(map(repr, words))}), cast(({n}) % {len(words)} + 1 as int))"
+_duck = lambda x: re.sub(r"element_at\(array\((.*?)\), cast\((.*?) as int\)\)", r"([\1])[\2]", x)  # noqa: E731  the same in DuckDB
+#: Columns as the parts name them: a word of the part's name and one that says what it is, in entities of several shapes.
+_ROLES = {
+    "entity": _pick("p_size", "Ring", "Part", "smallBolt", "Widgets"),
+    "attr": "concat(split_part(p_name, ' ', 1 + p_partkey % 2), '_', " + _pick("p_partkey", "number", "airline", "code", "time", "status", "type", "seatClass", "price", "row", "date", "total", "remarks", "id") + ")",
+    "is_pk": "p_partkey % 7 = 0", "is_fk": "p_size % 5 = 0", "kind": _pick("p_partkey", "entity", "relator", "association", "entity", "entity"),
+}
+_columns = lambda rules: ", ".join(f"{_duck(x)} AS {n}" for n, x in rules.items())
+_ROLE_ROWS = f"r AS (SELECT {_columns(_ROLES)} FROM part)"
 _in = lambda words: "len(list_intersect(w, [" + ", ".join(f"'{x}'" for x in words) + "])) > 0"
 
 
@@ -89,20 +95,22 @@ _FIRSTS = "(SELECT string_agg(p, ',' ORDER BY o) FROM (SELECT arg_min(p, o) AS p
 
 def logical_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Logical type, normalisation and role of columns from their names, declared types and shares of values."""
-    rows = spark.createDataFrame(_LOGICAL, "attr string, declared string, role string, pk boolean, fk boolean, truths double, dates double, numbers double, cat boolean")
+    rows = table(spark, sf_dir, "part").select(*[F.expr(f"{x} AS {n}") for n, x in _LOGICAL.items()])
     c, words = F.col, N.tokens("attr")
     rows = rows.withColumn("logical", V.logical_type(words, c("declared"), c("role"), c("pk"), c("fk"), c("truths"), c("dates"), c("numbers"), c("cat")))
     none = F.array().cast("array<string>")
     return rows.select("attr", "declared", "logical", V.normalization(c("logical"), words, none).alias("normalization"), V.semantic_role(words, c("logical")).alias("semantic_role"))
 
 
-_LOGICAL = [
-    ("passport", "VARCHAR(20)", "", True, False, 0.0, 0.0, 0.0, False), ("airline_code", "VARCHAR(3)", "", False, False, 0.0, 0.0, 0.0, False), ("is_open", "INTEGER", "", False, False, 0.95, 0.0, 1.0, False), ("active", "VARCHAR(5)", "", False, False, 0.7, 0.0, 0.0, False),
-    ("updated_timestamp", "VARCHAR", "", False, False, 0.0, 0.0, 0.0, False), ("departure", "DATE", "", False, False, 0.0, 0.0, 0.0, False), ("when", "VARCHAR", "", False, False, 0.0, 0.95, 0.0, False), ("ticket_price", "DECIMAL", "", False, False, 0.0, 0.0, 1.0, False),
-    ("load_pct", "DOUBLE", "", False, False, 0.0, 0.0, 1.0, False), ("seats", "INTEGER", "", False, False, 0.0, 0.0, 1.0, False), ("total_weight", "VARCHAR", "", False, False, 0.0, 0.0, 0.7, False), ("amount", "VARCHAR", "", False, False, 0.0, 0.0, 0.7, False),
-    ("status", "VARCHAR", "", False, False, 0.0, 0.0, 0.0, False), ("role", "VARCHAR", "", False, False, 0.0, 0.0, 0.0, True), ("remarks", "VARCHAR", "", False, False, 0.0, 0.0, 0.0, False), ("owner", "INTEGER", "foreign_identifier", False, False, 0.0, 0.0, 1.0, False),
-]
-_LOGICAL_ROWS = "l AS (SELECT *, " + sql_tokens("attr") + " AS w, lower(declared) AS d FROM (VALUES " + ", ".join(f"('{a}', '{d}', '{r}', {p}, {f}, {t}, {x}, {n}, {c})" for a, d, r, p, f, t, x, n, c in _LOGICAL) + ") t(attr, declared, role, pk, fk, truths, dates, numbers, cat))"
+_share = lambda n: f"cast(({n}) % 21 as double) / 20"
+#: Columns of parts with a declared type, a role and shares of values that go over the bounds.
+_LOGICAL = {
+    "attr": "concat(" + _pick("p_size", "is_", "", "total_", "ticket_", "load_") + ", split_part(p_name, ' ', 1), '_', " + _pick("p_partkey", "passport", "code", "open", "active", "timestamp", "departure", "when", "price", "pct", "seats", "weight", "amount", "status", "role", "remarks", "owner", "date") + ")",
+    "declared": _pick("p_partkey * 7 + p_size", "VARCHAR(20)", "INTEGER", "VARCHAR(5)", "TIMESTAMP", "DATE", "DECIMAL", "DOUBLE", "BOOLEAN", "TEXT", "VARCHAR", "CHAR(3)"),
+    "role": _pick("p_partkey", "", "", "", "foreign_identifier", "", "", "", "identifier"), "pk": "p_partkey % 11 = 0", "fk": "p_size % 13 = 0",
+    "truths": _share("p_partkey * 3"), "dates": _share("p_size"), "numbers": _share("p_partkey + p_size"), "cat": "p_partkey % 3 = 0",
+}
+_LOGICAL_ROWS = "l AS (SELECT *, " + sql_tokens("attr") + f" AS w, lower(declared) AS d FROM (SELECT {_columns(_LOGICAL)} FROM part))"
 _MONEY, _RATIO = _in(N.CURRENCY), _in(("percent", "pct", "ratio"))
 _LOGICAL_CASE = f"""CASE WHEN pk OR fk OR role IN ('identifier', 'foreign_identifier') OR {_in(N.IDENTIFIER)} THEN 'identifier'
     WHEN d LIKE '%bool%' OR truths >= 0.9 OR (truths >= 0.6 AND {_in(N.BOOLEAN)}) THEN 'boolean' WHEN {_in(('timestamp', 'datetime'))} OR d LIKE '%timestamp%' OR d LIKE '%datetime%' THEN 'datetime'
@@ -114,13 +122,14 @@ _LOGICAL_CASE = f"""CASE WHEN pk OR fk OR role IN ('identifier', 'foreign_identi
 
 def units_currencies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Unit and currency of columns from their names and first values."""
-    rows = spark.createDataFrame(_UNITS, "attr string, samples array<string>")
+    rows = table(spark, sf_dir, "part").select(F.expr(f"{_UNITS['attr']} AS attr"), F.array(*[F.expr(x) for x in _SAMPLES]).alias("samples"))
     words = N.tokens("attr")
     return rows.select("attr", V.unit(words, F.col("samples")).alias("unit"), V.currency(words, F.col("samples")).alias("currency"))
 
 
-_UNITS = [("weight_kg", ["1"]), ("weight", [None, "12", "13 lb"]), ("share", ["5 %"]), ("length", ["about 4 cm"]), ("price_usd", ["€ 3"]), ("price", ["3 €"]), ("cost", ["12 gbp"]), ("currency", ["EUR"]), ("note", ["plain"])]
-_UNIT_ROWS = "u AS (SELECT *, " + sql_tokens("attr") + " AS w FROM (VALUES " + ", ".join(f"('{a}', [{', '.join('NULL' if v is None else repr(v) for v in s)}])" for a, s in _UNITS) + ") t(attr, samples))"
+_UNITS = {"attr": "concat(split_part(p_name, ' ', 1), " + _pick("p_partkey", "_weight_kg", "_weight", "_share", "_length", "_price_usd", "_price", "_cost", "_currency", "_note") + ")"}
+_SAMPLES = ("nullif(concat('about ', p_size), 'about 7')", "concat(p_size, " + _pick("p_partkey * 5 + p_size", " lb", " %", "", " cm", " pieces", " €", " gbp", "EUR") + ")", "concat(" + _pick("p_size", "£ ", "", "$ ") + ", p_partkey % 9, " + _pick("p_partkey", " km", "", " usd", " ms") + ")")
+_UNIT_ROWS = "u AS (SELECT *, " + sql_tokens("attr") + f" AS w FROM (SELECT {_columns(_UNITS)}, [{', '.join(map(_duck, _SAMPLES))}] AS samples FROM part))"
 
 QUERIES = {f.__name__: f for f in (normal_forms, name_tokens, name_cases, name_similarity, attribute_roles, distinct_by_key, logical_types, units_currencies)}
 _LINKED = "kind IN ('relator', 'association')"
