@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -19,9 +21,28 @@ SYMBOLS = {"$": "USD", "€": "EUR", "£": "GBP", "¥": "JPY"}
 FEW, DOMAIN, SPREAD = 20, 12, 0.4
 
 
+def shapes_of(form: str) -> list[str]:
+    """The shapes of the texts that a format is for: digits as 9, other signs as they are; a zone is Z or an offset."""
+    plain = re.sub("[yMdHms]", "9", form.replace("'", ""))
+    return [plain.replace("XXX", zone) for zone in ("Z", "+99:99", "-99:99")] if "XXX" in plain else [plain]
+
+
 def parses(c: Column, formats: tuple[str, ...]) -> Column:
-    """Whether a text is a time in one of the formats."""
-    return F.coalesce(*[F.try_to_timestamp(c, F.lit(f)) for f in formats]).isNotNull()
+    """Whether a text is a time in one of the formats.
+
+    A text's shape says which formats may read it, and only these are tried. All are tried on texts of other shapes, if they
+    have a sign that no number has (formats also read years of more digits, after a sign).
+    """
+    by_shape: dict[str, list[str]] = {}
+    for form in formats:
+        for shape in shapes_of(form):
+            by_shape.setdefault(shape, []).append(form)
+    reads = lambda forms: F.coalesce(*[F.try_to_timestamp(c, F.lit(f)) for f in forms]).isNotNull()
+    shape, out = F.translate(c, "012345678", "999999999"), None
+    for forms in dict.fromkeys(map(tuple, by_shape.values())):
+        test = shape.isin(*[x for x, f in by_shape.items() if tuple(f) == forms])
+        out = F.when(test, reads(forms)) if out is None else out.when(test, reads(forms))
+    return out.when(c.rlike(r".[-/:]|^[-+]\d{8,}$"), reads(formats)).otherwise(False)
 
 
 def is_number(c: Column) -> Column:

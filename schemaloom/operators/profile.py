@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from schemaloom.functions.values import DOMAIN, SPREAD, TIMESTAMPS, is_amount, is_date, is_number, is_truth, parses
-from schemaloom.operators.common import value_index
+from schemaloom.operators.common import cells, value_index
 
 #: Shares of values that must hold a digit, a separator, and parse as a time.
 DIGITS, SEPARATORS, TIMES = 0.5, 0.5, 0.95

@@ -1,5 +1,6 @@
 """Profiles, keys, dependencies and decomposition on hand-made tables: nulls, empties, constants, thresholds, and the two flat-table traces."""
 
+import random
 from itertools import combinations
 
 import pytest
@@ -176,3 +177,18 @@ def test_samples(spark):
     assert sampling.sample(df, 10).count() == 10 and {tuple(r) for r in sampling.sample(df, 10).collect()} == {tuple(r) for r in sampling.sample(df, 10).collect()}
     assert sampling.aligned(df, [" K", "x"]) == (["k"], ["x"])
     assert sorted(r["value"] for r in sampling.values_of(df.limit(0).unionByName(frame(spark, ["k", "v"], [["a", None]])), "K_").collect()) == ["a"]
+
+
+def test_shapes_read_what_all_formats_read(spark):
+    from schemaloom.functions import values as V
+
+    rng = random.Random(2)
+    texts = ["2024-02-29", "2023-02-29", "20240101", "200240101", "+200240101", "-200240101", "+12024-01-01", "2024-1-1", "12:30", "12:30:59", "25:00", "2024-01-01T10:00Z", "2024-01-01t10:00z", "2024-01-01T10:00:00+05:30", "2024-01-01 10:00", "13/01/2024", "01/13/2024", "13/13/2024", "1.5", "-5", "5-LOW", "", " ", "٢٠٢٤-01-01", "2024/01/31", "31-12-2024", "12-31-2024", "99-99-9999", None]
+    texts += ["".join(rng.choices("0123456789-/: TZ+", k=rng.choice((5, 8, 10, 16, 19, 20)))) for _ in range(1500)]
+    texts += [rng.choice(["{:04d}-{:02d}-{:02d}", "{2:02d}/{1:02d}/{0:04d}", "{1:02d}-{2:02d}-{0:04d}", "{:04d}{:02d}{:02d}"]).format(rng.randrange(3000), rng.randrange(14), rng.randrange(33)) for _ in range(1500)]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for formats in (V.TIMESTAMPS, V.DATES):
+        plain = F.coalesce(*[F.try_to_timestamp("t", F.lit(f)) for f in formats]).isNotNull()
+        wrong = df.filter(F.coalesce(V.parses(F.col("t"), formats), F.lit(False)) != plain)
+        assert [r.t for r in wrong.collect()] == []
+        assert df.filter(plain).count() > 300
