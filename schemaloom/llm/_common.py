@@ -17,6 +17,8 @@ from pyspark.sql.types import BooleanType, NumericType
 #: A table of at most so many rows and bytes may be broadcast (both are measured first); beyond either the join shuffles.
 #: They are low because an operator holds several such tables at a time, each several times as large in memory.
 BROADCAST_ROWS, BROADCAST_BYTES = 20_000, 4 << 20
+#: Rows of a few numbers each that may be broadcast instead where all texts would be shuffled otherwise.
+NUMBERS = 500_000
 #: At most so many keys count as hot, because each holds more than 1/HOT_KEYS of all rows.
 HOT_KEYS = 4096
 #: Files that a core writes of a narrow table.
@@ -111,11 +113,15 @@ def id_text(column: str = "doc_id") -> Column:
 
 
 def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """docs without the rows whose doc_id and text are those of a row of ``dropped`` (doc_id, text_sha256)."""
-    key, sha = fresh("key", docs), fresh("sha", docs)
-    drop = written(dropped.select(id_text().alias(key), F.col("text_sha256").alias(sha)).distinct(), "dropped", narrow=True)
-    keyed = docs.withColumns({key: id_text(), sha: F.sha2(whole_text(), 256)})
-    return attach(keyed, drop, [key, sha], "left_anti").select(*every(docs))
+    """docs without the rows whose doc_id and text are those of a row of ``dropped`` (doc_id, text_sha256).
+
+    Both are compared as 128 bits of hashes, so that many rows' keys may be broadcast and the texts don't move.
+    """
+    key, more, sha = fresh("key", docs), fresh("more", docs), fresh("sha", docs)
+    bits = lambda x: {key: F.xxhash64(id_text(), x), more: F.xxhash64(F.lit(1), id_text(), x)}
+    drop = written(dropped.select(*[c.alias(n) for n, c in bits(F.col("text_sha256")).items()]).distinct(), "dropped", narrow=True)
+    keyed = docs.withColumn(sha, F.sha2(whole_text(), 256)).withColumns(bits(F.col(sha)))
+    return attach(keyed, drop, [key, more], "left_anti", limit=NUMBERS).select(*every(docs))
 
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE) -> Iterator[pa.RecordBatch]:

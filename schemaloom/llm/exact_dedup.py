@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from schemaloom.llm._common import attach, every, fresh, id_text, table, whole_text, without, written
+from schemaloom.llm._common import NUMBERS, attach, every, fresh, id_text, table, whole_text, without, written
 
 #: Fingerprints that a block of the merged filter holds on average.
 BLOCK_FINGERPRINTS = 1 << 19
@@ -163,7 +163,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("_text"), F.xxhash64(text).alias("fp"))
     repeated = written(repeated_fingerprints(rows.select("fp"), rows.count()), "fingerprints", narrow=True)
     groups = (
-        attach(rows, repeated.filter("n > 1"), ["fp"], "inner", "n")  # the condition lets Spark put a Bloom filter of its own before the shuffle of texts
+        attach(rows, repeated.filter("n > 1"), ["fp"], "inner", "n", NUMBERS)  # the condition lets Spark put a Bloom filter of its own before the shuffle of texts
         .groupBy("fp", "_text")  # the bytes themselves are compared here
         .agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
         .filter("group_size > 1")
