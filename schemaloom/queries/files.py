@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from schemaloom.operators import hybrid, validate
+from schemaloom.operators import validate
 from schemaloom.operators.common import shared_root
 from schemaloom.operators.model import of_rows
 from schemaloom.queries.common import RENAMED_COLUMNS, renamed, table
-from schemaloom.queries.fixtures import ERD_BASE
 from schemaloom.sources import files
 
 
@@ -30,15 +28,6 @@ def csv_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.csv(spark, path, names=["key", "status", "note", "status"])
 
 
-def model_file(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A model of the regions, written as a JSON document and read again."""
-    path = _folder(spark)
-    pairs = [("Region", "r_regionkey"), ("Nation", "n_regionkey")]
-    doc = {"entities": [{"name": e, "primary_key": [c], "attributes": [{"name": c, "data_type": "BIGINT", "is_primary_key": True}]} for e, c in pairs], "relationships": []}
-    table(spark, sf_dir, "region").limit(1).select(F.lit(json.dumps(doc)).alias("value")).write.text(path)
-    return files.erd(spark, path).attributes.select("entity", "attr", "data_type", "is_pk", "is_fk")
-
-
 def latest_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Results of three runs, appended one after another: of each key the last one counts."""
     path, n = _folder(spark), table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey")
@@ -55,12 +44,6 @@ def metric_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.metric_table(rows.union(least))
 
 
-def data_model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The data-derived model alone, as the pure scenario takes it."""
-    m = hybrid.pure(of_rows(spark, ERD_BASE))
-    return m.attributes.select("entity", "attr", "data_type", "prov").join(m.entities.select("entity", "pk_prov"), "entity")
-
-
 def fitting_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The table that fits each entity best among five, and whether its rows keep the entity's normal form."""
     parts = renamed(spark, sf_dir)
@@ -69,13 +52,10 @@ def fitting_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return validate.normal_form_checks(parts, of_rows(spark, {"entities": entities})).select("entity", "tbl")
 
 
-QUERIES = {f.__name__: f for f in (csv_scan, model_file, latest_results, metric_table, data_model, fitting_tables)}
-_ROWS = ", ".join(f"('{e['name']}', '{a['name']}', '{a['data_type']}')" for e in ERD_BASE["entities"] for a in e["attributes"])
+QUERIES = {f.__name__: f for f in (csv_scan, latest_results, metric_table, fitting_tables)}
 ORACLE = {
     "csv_scan": """SELECT CAST(o_orderkey AS VARCHAR) AS "key", nullif(o_orderstatus, 'F') AS status, 'said "' || o_orderpriority || '",' || chr(10) || 'then ' || o_orderstatus AS note, CAST(NULL AS VARCHAR) AS "status.1" FROM orders""",
-    "model_file": "SELECT entity, attr, 'BIGINT' AS data_type, true AS is_pk, false AS is_fk FROM (VALUES ('Region', 'r_regionkey'), ('Nation', 'n_regionkey')) t(entity, attr)",
     "latest_results": "SELECT n_nationkey, CASE WHEN n_regionkey > 3 THEN 'third' WHEN n_regionkey > 1 THEN 'second' ELSE 'first' END AS run FROM nation",
     "metric_table": "SELECT o_orderstatus AS target, o_orderpriority AS scenario, CAST(count(*) AS DOUBLE) AS n_orders, CAST(min(o_orderkey) AS DOUBLE) AS least_key FROM orders GROUP BY 1, 2",
-    "data_model": f"SELECT entity, attr, data_type, 'deterministic' AS prov, 'deterministic' AS pk_prov FROM (VALUES {_ROWS}) t(entity, attr, data_type)",
     "fitting_tables": "SELECT * FROM (VALUES ('MyRegion', 'Region'), ('MySupplier', 'Supplier'), ('Other', NULL)) t(entity, tbl)",
 }

@@ -5,15 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from schemaloom.functions import similarity as S
-from schemaloom.operators import assign, hybrid, integrate, ontology, scores, validate
+from schemaloom.operators import assign, hybrid, integrate, ontology, scores
 from schemaloom.operators import vocabulary as voc
 from schemaloom.operators.model import of_rows
-from schemaloom.plans.runs import contract
-from schemaloom.queries.common import RENAMED_COLUMNS, sql_close, sql_jaccard, sql_joined, sql_key, sql_tokens, table
-from schemaloom.queries.names import _TERM
-from schemaloom.queries.fixtures import ERD_A, ERD_BASE, ERD_PROPOSAL, ERD_TRUTH, GOLD_CONCEPTS, ONTOLOGY_A, ONTOLOGY_B, PROPOSAL
-from schemaloom.sources.files import CONCEPTS, RELATIONS, proposal
+from schemaloom.queries.common import sql_close, sql_jaccard, sql_joined, sql_key, sql_tokens, table
+from schemaloom.queries.names import _CAPITAL, _TERM
+from schemaloom.queries.fixtures import ERD_BASE, ERD_PROPOSAL, ERD_TRUTH, GOLD_CONCEPTS, ONTOLOGY_A, ONTOLOGY_B
+from schemaloom.sources.files import proposal
 
 _flat = lambda c: F.array_join(c, ",")
 
@@ -240,38 +238,20 @@ def owned_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def short_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [("Airport Gate Code", ["Airport Gate.code"]), ("Airport Gate Code", ["Airport Gate.gate_code", "Airport.code"]), ("Seat Row", ["Seat.row"]), ("Flight Crew Name", ["Flight Crew.name", "FlightCrew.full_name"]), ("Flight Crew", ["Flight Crew.x"]), ("Menu Item Id", ["MenuItems.menu_item_id"]), ("flight_no", []), ("Order Date", ["Orders.order_date"])]
-    terms = spark.createDataFrame([(n, s, i) for i, (n, s) in enumerate(rows)], "name string, sources array<string>, pos int")
-    return voc.abstracted(terms).select("pos", "name", "short")
+    """Terms of spare parts without the leading words that all their entities share and no column needs."""
+    part = table(spark, sf_dir, "part")
+    terms = part.groupBy(F.expr(_SPARE["name"]).alias("name")).agg(F.sort_array(F.collect_list(F.struct("p_partkey", F.expr(f"concat({_SPARE['entity']}, '.', {_SPARE['attr']})").alias("s")))).alias("x"), F.min("p_partkey").alias("pos"))
+    return voc.abstracted(terms.select("name", F.transform("x", lambda x: x["s"]).alias("sources"), "pos")).select("pos", "name", "short")
 
 
-def plain_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return voc.plain_vocabulary(_attrs(spark, sf_dir)).select("name", _flat("synonyms").alias("synonyms"), _flat("sources").alias("sources"), "confidence")
-
-
-def relationship_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return validate.relationship_checks(of_rows(spark, ERD_A)).select("rpos", "expected_fk_entity", "expected_pk_entity", _flat("issues").alias("issues"), "valid")
-
-
-def issue_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return validate.issue_counts(validate.relationship_checks(of_rows(spark, ERD_A)))
-
-
-def rule_ontology(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rules' concepts, attributes and relations of a small model, as rows."""
-    o = ontology.rule_based(of_rows(spark, ERD_TRUTH))
-    a = o["concepts"].select(F.lit("concept").alias("kind"), F.col("concept").alias("name"), "source", F.col("category").alias("detail"))
-    b = o["attributes"].select("mapping_type", F.col("canonical"), "source", F.coalesce("role", "target"))
-    return a.union(b).union(o["relations"].select(F.lit("relation"), "canonical", "domain", "range"))
-
-
-def unpacking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    u = ontology.unpacking(of_rows(spark, ERD_TRUTH))
-    return u["attributes"].join(u["entities"].select("entity", F.col("kind").alias("entity_kind")), "entity").select("entity", "entity_kind", "attr", "role", "preferred")
+_SPARE = {
+    "name": "concat(CASE p_size % 4 WHEN 0 THEN 'Spare Part ' WHEN 1 THEN 'sparePart ' WHEN 2 THEN 'Part ' ELSE '' END, p_name, CASE p_size % 3 WHEN 0 THEN '' ELSE concat(' ', p_size) END)",
+    "entity": "concat(CASE p_partkey % 9 WHEN 0 THEN 'Part' ELSE 'Spare Parts' END, ' ', lower(p_type))", "attr": "CASE p_partkey % 7 WHEN 0 THEN concat('spare_', replace(p_name, ' ', '_')) WHEN 1 THEN 'part' ELSE replace(p_name, ' ', '_') END",
+}
 
 
-def erd_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scores.erd_scores(of_rows(spark, ERD_BASE), of_rows(spark, ERD_TRUTH))
+def plain_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return voc.plain_vocabulary(_attrs(spark, sf_dir)).select("name", _flat("synonyms").alias("synonyms"), _flat("sources").alias("sources"), "confidence")
 
 
 def hybrid_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -295,13 +275,7 @@ def integration_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores.integration_scores(plan["alignments"], plan["integrated"], pairs, unique, conflicts)
 
 
-def contract_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What a proposal violates and leaves out."""
-    answer = spark.createDataFrame([(PROPOSAL,)], "answer string")
-    return contract(proposal(answer, f"concepts {CONCEPTS}, relations {RELATIONS}").select("doc.*"), of_rows(spark, ERD_TRUTH))
-
-
-_names = (greedy_match, greedy_fold, value_jaccard, concept_scores, concept_match, best_mappings, vote_winner, set_scores, audit_outer, over_merge, run_statistics, json_answers, archived_terms, valid_mappings, repaired_prefixes, filled_mappings, filled_entities, fresh_sources, merged_terms, remapped, new_terms, owned_sources, short_terms, plain_vocabulary, relationship_checks, issue_counts, rule_ontology, unpacking, erd_scores, hybrid_merge, mapping_scores, integration_scores, contract_issues)
+_names = (greedy_match, greedy_fold, value_jaccard, concept_scores, concept_match, best_mappings, vote_winner, set_scores, audit_outer, over_merge, run_statistics, json_answers, archived_terms, valid_mappings, repaired_prefixes, filled_mappings, filled_entities, fresh_sources, merged_terms, remapped, new_terms, owned_sources, short_terms, plain_vocabulary, hybrid_merge, mapping_scores, integration_scores)
 QUERIES = {f.__name__: f for f in _names}
 
 
@@ -360,22 +334,13 @@ ORACLE = {
         every AS (SELECT pos, {_QK('x')} AS k, x, held.o FROM held LEFT JOIN own w ON {_QK('x')} = w.k WHERE w.owner IS NULL OR w.owner = low UNION ALL SELECT pos, k, shown, 1000000000 + o FROM own JOIN tm ON lower(name) = owner),
         firsts AS (SELECT pos, k, arg_min(x, o) AS x, min(o) AS o FROM every GROUP BY pos, k)
         SELECT name, coalesce((SELECT string_agg(x, ',' ORDER BY o) FROM firsts f WHERE f.pos = tm.pos), '') AS sources FROM tm""",
-    "short_terms": _rows("pos, name, short", (0, "Airport Gate Code", "Code"), (1, "Airport Gate Code", "Airport Gate Code"), (2, "Seat Row", "Seat Row"), (3, "Flight Crew Name", "Name"), (4, "Flight Crew", "Flight Crew"), (5, "Menu Item Id", "ID"), (6, "flight_no", "Flight No"), (7, "Order Date", "Order Date")),
+    "short_terms": f"""WITH p AS (SELECT {_SPARE['name']} AS name, p_partkey, {{{{'e': {sql_tokens(_SPARE['entity'])}, 'a': {sql_tokens(_SPARE['attr'])}}}}} AS s FROM part),
+        t AS (SELECT name, min(p_partkey) AS pos, {sql_tokens('name')} AS w, list_filter(list(s), lambda x: len(x.a) > 0) AS parts FROM p GROUP BY name),
+        n AS (SELECT *, flatten(list_transform(parts, lambda x: CASE WHEN len(list_filter(x.a, lambda y: NOT list_contains(x.e, y))) > 0 THEN list_filter(x.a, lambda y: NOT list_contains(x.e, y)) ELSE x.a END)) AS needed FROM t),
+        l AS (SELECT *, coalesce(list_position(list_transform(w, lambda y: len(list_filter(parts, lambda x: NOT list_contains(x.e, y))) = 0 AND NOT list_contains(needed, y)), false) - 1, len(w)) AS lead FROM n),
+        r AS (SELECT pos, name, CASE WHEN lead >= 2 AND lead < len(w) THEN w[lead + 1:] ELSE w END AS w FROM l)
+        SELECT pos, name, array_to_string(list_transform(w, lambda t: {_CAPITAL.format(t='t')}), ' ') AS short FROM r""".replace("{{", "{").replace("}}", "}"),
     "plain_vocabulary": f"WITH {_VOC} SELECT replace(lower(trim(attr)), ' ', '_') AS name, string_agg(attr, ',' ORDER BY apos) AS synonyms, string_agg(entity || '.' || attr, ',' ORDER BY apos) AS sources, 0.5::DOUBLE AS confidence FROM attrs GROUP BY 1",
-    "relationship_checks": _rows("rpos, expected_fk_entity, expected_pk_entity, issues, valid", (0, "Order", "Customer", "", True), (1, "Order", "Customer", "", True), (2, "Order", "Shop", "to_entity_missing,fk_attribute_missing,pk_on_wrong_entity", False), (3, "Order", "Customer", "fk_on_wrong_entity", False), (4, None, None, "many_to_many_requires_bridge", False), (5, None, None, "invalid_from_cardinality,fk_attribute_missing,pk_attribute_missing", False), (6, None, None, "", True)),
-    "issue_counts": _rows("code, n", ("to_entity_missing", 1), ("fk_attribute_missing", 2), ("pk_on_wrong_entity", 1), ("fk_on_wrong_entity", 1), ("many_to_many_requires_bridge", 1), ("invalid_from_cardinality", 1), ("pk_attribute_missing", 1)).replace("SELECT *", "SELECT code, CAST(n AS BIGINT) AS n"),
-    "rule_ontology": _rows(
-        "kind, name, source, detail", ("concept", "Airport", "Airport", "kind"), ("concept", "Flight", "Flight", "kind"), ("concept", "Passenger", "Passenger", "kind"), ("concept", "Booking", "Booking", "relator"),
-        ("property", "airportCode", "Airport.airport_code", "identifier"), ("property", "city", "Airport.city", "descriptive"), ("property", "flightNumber", "Flight.flight_number", "identifier"), ("property", "flightDate", "Flight.flight_date", "identifier"),
-        ("relation_role", "originCode", "Flight.origin_code", "Airport"), ("relation_role", "targetCode", "Flight.target_code", "Airport"), ("property", "passport", "Passenger.passport", "identifier"), ("property", "fullName", "Passenger.full_name", "descriptive"),
-        ("property", "seat", "Booking.seat", "descriptive"), ("relation_role", "hasFlight", "Booking.flight_number, Booking.flight_date", "Flight"), ("relation_role", "hasPassenger", "Booking.passport", "Passenger"), ("relation", "linksPassengerAirport", "Passenger", "Airport"),
-    ),
-    "unpacking": _rows(
-        "entity, entity_kind, attr, role, preferred", ("Airport", "entity", "airport_code", "identifier", "Identifier"), ("Airport", "entity", "city", "descriptive_quality", "City"), *[("Flight", "association", a, "identifier", "Identifier") for a in ("flight_number", "flight_date", "origin_code", "target_code")],
-        ("Passenger", "entity", "passport", "identifier", "Identifier"), ("Passenger", "entity", "full_name", "descriptive_quality", "Full Name"), *[("Booking", "relator", a, "identifier", "Identifier") for a in ("flight_number", "flight_date", "passport")], ("Booking", "relator", "seat", "relationship_qualifier", "Seat"),
-        *[("visits", "association", a, "identifier", "Identifier") for a in ("passport", "airport_code")],
-    ),
-    "erd_scores": "SELECT 2::BIGINT AS pred_entities, 5::BIGINT AS truth_entities, 2::BIGINT AS matched_entities, 1.0::DOUBLE AS entity_precision, 2.0::DOUBLE / 5 AS entity_recall, 2.0::DOUBLE * 1.0::DOUBLE * (2.0::DOUBLE / 5) / (1.0::DOUBLE + 2.0::DOUBLE / 5) AS entity_f1, 12.0::DOUBLE / 14 AS attribute_coverage, 6.0::DOUBLE / 14 AS attribute_placement, 0.5::DOUBLE AS pk_accuracy, 1.0::DOUBLE AS type_accuracy, 0.0::DOUBLE AS relationship_precision, 0.0::DOUBLE AS relationship_recall, 0.0::DOUBLE AS relationship_f1",
     "hybrid_merge": _rows(
         "kind, entity, name, detail, prov", ("attribute", "Booking", "seat", "string", "deterministic"), ("attribute", "Booking", "passport", "string", "deterministic"), ("attribute", "Booking", "mood", "TEXT", "llm"), ("attribute", "Airport", "airport_code", "string", "deterministic"), ("attribute", "Airport 2", "iata", "TEXT", "llm"),
         *[("attribute", "Booking", a, k, "deterministic") for a, k in (("flight_number", "string"), ("flight_date", "datetime"), ("origin_code", "string"))], ("attribute", "Airport", "city", "string", "deterministic"),
@@ -383,9 +348,4 @@ ORACLE = {
     ),
     "mapping_scores": "SELECT 1.0::DOUBLE AS precision, 1.0::DOUBLE AS recall, 1.0::DOUBLE AS f1, 0::BIGINT AS false_positives, 0::BIGINT AS false_negatives, (2 + 8 + 15)::DOUBLE / 11 AS curation_effort, 0.0::DOUBLE AS over_merge_rate, 0.0::DOUBLE AS under_merge_rate, 0.0::DOUBLE AS hallucination_rate, 1.0::DOUBLE AS provenance_completeness, 1.0::DOUBLE AS proposed_provenance_completeness, 4.0::DOUBLE / 9 AS refinement_accuracy, 1.0::DOUBLE AS type_accuracy, 1.0::DOUBLE AS category_accuracy",
     "integration_scores": "SELECT 1.0::DOUBLE AS precision, 1.0::DOUBLE AS recall, 1.0::DOUBLE AS f1, 0.0::DOUBLE AS over_merge_rate, 0.0::DOUBLE AS under_merge_rate, 1.0::DOUBLE AS unique_a_coverage, 0.5::DOUBLE AS unique_b_coverage, 3.0::DOUBLE / 4 AS conflict_resolution_accuracy",
-    "contract_issues": _rows(
-        "level, issue, item", ("error", "category", "Airport"), ("error", "source", "city"), ("error", "maps_to", "Flight.origin_code"), *[("warning", "entity_missing", e) for e in ("Passenger", "Booking", "visits")],
-        *[("warning", "attribute_missing", f"{e['name']}.{a['name']}") for e in ERD_TRUTH["entities"] for a in e["attributes"] if f"{e['name']}.{a['name']}" not in ("Airport.airport_code", "Flight.origin_code")],
-        *[("warning", "relation_missing", f"{e['name']}.{a['name']}") for e in ERD_TRUTH["entities"] for a in e["attributes"] if a["is_foreign_key"] and a["name"] != "origin_code"],
-    ),
 }

@@ -14,40 +14,11 @@ from schemaloom.operators.model import of_rows
 from schemaloom.operators.profile import value_index
 from schemaloom.plans.vocabularies import ENTITIES, MAPPINGS, TERMS, Vocabulary, build_vocabulary
 from schemaloom.queries.common import FLAT_COLUMNS, FLAT_SQL, RENAMED_COLUMNS, flat, renamed, sql_jaccard, sql_key, sql_tokens, table
-from schemaloom.queries.fixtures import ERD_A, ERD_TRUTH
 from schemaloom.queries.data import _fd_pair
 from schemaloom.queries.models import _rows
 from schemaloom.queries.names import _SYN
 
 
-def scaffold_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rules' structure with a proposal's names; the first name of a source wins, unknown sources are left out."""
-    rules = ontology.rule_based(of_rows(spark, ERD_TRUTH))["attributes"]
-    named = spark.createDataFrame([("booking.flight_DATE,Booking.flight_number", "onFlight", 0), ("Airport.city", "", 1), ("Airport.city", "town", 2), ("Airport.city", "later", 3), ("No.where", "x", 4)], "source string, canonical string, pos int")
-    return ontology.with_scaffold(named, rules).select("source", "canonical", "mapping_type")
-
-
-def flat_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Concepts and attributes of a flat vocabulary: all kinds and properties."""
-    entities = spark.createDataFrame([("Flight", "Air Trip"), ("Gate", "Gate")], "source_entity string, canonical string")
-    mappings = spark.createDataFrame([("Flight.no", "Number"), ("Gate.no", "Number"), ("Shop.x", "X")], "attribute string, canonical string")
-    out = ontology.concepts_of(entities, mappings)
-    return out["attributes"].select("concept", "source", "mapping_type", "canonical").union(out["concepts"].select("concept", "source", F.lit("concept"), "category"))
-
-
-def expert_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mappings and terms of the rules' ontology, a combined source as a mapping for each column."""
-    rules = ontology.rule_based(of_rows(spark, ERD_TRUTH))
-    out = ontology.vocabulary_of(rules["concepts"], rules["attributes"])
-    return out["terms"].select("name", "description", F.array_join("sources", ",").alias("sources"))
-
-
-def model_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A model and its ontology as texts, for prompts."""
-    rules = ontology.rule_based(of_rows(spark, ERD_A))
-    return ontology.erd_text(of_rows(spark, ERD_A)).select(F.lit("erd").alias("what"), "text").union(ontology.ontology_text(rules["concepts"], rules["attributes"], "A").select(F.lit("ontology"), "text"))
-
-
 def carried_mappings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mappings of even orders first, then those of the others, numbered on."""
     o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("attribute"), F.col("o_orderstatus").alias("canonical"), F.col("o_orderkey").alias("seq"))
@@ -64,13 +35,6 @@ def reified_mappings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return moved.select("attribute", "canonical").union(terms.select("name", F.array_join("synonyms", ",")))
 
 
-def valid_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mappings of entities that the schema has, spelled as it does, labels in display form."""
-    rows = spark.createDataFrame([("NATION", "countryName"), ("customer", "client_ids"), ("shop", "Shop"), ("supplier", "URL list")], "source_entity string, canonical string")
-    entities = spark.createDataFrame([(n,) for n in renamed(spark, sf_dir)], "entity string")
-    return voc.valid_entity_mappings(rows, entities)
-
-
 def entity_match_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every table of the star schema against concepts with known columns."""
     parts = renamed(spark, sf_dir)
@@ -194,26 +158,13 @@ def validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return validate.validate({"flat": df}, erd).select("true_positives", "false_positives", "false_negatives", "precision", "recall", "relationships", "normal_form")
 
 
-_names = (scaffold_names, flat_vocabulary, expert_vocabulary, model_texts, carried_mappings, reified_mappings, valid_entities, entity_match_scores, attribute_match_scores, built_vocabulary, build_vocab, matched_vocabulary, enriched_columns, flat_model, normal_form, validation)
+_names = (carried_mappings, reified_mappings, entity_match_scores, attribute_match_scores, built_vocabulary, build_vocab, matched_vocabulary, enriched_columns, flat_model, normal_form, validation)
 QUERIES = {f.__name__: f for f in _names}
 _ENTITIES = "e AS (SELECT * FROM (VALUES ('Region', ['regionkey', 'regionname']), ('Nation', ['nationkey', 'nationname', 'regionkey']), ('Customer', ['customerkey', 'customername', 'nationkey', 'segment']), ('Supplier', ['supplierkey', 'suppliername', 'nationkey']), ('Orders', ['orderkey', 'customerkey', 'orderstatus', 'priority'])) t(a, mine))"
 _CANON_ROWS = "c AS (SELECT * FROM (VALUES " + ", ".join(f"('{n}', [{', '.join(map(repr, a))}]::VARCHAR[])" for n, a in _CANON.items()) + ") t(b, theirs))"
-_ERD_TEXT = "Entities:\nOrder: id VARCHAR PK, Customer_ID VARCHAR\nCustomer: customer_id VARCHAR PK, region VARCHAR\nRelationships:\n" + "\n".join(f"{a} ({x}) -- {b} ({y})" + (f" via {k}" if k else "") for a, x, b, y, k in (("Order", "0..N", "Customer", "1", "customer_id"), ("Customer", "1", "Order", "0..N", "customer_id"), ("Order", "0..N", "Shop", "1", "shop"), ("Order", "0..N", "Customer", "1", "region"), ("Order", "0..N", "Customer", "1..N", "customer_id"), ("Order", "many", "Customer", "1", None), ("Order", "1", "Customer", "1", "customer_id")))
-_ONTOLOGY_TEXT = "Ontology A:\nOrder (kind) from Order\n  - Order.Customer_ID -> customerId\n  - Order.id -> id\nCustomer (kind) from Customer\n  - Customer.customer_id -> customerId\n  - Customer.region -> region"
 ORACLE = {
-    "scaffold_names": _rows(
-        "source, canonical, mapping_type", ("Airport.airport_code", "airportCode", "property"), ("Airport.city", "town", "property"), ("Flight.flight_number", "flightNumber", "property"), ("Flight.flight_date", "flightDate", "property"), ("Flight.origin_code", "originCode", "relation_role"), ("Flight.target_code", "targetCode", "relation_role"),
-        ("Passenger.passport", "passport", "property"), ("Passenger.full_name", "fullName", "property"), ("Booking.seat", "seat", "property"), ("Booking.flight_number, Booking.flight_date", "onFlight", "relation_role"), ("Booking.passport", "hasPassenger", "relation_role"),
-    ),
-    "flat_vocabulary": _rows("concept, source, mapping_type, canonical", ("Air Trip", "Flight.no", "property", "Number"), ("Gate", "Gate.no", "property", "Number"), ("Air Trip", "Flight", "concept", "kind"), ("Gate", "Gate", "concept", "kind")),
-    "expert_vocabulary": _rows(
-        "name, description, sources", ("airportCode", "Concept: Airport", "Airport.airport_code"), ("city", "Concept: Airport", "Airport.city"), ("flightNumber", "Concept: Flight", "Flight.flight_number"), ("flightDate", "Concept: Flight", "Flight.flight_date"), ("originCode", "Concept: Flight", "Flight.origin_code"), ("targetCode", "Concept: Flight", "Flight.target_code"),
-        ("passport", "Concept: Passenger", "Passenger.passport"), ("fullName", "Concept: Passenger", "Passenger.full_name"), ("seat", "Concept: Booking", "Booking.seat"), ("hasFlight", "Concept: Booking", "Booking.flight_number,Booking.flight_date"), ("hasPassenger", "Concept: Booking", "Booking.passport"),
-    ),
-    "model_texts": _rows("what, text", ("erd", _ERD_TEXT), ("ontology", _ONTOLOGY_TEXT)),
     "carried_mappings": "SELECT CAST(o_orderkey AS VARCHAR) AS attribute, o_orderstatus AS canonical, CASE WHEN o_orderkey % 2 = 0 THEN o_orderkey ELSE o_orderkey + (SELECT max(o_orderkey) + 1 FROM orders WHERE o_orderkey % 2 = 0) END AS seq FROM orders",
     "reified_mappings": _rows("attribute, canonical", ("Flight.code", "Key"), ("flight.Day", "Date"), ("Flight.state", "state"), ("Seat.price", "Price"), ("Seat.row", "ROW"), ("Gate.no", "Number"), ("Position", "row"), ("Key", "identifier,Number"), ("Date", "Flight Date"), ("Price", "Paid price now")),
-    "valid_entities": _rows("source_entity, canonical", ("Nation", "Country Name"), ("Customer", "Client Ids"), ("Supplier", "URL List")),
     "entity_match_scores": f"WITH {_ENTITIES}, {_CANON_ROWS} SELECT a AS entity, b AS canonical, 0.5::DOUBLE * greatest({_SYN}, {sql_jaccard(sql_tokens('a'), sql_tokens('b'))}) + 0.3::DOUBLE * {sql_jaccard('mine', 'theirs')} + 0.2::DOUBLE * CASE WHEN a IN ('Nation', 'Customer', 'Orders') THEN 1.0::DOUBLE ELSE 0.5::DOUBLE END AS score FROM e CROSS JOIN c",
     "attribute_match_scores": _attribute_sql(),
     "built_vocabulary": _rows("attribute, canonical, is_new, seq", ("Flight.flight_number", "Flight Number", True, 0), ("Flight.departure", "Departure", True, 1), ("Trip.flightNumber", "Flight Number", False, 2), ("Trip.fare", "Fare", True, 3)),

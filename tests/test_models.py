@@ -160,3 +160,37 @@ def test_prompts_hold_what_they_should(spark):
     assert "id,code" not in prompts.erd_prompt(df, ["id"], level=1)
     rules = ontology.rule_based(of_rows(spark, ERD_TRUTH))
     assert "hasFlight" in prompts.ontology_prompt(of_rows(spark, ERD_TRUTH), scaffold=rules) and "Booking" in prompts.integration_prompt(rules, rules, "brief")
+
+
+def _plain_greedy(rows):
+    left, right, out = set(), set(), set()
+    for a, b, s in sorted(rows, key=lambda r: (r[2], r[0], r[1]), reverse=True):
+        if a not in left and b not in right:
+            left.add(a)
+            right.add(b)
+            out.add((a, b, s))
+    return out
+
+
+def test_greedy_by_prefixes(spark):
+    import random
+
+    from schemaloom.operators.assign import greedy
+
+    rng = random.Random(6)
+    rows = [(rng.randrange(60), rng.randrange(50), rng.randrange(9)) for _ in range(900)]
+    rows = [(a, b, s) for (a, b), s in {(a, b): s for a, b, s in rows}.items()]
+    df = spark.createDataFrame([*rows, (None, 1, 99), (1, None, 99)], "a int, b int, s int")
+    for head in (7, 100, 10_000):
+        assert {tuple(r) for r in greedy(df, "a", "b", ["s", "a", "b"], head).collect()} == _plain_greedy(rows)
+
+
+def test_a_long_chain_needs_few_jobs(spark):
+    from schemaloom.operators.assign import greedy
+
+    chain = [(i // 2, (i + 1) // 2, 10_000 - i) for i in range(10_000)]
+    df = spark.createDataFrame(chain, "a int, b int, s int")
+    spark.sparkContext.setJobGroup("chain", "chain")
+    assert {tuple(r) for r in greedy(df, "a", "b", ["s", "a", "b"]).collect()} == _plain_greedy(chain)
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("chain")) <= 20
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
