@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from schemaloom.functions.names import bare_key, entity_label
 from schemaloom.operators import integrate, ontology, sampling
 from schemaloom.operators import vocabulary as voc
-from schemaloom.operators.common import checkpointed, value_index
+from schemaloom.operators.common import checkpointed
+from schemaloom.operators.inds import table_index
 from schemaloom.operators.model import Erd
 from schemaloom.operators.profile import value_kind
 
@@ -47,27 +48,20 @@ def _shaped(df: DataFrame, schema: str) -> DataFrame:
 
 
 def evidence_of(data: dict[str, DataFrame]) -> tuple[DataFrame, DataFrame]:
-    """(evidence, kinds) for ``voc.build_terms``: value overlaps of all columns of the data by bare name, and what their values are."""
-    columns: dict[str, list[DataFrame]] = {}
-    for df in data.values():
-        for c in df.columns:
-            columns.setdefault("".join(x for x in c.lower() if x.isascii() and x.isalnum()), []).append(df.select(F.col(f"`{c}`").cast("string").alias("value")))
-    if not columns:
+    """(evidence, kinds) for ``voc.build_terms``: value overlaps of all columns of the data by bare name, and what their values are, from one index of all values (long texts by digest)."""
+    if not data:
         raise ValueError("no data")
-    merged = {}
-    for part, frames in columns.items():
-        merged[part] = frames[0]
-        for df in frames[1:]:
-            merged[part] = merged[part].union(df)
-    values = checkpointed(integrate.instance_values(merged))
+    index = by_name(table_index(data))
+    values = checkpointed(index.select(F.col("col").alias("source"), F.lower(F.trim("value")).alias("value")).filter("value <> ''").distinct())
     overlaps = integrate.value_overlaps(values, values).select(F.col("a_source").alias("a"), F.col("b_source").alias("b"), F.col("instance").alias("overlap"))
-    index = None
-    for part, df in merged.items():
-        one = value_index(df.select(F.col("value").alias(part)))
-        index = one if index is None else index.union(one)
     return checkpointed(overlaps), checkpointed(value_kind(index).select(F.col("col").alias("part"), "kind"))
 
 
+def by_name(index: DataFrame) -> DataFrame:
+    """An index of tables' values as one by the columns' bare names (col, pos, value, cnt), written."""
+    return checkpointed(index.groupBy(bare_key("col").alias("col"), F.lit(0).alias("pos"), "value").agg(F.sum("cnt").alias("cnt")))
+
+
 def _canonical_entities(existing: Vocabulary) -> DataFrame:
     """(canonical, attrs): the canonical entities and the bare names of all attributes mapped from their source entities."""
     sources = existing.entities.filter("canonical <> ''").select("canonical", F.lower("canonical").alias("low"), F.lower("source_entity").alias("source"))
@@ -138,9 +132,10 @@ def semantics_of(erd: Erd, hints: DataFrame, data: dict[str, DataFrame] | None)
     for df in (data or {}).values():
         first = sampling.first_values(df, df.columns)
         samples = samples.unionByName(first.groupBy(bare_key("col").alias("part")).agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "value"))), lambda x: x["value"]).alias("samples")))
-        index = index.unionByName(value_index(df).withColumn("col", bare_key("col")))
-    index = index.groupBy("col", F.lit(0).alias("pos"), "value").agg(F.sum("cnt").alias("cnt"))
-    return voc.enriched(erd.attributes, samples.groupBy("part").agg(F.first("samples").alias("samples")), index, hints)
+    if data:
+        index = by_name(table_index(data))
+    samples = settled(samples.groupBy("part").agg(F.first("samples").alias("samples")))  # some values for each column
+    return voc.enriched(erd.attributes, samples, index, hints)
 
 
 def build_vocabulary(erd: Erd, method: str = "plain", proposal: Vocabulary | None = None, existing: Vocabulary | None = None, data: dict[str, DataFrame] | None = None, hints: bool = True) -> Vocabulary:
