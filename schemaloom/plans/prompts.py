@@ -43,16 +43,42 @@ def erd_prompt(df: DataFrame, order: Sequence[str], base: Erd | None = None, ins
     return "\n\n".join(parts)
 
 
-def ontology_prompt(erd: Erd, brief: str = "", terms: DataFrame | None = None, scaffold: dict[str, DataFrame] | None = None) -> str:
-    """The prompt for an ontology of a model, with the vocabulary that exists and a fixed structure to name."""
-    parts = [TASKS["ontology"], erd_text(erd).first()[0]]
+#: What an ontology's answer must keep to: where it is measured as it is, and where a run goes on with it.
+CONTRACTS = {
+    True: 'Answer with one JSON object {"concepts": [...], "relations": [...]}. Every source is Entity.column, each column once; a composite reference lists its columns with commas. Categories are kind, relator or category; maps_to has the type property or relation_role.',
+    False: 'Answer with one JSON object {"concepts": [...], "relations": [...]}. Reuse terms of the vocabulary where they mean the same; give new ones a short name that does not repeat its entity.',
+}
+
+
+def _terms_text(terms: DataFrame) -> str:
+    return "\n".join(f"- {r['name']}: {r['description'] or ''}" for r in terms.orderBy("name").collect())
+
+
+def hints_text(unpacking: dict[str, DataFrame]) -> str:
+    """What entities and columns are likely to be, a line for each."""
+    kinds = [f"- {r['entity']}: {r['kind']}" for r in unpacking["entities"].orderBy("entity").collect()]
+    roles = [f"- {r['entity']}.{r['attr']}: {r['role']}, e.g. {r['preferred']}" for r in unpacking["attributes"].orderBy("entity", "attr").collect()]
+    return "\n".join([*kinds, *roles])
+
+
+def ontology_prompt(
+    erd: Erd, brief: str = "", terms: DataFrame | None = None, scaffold: dict[str, DataFrame] | None = None, unpacking: dict[str, DataFrame] | None = None, previous: DataFrame | None = None,
+    history: Sequence[str] = (), refinement: str = "", compare: bool = False,
+) -> str:
+    """The prompt for an ontology of a model: the contract of its answer, the vocabulary that exists, a fixed structure to name, hints, the vocabulary before with what was asked then, and what to refine."""
+    parts = [TASKS["ontology"], CONTRACTS[compare], erd_text(erd).first()[0]]
     if brief:
         parts.append(f"Brief:\n{brief}")
     if terms is not None:
-        parts.append("Vocabulary:\n" + "\n".join(f"- {r['name']}: {r['description']}" for r in terms.orderBy("name").collect()))
+        parts.append("Vocabulary:\n" + _terms_text(terms))
     if scaffold is not None:
         parts.append("Keep this structure, improve its names:\n" + ontology_text(scaffold["concepts"], scaffold["attributes"], "scaffold").first()[0])
-    return "\n\n".join(parts)
+    if unpacking is not None:
+        parts.append("Hints:\n" + hints_text(unpacking))
+    if previous is not None:
+        parts.append("Vocabulary before:\n" + _terms_text(previous))
+    parts += [f"Asked before:\n{h}" for h in history]
+    return "\n\n".join([*parts, f"Refine: {refinement}"] if refinement else parts)
 
 
 def integration_prompt(a: dict[str, DataFrame], b: dict[str, DataFrame], brief: str = "") -> str:

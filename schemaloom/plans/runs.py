@@ -35,7 +35,8 @@ def long_form(row: DataFrame, target: str, scenario: str, run: int) -> DataFrame
     return row.select(F.lit(target).alias("target"), F.lit(scenario).alias("scenario"), F.lit(run).alias("run"), each.alias("m")).select("target", "scenario", "run", "m.metric", "m.value")
 
 
-def _asked_erd(spark: SparkSession, provider: NamingProvider, prompt: str, temperature: float, settings: Settings) -> Erd:
+def asked_erd(spark: SparkSession, provider: NamingProvider, prompt: str, temperature: float, settings: Settings) -> Erd:
+    """The model in a provider's answer."""
     doc = read_answer(spark, asked(provider, prompt, temperature, settings), f"entities array<struct<{ENTITY}>>, relationships array<struct<{RELATION}>>")
     entities = doc.select(F.posexplode("doc.entities").alias("epos", "e")).select("e.*", "epos")
     return flat(entities, doc.select(F.posexplode_outer("doc.relationships").alias("rpos", "r")).filter("rpos is not null").select("r.*", "rpos"))
@@ -54,7 +55,7 @@ def discover(tables: Sequence[tuple[str, DataFrame]], truth: Erd, target: str, p
         for temperature in settings.temperature_list():
             for _ in range(settings.repeats):
                 try:
-                    found = _asked_erd(spark, provider, prompt, temperature, settings)
+                    found = asked_erd(spark, provider, prompt, temperature, settings)
                 except (RuntimeError, ValueError, KeyError, IndexError):
                     continue
                 if "proposal" in wanted:

@@ -84,15 +84,19 @@ def algorithmic(erd: Erd, existing: Vocabulary | None = None, data: dict[str, Da
     return Vocabulary(_shaped(terms, TERMS), _shaped(mappings.select("*", reason), MAPPINGS), _shaped(found.select("*", reason, F.col("epos").alias("seq")), ENTITIES))
 
 
-def rule_based(erd: Erd) -> Vocabulary:
-    """The vocabulary of the rules' ontology, as it is."""
-    rules = ontology.rule_based(erd)
-    out = ontology.vocabulary_of(rules["concepts"], rules["attributes"])
+def of_ontology(found: dict[str, DataFrame], qualified: bool = True) -> Vocabulary:
+    """The vocabulary of an ontology (concepts, attributes), as it is."""
+    out = ontology.vocabulary_of(found["concepts"], found["attributes"], qualified)
     numbered = lambda df, key, name: df.join(df.select(key).distinct().select(key, (F.row_number().over(voc.Window.orderBy(key)) - 1).alias(name)), key)  # noqa: E731  metadata
     mappings = numbered(out["mappings"].withColumnRenamed("seq", "place"), "place", "seq")
     return Vocabulary(_shaped(numbered(out["terms"], "name", "pos"), TERMS), _shaped(mappings, MAPPINGS), _shaped(out["entities"], ENTITIES))
 
 
+def rule_based(erd: Erd) -> Vocabulary:
+    """The vocabulary of the rules' ontology, as it is."""
+    return of_ontology(ontology.rule_based(erd))
+
+
 def plain(erd: Erd, existing: Vocabulary | None = None) -> Vocabulary:
     """A term for each attribute name, beside what the existing vocabulary has; terms of the same name are one."""
     spark = erd.entities.sparkSession
