@@ -15,6 +15,7 @@ from pyspark.sql.window import Window
 from schemaloom.functions import values as V
 from schemaloom.functions.names import MEASURE, TEMPORAL, attribute_part, bare_key, distinct_by, distinct_ignoring_case, entity_label, entity_part, has_any, qualified_key, term, tokens
 from schemaloom.functions.similarity import hybrid, jaccard
+from schemaloom.operators.common import checkpointed
 from schemaloom.operators.profile import categories, kind_shares
 
 #: Least scores for reusing a term or an entity, and what new ones count.
@@ -211,34 +212,56 @@ def covered(mappings: DataFrame, attributes: DataFrame, terms: DataFrame) -> Dat
     """(attribute, canonical, confidence, source, epos, apos): mappings for the attributes that have none, in the model's order.
 
     An attribute takes the term that most attributes of its name have, else a term with its abstract or plain name as name
-    or synonym, else its abstract name as a new term. What is decided counts for the attributes after it.
+    or synonym, else its abstract name as a new term. What is decided counts for the attributes after it: the first one of
+    each name decides for all of them, and a new term is found by later ones. The first ones are decided in rounds (see
+    ``_new_names``); nothing is gone through on the driver.
     """
-    shown = F.concat_ws(".", "entity", "attr")
+    shown, at = F.concat_ws(".", "entity", "attr"), F.struct("epos", "apos").alias("at")
     title = once(tokens("attr"), lambda words: F.when(F.size(words) == 0, F.col("attr")).otherwise(term(words)))
     missing = attributes.select(shown.alias("attribute"), "attr", "epos", "apos").withColumn("key", qualified_key("attribute")).join(mappings.select(qualified_key("attribute").alias("key")).distinct(), "key", "left_anti")
     short = once(title, lambda t: F.coalesce(F.nullif(abstract_name(t, F.array("attribute")), F.lit("")), t))
-    rows = missing.select("attribute", "epos", "apos", bare_key("attr").alias("part"), short.alias("short"), bare_key(short).alias("short_key"), bare_key(title).alias("title_key")).orderBy("epos", "apos").collect()
-    voted = {r["part"]: r["name"] for r in votes(mappings, terms).collect()}
+    part = once(bare_key("attr"), lambda k: F.when(k == "", F.concat(F.lit(" "), "attribute")).otherwise(k))  # names without letters stand for themselves
+    rows = checkpointed(missing.select("attribute", "epos", "apos", at, part.alias("part"), short.alias("short"), bare_key(short).alias("short_key"), bare_key(title).alias("title_key")))
     every = terms.select("pos", F.lit(-1).alias("place"), "name", F.col("name").alias("spelled")).union(terms.select("pos", F.posexplode("synonyms").alias("place", "spelled"), "name").select("pos", "place", "name", "spelled"))
-    named, synonyms = {}, {}
-    for r in every.select("pos", "place", "name", bare_key("spelled").alias("key")).filter("key <> ''").orderBy("pos", "place").collect():
-        (named if r["place"] < 0 else synonyms).setdefault(r["key"], r["name"])
-    done = []
-    for r in rows:
-        how = "votes" if r["part"] in voted else "new"
-        name = voted.get(r["part"], r["short"])
-        if how == "new":
-            for key in (r["short_key"], r["title_key"]):
-                found = [(kind, index[key]) for kind, index in (("name", named), ("synonym", synonyms)) if key in index]
-                if found:
-                    how, name = found[0]
-                    break
-            else:
-                named[r["short_key"]] = name
-        if r["part"]:
-            voted.setdefault(r["part"], name)
-        done.append((r["attribute"], name, FILLED[("votes", "name", "synonym", "new").index(how)], how, r["epos"], r["apos"]))
-    return attributes.sparkSession.createDataFrame(done, "attribute string, canonical string, confidence double, source string, epos int, apos int")
+    keyed = every.select("name", F.struct("pos", "place").alias("o"), (F.col("place") >= 0).alias("also"), bare_key("spelled").alias("key")).filter("key <> ''")
+    index = keyed.groupBy("key").agg(F.min_by(F.struct("also", "name"), F.struct("also", "o")).alias("hit"))  # a name beats a synonym, then the first
+    hit = lambda name: index.select(F.col("key").alias(f"{name}_key"), F.col("hit").alias(f"{name}_hit"))
+    heads = rows.groupBy("part").agg(F.min_by(F.struct("at", "short", "short_key", "title_key"), "at").alias("h")).select("part", "h.*")
+    heads = heads.join(votes(mappings, terms).select("part", F.col("name").alias("voted")), "part", "left").join(hit("short"), "short_key", "left").join(hit("title"), "title_key", "left")
+    heads = checkpointed(heads)
+    open_ = heads.filter("voted is null and short_hit is null")
+    new = _new_names(open_.filter("title_hit is null").select("at", "short", "short_key", "title_key"))
+    found = lambda key: new.select(F.col("key").alias(f"{key}_key"), F.col("name").alias(f"{key}_new"), F.col("at").alias(f"{key}_at"))
+    both = heads.join(found("short"), "short_key", "left").join(found("title"), "title_key", "left")
+    before = lambda key: F.when(F.col("voted").isNull() & F.col("short_hit").isNull() & (F.col(f"{key}_at") < F.col("at")), F.col(f"{key}_new"))
+    kind = lambda x: F.when(x["also"], "synonym").when(x["name"].isNotNull(), "name")
+    by_title = F.when(F.col("title_hit").isNull(), before("title"))
+    how = F.when(F.col("voted").isNotNull(), "votes").otherwise(F.coalesce(kind(F.col("short_hit")), F.when(before("short").isNotNull(), "name"), kind(F.col("title_hit")), F.when(by_title.isNotNull(), "name"), F.lit("new")))
+    name = F.coalesce("voted", F.col("short_hit.name"), before("short"), F.col("title_hit.name"), by_title, F.col("short"))
+    decided = both.select("part", F.col("at").alias("first"), name.alias("canonical"), how.alias("how"))
+    out = rows.join(decided, "part").withColumn("source", F.when(F.col("at") == F.col("first"), F.col("how")).otherwise("votes"))
+    sure = F.create_map(*[F.lit(x) for pair in zip(("votes", "name", "synonym", "new"), FILLED, strict=True) for x in pair])
+    return out.select("attribute", "canonical", sure[F.col("source")].alias("confidence"), "source", "epos", "apos")
+
+
+def _new_names(open_: DataFrame) -> DataFrame:
+    """(key, name, at): the new terms that rows (at, short, short_key, title_key) make, gone through by ``at``: a row makes one unless an earlier row made one with its short or title key.
+
+    In each round those rows are decided that no undecided earlier row can touch; the number of rounds is the length of the
+    longest chain of rows whose title key is another's short key.
+    """
+    open_ = checkpointed(open_)
+    new = checkpointed(open_.limit(0).select(F.col("short_key").alias("key"), F.col("short").alias("name"), "at"))
+    while not open_.isEmpty():
+        first = open_.groupBy("short_key").agg(F.min("at").alias("first"))
+        both = open_.join(first, "short_key").join(first.select(F.col("short_key").alias("title_key"), F.col("first").alias("other")), "title_key", "left")
+        ready = both.filter((F.col("at") == F.col("first")) & (F.col("other").isNull() | (F.col("other") >= F.col("at"))))
+        made = new.select(F.col("key").alias("title_key"), F.col("at").alias("made"))
+        more = ready.join(made, "title_key", "left").filter(F.col("made").isNull() | (F.col("made") > F.col("at")))
+        new = checkpointed(new.unionByName(more.select(F.col("short_key").alias("key"), F.col("short").alias("name"), "at")))
+        done = ready.select("at").union(open_.join(new.select(F.col("key").alias("short_key"), F.col("at").alias("made")), "short_key").filter("made < at").select("at"))
+        open_ = checkpointed(open_.join(done.distinct(), "at", "left_anti"))
+    return new
 
 
 def covered_entities(mappings: DataFrame, entities: DataFrame, approved: DataFrame | None = None) -> DataFrame:

@@ -4,6 +4,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from schemaloom.operators import vocabulary as voc
 from schemaloom.operators.model import of_rows
@@ -117,3 +118,54 @@ def test_run_with_proposal_and_existing(spark):
         build_vocabulary(erd, "proposal")
     rules = build_vocabulary(erd, "rule_based")
     assert {r["attribute"] for r in rules.mappings.collect()} == {"Reader.card", "Reader.town", "Loan.card", "Loan.due_date"}
+
+
+def walked_cover(mappings, attributes, terms):
+    """The rules of ``covered`` gone through one attribute after another, from the facts of each."""
+    from schemaloom.functions.names import bare_key, qualified_key, term, tokens
+
+    shown = F.concat_ws(".", "entity", "attr")
+    title = voc.once(tokens("attr"), lambda w: F.when(F.size(w) == 0, F.col("attr")).otherwise(term(w)))
+    short = voc.once(title, lambda t: F.coalesce(F.nullif(voc.abstract_name(t, F.array("attribute")), F.lit("")), t))
+    known = {r[0] for r in mappings.select(qualified_key("attribute")).collect()}
+    rows = attributes.select("*", shown.alias("attribute")).select("attribute", qualified_key("attribute").alias("key"), bare_key("attr").alias("part"), short.alias("short"), bare_key(short).alias("short_key"), bare_key(title).alias("title_key")).orderBy("epos", "apos").collect()
+    voted = {r["part"]: r["name"] for r in voc.votes(mappings, terms).collect()}
+    named, synonyms = {}, {}
+    bare = lambda x: "".join(c for c in x.lower() if c.isascii() and c.isalnum())
+    for t in terms.orderBy("pos").collect():
+        named.setdefault(bare(t.name), t.name)
+        for s in t.synonyms:
+            synonyms.setdefault(bare(s), t.name)
+    named.pop("", None), synonyms.pop("", None)
+    out = []
+    for r in [r for r in rows if r["key"] not in known]:
+        how, name = ("votes", voted[r["part"]]) if r["part"] in voted else ("new", r["short"])
+        if how == "new":
+            hits = [(kind, index[k]) for k in (r["short_key"], r["title_key"]) for kind, index in (("name", named), ("synonym", synonyms)) if k in index]
+            if hits:
+                how, name = hits[0]
+            else:
+                named[r["short_key"]] = name
+        if r["part"]:
+            voted.setdefault(r["part"], name)
+        out.append((r["attribute"], name, how))
+    return out
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_coverage_in_rounds_is_the_walk(spark, seed):
+    rng = random.Random(seed)
+    entities = ["Loan Desk Clerk", "loanDesk", "Desk", "Clerk Loan Desk"]
+    words = ["loan", "desk", "clerk", "name", "code", "Note", "id"]
+    attrs, seen = [], set()
+    for i in range(120):
+        e, a = rng.randrange(4), rng.choice((" ", "_", "")).join(rng.choices(words, k=rng.choice((1, 2, 3, 3, 4)))) if rng.random() < 0.95 else rng.choice(("-", "—"))
+        if (e, a) not in seen:
+            seen.add((e, a))
+            attrs.append((entities[e], a, e, i))
+    attributes = spark.createDataFrame(attrs, "entity string, attr string, epos int, apos int")
+    mappings = spark.createDataFrame([(f"{e}.{a}", "Approved Name", 0.9, "", i) for i, (e, a, _, _) in enumerate(attrs[:6])], "attribute string, canonical string, confidence double, rationale string, seq int")
+    terms = spark.createDataFrame([("Note", None, ["desk note", "Loan Name"], ["Desk.code"], 0), ("Name Code", None, ["note"], [], 1), ("Clerk Id", None, ["loan name", ""], [], 2)], "name string, description string, synonyms array<string>, sources array<string>, pos int")
+    got = [(r.attribute, r.canonical, r.source) for r in voc.covered(mappings, attributes, terms).orderBy("epos", "apos").collect()]
+    want = walked_cover(mappings, attributes, terms)
+    assert got == want and {h for _, _, h in want} >= {"votes", "name", "new"}
