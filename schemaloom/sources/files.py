@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 from typing import Any
+from urllib.parse import quote
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
-from pyspark.sql.window import Window
 
 from schemaloom.operators.model import ENTITY, RELATION, Erd, flat
 
@@ -98,15 +100,48 @@ def proposal(answers: DataFrame, schema: str, column: str = "answer") -> DataFra
     return answers.withColumn("doc", F.when(F.try_parse_json(text).isNotNull(), F.from_json(text, schema)))
 
 
+class RunExists(RuntimeError):
+    """Another writer has committed results under this run's id."""
+
+
 def append_results(results: DataFrame, path: str, run_id: str) -> None:
-    """Add the results of a run; nothing that is there is rewritten."""
-    results.withColumn("run_id", F.lit(run_id)).withColumn("written_at", F.current_timestamp()).write.mode("append").partitionBy("run_id").parquet(path)
+    """Add the results of a run; nothing that is there is rewritten.
+
+    The rows go to a folder of their own; then a pointer to it is renamed to the run's name, which must not exist yet. A
+    failed or killed run leaves rows that no pointer names and nobody reads; of two writers of one run the second fails.
+    """
+    spark, path = results.sparkSession, path.rstrip("/")
+    folder = f"{path}/rows/{uuid.uuid4().hex}"
+    results.withColumn("run_id", F.lit(run_id)).withColumn("written_at", F.current_timestamp()).write.parquet(folder)
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    conf = spark._jsc.hadoopConfiguration()
+    draft, final = hadoop.Path(f"{folder}.run"), hadoop.Path(f"{path}/runs/{quote(run_id, safe='')}")
+    store = final.getFileSystem(conf)
+    out = store.create(draft, False)
+    out.write(bytearray(folder.encode()))
+    out.close()
+    store.mkdirs(final.getParent())
+    how = spark.sparkContext._gateway.new_array(getattr(hadoop, "Options$Rename"), 1)
+    how[0] = getattr(hadoop, "Options$Rename").NONE
+    try:
+        hadoop.FileContext.getFileContext(store.getUri(), conf).rename(draft, final, how)
+    except Py4JJavaError as e:
+        if "FileAlreadyExists" in str(e.java_exception):
+            raise RunExists(run_id) from None
+        raise
+
+
+def all_results(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of all committed runs, with run_id and written_at."""
+    folders = [r[0] for r in spark.read.text(f"{path.rstrip('/')}/runs/*", wholetext=True).collect()]  # one for each run
+    return spark.read.option("mergeSchema", True).parquet(*folders)
 
 
 def latest_results(spark: SparkSession, path: str, keys: Sequence[str]) -> DataFrame:
     """Of each key the row that was written last."""
-    last = Window.partitionBy(*keys).orderBy(F.col("written_at").desc(), F.col("run_id").desc())
-    return spark.read.parquet(path).withColumn("_r", F.row_number().over(last)).filter("_r = 1").drop("_r")
+    df = all_results(spark, path)
+    last = F.max_by(F.struct(*[F.col(f"`{c}`") for c in df.columns]), F.struct("written_at", "run_id"))
+    return df.groupBy(*[F.col(f"`{k}`").alias(f"key{i}") for i, k in enumerate(keys)]).agg(last.alias("row")).select("row.*")
 
 
 def write_json(results: DataFrame, path: str, run_id: str) -> None:

@@ -194,3 +194,22 @@ def test_a_long_chain_needs_few_jobs(spark):
     assert {tuple(r) for r in greedy(df, "a", "b", ["s", "a", "b"]).collect()} == _plain_greedy(chain)
     assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("chain")) <= 20
     spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_results_are_committed_as_a_whole(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from schemaloom.sources import files
+
+    path = str(tmp_path / "results")
+    rows = spark.range(4).select("id", F.lit("a").alias("value"))
+    files.append_results(rows, path, "run 1/x")
+    broken = rows.withColumn("value", F.when(F.col("id") == 3, F.raise_error(F.lit("broken"))).otherwise(F.lit("b")))
+    with pytest.raises(Exception, match="broken"):
+        files.append_results(broken, path, "run 2")
+    assert {r.value for r in files.all_results(spark, path).collect()} == {"a"}
+    files.append_results(rows.withColumn("value", F.lit("c")), path, "run 2")
+    with pytest.raises(files.RunExists):
+        files.append_results(rows.withColumn("value", F.lit("d")), path, "run 2")
+    last = files.latest_results(spark, path, ["id"]).collect()
+    assert sorted((r.id, r.value, r.run_id) for r in last) == [(i, "c", "run 2") for i in range(4)]
