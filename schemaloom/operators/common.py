@@ -15,6 +15,14 @@ def scalar(df: DataFrame) -> DataFrame:
     return df.select(*[F.to_json(F.col(f"`{f.name}`")).alias(f.name) if isinstance(f.dataType, complex_) else F.col(f"`{f.name}`") for f in df.schema])
 
 
+def fresh(name: str, *frames: DataFrame) -> str:
+    """name, with as many underscores behind it as it takes to be none of the frames' columns."""
+    taken = {c.lower() for df in frames for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 #: Characters beyond which a value that is no number stands for itself by its digest where only equality counts.
 LONG = 256
 

@@ -15,7 +15,7 @@ from pyspark.sql.window import Window
 from schemaloom.functions import values as V
 from schemaloom.functions.names import MEASURE, TEMPORAL, attribute_part, bare_key, distinct_by, distinct_ignoring_case, entity_label, entity_part, has_any, qualified_key, term, tokens
 from schemaloom.functions.similarity import hybrid, jaccard
-from schemaloom.operators.common import checkpointed
+from schemaloom.operators.common import checkpointed, fresh
 from schemaloom.operators.profile import categories, kind_shares
 
 #: Least scores for reusing a term or an entity, and what new ones count.
@@ -48,37 +48,48 @@ def deduplicated(mappings: DataFrame, name: str = "attribute") -> DataFrame:
 
 def carried_forward(existing: DataFrame, new: DataFrame) -> DataFrame:
     """Both, the existing ones first: seq goes on from the existing."""
-    last = existing.agg(F.coalesce(F.max("seq") + 1, F.lit(0)).alias("_last"))
-    return existing.unionByName(new.crossJoin(F.broadcast(last)).withColumn("seq", F.col("seq") + F.col("_last")).drop("_last"))
+    last = fresh("last", existing, new)
+    after = existing.agg(F.coalesce(F.max("seq") + 1, F.lit(0)).alias(last))  # one row
+    return existing.unionByName(new.crossJoin(F.broadcast(after)).withColumn("seq", F.col("seq") + F.col(last)).drop(last))
+
+
+def _shown_as(mappings: DataFrame, column: str, key: Column, known: DataFrame) -> DataFrame:
+    """mappings whose key is one of known (key, shown), with ``column`` as shown; all other columns are kept, whatever their names."""
+    k, shown = fresh("key", mappings), fresh("shown", mappings)
+    once_ = known.groupBy(F.col("key").alias(k)).agg(F.min("shown").alias(shown))
+    return mappings.withColumn(k, key).join(once_, k).withColumn(column, F.col(shown)).select(*[F.col(f"`{c}`") for c in mappings.columns])
 
 
 def valid_mappings(mappings: DataFrame, attributes: DataFrame) -> DataFrame:
     """Mappings whose attribute the model (entity, attr) still has, spelled as the model does."""
     shown = F.concat_ws(".", "entity", "attr")
-    known = attributes.select(qualified_key(shown).alias("_k"), shown.alias("_shown")).groupBy("_k").agg(F.min("_shown").alias("_shown"))
-    return mappings.withColumn("_k", qualified_key("attribute")).join(F.broadcast(known), "_k").withColumn("attribute", F.col("_shown")).drop("_k", "_shown")
+    return _shown_as(mappings, "attribute", qualified_key("attribute"), attributes.select(qualified_key(shown).alias("key"), shown.alias("shown")))
 
 
 def valid_entity_mappings(mappings: DataFrame, entities: DataFrame) -> DataFrame:
     """Entity mappings whose entity the model still has, spelled as the model does, their canonical name in display form."""
-    known = entities.select(bare_key("entity").alias("_k"), F.col("entity").alias("_shown")).groupBy("_k").agg(F.min("_shown").alias("_shown"))
-    return mappings.withColumn("_k", bare_key("source_entity")).join(F.broadcast(known), "_k").withColumns({"source_entity": F.col("_shown"), "canonical": entity_label("canonical")}).drop("_k", "_shown")
+    known = entities.select(bare_key("entity").alias("key"), F.col("entity").alias("shown"))
+    return _shown_as(mappings, "source_entity", bare_key("source_entity"), known).withColumn("canonical", entity_label("canonical"))
 
 
 def archive(terms: DataFrame, mappings: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(kept, archived) terms: those that a mapping uses or that have sources, and the others."""
-    used = mappings.select(bare_key("canonical").alias("key")).distinct().withColumn("used", F.lit(True))
+    """(kept, archived) terms: those that a mapping uses or that have sources, and the others; all columns of terms are kept, whatever their names."""
+    key, mark = fresh("key", terms), fresh("used", terms)
+    used = mappings.select(bare_key("canonical").alias(key)).distinct().withColumn(mark, F.lit(True))
     sourced = F.exists("sources", lambda x: qualified_key(x) != "") if "sources" in terms.columns else F.lit(False)
-    both = terms.withColumn("key", bare_key("name")).join(used, "key", "left").withColumn("used", F.coalesce("used", F.lit(False)) | F.coalesce(sourced, F.lit(False)))
-    return both.filter("used").select(*terms.columns), both.filter("not used").select(*terms.columns)
+    both = terms.withColumn(key, bare_key("name")).join(used, key, "left").withColumn(mark, F.coalesce(mark, F.lit(False)) | F.coalesce(sourced, F.lit(False)))
+    every = [F.col(f"`{c}`") for c in terms.columns]
+    return both.filter(F.col(mark)).select(*every), both.filter(~F.col(mark)).select(*every)
 
 
 def stale_sources(terms: DataFrame, attributes: DataFrame) -> DataFrame:
-    """terms without sources that the model lacks."""
-    known = attributes.select(qualified_key(F.concat_ws(".", "entity", "attr")).alias("_k")).distinct()
-    held = terms.select("name", F.posexplode("sources").alias("_i", "_s")).withColumn("_k", qualified_key("_s")).join(known, "_k", "left_semi")
-    kept = held.groupBy("name").agg(F.transform(F.sort_array(F.collect_list(F.struct("_i", "_s"))), lambda x: x["_s"]).alias("_kept"))
-    return terms.join(kept, "name", "left").withColumn("sources", F.coalesce("_kept", F.array().cast("array<string>"))).drop("_kept")
+    """terms without sources that the model lacks; all other columns are kept, whatever their names."""
+    kept, name = fresh("kept", terms), fresh("name_", terms)
+    known = attributes.select(qualified_key(F.concat_ws(".", "entity", "attr")).alias("key")).distinct()
+    held = terms.select("name", F.posexplode("sources").alias("place", "source")).withColumn("key", qualified_key("source")).join(known, "key", "left_semi")
+    left = held.groupBy(F.col("name").alias(name)).agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "source"))), lambda x: x["source"]).alias(kept))
+    both = terms.join(left, F.col("name") == F.col(name), "left").withColumn("sources", F.coalesce(kept, F.array().cast("array<string>")))
+    return both.select(*[F.col(f"`{c}`") for c in terms.columns])
 
 
 def names_of(terms: DataFrame) -> DataFrame:

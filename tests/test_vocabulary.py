@@ -169,3 +169,16 @@ def test_coverage_in_rounds_is_the_walk(spark, seed):
     got = [(r.attribute, r.canonical, r.source) for r in voc.covered(mappings, attributes, terms).orderBy("epos", "apos").collect()]
     want = walked_cover(mappings, attributes, terms)
     assert got == want and {h for _, _, h in want} >= {"votes", "name", "new"}
+
+
+def test_columns_of_any_name_are_kept(spark):
+    terms = spark.createDataFrame([("Loan Date", ["Loan.date", "Gone.x"], "k", "l", "u", 1), ("Old", [], "k2", "l2", "u2", 2)], "name string, sources array<string>, key string, kept string, used string, `a.b` int")
+    maps = spark.createDataFrame([("loan.Date", "Loan Date", 0, "k", "s", "l")], "attribute string, canonical string, seq int, key string, shown string, last string")
+    attrs = spark.createDataFrame([("Loan", "date")], "entity string, attr string")
+    kept, gone = voc.archive(terms, maps)
+    assert [tuple(r) for r in kept.collect()] == [("Loan Date", ["Loan.date", "Gone.x"], "k", "l", "u", 1)] and [r.name for r in gone.collect()] == ["Old"]
+    assert sorted(tuple(r) for r in voc.stale_sources(terms, attrs).collect()) == [("Loan Date", ["Loan.date"], "k", "l", "u", 1), ("Old", [], "k2", "l2", "u2", 2)]
+    assert [tuple(r) for r in voc.valid_mappings(maps, attrs).collect()] == [("Loan.date", "Loan Date", 0, "k", "s", "l")]
+    assert [(r.seq, r.last) for r in voc.carried_forward(maps, maps).orderBy("seq").collect()] == [(0, "l"), (1, "l")]
+    entities = maps.select(F.lit("LOAN").alias("source_entity"), "canonical", "key", "shown")
+    assert [tuple(r) for r in voc.valid_entity_mappings(entities, attrs.select("entity")).collect()] == [("Loan", "Loan Date", "k", "s")]
