@@ -116,19 +116,19 @@ def _key_sql(t: str, combo: tuple[str, ...]) -> str:
 
 
 def candidate_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Minimal keys of one and two columns of a conversation's columns without its text."""
-    df = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role")
+    """Minimal keys of one and two of the conversations' columns."""
+    df = table(spark, sf_dir, "conversations").select(*_CONV)
     return keys.as_frame(df, "conversations", keys.candidate_keys(df)).select("tbl", F.array_join("key_cols", "+").alias("key_cols"), "size")
 
 
-_CONV = ("conv_id", "turn", "role")
+_CONV = ("conv_id", "turn", "role", "text")
 _CANDIDATES = " UNION ALL ".join(f"SELECT 'conversations' AS tbl, '{'+'.join(c)}' AS key_cols, {len(c)} AS size FROM conversations HAVING count(DISTINCT ({', '.join(c)},)) = count(*)" + (f" AND NOT (SELECT {' OR '.join(f'count(DISTINCT {x}) = count(*)' for x in c)} FROM conversations)" if len(c) > 1 else "") for k in (1, 2) for c in combinations(_CONV, k)).replace(",,", ",").replace(",)", ")")
 
 
 def pk_election(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = None
     for name, df in renamed(spark, sf_dir).items():
-        part = keys.as_frame(df, name, keys.candidate_keys(df, most=1))
+        part = keys.as_frame(df, name, keys.candidate_keys(df))
         out = part if out is None else out.unionByName(part)
     return keys.primary_keys(out).select("tbl", F.get("key_cols", F.lit(0)).alias("pk"))
 
