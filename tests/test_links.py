@@ -34,13 +34,13 @@ def drawn(spark, rng):
 
 
 def test_links_are_those_of_all_values(spark):
-    for seed in range(4):
+    for seed in range(2):
         tables = drawn(spark, random.Random(seed))
         assert sorted(map(tuple, links.links(tables).collect())) == sorted(map(tuple, by_values(tables).collect()))
 
 
 def test_sketches_refute_no_inclusion(spark):
-    for seed in (11, 12):
+    for seed in (11,):
         tables = drawn(spark, random.Random(seed))
         sketches = links.column_sketches(tables)
         side = lambda n: sketches.select(F.struct(*sketches.columns).alias(n))
