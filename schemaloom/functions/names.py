@@ -153,9 +153,19 @@ def distinct_ignoring_case(values: Column) -> Column:
 
 
 def distinct_by(values: Column, key) -> Column:
-    """The first value of each key, in order."""
-    keys = F.transform(values, key)
-    return F.filter(values, lambda v, i: F.array_position(keys, F.get(keys, i)) == i + 1)
+    """The first value of each key, in order; values whose key is null are left out.
+
+    By sorting, as arrays may be long. What a lambda refers to outside is computed anew for each element, so arrays are
+    handed in as elements of an array of one.
+    """
+    once = lambda array, f: F.get(F.transform(F.array(array), f), F.lit(0))
+    heads = lambda s: F.filter(s, lambda x, j: x["key"].isNotNull() & ((j == 0) | ~x["key"].eqNullSafe(F.get(s, j - 1)["key"])))
+
+    def firsts(array: Column) -> Column:
+        keyed = F.sort_array(F.transform(array, lambda v, i: F.struct(key(v).alias("key"), i.alias("at"))))
+        return F.transform(F.sort_array(F.transform(once(keyed, heads), lambda x: x["at"])), lambda i: F.get(array, i))
+
+    return once(values, firsts)
 
 
 def unordered_pair(a: Column, b: Column) -> Column:

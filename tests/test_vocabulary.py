@@ -2,10 +2,12 @@
 
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
+from schemaloom.functions.names import distinct_ignoring_case
 from schemaloom.operators import vocabulary as voc
 from schemaloom.operators.model import of_rows
 from schemaloom.plans.vocabularies import ENTITIES, MAPPINGS, TERMS, Vocabulary, build_vocabulary
@@ -90,6 +92,19 @@ def test_alignment_and_ownership(spark, seed):
     assert shown(voc.owned_sources(out, moved)) == owned
 
 
+def test_long_lists_of_sources(spark):
+    n = 20_000
+    sources = [f"Shelf{i % 7}.row_{i // 2}" if i % 2 else f"SHELF{(i + 1) % 7}.Row {i // 2}" for i in range(n)] + ["", None]
+    terms = spark.createDataFrame([("Row", None, [], sources, 0)], TERMS)
+    mappings = spark.createDataFrame([(f"Shelf{i % 7}.row_{i // 2}", "row", 0.5, "", i) for i in range(1, n, 2)], MAPPINGS)
+    begun = time.time()
+    got = voc.owned_sources(terms, mappings).first()["sources"]
+    assert got == firsts(sources[:n], full_key)
+    listed = spark.createDataFrame([(["b", "A", None, "B", "a", "c"],), ([],), (None,)], "x array<string>").select(distinct_ignoring_case(F.col("x")).alias("x"))
+    assert [r["x"] for r in listed.collect()] == [["b", "A", "c"], [], None]
+    assert time.time() - begun < 60  # not the square of the list's length
+
+
 def test_abstract_terms_join(spark):
     terms = [("Book Copy Code", "one", ["copy code"], ["Book Copy.code"], 0), ("Code", "a longer one", ["sign"], [], 1), ("Loan Date", "", [], ["Loan.loan_date"], 2), ("shelf_no", None, [], [], 3)]
     mappings = [("Book Copy.code", "book copy code", 0.5, "", 0), ("Shelf.shelf_no", "Shelf_No", 0.5, "", 1), ("Loan.loan_date", "Loan Date", 0.5, "", 2)]
