@@ -21,6 +21,8 @@ from schemaloom.operators.common import checkpointed, scalar
 
 #: Cells whose classes are looked at for the first agree sets (a bound on the sample; no result hangs on it), parts of a large class that give a pair each.
 CELLS, PARTS = 100_000, 16
+#: Cells of a task in a pass over a table.
+TASK = 500_000
 #: Combinations that are tested in one pass over the table.
 BATCH = 64
 
@@ -76,7 +78,10 @@ def cover(df: DataFrame, columns: Sequence[str]) -> Cover:
     """The codes of the columns, written once, and the agree sets of a sample of pairs."""
     base = scalar(df.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(columns)]))
     names = base.columns
-    codes = base.select(F.monotonically_increasing_id().alias("row"), F.array(*[F.xxhash64(c) for c in names]).alias("a"), F.array(*[F.xxhash64(F.lit(1), c) for c in names]).alias("b"), F.array(*[F.col(c).isNull() for c in names]).alias("n"))
+    codes = base.select(F.array(*[F.xxhash64(c) for c in names]).alias("a"), F.array(*[F.xxhash64(F.lit(1), c) for c in names]).alias("b"), F.array(*[F.col(c).isNull() for c in names]).alias("n"))
+    codes = codes.select(F.monotonically_increasing_id().alias("row"), "*")
+    if (tasks := -(-base.count() * len(names) // TASK)) > 1:  # a file of one row group would be one task in every pass
+        codes = codes.repartition(tasks, "row")
     codes = checkpointed(codes)
     facts = codes.agg(F.count(F.lit(1)), *[F.count_if(F.get("n", F.lit(i))) for i in range(len(names))]).first()
     out = Cover(codes, len(names), facts[0], list(facts[1:]))
@@ -96,18 +101,29 @@ def cover(df: DataFrame, columns: Sequence[str]) -> Cover:
 
 
 def _grouped(held: Cover, part: Sequence[tuple[int, ...]], more: Sequence[int] = ()) -> DataFrame:
-    """(id, h, g, cnt, lo, hi, s0, s1, ...): the groups of each combination's rows without nulls in it; s: whether a group has one value of each column of ``more``."""
+    """(id, h, g, cnt, lo, hi, s0, lo0, hi0, s1, ...): the groups of each combination's rows without nulls in it; s: whether a group has one value of each column of ``more``, else lo and hi are rows that differ in it.
+
+    All is aggregated in numbers of fixed size, as Spark sorts the rows of other aggregates instead of hashing their keys.
+    """
     def key(i: int, places: tuple[int, ...]) -> Column:
         full = F.lit(True)
         for p in places:
             full = full & ~F.get("n", F.lit(p))
         return F.when(full, F.struct(F.lit(i).alias("id"), F.xxhash64(*[F.get("a", F.lit(p)) for p in places]).alias("h"), F.xxhash64(*[F.get("b", F.lit(p)) for p in places], F.lit(len(places))).alias("g")))
 
-    values = [F.struct(F.get("a", F.lit(c)).alias("a"), F.get("b", F.lit(c)).alias("b"), F.get("n", F.lit(c)).alias("n")).alias(f"v{k}") for k, c in enumerate(more)]
+    values = [F.get(x, F.lit(c)).alias(f"{x}{k}") for k, c in enumerate(more) for x in ("a", "b")]
     each = held.codes.select("row", *values, F.explode(F.array_compact(F.array(*[key(i, p) for i, p in enumerate(part)]))).alias("k"))
-    one = [(F.min(f"v{k}") == F.max(f"v{k}")).alias(f"s{k}") for k in range(len(more))]
-    ends = [x for k in range(len(more)) for x in (F.min_by("row", f"v{k}").alias(f"lo{k}"), F.max_by("row", f"v{k}").alias(f"hi{k}"))]
-    return each.groupBy("k.id", "k.h", "k.g").agg(F.count(F.lit(1)).alias("cnt"), F.min("row").alias("lo"), F.max("row").alias("hi"), *one, *ends)
+    facts = [f(*c).alias(f"{n}{x}{k}") for k in range(len(more)) for x in ("a", "b") for n, f, c in (("min_", F.min, (f"{x}{k}",)), ("max_", F.max, (f"{x}{k}",)), ("lo_", F.min_by, ("row", f"{x}{k}")), ("hi_", F.max_by, ("row", f"{x}{k}")))]
+    groups = each.groupBy("k.id", "k.h", "k.g").agg(F.count(F.lit(1)).alias("cnt"), F.min("row").alias("lo"), F.max("row").alias("hi"), *facts)
+    same = lambda x, k: F.col(f"min_{x}{k}") == F.col(f"max_{x}{k}")
+    one = [(same("a", k) & same("b", k)).alias(f"s{k}") for k in range(len(more))]
+    ends = [F.when(same("a", k), F.col(f"{n}_b{k}")).otherwise(F.col(f"{n}_a{k}")).alias(f"{n}{k}") for k in range(len(more)) for n in ("lo", "hi")]
+    return groups.select("id", "h", "g", "cnt", "lo", "hi", *one, *ends)
+
+
+def _chance() -> Column:
+    """An order of a combination's groups by chance, without ties: no two groups have the same first row, and XXH64 of a long is one to one."""
+    return F.xxhash64("lo")
 
 
 def _refute(held: Cover, pairs: set[tuple[int, int]]) -> None:
@@ -152,16 +168,16 @@ def unique_sets(held: Cover, most: int, lenient: bool = False) -> list[tuple[int
         refuting: set[tuple[int, int]] = set()
         for part in _batches(new):
             groups = _grouped(held, part)
-            pair = F.when(F.col("cnt") > 1, F.struct("lo", "hi"))
-            facts = {r.id: r for r in groups.groupBy("id").agg(F.min_by(pair, F.when(F.col("cnt") > 1, F.col("h"))).alias("x"), F.max_by(pair, F.when(F.col("cnt") > 1, F.col("h"))).alias("y")).collect()}
+            shared = F.when(F.col("cnt") > 1, _chance())
+            facts = {r.id: r for r in groups.groupBy("id").agg(*[f(c, shared).alias(f"{c}_{n}") for n, f in (("x", F.min_by), ("y", F.max_by)) for c in ("lo", "hi")]).collect()}
             held.passes += 1
             for i, c in enumerate(part):
                 if i not in facts:
                     void.add(c)
-                elif facts[i].x is None:
+                elif facts[i].lo_x is None:
                     known.add(c)
                 else:
-                    refuting |= {tuple(facts[i].x), tuple(facts[i].y)}
+                    refuting |= {(facts[i].lo_x, facts[i].hi_x), (facts[i].lo_y, facts[i].hi_y)}
         _refute(held, refuting)
 
 
@@ -180,17 +196,16 @@ def determining(held: Cover, targets: Sequence[int], among: Sequence[int], most:
         refuting: set[tuple[int, int]] = set()
         for part in _batches(sorted(wanted, key=lambda c: (len(c), c)), BATCH // 4):
             more = sorted({t for c in part for t in wanted[c]})
-            bad = [F.struct(F.col(f"lo{k}").alias("lo"), F.col(f"hi{k}").alias("hi")) for k in range(len(more))]
-            worst = [F.min_by(F.when(~F.col(f"s{k}"), bad[k]), F.when(~F.col(f"s{k}"), F.col("h"))).alias(f"w{k}") for k in range(len(more))]
+            worst = [F.min_by(f"{n}{k}", F.when(~F.col(f"s{k}"), _chance())).alias(f"{n}{k}") for k in range(len(more)) for n in ("lo", "hi")]
             facts = {r.id: r for r in _grouped(held, part, more).groupBy("id").agg(*worst).collect()}
             held.passes += 1
             for i, c in enumerate(part):
                 for t in wanted[c]:
-                    pair = facts[i][f"w{more.index(t)}"] if i in facts else None
-                    if pair is None:
+                    k = more.index(t)
+                    if i not in facts or facts[i][f"lo{k}"] is None:
                         known.add((c, t))
                     else:
-                        refuting.add(tuple(pair))
+                        refuting.add((facts[i][f"lo{k}"], facts[i][f"hi{k}"]))
         _refute(held, refuting)
 
 

@@ -103,3 +103,12 @@ def test_thirty_columns_in_few_passes(spark):
 def test_nothing_and_one_row(spark):
     assert keys.candidate_keys(table(spark, [], ["a", "b"])) == [] and fds.discover(table(spark, [], ["a", "b"])).count() == 0
     assert keys.candidate_keys(table(spark, [("x", None)], ["a", "b"]), lenient=True) == [("a",)]
+
+
+def test_groups_are_hashed_in_more_than_one_task(spark):
+    df = spark.range(300_000).coalesce(1).selectExpr("id AS c0", "id % 5 AS c1", "CAST(id % 10 AS string) AS c2", "CASE WHEN id % 5 > 0 THEN id % 5 END AS c3")
+    held = C.cover(df, df.columns)
+    assert held.codes.rdd.getNumPartitions() > 1
+    plan = C._grouped(held, [(0,), (1,)], [1, 2, 3])._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in plan and "SortAggregate" not in plan and "ObjectHashAggregate" not in plan
+    assert C.determining(held, range(4), range(4), 1) == {0: [], 1: [(0,), (2,), (3,)], 2: [(0,)], 3: [(0,), (1,), (2,)]}
