@@ -155,9 +155,9 @@ def least(held: Cover, sets: np.ndarray, among: Sequence[int], most: int, void:
     return out
 
 
-def unique_sets(held: Cover, most: int, lenient: bool = False) -> list[tuple[int, ...]]:
-    """The least sets of up to ``most`` columns that no two rows share: strict ones without a null in any row, or lenient ones, whose rows with nulls don't count but some row must have none."""
-    among = [i for i in range(held.width) if lenient or held.nulls[i] == 0]
+def unique_sets(held: Cover, most: int, lenient: bool = False, among: Sequence[int] | None = None) -> list[tuple[int, ...]]:
+    """The least sets of up to ``most`` of the columns that no two rows share: strict ones without a null in any row, or lenient ones, whose rows with nulls don't count but some row must have none."""
+    among = [i for i in (range(held.width) if among is None else among) if lenient or held.nulls[i] == 0]
     known, void = set(), set()
     empty = lambda c: any(set(v) <= set(c) for v in void)
     while True:
@@ -209,11 +209,11 @@ def determining(held: Cover, targets: Sequence[int], among: Sequence[int], most:
         _refute(held, refuting)
 
 
-def group_counts(held: Cover, sets: Sequence[tuple[int, ...]]) -> dict[tuple[int, ...], tuple[int, int]]:
-    """(groups, rows) without nulls of each set of columns, exact, BATCH of them in a pass."""
-    out = {c: (0, 0) for c in sets}
-    for part in _batches(sets):
-        for r in _grouped(held, part).groupBy("id").agg(F.count(F.lit(1)).alias("groups"), F.sum("cnt").alias("rows")).collect():
-            out[part[r.id]] = (r.groups, r.rows)
+def group_counts(held: Cover, sets: Sequence[tuple[int, ...]], more: Sequence[int] = ()) -> dict[tuple[int, ...], tuple[int, ...]]:
+    """(groups, rows, groups with one value of each column of ``more``, null being a value) without nulls of each set of columns, exact, many of them in a pass."""
+    out = {c: (0,) * (2 + len(more)) for c in sets}
+    for part in _batches(sets, BATCH // 4 if more else BATCH):
+        for r in _grouped(held, part, more).groupBy("id").agg(F.count(F.lit(1)), F.sum("cnt"), *[F.count_if(f"s{k}").alias(f"n{k}") for k in range(len(more))]).collect():
+            out[part[r.id]] = tuple(r)[1:]
         held.passes += 1
     return out

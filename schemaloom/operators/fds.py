@@ -7,9 +7,10 @@ from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from schemaloom.operators.common import scalar
-from schemaloom.operators.cover import bits, cover, determining, group_counts
+from schemaloom.operators.cover import Cover, bits, cover, determining, group_counts
 from schemaloom.operators.keys import _gid
 
 #: Least rows, attributes looked at, largest left side, least support, and the share of different values from which a left side says nothing.
@@ -18,15 +19,23 @@ LEAST_ROWS, ATTRIBUTES, LEFT, SUPPORT, NEAR_UNIQUE = 12, 12, 3, 0.9, 0.9
 BATCH = 32
 
 
-def _one_value(c: str) -> Column:
-    """Whether a group holds one value of c, null counting as a value; needs no distinct aggregation."""
+def _one_value(df: DataFrame, c: str) -> Column:
+    """Whether a group holds one value of c, null counting as a value; needs no distinct aggregation.
+
+    Of texts 128 bits of hashes are compared, as Spark sorts all rows where an aggregate isn't of fixed size.
+    """
     x = F.col(f"`{c}`")
-    return F.min(x).eqNullSafe(F.max(x)) & ((F.count(x) == 0) | (F.count(x) == F.count(F.lit(1))))
+    parts = [F.xxhash64(x), F.xxhash64(F.lit(1), x)] if df.select(x).schema[0].dataType in (T.StringType(), T.BinaryType()) else [x]
+    one = (F.count(x) == 0) | (F.count(x) == F.count(F.lit(1)))
+    for p in parts:
+        one = one & F.min(p).eqNullSafe(F.max(p))
+    return one
 
 
 def determines(df: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
     """(key, col, holds): whether each non-null key has one value of col, null counting as a value. No key at all: false."""
-    groups = scalar(df).filter(F.col(f"`{key}`").isNotNull()).groupBy(F.col(f"`{key}`")).agg(*[_one_value(c).alias(f"ok{i}") for i, c in enumerate(columns)])
+    base = scalar(df)
+    groups = base.filter(F.col(f"`{key}`").isNotNull()).groupBy(F.col(f"`{key}`")).agg(*[_one_value(base, c).alias(f"ok{i}") for i, c in enumerate(columns)])
     row = groups.agg(*[F.coalesce(F.bool_and(f"ok{i}"), F.lit(False)).alias(f"ok{i}") for i in range(len(columns))])
     return row.select(F.explode(F.array(*[F.struct(F.lit(key).alias("key"), F.lit(c).alias("col"), F.col(f"ok{i}").alias("holds")) for i, c in enumerate(columns)])).alias("x")).select("x.*")
 
@@ -50,7 +59,7 @@ def strengths(df: DataFrame, lefts: Sequence[Sequence[str]], rights: Sequence[st
         for c in columns:
             missing = missing | (F.grouping(c) == 0) & F.col(c).isNull()
         sets = [[f"c{number[c]}" for c in x] for x in part]
-        groups = copies.groupingSets([[F.col(c) for c in x] for x in sets], *[F.col(c) for c in columns]).agg(F.grouping_id().alias("gid"), missing.alias("missing"), F.count(F.lit(1)).alias("cnt"), *[_one_value(f"v{k}").alias(f"ok{k}") for k in range(len(rights))])
+        groups = copies.groupingSets([[F.col(c) for c in x] for x in sets], *[F.col(c) for c in columns]).agg(F.grouping_id().alias("gid"), missing.alias("missing"), F.count(F.lit(1)).alias("cnt"), *[_one_value(copies, f"v{k}").alias(f"ok{k}") for k in range(len(rights))])
         full = ~F.col("missing")
         sums = groups.groupBy("gid").agg(F.sum("cnt").alias("row_count"), F.count_if(full).alias("n_groups"), F.sum(F.when(full, F.col("cnt")).otherwise(0)).alias("full_rows"), *[F.count_if(full & F.col(f"ok{k}")).alias(f"n{k}") for k in range(len(rights))])
         label = F.create_map(*[x for c, s in zip(part, sets, strict=True) for x in (F.lit(_gid(s, columns)).cast("long"), F.array(*map(F.lit, c)))])
@@ -79,9 +88,15 @@ def discover(df: DataFrame, columns: Sequence[str] | None = None, left: int = LE
     empty = df.sparkSession.createDataFrame([], schema)
     if len(columns) < 2:
         return empty
-    held, places = cover(df, columns), range(len(columns))
-    if held.rows < least_rows or not held.rows:
-        return empty
+    rows = rules_of(cover(df, columns), columns, left, least_rows)
+    return df.sparkSession.createDataFrame(rows, schema) if rows else empty
+
+
+def rules_of(held: Cover, columns: Sequence[str], left: int = LEFT, least_rows: int = LEAST_ROWS) -> list[tuple[list[str], str, float, float, int]]:
+    """The rows of ``discover`` for the columns, which are the first of what ``held`` covers."""
+    places = range(len(columns))
+    if len(columns) < 2 or held.rows < least_rows or not held.rows:
+        return []
     rules = {t: [bits(c) for c in lefts] for t, lefts in determining(held, places, places, left).items()}
     rows, dropped = [], []
     for size in range(1, min(left, len(columns) - 1) + 1):
@@ -99,4 +114,4 @@ def discover(df: DataFrame, columns: Sequence[str] | None = None, left: int = LE
                 continue
             if groups and full >= held.rows * SUPPORT:
                 rows += [([columns[i] for i in c], columns[t], 1.0, full / held.rows, held.rows) for t in holds[c]]
-    return df.sparkSession.createDataFrame(rows, schema) if rows else empty
+    return rows

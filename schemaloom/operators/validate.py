@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from schemaloom.functions.names import trimmed_key
-from schemaloom.operators import fds, keys
+from schemaloom.operators import fds
+from schemaloom.operators.cover import cover, group_counts, unique_sets
 from schemaloom.operators.model import CARDINALITIES, Erd
 from schemaloom.operators.sampling import aligned
 from schemaloom.operators.scores import set_scores
@@ -51,35 +52,45 @@ def relationship_checks(erd: Erd) -> DataFrame:
     return out.withColumn("valid", F.size("issues") == 0)
 
 
+def _unique(counts: tuple[int, ...]) -> bool:
+    """Whether some rows have no null in a set of columns and none of these repeats another, by ``group_counts``."""
+    return 0 < counts[0] == counts[1]
+
+
 def entity_profile(df: DataFrame, attributes: list[str], primary: list[str]) -> dict[str, Any]:
     """Issues of one entity in its table: missing or unfit key, partial and transitive dependencies, violations of the third normal form.
 
-    Rows are taken as they are, copies included. Each kind of test is a few batched aggregations; loops go over names.
+    Rows are taken as they are, copies included. All tests count groups of one cover of the columns, which is written once, a
+    few batches of them for each kind; loops go over names.
     """
     present, missing = aligned(df, attributes)
     pk, pk_missing = aligned(df, primary)
     if not primary:
         return {"issues": ["missing_primary_key"], "candidate_keys": [], "fds": []}
     issues = [f"pk_missing_columns:{','.join(pk_missing)}"] if pk_missing else []
-    found = keys.candidate_keys(df, present, KEY_SIZE, lenient=True)
+    looked = present or df.columns
+    every = [*looked, *(c for c in pk if c not in looked)]
+    held, places = cover(df, every), {c: i for i, c in reversed(list(enumerate(every)))}
+    at = lambda names: tuple(places[c] for c in names)
+    found = [tuple(every[i] for i in k) for k in unique_sets(held, KEY_SIZE, lenient=True, among=range(len(looked)))]
     prime = {a for k in found for a in k}
     subsets = [s for size in range(1, len(pk)) for s in combinations(pk, size)]
     others = [a for a in present if a not in pk]
-    unique = {tuple(r["key_cols"]): r["is_lenient"] for r in keys.key_tests(df, [tuple(pk), *subsets]).collect()} if pk else {}
+    tested = [tuple(pk), *subsets] if pk else []
+    counts = group_counts(held, [at(s) for s in tested], at(others))
+    unique = {s: _unique(counts[at(s)]) for s in tested}
     if pk and not unique[tuple(pk)]:
         issues.append("pk_not_unique")
     issues += [f"pk_not_minimal:{'+'.join(s)}" for s in subsets if unique[s]][:1]
     if pk and others:
-        held = {(tuple(r["lhs"]), r["rhs"]) for r in fds.holding(fds.strengths(df, [tuple(pk), *subsets], others)).collect()}
-        issues += [f"non_key_not_dependent_on_pk:{a}" for a in others if (tuple(pk), a) not in held]
-        issues += [f"partial_dependency:{'+'.join(s)}->{a}" for s in subsets for a in others if (s, a) in held]
+        depends = {(s, a) for s in tested for a, n in zip(others, counts[at(s)][2:], strict=True) if n and n == counts[at(s)][0] and counts[at(s)][1] / held.rows >= fds.SUPPORT}
+        issues += [f"non_key_not_dependent_on_pk:{a}" for a in others if (tuple(pk), a) not in depends]
+        issues += [f"partial_dependency:{'+'.join(s)}->{a}" for s in subsets for a in others if (s, a) in depends]
     else:
-        held = set()
-    rules = [(tuple(r["lhs"]), r["rhs"]) for r in fds.discover(df, present).orderBy(F.size("lhs"), "lhs", "rhs").collect()] if present else []
-    lefts = sorted({x for x, _ in rules})
-    key_like = {tuple(r["key_cols"]) for r in keys.key_tests(df, lefts).filter("is_lenient").collect()} if lefts else set()
-    issues += [f"3nf_violation:{'+'.join(x)}->{y}" for x, y in rules if y not in prime and x not in key_like]
-    issues += [f"transitive_dependency:{'+'.join(x)}->{y}" for x, y in rules if pk and y in others and x[0] in others and (tuple(pk), x[0]) in held]
+        depends = set()
+    rules = sorted([(tuple(x), y) for x, y, *_ in fds.rules_of(held, present[: fds.ATTRIBUTES])], key=lambda r: (len(r[0]), r)) if present else []
+    issues += [f"3nf_violation:{'+'.join(x)}->{y}" for x, y in rules if y not in prime]  # no left side is a key, as its groups are at most NEAR_UNIQUE of its rows
+    issues += [f"transitive_dependency:{'+'.join(x)}->{y}" for x, y in rules if pk and y in others and x[0] in others and (tuple(pk), x[0]) in depends]
     return {"issues": issues, "candidate_keys": [list(k) for k in found], "fds": rules, "attributes_missing": missing}
 
 

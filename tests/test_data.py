@@ -8,8 +8,9 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from schemaloom.operators import decompose, fds, inds, keys, sampling
+from schemaloom.operators import cover, decompose, fds, inds, keys, sampling
 from schemaloom.operators import profile as P
+from schemaloom.operators.common import checkpointed
 from schemaloom.operators.model import nested, of_rows
 from schemaloom.operators.scores import erd_scores
 from schemaloom.operators.validate import entity_profile, validate
@@ -192,3 +193,23 @@ def test_shapes_read_what_all_formats_read(spark):
         wrong = df.filter(F.coalesce(V.parses(F.col("t"), formats), F.lit(False)) != plain)
         assert [r.t for r in wrong.collect()] == []
         assert df.filter(plain).count() > 300
+
+
+def test_entity_tests_sort_no_rows(spark, monkeypatch):
+    df = spark.range(200_000).coalesce(1).selectExpr("id AS k", "CAST(id % 50 AS string) AS n", "CAST(id % 5 AS string) AS r", "IF(id % 40 = 0, NULL, id % 50) AS s", "CAST(NULL AS string) AS e")
+    plans, grouped, covered = [], cover._grouped, []
+    monkeypatch.setattr(cover, "_grouped", lambda *a: plans.append(grouped(*a)) or plans[-1])
+    monkeypatch.setattr(cover, "checkpointed", lambda x: covered.append(checkpointed(x)) or covered[-1])
+    found = entity_profile(df, ["n", "r", "s"], ["k", "n"])
+    partial, third = ("k->r", "k->s", "n->r"), ("n->r", "s->n", "s->r", "n+s->r", "r+s->n")
+    assert found["issues"] == ["pk_not_minimal:k", *[f"partial_dependency:{x}" for x in partial], *[f"3nf_violation:{x}" for x in third], "transitive_dependency:s->r"] and found["candidate_keys"] == []
+    assert covered[0].rdd.getNumPartitions() > 1 and sum("row" in x.columns and "a" in x.columns for x in covered) == 1  # codes are written once
+    for out in (*plans, fds.strengths(df, [["k"], ["n"]], ["n", "r", "s", "e"]), fds.determines(df, "n", ["r", "s", "e"])):
+        assert "SortAggregate" not in out._jdf.queryExecution().executedPlan().toString()
+    assert {(r.lhs[0], r.rhs): r.strength for r in fds.strengths(df, [["k"], ["n"]], ["n", "r", "s", "e"]).collect()} == {("k", "n"): 1.0, ("k", "r"): 1.0, ("k", "s"): 1.0, ("k", "e"): 1.0, ("n", "r"): 1.0, ("n", "s"): 0.9, ("n", "e"): 1.0}
+    assert {r.col: r.holds for r in fds.determines(df, "n", ["r", "s", "e"]).collect()} == {"r": True, "s": False, "e": True}
+
+
+def test_entity_of_an_empty_table(spark):
+    df = spark.range(0).selectExpr("id AS a", "CAST(id AS string) AS b")
+    assert entity_profile(df, ["a", "b"], ["a"])["issues"] == ["pk_not_unique", "non_key_not_dependent_on_pk:b"]
